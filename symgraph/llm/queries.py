@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, lines, quality, repeats, secrets
+from . import bpe, decontaminate, line_dedup, lines, quality, repeats, secrets, simhash
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.cluster(table(spark, sf_dir, "documents"))
+
+
 def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.rules(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_line_dedup, op3_byte_bpe, op5_line_crf, op6_decontaminate, op8_quality, op9_secret_scan, op10_repeats)
+    for f in (op2_line_dedup, op3_byte_bpe, op4_simhash, op5_line_crf, op6_decontaminate, op8_quality, op9_secret_scan, op10_repeats)
 }
 
 ORACLE_SQL: dict[str, str] = {}
