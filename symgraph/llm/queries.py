@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, lines, quality, repeats, secrets, simhash
+from . import bpe, ctw, decontaminate, line_dedup, lines, quality, repeats, secrets, simhash
 from .common import table
 
 
+def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_line_dedup, op3_byte_bpe, op4_simhash, op5_line_crf, op6_decontaminate, op8_quality, op9_secret_scan, op10_repeats)
+    for f in (op1_context_tree, op2_line_dedup, op3_byte_bpe, op4_simhash, op5_line_crf, op6_decontaminate, op8_quality, op9_secret_scan, op10_repeats)
 }
 
 ORACLE_SQL: dict[str, str] = {}
