@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, decontaminate, line_dedup, lines, quality, repeats, secrets, simhash
+from . import bpe, ctw, decontaminate, line_dedup, lines, pii, quality, repeats, secrets, simhash
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -47,7 +51,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_context_tree, op2_line_dedup, op3_byte_bpe, op4_simhash, op5_line_crf, op6_decontaminate, op8_quality, op9_secret_scan, op10_repeats)
+    for f in (op1_context_tree, op2_line_dedup, op3_byte_bpe, op4_simhash, op5_line_crf, op6_decontaminate, op7_pii, op8_quality, op9_secret_scan, op10_repeats)
 }
 
 ORACLE_SQL: dict[str, str] = {}
