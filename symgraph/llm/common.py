@@ -21,14 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; set a local one only where none is configured (tests)."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="symgraph-ckpt-"))
+def shared_path(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; a local folder only where none is configured (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found is None:
+        found = "file://" + tempfile.mkdtemp(prefix="symgraph-shared-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(found)
+    return found
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
+    shared_path(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

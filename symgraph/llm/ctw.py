@@ -18,8 +18,8 @@ to the contexts of one byte and of none, get the mixture of these shallow depths
 with the log probability of each key it sent.  So the tree is never in one place: what is gathered grows with
 the distinct keys of the corpus, and nothing of it is broadcast or collected.  Texts are shuffled once.
 
-The base score (add-0.1 smoothed token frequencies) goes the same way with hashed tokens (64 bits); only the
-corpus totals, two numbers, come to the driver.
+The base score (add-0.1 smoothed token frequencies) goes the same way with hashed tokens (64 bits); the corpus
+totals, two numbers, are sent to every part.
 
 Null and empty texts consist of the end alone.  Rows with a null id are held out.  Repeated rows are scored
 each for itself and counted each.  Without any training row every bit has probability 1/2.
@@ -36,10 +36,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import crc_mod, splitmix
-from .exchange import MESSAGE, PART_BYTES, Outbox, address, answer, deal, finish, gathered, ids, send, texts, thin
+from .common import splitmix
+from .exchange import MESSAGE, PART_BYTES, Outbox, address, answer, deal, finish, gathered, ids, inbox, send, texts, thin, unpack
 
 DEPTH = 6
 FOLDS = 10
@@ -55,8 +54,8 @@ def tokens(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
-def serial(raw: bytes) -> bytes:
-    return b" ".join(tokens(raw)) + b"\n"
+def serial(words: list[bytes]) -> bytes:
+    return b" ".join(words) + b"\n"
 
 
 def held_out(own: np.ndarray) -> np.ndarray:
@@ -77,12 +76,12 @@ def keys_of(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[at - DEPTH], np.repeat(np.arange(len(rows)), sizes)
 
 
-def chunks(data: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+def chunks(listed: list[list[bytes]]) -> Iterator[tuple[list[int], list[bytes]]]:
     """Row numbers and serial texts, about CHUNK bytes at a time."""
     rows, parts, size = [], [], 0
-    for i, raw in enumerate(data):
+    for i, words in enumerate(listed):
         rows.append(i)
-        parts.append(serial(raw))
+        parts.append(serial(words))
         size += len(parts[-1])
         if size >= CHUNK:
             yield rows, parts
@@ -103,10 +102,10 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-def part_keys(data: list[bytes], held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def part_keys(listed: list[list[bytes]], held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of a part, sorted, and their counts in its training rows."""
     keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for rows, parts in chunks(data):
+    for rows, parts in chunks(listed):
         for kind in (False, True):
             mine = [p for r, p in zip(rows, parts) if held[r] == kind]
             if mine:
@@ -120,31 +119,30 @@ def root_bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return (address(splitmix((keys >> np.uint64(8 * (DEPTH + 1 - ROOT))) + np.uint64(1)), n) >> _32).astype(np.int64)
 
 
-def part_tokens(data: list[bytes], held: np.ndarray | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def part_tokens(listed: list[list[bytes]], held: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct tokens of a part ordered by hash, hashes, counts in training rows (the end is a newline)."""
     train: Counter = Counter()
-    for i, raw in enumerate(data):
-        words = tokens(raw)
-        words.append(b"\n")
-        if held is None or not held[i]:
-            train.update(words)
-        else:
+    for words, out in zip(listed, held.tolist()):
+        if out:
             for w in words:
                 train.setdefault(w, 0)
+        else:
+            train.update(words)
+    train[b"\n"] += int((~held).sum())
     hashes = np.array([xxhash.xxh64_intdigest(w) for w in train], np.uint64)
     order = np.argsort(hashes, kind="stable")
-    listed = list(train)
-    return [listed[i] for i in order.tolist()], hashes[order], np.fromiter(train.values(), np.int64, len(train))[order]
+    names = list(train)
+    return [names[i] for i in order.tolist()], hashes[order], np.fromiter(train.values(), np.int64, len(train))[order]
 
 
 def _announce(n: int):
     def fn(part: int, table: pa.Table, out: Outbox) -> None:
-        data, held = texts(table), held_out(ids(table))
-        keys, counts = part_keys(data, held)
+        listed, held = [tokens(x) for x in texts(table)], held_out(ids(table))
+        keys, counts = part_keys(listed, held)
         dest = root_bucket(keys, n)
         order = np.argsort(dest, kind="stable")
         out.scatter(n, dest[order], keys[order], counts[order].astype(np.uint32))
-        _, hashes, times = part_tokens(data, held)
+        _, hashes, times = part_tokens(listed, held)
         out.scatter(n, (address(hashes, n) >> _32) + np.uint64(n), hashes, times.astype(np.uint32))
 
     return fn
@@ -313,8 +311,6 @@ def _from_root(root: int, got: list, out: Outbox) -> None:
 
 def _both(left: DataFrame, right: DataFrame, fn) -> DataFrame:
     """Messages of those who got messages of two kinds."""
-    from .exchange import inbox
-
     def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         out = Outbox(key[0].as_py())
         fn(out.src, list(inbox(a)), list(inbox(b)), out)
@@ -325,7 +321,7 @@ def _both(left: DataFrame, right: DataFrame, fn) -> DataFrame:
 
 def _down(context: int, got: list, above: list, out: Outbox) -> None:
     counts, _, weight, kt = shallow_node(got)
-    mixed, left, last = (np.frombuffer(x, np.float64) for x in above[0][1:])
+    mixed, left, last = (unpack(x, np.float64) for x in above[0][1:])
     answer_ = descend(kt, sum(split_counts(counts)), weight, mixed, left, last)
     for m in got:
         out.put(m[0], *answer_)
@@ -337,7 +333,7 @@ def _tell(n: int):
     def fn(bucket: int, got: list, above: list, out: Outbox) -> None:
         if bucket < n:
             keys, counts, inverse = _bucket_keys(got)
-            tops = {m[0]: tuple(np.frombuffer(x, np.float64) for x in m[1:]) for m in above}
+            tops = {m[0]: tuple(unpack(x, np.float64) for x in m[1:]) for m in above}
             told = Tree(keys, counts).log10(tops).astype(np.float32)[inverse]
         else:
             _, counts, inverse = _bucket_keys(got)
@@ -351,71 +347,86 @@ def _tell(n: int):
     return fn
 
 
-def totals(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[int, int]:
-    """(tokens, distinct tokens) of the training rows."""
-    train = docs.where(crc_mod(id_col, FOLDS) != 0).select(F.col(text_col).alias("_text"))
-    schema = pa.schema([("dest", pa.int32()), ("n", pa.int64()), ("a", pa.binary())])
+def _count_tokens(n: int):
+    """Buckets of tokens: training tokens and how many distinct ones, to one place."""
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                data = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in batch.column(0).slice(at, 4096).to_pylist()]
-                _, hashes, counts = part_tokens(data)
-                dest = (address(hashes, n) >> _32).astype(np.int64)
-                cuts = np.flatnonzero(np.append(True, dest[1:] != dest[:-1]))
-                ends = np.append(cuts[1:], len(dest)).tolist()
-                rows = [(int(dest[s]), int(counts[s:e].sum()), hashes[s:e].tobytes()) for s, e in zip(cuts.tolist(), ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    def fn(bucket: int, got: list, out: Outbox) -> None:
+        if bucket >= n:
+            counts = _bucket_keys(got)[1]
+            out.put(0, np.array([counts.sum(), (counts > 0).sum()]))
+
+    return fn
 
-    def merge(table: pa.Table) -> pa.Table:
-        hashes = np.frombuffer(b"".join(table.column("a").to_pylist()), np.uint64)
-        return pa.table({"n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "v": pa.array([len(np.unique(hashes))], pa.int64())})
 
-    found = train.mapInArrow(run, "dest int, n long, a binary").groupBy("dest").applyInArrow(merge, "n long, v long")
-    row = found.agg(F.sum("n"), F.sum("v")).first()
-    return row[0] or 0, row[1] or 0
+def _spread_totals(n: int):
+    def fn(_: int, got: list, out: Outbox) -> None:
+        total = gathered(got, 0, np.int64).reshape(-1, 2).sum(axis=0)
+        for part in range(n):
+            out.put(part, total, None, np.ones(1, np.uint8))
+
+    return fn
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per input row: fold, tokens, known tokens, training tokens, base score, score, bits per byte."""
     dealt, n = deal(docs, id_col, text_col, part_bytes)
-    train_tokens, distinct = totals(docs, n, id_col, text_col)
-    smooth = math.log10(train_tokens + 0.1 * (distinct + 1))
     mine = thin(dealt)
     messages = send(mine, _announce(n))
+    totals = answer(answer(messages, _count_tokens(n)), _spread_totals(n))
     to_contexts = answer(messages, _up(n))
     from_root = answer(answer(to_contexts, _to_root), _from_root)
     told = _both(messages, _both(to_contexts, from_root, _down), _tell(n))
 
     def fn(part: int, table: pa.Table, got: list) -> dict:
-        data, own = texts(table), ids(table)
+        listed, own = [tokens(x) for x in texts(table)], ids(table)
         held = held_out(own)
-        keys, _ = part_keys(data, held)
-        dest = root_bucket(keys, n)
-        logs = np.empty(len(keys))
-        logs[np.argsort(dest, kind="stable")] = gathered([m for m in got if m[0] < n], 0, np.float32)
-        words, _, _ = part_tokens(data, held)
-        known = dict(zip(words, gathered([m for m in got if m[0] >= n], 0, np.int64).tolist()))
-        rate = {w: math.log10(c + 0.1) for w, c in known.items()}
-        total, size = np.zeros(len(data)), np.zeros(len(data), np.int64)
-        for rows, parts in chunks(data):
-            key, row = keys_of(parts)
-            order = np.argsort(key)
-            found, times = counted(key[order])
-            each = np.repeat(logs[np.searchsorted(keys, found)], times)
-            total[rows] = np.bincount(row[order], each, len(rows))
-            size[rows] = [len(p) for p in parts]
-        listed = [tokens(x) + [b"\n"] for x in data]
+        score_, size = _scores(listed, [m for m in got if not m[3] and m[0] < n], n)
+        known, base = _base(listed, held, [m for m in got if not m[3] and m[0] >= n])
+        train, distinct = gathered([m for m in got if m[3]], 0, np.int64).tolist()
+        n_tokens = np.fromiter(map(len, listed), np.int64, len(listed)) + 1
         return {
             id_col: table.column("_id"),
             "held_out": held,
-            "n_tokens": [len(x) for x in listed],
-            "n_known": [sum(known[w] > 0 for w in x) for x in listed],
-            "train_tokens": np.full(len(data), train_tokens),
-            "base_score": [math.fsum(map(rate.__getitem__, x)) - len(x) * smooth for x in listed],
-            "score": total,
-            "bits_per_byte": -total / size / math.log10(2.0),
+            "n_tokens": n_tokens,
+            "n_known": known,
+            "train_tokens": np.full(len(listed), train),
+            "base_score": base - n_tokens * math.log10(train + 0.1 * (distinct + 1)),
+            "score": score_,
+            "bits_per_byte": -score_ / size / math.log10(2.0),
         }
 
     schema = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return finish(mine, told, fn, schema)
+    return finish(mine, told.unionByName(totals), fn, schema)
+
+
+def _scores(listed: list[list[bytes]], got: list, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log10 probability and bytes of each text, from what the buckets tell of the part's keys."""
+    made, size = [], np.zeros(len(listed), np.int64)
+    for rows, parts in chunks(listed):
+        key, row = keys_of(parts)
+        order = np.argsort(key)
+        made.append((rows, *counted(key[order]), row[order].astype(np.int32)))
+        size[rows] = [len(p) for p in parts]
+    keys = counted(np.sort(np.concatenate([m[1] for m in made])))[0]
+    logs = np.empty(len(keys), np.float32)
+    logs[np.argsort(root_bucket(keys, n), kind="stable")] = gathered(got, 0, np.float32)
+    total = np.zeros(len(listed))
+    for rows, found, times, row in made:
+        each = np.repeat(logs[np.searchsorted(keys, found)], times)
+        total[rows] = np.bincount(row, each, len(rows))
+    return total, size
+
+
+def _base(listed: list[list[bytes]], held: np.ndarray, got: list) -> tuple[np.ndarray, np.ndarray]:
+    """Known tokens and sum of log10(count + 0.1) of each text."""
+    words, _, _ = part_tokens(listed, held)
+    place = {w: i for i, w in enumerate(words)}
+    counts = gathered(got, 0, np.int64)
+    rate, there, end = np.log10(counts + 0.1), (counts > 0).astype(np.int64), place[b"\n"]
+    known, base = np.full(len(listed), there[end]), np.full(len(listed), rate[end])
+    for i, own in enumerate(listed):
+        if own:
+            at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
+            known[i] += there[at].sum()
+            base[i] += rate[at].sum()
+    return known, base

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import pa_schema, text_bytes
 
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 MESSAGE = "dest int, src int, a binary, b binary, c binary"
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
@@ -66,6 +66,16 @@ def joined(bucket: int, lows: np.ndarray) -> np.ndarray:
     return (np.uint64(bucket) << _32) | lows.astype(np.uint64)
 
 
+def pack(x: np.ndarray) -> bytes:
+    """An array's bytes by place value, so that the shuffle's compression finds the equal high bytes of sorted keys."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
+
+
+def unpack(raw: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
+
+
 class Outbox:
     """Messages of one sender."""
 
@@ -73,7 +83,7 @@ class Outbox:
         self.src, self.rows = src, {"dest": [], "src": [], "a": [], "b": [], "c": []}
 
     def put(self, dest: int, a: np.ndarray | None, b: np.ndarray | None = None, c: np.ndarray | None = None) -> None:
-        for k, v in zip(("dest", "src", "a", "b", "c"), (dest, self.src, *(None if x is None else x.tobytes() for x in (a, b, c)))):
+        for k, v in zip(("dest", "src", "a", "b", "c"), (dest, self.src, *(None if x is None else pack(x) for x in (a, b, c)))):
             self.rows[k].append(v)
 
     def scatter(self, n: int, buckets_sorted: np.ndarray, a: np.ndarray, b: np.ndarray | None = None, c: np.ndarray | None = None) -> None:
@@ -144,7 +154,7 @@ def finish(dealt: DataFrame, messages: DataFrame, fn: Callable[[int, pa.Table, l
 
 def gathered(got: list, which: int, kind) -> np.ndarray:
     """One array of all messages' a (0), b (1) or c (2), in the order of the senders."""
-    return np.concatenate([np.frombuffer(m[1 + which], kind) for m in got]) if got else np.empty(0, kind)
+    return np.concatenate([unpack(m[1 + which], kind) for m in got]) if got else np.empty(0, kind)
 
 
 def lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -68,8 +68,9 @@ def cases():
     return rows
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 24, 4000])
-def test_repeats(spark, part_bytes):
+@pytest.mark.parametrize("part_bytes, hot", [(1 << 24, 1 << 16), (4000, 1 << 16), (4000, 2), (4000, 0)])
+def test_repeats(spark, monkeypatch, part_bytes, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
     rows = cases()
     df = spark.createDataFrame([(i, t, "x", "s") for i, t in rows], SCHEMA)
     got = sorted(map(tuple, repeats.dedup(df, part_bytes=part_bytes).collect()), key=str)
