@@ -11,9 +11,11 @@ distinct phrases are the dictionary, a document's series of phrases is its parse
 Order.  What is asked of corpus order (suffixes sorted by their first WIDTH bytes, the smallest id in each
 run of equal ones) is found in two steps.  In the parse: a trigger whose phrases are all equal has its
 strings in these phrases only, so one comparison of phrases settles all of them at once; that covers the
-insides of copies, however many.  In the dictionary: where phrases with the same trigger differ, their
-suffixes are sorted by their first WIDTH bytes (as 64-bit hashes of them), and runs of equal ones get their
-smallest id.  Strings whose trigger occurs in one document only need no further work.
+insides of copies, however many.  In the dictionary: where phrases with the same trigger differ, the distinct
+phrases meet, their suffixes are sorted by their first WIDTH bytes (as 64-bit hashes of them), and runs of
+equal ones get their smallest id.  A trigger with more than HOT distinct phrases does not meet in one place:
+its suffixes are dealt by their own hashes instead.  Strings whose trigger occurs in one document only need
+no further work.
 
 Phrases are compared by 64-bit hashes next to the trigger's address, strings by 64-bit hashes.
 
@@ -31,14 +33,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import splitmix
-from .exchange import PART_BYTES, Outbox, address, answer, deal, finish, gathered, ids, joined, lookup, low, resend, send, texts, thin
+from .exchange import PART_BYTES, Outbox, address, answer, deal, finish, gathered, ids, joined, lookup, low, resend, send, texts, thin, unpack
 
 WIDTH = 50
 GRAM = 16
-CHUNK = 1 << 20
-_MANY = np.int64(-(2**63))
+CHUNK = 1 << 19
+#: Strings of a phrase at most: as many as can share one gram.  Only periodic texts would have longer runs.
+LONGEST = WIDTH - GRAM + 1
+#: Distinct phrases of one trigger from which its suffixes are dealt one by one.
+HOT = 1 << 14
+#: Strings of a bucket that are sorted at once.
+SLICE = 1 << 19
+_MANY, _HOT = np.int64(-(2**63)), np.int64(-(2**63) + 1)
 _PRIME = 0x9E3779B97F4A7C15
 _32 = np.uint64(32)
+#: Buckets of phrases for each bucket of triggers, as a power of two: phrases are larger than addresses.
+_SUB = np.uint64(2)
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -47,22 +57,42 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+_table = {"power": _powers(1, _PRIME), "inverse": _powers(1, _PRIME)}
+
+
+def prefixes(raw: bytes) -> np.ndarray:
+    """Prefix sums of byte values times powers, modulo 2^64."""
+    n = len(raw)
+    if len(_table["power"]) <= n:
+        _table["power"], _table["inverse"] = _powers(n + CHUNK, _PRIME), _powers(n + CHUNK, pow(_PRIME, -1, 1 << 64))
+    out = np.zeros(n + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((np.frombuffer(raw, np.uint8) + np.uint64(1)) * _table["power"][:n], out=out[1:])
+    return out
+
+
+def hashes(prefix: np.ndarray, start: np.ndarray, size) -> np.ndarray:
+    """Hashes of pieces, wherever they stand."""
+    with np.errstate(over="ignore"):
+        return (prefix[start + size] - prefix[start]) * _table["inverse"][start]
+
+
+def string_hashes(prefix: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(step within its phrase, hash) of every WIDTH-byte string of phrases."""
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return step, splitmix(hashes(prefix, np.repeat(start, count) + step, WIDTH) ^ np.uint64(0xA0761D6478BD642F))
+
+
 class Pieces:
     """Some documents' bytes in a row, with prefix hashes and the phrases of all their WIDTH-byte strings."""
 
-    _power, _inverse = _powers(1, _PRIME), _powers(1, _PRIME)
-
     def __init__(self, rows: list[int], offsets: list[int], data: list[bytes]):
-        blob = np.frombuffer(b"".join(data), np.uint8)
-        n = len(blob)
-        if len(Pieces._power) <= n:
-            Pieces._power, Pieces._inverse = _powers(n + CHUNK, _PRIME), _powers(n + CHUNK, pow(_PRIME, -1, 1 << 64))
+        self.raw = b"".join(data)
+        n = len(self.raw)
         sizes = np.fromiter(map(len, data), np.int64, len(data))
         ends = np.cumsum(sizes)
-        with np.errstate(over="ignore"):
-            self.prefix = np.zeros(n + 1, np.uint64)
-            np.cumsum((blob + np.uint64(1)) * Pieces._power[:n], out=self.prefix[1:])
-        grams = splitmix(self.hashes(np.arange(n - GRAM + 1), GRAM)) if n >= GRAM else np.empty(0, np.uint64)
+        self.prefix = prefixes(self.raw)
+        grams = splitmix(hashes(self.prefix, np.arange(n - GRAM + 1), GRAM)) if n >= GRAM else np.empty(0, np.uint64)
         least, span, want = grams, 1, WIDTH - GRAM + 1
         while span < want and len(least):
             step = min(span, want - span)
@@ -73,28 +103,30 @@ class Pieces:
         inside = np.flatnonzero(np.arange(len(least)) + WIDTH <= ends[piece])
         key, own = least[inside], piece[inside]
         first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))) if len(key) else np.empty(0, np.int64)
+        run = np.diff(np.append(first, len(key)))
+        if len(run) and run.max() > LONGEST:  # texts of a short period
+            parts = -(-run // LONGEST)
+            first = np.repeat(first, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
         self.start = inside[first]
         self.count = np.diff(np.append(first, len(key)))
         self.key = key[first]
         self.row = np.asarray(rows, np.int64)[own[first]]
         self.at = self.start - (ends - sizes)[own[first]] + np.asarray(offsets, np.int64)[own[first]]
 
-    def hashes(self, start: np.ndarray, size) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (self.prefix[start + size] - self.prefix[start]) * Pieces._inverse[start]
-
     def phrases(self, which: np.ndarray) -> np.ndarray:
         """Hashes of whole phrases; never 0."""
         with np.errstate(over="ignore"):
-            x = self.hashes(self.start[which], self.count[which] + WIDTH - 1) + self.count[which].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            x = hashes(self.prefix, self.start[which], self.count[which] + WIDTH - 1) + self.count[which].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         return np.maximum(splitmix(x), np.uint64(1))
 
+    def content(self, which: np.ndarray) -> list[bytes]:
+        start = self.start[which]
+        return [self.raw[s:e] for s, e in zip(start.tolist(), (start + self.count[which] + WIDTH - 1).tolist())]
+
     def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, place in its text, hash) of every WIDTH-byte string of these phrases."""
         count = self.count[which]
-        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        with np.errstate(over="ignore"):
-            found = splitmix(self.hashes(np.repeat(self.start[which], count) + step, WIDTH) ^ np.uint64(0xA0761D6478BD642F))
+        step, found = string_hashes(self.prefix, self.start[which], count)
         return np.repeat(self.row[which], count), np.repeat(self.at[which], count) + step, found
 
 
@@ -162,42 +194,44 @@ def _shared(bucket: int, got: list, out: Outbox) -> None:
 
 
 def _addresses(got: list) -> np.ndarray:
-    return np.sort(np.concatenate([joined(m[0], np.frombuffer(m[1], np.uint32)) for m in got])) if got else np.empty(0, np.uint64)
+    return np.sort(np.concatenate([joined(m[0], unpack(m[1], np.uint32)) for m in got])) if got else np.empty(0, np.uint64)
 
 
 def _phrases(n: int):
-    """For each shared trigger: its phrase's hash and the smallest id, or 0 where the part has several phrases."""
+    """For each shared trigger: its phrase's hash and smallest id, or 0 and their number where the part has several."""
 
     def fn(part: int, table: pa.Table, got: list, out: Outbox) -> None:
         shared, own = _addresses(got), ids(table)
-        keys, hashes, owners = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        keys, values, owners = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for p in pieces(texts(table)):
             key = address(p.key, n)
             which = np.flatnonzero(lookup(shared, key)[1])
             keys.append(key[which])
-            hashes.append(p.phrases(which))
+            values.append(p.phrases(which))
             owners.append(own[p.row[which]])
-        key, value, owner = np.concatenate(keys), np.concatenate(hashes), np.concatenate(owners)
-        order = np.argsort(key, kind="stable")
+        key, value, owner = np.concatenate(keys), np.concatenate(values), np.concatenate(owners)
+        order = np.lexsort((value, key))
         key, value, owner = key[order], value[order], owner[order]
         at = groups(key)
         if not len(at):
             return
-        same = np.minimum.reduceat(value, at) == np.maximum.reduceat(value, at)
+        new = np.append(True, (value[1:] != value[:-1]) | (key[1:] != key[:-1]))
+        several = np.add.reduceat(new.astype(np.int64), at)
         found = key[at]
-        out.scatter(n, found >> _32, low(found), np.where(same, value[at], np.uint64(0)), np.minimum.reduceat(owner, at))
+        out.scatter(n, found >> _32, low(found), np.where(several == 1, value[at], np.uint64(0)), np.where(several == 1, np.minimum.reduceat(owner, at), several))
 
     return fn
 
 
 def _owners(bucket: int, got: list, out: Outbox) -> None:
-    """Tell each part, for each shared trigger, the smallest id, or that there are several phrases."""
+    """Tell each part, for each shared trigger, the smallest id, or that there are several phrases or very many."""
     keys, value, owner = gathered(got, 0, np.uint32), gathered(got, 1, np.uint64), gathered(got, 2, np.int64)
     order = np.argsort(keys, kind="stable")
     at = groups(keys[order])
     count = np.diff(np.append(at, len(keys)))
     least, most = np.minimum.reduceat(value[order], at), np.maximum.reduceat(value[order], at)
-    result = np.where((least == most) & (least > 0), np.minimum.reduceat(owner[order], at), _MANY)
+    phrases = np.add.reduceat(np.where(value > 0, 1, owner)[order], at)
+    result = np.where((least == most) & (least > 0), np.minimum.reduceat(owner[order], at), np.where(phrases > HOT, _HOT, _MANY))
     back = np.empty(len(keys), np.int64)
     back[order] = np.repeat(result, count)
     s = 0
@@ -211,23 +245,45 @@ def _owner_table(got: list) -> tuple[np.ndarray, np.ndarray]:
     got = [m for m in got if m[3] is None]
     if not got:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    key = np.concatenate([joined(m[0], np.frombuffer(m[1], np.uint32)) for m in got])
+    key = np.concatenate([joined(m[0], unpack(m[1], np.uint32)) for m in got])
     value = gathered(got, 1, np.int64)
     order = np.argsort(key, kind="stable")
     return key[order], value[order]
 
 
+def _disputed(data: list[bytes], own: np.ndarray, table: tuple, n: int) -> tuple:
+    """(address and hash, smallest id, content) of a part's distinct phrases whose trigger has several, in order."""
+    keys, values, owners, content = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], []
+    for p in pieces(data):
+        key = address(p.key, n)
+        at, there = lookup(table[0], key)
+        which = np.flatnonzero(there)
+        which = which[table[1][at[which]] == _MANY]
+        keys.append(key[which])
+        values.append(p.phrases(which))
+        owners.append(own[p.row[which]])
+        content += p.content(which)
+    key, value, owner = np.concatenate(keys), np.concatenate(values), np.concatenate(owners)
+    order = np.lexsort((owner, value, key))
+    both = np.empty(len(key), [("key", "<u8"), ("value", "<u8")])
+    both["key"], both["value"] = key[order], value[order]
+    at = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(key) else np.empty(0, np.int64)
+    return both[at], owner[order][at], [content[i] for i in order[at].tolist()]
+
+
 def _suffixes(data: list[bytes], own: np.ndarray, table: tuple, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted string hashes of the phrases with disputed triggers, and the part's smallest id for each."""
-    hashes, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    """Sorted string hashes of the phrases with very many rivals, and the part's smallest id for each."""
+    values, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    if not (table[1] == _HOT).any():
+        return values[0], owners[0]
     for p in pieces(data):
         at, there = lookup(table[0], address(p.key, n))
         which = np.flatnonzero(there)
-        which = which[table[1][at[which]] == _MANY]
+        which = which[table[1][at[which]] == _HOT]
         row, _, found = p.strings(which)
-        hashes.append(found)
+        values.append(found)
         owners.append(own[row])
-    value, owner = np.concatenate(hashes), np.concatenate(owners)
+    value, owner = np.concatenate(values), np.concatenate(owners)
     order = np.argsort(value, kind="stable")
     value, owner = value[order], owner[order]
     at = groups(value)
@@ -235,14 +291,64 @@ def _suffixes(data: list[bytes], own: np.ndarray, table: tuple, n: int) -> tuple
 
 
 def _dispute(n: int):
+    """Distinct phrases to four buckets for each of their triggers' ones, hot suffixes to those of their hashes (after these)."""
+
     def fn(part: int, table: pa.Table, got: list, out: Outbox) -> None:
-        value, owner = _suffixes(texts(table), ids(table), _owner_table(got), n)
-        out.scatter(n, address(value, n) >> _32, value, owner)
+        data, own, owners = texts(table), ids(table), _owner_table(got)
+        both, owner, content = _disputed(data, own, owners, n)
+        dest = (both["key"] >> (_32 - _SUB)).astype(np.int64)
+        cuts = groups(dest).tolist()
+        for s, e in zip(cuts, [*cuts[1:], len(dest)]):
+            count = np.fromiter(map(len, content[s:e]), np.int64, e - s) - (WIDTH - 1)
+            out.put(int(dest[s]), np.frombuffer(b"".join(content[s:e]), np.uint8), count.astype(np.uint8), owner[s:e])
+        value, owner = _suffixes(data, own, owners, n)
+        out.scatter(n, (address(value, n) >> _32) + np.uint64(n << int(_SUB)), value, owner)
+
+    return fn
+
+
+def _settle(n: int):
+    def fn(bucket: int, got: list, out: Outbox) -> None:
+        (_settle_phrases if bucket < n << int(_SUB) else _settle_strings)(got, out)
 
     return fn
 
 
-def _settle(bucket: int, got: list, out: Outbox) -> None:
+def _settle_phrases(got: list, out: Outbox) -> None:
+    """Tell each part, for each phrase it sent, which of its strings a smaller id has (a bit each).
+
+    The suffixes are sorted slice by slice of the hash space, so that work space does not grow with the bucket.
+    """
+    counts = [unpack(m[2], np.uint8).astype(np.int64) for m in got]
+    count, owner = np.concatenate(counts), gathered(got, 2, np.int64)
+    value, at = np.empty(count.sum(), np.uint64), 0
+    for m, c in zip(got, counts):
+        ends = np.cumsum(c + WIDTH - 1)
+        found = string_hashes(prefixes(m[1]), ends - (c + WIDTH - 1), c)[1]
+        value[at : at + len(found)] = found
+        at += len(found)
+    phrase = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    first = np.cumsum(count) - count
+    bits = np.zeros(len(count), np.uint64)
+    slices = max(1, len(value) // SLICE)
+    for k in range(slices):
+        inside = value >= np.uint64((k << 64) // slices)
+        if k + 1 < slices:
+            inside &= value < np.uint64(((k + 1) << 64) // slices)
+        mine = np.flatnonzero(inside)
+        mine = mine[np.argsort(value[mine], kind="stable")]
+        start = groups(value[mine])
+        own = owner[phrase[mine]]
+        least = np.repeat(np.minimum.reduceat(own, start), np.diff(np.append(start, len(mine)))) if len(mine) else own
+        less = mine[least < own]
+        np.bitwise_or.at(bits, phrase[less], np.uint64(1) << (less - first[phrase[less]]).astype(np.uint64))
+    s = 0
+    for m, c in zip(got, counts):
+        out.put(m[0], bits[s : s + len(c)], None, np.ones(1, np.uint8))
+        s += len(c)
+
+
+def _settle_strings(got: list, out: Outbox) -> None:
     """Tell each part which of its strings a smaller id has elsewhere."""
     value, owner = gathered(got, 0, np.uint64), gathered(got, 1, np.int64)
     order = np.argsort(value, kind="stable")
@@ -261,28 +367,47 @@ def _settle(bucket: int, got: list, out: Outbox) -> None:
 def removed_spans(data: list[bytes], own: np.ndarray, got: list, n: int) -> list[list[tuple[int, int]]]:
     """Merged byte spans of each row that go."""
     table = _owner_table(got)
+    both, first_owner, _ = _disputed(data, own, table, n)
+    bits = gathered([m for m in got if m[3]], 0, np.uint64)
     value, owner = _suffixes(data, own, table, n)
-    told = [m for m in got if m[3] is not None]
+    told = [m for m in got if m[3] == b""]
     if told:
         keys, least = gathered(told, 0, np.uint64), gathered(told, 1, np.int64)
         at, there = lookup(value, keys)
         owner = owner.copy()
         owner[at[there]] = np.minimum(owner[at[there]], least[there])
     rows, starts, ends = [], [], []
+
+    def gone(row: np.ndarray, start: np.ndarray, size) -> None:
+        rows.append(row)
+        starts.append(start)
+        ends.append(start + size)
+
     for p in pieces(data):
-        at, there = lookup(table[0], address(p.key, n))
+        key = address(p.key, n)
+        at, there = lookup(table[0], key)
         which = np.flatnonzero(there)
         result = table[1][at[which]]
-        gone = which[(result != _MANY) & (result < own[p.row[which]])]
-        rows.append(p.row[gone])
-        starts.append(p.at[gone])
-        ends.append(p.at[gone] + p.count[gone] + WIDTH - 1)
-        row, place, found = p.strings(which[result == _MANY])
+        # A trigger with one phrase everywhere.
+        all_ = which[(result != _MANY) & (result != _HOT) & (result < own[p.row[which]])]
+        gone(p.row[all_], p.at[all_], p.count[all_] + WIDTH - 1)
+        # Several phrases: all of it where the part has it under a smaller id, else as told.
+        some = which[result == _MANY]
+        if len(some):
+            mine = np.empty(len(some), both.dtype)
+            mine["key"], mine["value"] = key[some], p.phrases(some)
+            place = np.searchsorted(both, mine)
+            later = first_owner[place] < own[p.row[some]]
+            gone(p.row[some[later]], p.at[some[later]], p.count[some[later]] + WIDTH - 1)
+            rest, mask = some[~later], bits[place[~later]]
+            count = p.count[rest]
+            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            on = (np.repeat(mask, count) >> step.astype(np.uint64)) & np.uint64(1) > 0
+            gone(np.repeat(p.row[rest], count)[on], (np.repeat(p.at[rest], count) + step)[on], WIDTH)
+        row, start, found = p.strings(which[result == _HOT])
         if len(found):
-            gone = owner[np.searchsorted(value, found)] < own[row]
-            rows.append(row[gone])
-            starts.append(place[gone])
-            ends.append(place[gone] + WIDTH)
+            less = owner[np.searchsorted(value, found)] < own[row]
+            gone(row[less], start[less], WIDTH)
     out: list[list[tuple[int, int]]] = [[] for _ in data]
     if rows:
         row, start, end = np.concatenate(rows), np.concatenate(starts), np.concatenate(ends)
@@ -309,7 +434,7 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> tuple
     dealt, n = deal(docs, id_col, text_col, part_bytes)
     mine = thin(dealt)
     owners = answer(resend(mine, answer(send(mine, _announce(n)), _shared), _phrases(n)), _owners)
-    strings = answer(resend(mine, owners, _dispute(n)), _settle)
+    strings = answer(resend(mine, owners, _dispute(n)), _settle(n))
     return dealt, owners.unionByName(strings), n
 
 
