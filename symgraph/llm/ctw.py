@@ -42,7 +42,7 @@ from .exchange import MESSAGE, PART_BYTES, Outbox, address, answer, deal, finish
 
 DEPTH = 6
 FOLDS = 10
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Context bytes that decide the bucket; shallower depths are handled by context.
 ROOT = 2
 _LN2 = math.log(2.0)
