@@ -8,7 +8,8 @@ groups (as ``local_phone`` and as ``ssn``), letter-and-digit groups (``iban``),
 (``masked_email``).  Each candidate gets format features (digits, groups, separators, check sums) and context
 features (cue words before it, characters around it).  Boosted regression trees, written as CASE expressions,
 add up to a log-odds; a threshold per kind, set on further generated examples so that PRECISION of what passes
-is right, selects the spans.  A selected span that overlaps a base span is left to it.
+is right, selects the spans.  A selected span that overlaps a base span is left to it, and one that lies
+inside a longer selected span to that.
 
 The trees are trained here: examples are generated from rules with a fixed seed, their features are computed
 by the very expressions used on documents, and MAX_EXAMPLES rows of numbers come to the driver.  No corpus row
@@ -237,7 +238,9 @@ def selected(cands: Column, base: Column, trees: tuple, thresholds: dict[int, fl
     cut = lambda k: functools.reduce(lambda c, i: c.when(k == i, F.lit(thresholds[i])), list(thresholds)[1:], F.when(k == 4, F.lit(thresholds[4])))
     good = F.filter(scored, lambda y: odds(y) >= cut(y["x"]["k"]))
     free = lambda y: ~F.exists(base, lambda b: (b["s"] < y["x"]["e"]) & (y["x"]["s"] < b["e"]))
-    return F.transform(F.filter(good, free), lambda y: y["x"])
+    left = F.transform(F.filter(good, free), lambda y: y["x"])
+    inside = lambda x, y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]) & (x["e"] - x["s"] < y["e"] - y["s"])
+    return F.filter(left, lambda x: ~F.exists(left, lambda y: inside(x, y)))
 
 
 def _joined(spans: Column, names: tuple) -> Column:
