@@ -54,4 +54,34 @@ QUERIES = {
     for f in (op1_context_tree, op2_line_dedup, op3_byte_bpe, op4_simhash, op5_line_crf, op6_decontaminate, op7_pii, op8_quality, op9_secret_scan, op10_repeats)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
+),
+used AS (
+  SELECT doc_id, i, trim(line, {_SPACE}) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM lines WHERE trim(line, {_SPACE}) <> ''
+),
+windows AS (
+  SELECT a.doc_id, a.p, [a.i, b.i, c.i] AS covered, row_number() OVER (PARTITION BY a.t, b.t, c.t ORDER BY a.doc_id, a.p) AS nth
+  FROM used a JOIN used b ON b.doc_id = a.doc_id AND b.p = a.p + 1 JOIN used c ON c.doc_id = a.doc_id AND c.p = a.p + 2
+),
+gone AS (SELECT DISTINCT doc_id, unnest(covered) AS i FROM windows WHERE nth > 1),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM lines ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(r.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN removed r USING (doc_id)""",
+    "op6_decontaminate": r"""
+WITH low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(len(w), 10) AS n FROM items WHERE len(w) > 0),
+wanted AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM low, (SELECT DISTINCT n FROM wanted) WHERE len(w) >= n),
+hits AS (SELECT doc_id, item_id, i, p.n FROM places p JOIN wanted q ON q.n = p.n AND q.k = array_to_string(p.w[p.i:p.i + p.n - 1], ' ')),
+words AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hits) GROUP BY doc_id)
+SELECT l.doc_id, len(l.w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(found.n, 0)::BIGINT AS n_items, sha256(coalesce(found.ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM low l LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""",
+}
