@@ -283,7 +283,9 @@ class _File:
                 left = self.toks[left].mate - 1
                 if self.toks[left].kind == "name" and self.toks[left - 1].text == ".":
                     left -= 2
-            at = left + 1
+            at = left if self.toks[left].kind == "name" else left + 1
+            while self.toks[at].kind == "name" and self.toks[at - 1].text == "." and self.toks[at - 2].kind == "name":
+                at -= 2
             break
         return self.toks[max(at, floor)].at, simple, ".".join(reversed(names))
 
