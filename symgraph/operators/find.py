@@ -30,7 +30,7 @@ def find_node(graph: Graph, ref: str) -> DataFrame:
     n = graph.nodes.select(*NODE, "is_exported")
     tier = F.when(F.col("id") == ref, 0).when(F.col("qualified_name") == ref, 1).when((F.col("name") == ref) & (F.col("kind") != "import"), 2)
     hits = n.where((F.col("id") == ref) | (F.col("qualified_name") == ref) | (F.col("name") == ref)).withColumn("tier", tier).where("tier is not null")
-    return hits.withColumn("best", F.min("tier").over(Window.partitionBy(F.lit(1)))).where("tier = best").drop("best")
+    return hits.where(F.col("tier") == hits.agg(F.min("tier").alias("best")).scalar())
 
 
 def in_order(found: DataFrame) -> DataFrame:
