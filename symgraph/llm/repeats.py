@@ -37,11 +37,11 @@ from .exchange import PART_BYTES, Outbox, address, answer, deal, finish, gathere
 
 WIDTH = 50
 GRAM = 16
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 #: Strings of a phrase at most: as many as can share one gram.  Only periodic texts would have longer runs.
 LONGEST = WIDTH - GRAM + 1
 #: Distinct phrases of one trigger from which its suffixes are dealt one by one.
-HOT = 1 << 14
+HOT = 1 << 16
 #: Strings of a bucket that are sorted at once.
 SLICE = 1 << 19
 _MANY, _HOT = np.int64(-(2**63)), np.int64(-(2**63) + 1)
@@ -251,15 +251,23 @@ def _owner_table(got: list) -> tuple[np.ndarray, np.ndarray]:
     return key[order], value[order]
 
 
-def _disputed(data: list[bytes], own: np.ndarray, table: tuple, n: int) -> tuple:
-    """(address and hash, smallest id, content) of a part's distinct phrases whose trigger has several, in order."""
-    keys, values, owners, content = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], []
+def _located(data: list[bytes], table: tuple, n: int) -> list[tuple]:
+    """Of every piece: itself, its phrases with shared triggers, these triggers' addresses and what was told of them."""
+    out = []
     for p in pieces(data):
         key = address(p.key, n)
         at, there = lookup(table[0], key)
         which = np.flatnonzero(there)
-        which = which[table[1][at[which]] == _MANY]
-        keys.append(key[which])
+        out.append((p, which, key[which], table[1][at[which]]))
+    return out
+
+
+def _disputed(cut: list[tuple], own: np.ndarray) -> tuple:
+    """(address and hash, smallest id, content) of a part's distinct phrases whose trigger has several, in order."""
+    keys, values, owners, content = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], []
+    for p, which, key, told in cut:
+        which, key = which[told == _MANY], key[told == _MANY]
+        keys.append(key)
         values.append(p.phrases(which))
         owners.append(own[p.row[which]])
         content += p.content(which)
@@ -267,22 +275,19 @@ def _disputed(data: list[bytes], own: np.ndarray, table: tuple, n: int) -> tuple
     order = np.lexsort((owner, value, key))
     both = np.empty(len(key), [("key", "<u8"), ("value", "<u8")])
     both["key"], both["value"] = key[order], value[order]
-    at = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(key) else np.empty(0, np.int64)
+    at = np.flatnonzero(np.append(True, (key[order][1:] != key[order][:-1]) | (value[order][1:] != value[order][:-1]))) if len(key) else np.empty(0, np.int64)
     return both[at], owner[order][at], [content[i] for i in order[at].tolist()]
 
 
-def _suffixes(data: list[bytes], own: np.ndarray, table: tuple, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _suffixes(cut: list[tuple], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted string hashes of the phrases with very many rivals, and the part's smallest id for each."""
     values, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    if not (table[1] == _HOT).any():
-        return values[0], owners[0]
-    for p in pieces(data):
-        at, there = lookup(table[0], address(p.key, n))
-        which = np.flatnonzero(there)
-        which = which[table[1][at[which]] == _HOT]
-        row, _, found = p.strings(which)
-        values.append(found)
-        owners.append(own[row])
+    for p, which, _, told in cut:
+        hot = which[told == _HOT]
+        if len(hot):
+            row, _, found = p.strings(hot)
+            values.append(found)
+            owners.append(own[row])
     value, owner = np.concatenate(values), np.concatenate(owners)
     order = np.argsort(value, kind="stable")
     value, owner = value[order], owner[order]
@@ -294,14 +299,14 @@ def _dispute(n: int):
     """Distinct phrases to four buckets for each of their triggers' ones, hot suffixes to those of their hashes (after these)."""
 
     def fn(part: int, table: pa.Table, got: list, out: Outbox) -> None:
-        data, own, owners = texts(table), ids(table), _owner_table(got)
-        both, owner, content = _disputed(data, own, owners, n)
+        own, cut = ids(table), _located(texts(table), _owner_table(got), n)
+        both, owner, content = _disputed(cut, own)
         dest = (both["key"] >> (_32 - _SUB)).astype(np.int64)
         cuts = groups(dest).tolist()
         for s, e in zip(cuts, [*cuts[1:], len(dest)]):
             count = np.fromiter(map(len, content[s:e]), np.int64, e - s) - (WIDTH - 1)
             out.put(int(dest[s]), np.frombuffer(b"".join(content[s:e]), np.uint8), count.astype(np.uint8), owner[s:e])
-        value, owner = _suffixes(data, own, owners, n)
+        value, owner = _suffixes(cut, own)
         out.scatter(n, (address(value, n) >> _32) + np.uint64(n << int(_SUB)), value, owner)
 
     return fn
@@ -366,10 +371,10 @@ def _settle_strings(got: list, out: Outbox) -> None:
 
 def removed_spans(data: list[bytes], own: np.ndarray, got: list, n: int) -> list[list[tuple[int, int]]]:
     """Merged byte spans of each row that go."""
-    table = _owner_table(got)
-    both, first_owner, _ = _disputed(data, own, table, n)
+    cut = _located(data, _owner_table(got), n)
+    both, first_owner, _ = _disputed(cut, own)
     bits = gathered([m for m in got if m[3]], 0, np.uint64)
-    value, owner = _suffixes(data, own, table, n)
+    value, owner = _suffixes(cut, own)
     told = [m for m in got if m[3] == b""]
     if told:
         keys, least = gathered(told, 0, np.uint64), gathered(told, 1, np.int64)
@@ -383,11 +388,7 @@ def removed_spans(data: list[bytes], own: np.ndarray, got: list, n: int) -> list
         starts.append(start)
         ends.append(start + size)
 
-    for p in pieces(data):
-        key = address(p.key, n)
-        at, there = lookup(table[0], key)
-        which = np.flatnonzero(there)
-        result = table[1][at[which]]
+    for p, which, key, result in cut:
         # A trigger with one phrase everywhere.
         all_ = which[(result != _MANY) & (result != _HOT) & (result < own[p.row[which]])]
         gone(p.row[all_], p.at[all_], p.count[all_] + WIDTH - 1)
@@ -395,7 +396,7 @@ def removed_spans(data: list[bytes], own: np.ndarray, got: list, n: int) -> list
         some = which[result == _MANY]
         if len(some):
             mine = np.empty(len(some), both.dtype)
-            mine["key"], mine["value"] = key[some], p.phrases(some)
+            mine["key"], mine["value"] = key[result == _MANY], p.phrases(some)
             place = np.searchsorted(both, mine)
             later = first_owner[place] < own[p.row[some]]
             gone(p.row[some[later]], p.at[some[later]], p.count[some[later]] + WIDTH - 1)
@@ -408,16 +409,20 @@ def removed_spans(data: list[bytes], own: np.ndarray, got: list, n: int) -> list
         if len(found):
             less = owner[np.searchsorted(value, found)] < own[row]
             gone(row[less], start[less], WIDTH)
-    out: list[list[tuple[int, int]]] = [[] for _ in data]
-    if rows:
-        row, start, end = np.concatenate(rows), np.concatenate(starts), np.concatenate(ends)
-        order = np.lexsort((start, row))
-        for r, s, e in zip(row[order].tolist(), start[order].tolist(), end[order].tolist()):
-            spans = out[r]
-            if spans and s <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
-            else:
-                spans.append((s, e))
+    return covered([len(x) for x in data], np.concatenate(rows), np.concatenate(starts), np.concatenate(ends)) if rows else [[] for _ in data]
+
+
+def covered(sizes: list[int], row: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Merged spans of each text, by counting at every byte how many spans are open (a gap keeps texts apart)."""
+    base = np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64) + 1)])
+    open_ = np.bincount(base[row] + start, minlength=base[-1] + 1)
+    open_ -= np.bincount(base[row] + end, minlength=base[-1] + 1)
+    on = np.concatenate([[False], np.cumsum(open_) > 0, [False]])
+    edge = np.flatnonzero(on[1:] != on[:-1])
+    out: list[list[tuple[int, int]]] = [[] for _ in sizes]
+    owner = np.searchsorted(base, edge[::2], side="right") - 1
+    for r, s, e in zip(owner.tolist(), (edge[::2] - base[owner]).tolist(), (edge[1::2] - base[owner]).tolist()):
+        out[r].append((s, e))
     return out
 
 
