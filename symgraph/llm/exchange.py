@@ -10,7 +10,8 @@ with arrays.  Parts meet their answers by cogrouping on the part number, so text
 Nothing is collected to the driver but the total size of the texts, which sets the number of parts.  What a
 part or bucket holds is bounded: parts by PART_BYTES (or one text), buckets by the number of keys over the
 number of parts, because a part sends each key once however often it holds it.  A key that all documents
-share thus costs a bucket one entry per part, not one per document.
+share thus costs a bucket one entry per part, not one per document.  Rows that are equal in id and text fall into
+one part; copies under different ids do not.
 """
 
 from __future__ import annotations

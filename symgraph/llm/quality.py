@@ -14,8 +14,8 @@ documented bound, spread evenly over the labelled ids and independent of the inp
 
 Null and empty texts have the end mark alone, so they get the learned prior of "nothing there".  Without
 any usable label every score is 0.5; with labels of one class only, scores lean to it.  Label rows with a
-null id or label are ignored; of several labels of one id the smallest counts.  Repeated documents are
-scored each for itself.
+null id or label are ignored; of several labels of one id the smallest counts, of several texts of a labelled
+id the first in order.  Repeated documents are scored each for itself.
 """
 
 from __future__ import annotations
@@ -120,6 +120,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
         .limit(MAX_LABELLED)
     )
     mine = docs.select(id_col, text_col).join(F.broadcast(ids), id_col)  # at most MAX_LABELLED ids
+    mine = mine.groupBy(id_col, "_label").agg(F.min(text_col).alias(text_col))  # one text an id, however often it is there
 
     def fn(cols: dict) -> dict:
         made = [text_features(t) for t in cols[text_col]]
@@ -127,7 +128,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
 
     kind = dict(docs.dtypes)[id_col]
     rows = map_rows(mine.select(id_col, text_col, "_label"), fn, f"{id_col} {kind}, _label int, _ids binary, _shares binary", 64)
-    found = sorted(rows.collect(), key=lambda r: (str(r[0]), bytes(r["_ids"])))[: 2 * MAX_LABELLED]
+    found = sorted(rows.collect(), key=lambda r: str(r[0]))
     return [(np.frombuffer(r["_ids"], np.int32), np.frombuffer(r["_shares"], np.float32), r["_label"]) for r in found]
 
 
