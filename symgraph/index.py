@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import shutil
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.paths import path_dir
-from .operators import resolve
+from .operators import resolve, sink
 from .sources import config, tree
 from .sources.snapshot import Store, now_ms
 
@@ -19,14 +19,13 @@ _PER_FILE = 1 << 20
 def nodes_of(extracts: DataFrame, stamp: int) -> DataFrame:
     """Nodes of all files; of rows with one id the last stays, at its place."""
     n = extracts.select(F.posexplode("nodes").alias("seq", "n")).select("n.*", F.col("seq").cast("long").alias("node_ordinal"))
-    last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("file_path"), F.desc("node_ordinal")))
-    return n.withColumn("k", last).where("k = 1").drop("k").withColumn("updated_at", F.lit(stamp))
+    return sink.replace_by_key(n, "id", "file_path", "node_ordinal").withColumn("updated_at", F.lit(stamp))
 
 
 def edges_of(extracts: DataFrame) -> DataFrame:
     """Edges of all files, numbered by file and place; calls are still placeholders."""
     e = extracts.select("rank", F.posexplode("edges").alias("seq", "e")).select((F.col("rank") * _PER_FILE + F.col("seq") + 1).alias("id"), "e.*")
-    return e.withColumn("resolved", ~F.col("target").startswith("name:")).select("id", "source", "target", "kind", "resolved", "line", "col", "callee_text")
+    return sink.mark_resolved(e).select("id", "source", "target", "kind", "resolved", "line", "col", "callee_text")
 
 
 def files_of(extracts: DataFrame, stamp: int) -> DataFrame:

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import paths, strings
+from .functions import paths, text
 from .functions.scores import importance, match_score
-from .functions.text import FOLD_FROM, FOLD_TO, STOP_WORDS, context_terms, tokens
-from .operators import context, find, impact, overview, resolve, search, status
+from .operators import context, find, impact, overview, resolve, search, sink, status
 from .plans.graph import with_degrees
 from .schemas import ENTRY_KINDS, LANGUAGES
 from .sources import star
@@ -16,7 +15,7 @@ from .sources import star
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-NATION, SYMBOL, TERM, TASK_TURNS = "nation:3", "customer:7", "an", 2
+NATION, SYMBOL, TERM = "nation:3", "customer:7", "an"
 
 _NODES = """
 places AS (SELECT n_nationkey, n_name, r_name, r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey),
@@ -327,7 +326,7 @@ def search_like(spark, sf_dir):
 
 
 _BENCH_DOCS = f"""
-words AS (SELECT item_id, regexp_extract_all(translate(lower(coalesce(text, '')), '{FOLD_FROM}', '{FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),
+words AS (SELECT item_id, regexp_extract_all(translate(lower(coalesce(text, '')), '{text.FOLD_FROM}', '{text.FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),
 hits AS (
   SELECT item_id, len(w) AS length, len(list_filter(w, lambda x: starts_with(x, 'ther'))) AS f0,
     len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND starts_with(w[i + 1], 'th'))) AS f1
@@ -349,14 +348,14 @@ def search_bm25(spark, sf_dir):
     return search.bm25(docs, "ther of-th").select("item_id", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT doc_id, len(regexp_extract_all(translate(lower(coalesce(text, '')), '{FOLD_FROM}', '{FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+'))::BIGINT AS n_tokens FROM documents")
+@query(f"SELECT doc_id, len(regexp_extract_all(translate(lower(coalesce(text, '')), '{text.FOLD_FROM}', '{text.FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+'))::BIGINT AS n_tokens FROM documents")
 def text_tokens(spark, sf_dir):
-    return star.read(spark, sf_dir, "documents").select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    return star.read(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
 # Context
 
-_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
 
 @query(
@@ -368,9 +367,9 @@ _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
     UNION ALL SELECT conv_id, turn, 1, trim(text, ' ') FROM conversations WHERE trim(text, ' ') <> ''
       AND len(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_$.:-]*'), lambda x: length(x) >= 3 AND lower(x) NOT IN ({_STOP}))) = 0"""
 )
-def context_terms_of_turns(spark, sf_dir):
+def context_terms(spark, sf_dir):
     turns = star.read(spark, sf_dir, "conversations")
-    return turns.select("conv_id", "turn", F.posexplode(context_terms(F.col("text"))).alias("p", "term")).select("conv_id", "turn", (F.col("p") + 1).cast("long").alias("pos"), "term")
+    return turns.select("conv_id", "turn", F.posexplode(text.context_terms(F.col("text"))).alias("p", "term")).select("conv_id", "turn", (F.col("p") + 1).cast("long").alias("pos"), "term")
 
 
 @query(
@@ -436,16 +435,91 @@ def staleness(spark, sf_dir):
     return status.staleness(events, F.expr("TIMESTAMP_NTZ '2024-01-10'"))
 
 
+# Writes
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def replace_by_key(spark, sf_dir):
+    """The last event of each user, as rows with one id replace each other."""
+    events = star.read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return sink.replace_by_key(events, "user_id", "ts", "event_id").drop("ts")
+
+
+@query("SELECT kind, count(*) AS n, count(*) FILTER (target NOT LIKE 'name:%') AS n_resolved FROM (SELECT kind, CASE WHEN id % 3 = 0 THEN 'name:' || target ELSE target END AS target FROM edges) GROUP BY kind", _EDGES)
+def edge_sink(spark, sf_dir):
+    edges = star.edges(spark, sf_dir).drop("resolved").withColumn("target", F.when(F.col("id") % 3 == 0, F.concat(F.lit("name:"), "target")).otherwise(F.col("target")))
+    return sink.mark_resolved(edges).groupBy("kind").agg(F.count("*").alias("n"), F.count_if("resolved").alias("n_resolved"))
+
+
+@query(
+    """SELECT 'nodes' AS t, kind, count(*) AS n FROM nodes WHERE file_path <> 'parts/Brand#11/part.ts' AND NOT file_path LIKE '%/customers.go' GROUP BY kind
+    UNION ALL SELECT 'edges', kind, count(*) FROM edges WHERE source NOT IN (SELECT id FROM gone) AND target NOT IN (SELECT id FROM gone) GROUP BY kind""",
+    _NODES, _EDGES, "gone AS (SELECT id FROM nodes WHERE file_path = 'parts/Brand#11/part.ts' OR file_path LIKE '%/customers.go')",
+)
+def delete_by_file(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
+    paths_ = g.nodes.where("file_path = 'parts/Brand#11/part.ts' or file_path like '%/customers.go'").select(F.col("file_path").alias("path")).distinct()
+    left = sink.delete_files(g, paths_)
+    count = lambda df, t: df.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit(t).alias("t"), "kind", "n")
+    return count(left.nodes, "nodes").unionByName(count(left.edges, "edges"))
+
+
+@query("SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END AS value FROM customer UNION ALL SELECT -s_suppkey - 1, 'new' FROM supplier")
+def metadata_upsert(spark, sf_dir):
+    old = star.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
+    new = old.where("key % 3 = 0").select("key").unionByName(star.read(spark, sf_dir, "supplier").select((-F.col("s_suppkey") - 1).alias("key")))
+    return sink.upsert(old, new.withColumn("value", F.lit("new")), "key")
+
+
+@query(
+    """SELECT doc_id, array_to_string(list_transform(range(greatest(s - 1, 1), least(s + 3, len(l)) + 1), lambda i: printf('%4d: %s', i, l[i])), chr(10)) AS code
+    FROM (SELECT doc_id, doc_id % 4 + 1 AS s, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)"""
+)
+def snippets(spark, sf_dir):
+    start = (F.col("doc_id") % 4 + 1).cast("int")
+    return star.read(spark, sf_dir, "documents").select("doc_id", sink.snippet(F.coalesce("text", F.lit("")), start, start + 2).alias("code"))
+
+
 # Functions
 
 
+@query(
+    "SELECT DISTINCT path, CASE lower(regexp_extract(path, '(\\.[^./]*)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LANGUAGES.items()) + " END AS language, "
+    "regexp_matches(path, '\\.test\\.|\\.spec\\.|/tests/|/test/|__tests__/|_test\\.go$') AS is_test FROM names",
+    "names AS (SELECT 'a/tests/' || source || '.' || lang || '.PY' AS path FROM documents UNION ALL SELECT source || '_test.go' FROM documents UNION ALL SELECT lang || '.spec.mts' FROM documents UNION ALL SELECT source || '/' || lang FROM documents)",
+)
+def language_and_tests(spark, sf_dir):
+    d = star.read(spark, sf_dir, "documents")
+    made = [F.concat(F.lit("a/tests/"), "source", F.lit("."), "lang", F.lit(".PY")), F.concat("source", F.lit("_test.go")), F.concat("lang", F.lit(".spec.mts")), F.concat("source", F.lit("/"), "lang")]
+    names = d.select(F.explode(F.array(*made)).alias("path")).distinct()
+    return names.select("path", paths.language_of(F.col("path")).alias("language"), impact.is_test(F.col("path")).alias("is_test"))
+
+
+@query(
+    """SELECT DISTINCT p_type AS callee, coalesce(nullif(regexp_extract('x.' || replace(p_type, ' ', '.'), '(?s)^(.*)\.[^.]*$', 1), ''), '') AS qualifier, p_brand || '::' || p_type || '::' || p_size AS id FROM part"""
+)
+def qualifiers_and_ids(spark, sf_dir):
+    part = star.read(spark, sf_dir, "part").select("p_type", "p_brand", "p_size").distinct()
+    callee = F.concat(F.lit("x."), F.translate("p_type", " ", "."))
+    return part.select(F.col("p_type").alias("callee"), paths.qualifier(callee).alias("qualifier"), paths.stable_id(F.col("p_brand"), F.col("p_type"), F.col("p_size")).alias("id"))
+
+
+@query("SELECT dir, min(package) AS package FROM (SELECT source AS dir, arg_min(lang, doc_id) AS package FROM documents GROUP BY source) GROUP BY dir")
+def go_packages(spark, sf_dir):
+    """The package of each directory by its first file."""
+    from .index import go_packages as first
+
+    d = star.read(spark, sf_dir, "documents")
+    return first(d.select(F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"), F.col("lang").alias("package")))
+
+
 @query(f"SELECT DISTINCT url, {_PACKAGE.format('url')} AS package, CASE WHEN contains(url, '/') THEN regexp_replace(url, '/[^/]*$', '') ELSE '' END AS dir, regexp_extract(trim(url, '/'), '[^/]*$') AS base FROM pages")
 def package_path(spark, sf_dir):
     url = F.col("url")
     return star.read(spark, sf_dir, "pages").select("url", paths.package_path(url).alias("package"), paths.path_dir(url).alias("dir"), paths.module_base(url).alias("base")).distinct()
 
 
-@query(None)
+@query("SELECT doc_id, 'a/b/' || lang || '/' || doc_id AS path FROM documents")
 def clean_path(spark, sf_dir):
     odd = F.concat(F.lit("a/./b//"), F.col("source"), F.lit("/../"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"))
     return star.read(spark, sf_dir, "documents").select("doc_id", paths.clean_posix(odd).alias("path"))
@@ -467,10 +541,10 @@ def flag_suggest(spark, sf_dir):
 # Extraction: no SQL; over generated sources of three languages, one file a part
 
 
-def _sources(spark, sf_dir, ending: str, text) -> DataFrame:
+def _sources(spark, sf_dir, ending: str, body) -> DataFrame:
     part = star.read(spark, sf_dir, "part")
     word = F.regexp_replace(F.initcap(F.col("p_name")), "[^A-Za-z]", "")
-    return part.select(F.concat(F.lit("pkg/f"), F.col("p_partkey").cast("string"), F.lit(ending)).alias("path"), F.encode(text(word), "UTF-8").alias("content"))
+    return part.select(F.concat(F.lit("pkg/f"), F.col("p_partkey").cast("string"), F.lit(ending)).alias("path"), F.encode(body(word), "UTF-8").alias("content"))
 
 
 def _extracted(files: DataFrame) -> DataFrame:
@@ -508,12 +582,10 @@ def extract_ts(spark, sf_dir):
     return _extracted(_sources(spark, sf_dir, ".ts", lambda w: F.format_string("import { x } from './b';\nexport class %s {\n  async run(a) {\n    x(a);\n}\n}\nexport const make = async (q) => {\n  x(q);\n  return new %s();\n}\n", w, w)))
 
 
-@query(None)
+@query("SELECT DISTINCT host, regexp_replace(host || '/team/repo', '[^A-Za-z0-9._/-]', '_', 'g') AS key FROM (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages)")
 def remote_keys(spark, sf_dir):
-    """Keys of the pages' hosts as remotes (driver strings, over distinct hosts only)."""
+    """Keys of the pages' hosts as remotes."""
     hosts = star.read(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("host")).distinct()
     key = F.regexp_replace(F.regexp_replace(F.concat(F.lit("git@"), F.col("host"), F.lit(":team/repo.git")), r"^[^@]+@([^:]+):(.+)\.git$", "$1/$2"), "[^A-Za-z0-9._/-]", "_")
     return hosts.select("host", key.alias("key"))
 
-
-__all__ = ["ORACLE_SQL", "QUERIES", "strings"]
