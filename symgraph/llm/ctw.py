@@ -13,9 +13,9 @@ deepest context seen in training nothing is left to mix, so that one takes all t
 
 Distribution.  The key of a position is its DEPTH preceding bytes (latest first) and the byte.  A part of the
 documents sends its distinct keys with their training counts (0 for held-out ones) to the bucket of their two
-latest context bytes, where all deeper nodes of these contexts meet.  Buckets pass weighted probabilities up
-to the contexts of one byte and of none, get the mixture of these shallow depths back, and answer each part
-with the log probability of each key it sent.  So the tree is never in one place: what is gathered grows with
+latest context bytes (three or four where there are very many parts), where all deeper nodes of these contexts
+meet.  Buckets pass weighted probabilities up to the shorter contexts, down to that of no byte, get the mixture
+of these shallow depths back, and answer each part with the log probability of each key it sent.  So the tree is never in one place: what is gathered grows with
 the distinct keys of the corpus, and nothing of it is broadcast or collected.  Texts are shuffled once.
 
 The base score (add-0.1 smoothed token frequencies) goes the same way with hashed tokens (64 bits); the corpus
@@ -43,8 +43,8 @@ from .exchange import MESSAGE, PART_BYTES, Outbox, address, answer, deal, finish
 DEPTH = 6
 FOLDS = 10
 CHUNK = 1 << 19
-#: Context bytes that decide the bucket; shallower depths are handled by context.
-ROOT = 2
+#: Up to how many parts a bucket holds contexts of two, three latest bytes; beyond, of four.
+ROOTS = ((1 << 9, 2), (1 << 17, 3))
 _LN2 = math.log(2.0)
 _HALF = math.lgamma(0.5)
 _32 = np.uint64(32)
@@ -76,12 +76,12 @@ def keys_of(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[at - DEPTH], np.repeat(np.arange(len(rows)), sizes)
 
 
-def chunks(listed: list[list[bytes]]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Row numbers and serial texts, about CHUNK bytes at a time."""
+def chunks(data: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Row numbers and serial texts, about CHUNK bytes at a time; tokens are made anew rather than kept."""
     rows, parts, size = [], [], 0
-    for i, words in enumerate(listed):
+    for i, raw in enumerate(data):
         rows.append(i)
-        parts.append(serial(words))
+        parts.append(serial(tokens(raw)))
         size += len(parts[-1])
         if size >= CHUNK:
             yield rows, parts
@@ -102,10 +102,10 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-def part_keys(listed: list[list[bytes]], held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def part_keys(data: list[bytes], held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of a part, sorted, and their counts in its training rows."""
     keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for rows, parts in chunks(listed):
+    for rows, parts in chunks(data):
         for kind in (False, True):
             mine = [p for r, p in zip(rows, parts) if held[r] == kind]
             if mine:
@@ -115,19 +115,24 @@ def part_keys(listed: list[list[bytes]], held: np.ndarray) -> tuple[np.ndarray,
     return summed(np.concatenate(keys), np.concatenate(counts))
 
 
-def root_bucket(keys: np.ndarray, n: int) -> np.ndarray:
-    return (address(splitmix((keys >> np.uint64(8 * (DEPTH + 1 - ROOT))) + np.uint64(1)), n) >> _32).astype(np.int64)
+def root_depth(n: int) -> int:
+    """Context bytes that decide the bucket; shallower depths are handled context by context.  Results do not depend on it."""
+    return next((root for most, root in ROOTS if n <= most), 4)
 
 
-def part_tokens(listed: list[list[bytes]], held: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def root_bucket(keys: np.ndarray, n: int, root: int) -> np.ndarray:
+    return (address(splitmix((keys >> np.uint64(8 * (DEPTH + 1 - root))) + np.uint64(1)), n) >> _32).astype(np.int64)
+
+
+def part_tokens(data: list[bytes], held: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct tokens of a part ordered by hash, hashes, counts in training rows (the end is a newline)."""
     train: Counter = Counter()
-    for words, out in zip(listed, held.tolist()):
+    for raw, out in zip(data, held.tolist()):
         if out:
-            for w in words:
+            for w in tokens(raw):
                 train.setdefault(w, 0)
         else:
-            train.update(words)
+            train.update(tokens(raw))
     train[b"\n"] += int((~held).sum())
     hashes = np.array([xxhash.xxh64_intdigest(w) for w in train], np.uint64)
     order = np.argsort(hashes, kind="stable")
@@ -135,14 +140,14 @@ def part_tokens(listed: list[list[bytes]], held: np.ndarray) -> tuple[list[bytes
     return [names[i] for i in order.tolist()], hashes[order], np.fromiter(train.values(), np.int64, len(train))[order]
 
 
-def _announce(n: int):
+def _announce(n: int, root: int):
     def fn(part: int, table: pa.Table, out: Outbox) -> None:
-        listed, held = [tokens(x) for x in texts(table)], held_out(ids(table))
-        keys, counts = part_keys(listed, held)
-        dest = root_bucket(keys, n)
+        data, held = texts(table), held_out(ids(table))
+        keys, counts = part_keys(data, held)
+        dest = root_bucket(keys, n, root)
         order = np.argsort(dest, kind="stable")
         out.scatter(n, dest[order], keys[order], counts[order].astype(np.uint32))
-        _, hashes, times = part_tokens(listed, held)
+        _, hashes, times = part_tokens(data, held)
         out.scatter(n, (address(hashes, n) >> _32) + np.uint64(n), hashes, times.astype(np.uint32))
 
     return fn
@@ -159,10 +164,16 @@ def _gamma(x: np.ndarray) -> np.ndarray:
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    half = lambda k: np.where(k < 4096, _SMALL[np.minimum(k, 4096)], _gamma(np.maximum(k, 4096) + 0.5))
     n = zeros + ones
-    whole = np.where(n < 4096, _WHOLE[np.minimum(n, 4095)], _gamma(np.maximum(n, 4096) + 1.0))
-    return half(zeros) + half(ones) - whole - 2 * _HALF
+    return _lookup(_SMALL, zeros, 0.5) + _lookup(_SMALL, ones, 0.5) - _lookup(_WHOLE, n, 1.0) - 2 * _HALF
+
+
+def _lookup(table: np.ndarray, k: np.ndarray, plus: float) -> np.ndarray:
+    """log gamma of k + plus: from the table, or by the series where k is beyond it."""
+    out = table[np.minimum(k, len(table) - 1)]
+    large = np.flatnonzero(k >= len(table))
+    out[large] = _gamma(k[large] + plus)
+    return out
 
 
 class Level:
@@ -187,11 +198,12 @@ class Level:
 
 
 class Tree:
-    """All nodes of depths ROOT to DEPTH below some contexts of ROOT bytes."""
+    """All nodes of depths root to DEPTH below some contexts of root bytes."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, root: int):
+        self.root = root
         self.levels, self.up = {DEPTH: Level(keys, counts)}, {}
-        for d in range(DEPTH - 1, ROOT - 1, -1):
+        for d in range(DEPTH - 1, root - 1, -1):
             below = self.levels[d + 1]
             shorter = ((below.keys >> np.uint64(16)) << np.uint64(8)) | (below.keys & np.uint64(255))
             own, inverse = np.unique(shorter, return_inverse=True)
@@ -199,7 +211,7 @@ class Tree:
             self.levels[d] = Level(own, np.bincount(inverse, below.counts, len(own)).astype(np.int64))
         self.own = {DEPTH: [log_kt(z, o) for z, o in zip(self.levels[DEPTH].zeros, self.levels[DEPTH].ones)]}
         self.weighted = {DEPTH: self.own[DEPTH]}
-        for d in range(DEPTH - 1, ROOT - 1, -1):
+        for d in range(DEPTH - 1, root - 1, -1):
             level = self.levels[d]
             self.own[d], self.weighted[d] = [], []
             for k in range(8):
@@ -213,31 +225,34 @@ class Tree:
         return self.levels[d - 1].node[k][self.up[d][self.levels[d].first[k]]]
 
     def shallow(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(context of ROOT - 1 bytes, sums of weighted logs of its children by node, counts by byte)."""
-        level = self.levels[ROOT]
-        context = (level.keys >> np.uint64(16)).astype(np.int64)
-        for c in np.unique(context).tolist():
-            sums, rows = np.zeros(255), context == c
-            for k in range(8):
-                nodes = np.flatnonzero(context[level.first[k]] == c)
-                prefix = (level.keys[level.first[k][nodes]] & np.uint64(255)) >> np.uint64(8 - k)
-                sums += np.bincount((1 << k) - 1 + prefix.astype(np.int64), self.weighted[ROOT][k][nodes], 255)
-            yield c, sums, np.bincount((level.keys[rows] & np.uint64(255)).astype(np.int64), level.counts[rows], 256).astype(np.int64)
+        """(context of root - 1 bytes, sums of weighted logs of its children by node, counts by byte)."""
+        level = self.levels[self.root]
+        context = level.keys >> np.uint64(16)
+        listed = np.unique(context)
+        place = np.searchsorted(listed, context)
+        byte = (level.keys & np.uint64(255)).astype(np.int64)
+        counts = np.bincount(place * 256 + byte, level.counts, len(listed) * 256).astype(np.int64).reshape(-1, 256)
+        sums = np.zeros(len(listed) * 255)
+        for k in range(8):
+            first = level.first[k]
+            node = (1 << k) - 1 + (byte[first] >> (8 - k))
+            sums += np.bincount(place[first] * 255 + node, self.weighted[self.root][k], len(sums))
+        yield from zip(listed.astype(np.int64).tolist(), sums.reshape(-1, 255), counts)
 
     def log10(self, above: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Log10 probability of each key's byte; above: what shallower depths give, by context of ROOT - 1 bytes."""
+        """Log10 probability of each key's byte; above: what shallower depths give, by context of root - 1 bytes."""
         listed = sorted(above)
         tops = [np.stack([above[c][i] for c in listed]) for i in range(3)]
         out = np.zeros(len(self.levels[DEPTH].keys))
         for k in range(8):
-            level = self.levels[ROOT]
+            level = self.levels[self.root]
             at = level.keys[level.first[k]]
             place = np.searchsorted(listed, (at >> np.uint64(16)).astype(np.int64))
             node = (1 << k) - 1 + ((at & np.uint64(255)) >> np.uint64(8 - k)).astype(np.int64)
             mixed, left, last = (t[place, node] for t in tops)
-            for d in range(ROOT, DEPTH + 1):
+            for d in range(self.root, DEPTH + 1):
                 level = self.levels[d]
-                if d > ROOT:
+                if d > self.root:
                     up = self.parent(d, k)
                     mixed, left, last = mixed[up], left[up], last[up]
                 weight = np.exp(self.own[d][k] - _LN2 - self.weighted[d][k]) if d < DEPTH else 1.0
@@ -285,21 +300,22 @@ def _bucket_keys(got: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, np.bincount(inverse, gathered(got, 1, np.uint32), len(keys)).astype(np.int64), inverse
 
 
-def _up(n: int):
-    """Buckets of keys: weighted probabilities to the contexts of one byte.  Buckets of tokens: none."""
+def _up(n: int, root: int):
+    """Buckets of keys: weighted probabilities to the contexts one byte shorter.  Buckets of tokens: none."""
 
     def fn(bucket: int, got: list, out: Outbox) -> None:
         if bucket < n:
             keys, counts, _ = _bucket_keys(got)
-            for context, sums, by_byte in Tree(keys, counts).shallow():
+            for context, sums, by_byte in Tree(keys, counts, root).shallow():
                 out.put(context, sums, by_byte)
 
     return fn
 
 
-def _to_root(context: int, got: list, out: Outbox) -> None:
+def _to_parent(context: int, got: list, out: Outbox) -> None:
+    """A shallow context to the one without its oldest byte."""
     counts, weighted, _, _ = shallow_node(got)
-    out.put(0, weighted, counts)
+    out.put(context >> 8, weighted, counts)
 
 
 def _from_root(root: int, got: list, out: Outbox) -> None:
@@ -327,14 +343,14 @@ def _down(context: int, got: list, above: list, out: Outbox) -> None:
         out.put(m[0], *answer_)
 
 
-def _tell(n: int):
+def _tell(n: int, root: int):
     """To each part: log probabilities of its keys, counts of its tokens, in the order sent."""
 
     def fn(bucket: int, got: list, above: list, out: Outbox) -> None:
         if bucket < n:
             keys, counts, inverse = _bucket_keys(got)
             tops = {m[0]: tuple(unpack(x, np.float64) for x in m[1:]) for m in above}
-            told = Tree(keys, counts).log10(tops).astype(np.float32)[inverse]
+            told = Tree(keys, counts, root).log10(tops).astype(np.float32)[inverse]
         else:
             _, counts, inverse = _bucket_keys(got)
             told = counts[inverse]
@@ -367,29 +383,32 @@ def _spread_totals(n: int):
     return fn
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 3 * PART_BYTES // 4, root: int = 0) -> DataFrame:
     """One row per input row: fold, tokens, known tokens, training tokens, base score, score, bits per byte."""
     dealt, n = deal(docs, id_col, text_col, part_bytes)
     mine = thin(dealt)
-    messages = send(mine, _announce(n))
+    root = root or root_depth(n)
+    messages = send(mine, _announce(n, root))
     totals = answer(answer(messages, _count_tokens(n)), _spread_totals(n))
-    to_contexts = answer(messages, _up(n))
-    from_root = answer(answer(to_contexts, _to_root), _from_root)
-    told = _both(messages, _both(to_contexts, from_root, _down), _tell(n))
+    up = [answer(messages, _up(n, root))]  # to contexts of root - 1 bytes, root - 2, ... none
+    while len(up) < root:
+        up.append(answer(up[-1], _to_parent))
+    down = answer(up.pop(), _from_root)
+    while up:
+        down = _both(up.pop(), down, _down)
+    told = _both(messages, down, _tell(n, root))
 
     def fn(part: int, table: pa.Table, got: list) -> dict:
-        listed, own = [tokens(x) for x in texts(table)], ids(table)
-        held = held_out(own)
-        score_, size = _scores(listed, [m for m in got if not m[3] and m[0] < n], n)
-        known, base = _base(listed, held, [m for m in got if not m[3] and m[0] >= n])
+        data, held = texts(table), held_out(ids(table))
+        score_, size = _scores(data, [m for m in got if not m[3] and m[0] < n], n, root)
+        n_tokens, known, base = _base(data, held, [m for m in got if not m[3] and m[0] >= n])
         train, distinct = gathered([m for m in got if m[3]], 0, np.int64).tolist()
-        n_tokens = np.fromiter(map(len, listed), np.int64, len(listed)) + 1
         return {
             id_col: table.column("_id"),
             "held_out": held,
             "n_tokens": n_tokens,
             "n_known": known,
-            "train_tokens": np.full(len(listed), train),
+            "train_tokens": np.full(len(data), train),
             "base_score": base - n_tokens * math.log10(train + 0.1 * (distinct + 1)),
             "score": score_,
             "bits_per_byte": -score_ / size / math.log10(2.0),
@@ -399,34 +418,37 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
     return finish(mine, told.unionByName(totals), fn, schema)
 
 
-def _scores(listed: list[list[bytes]], got: list, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _scores(data: list[bytes], got: list, n: int, root: int) -> tuple[np.ndarray, np.ndarray]:
     """Log10 probability and bytes of each text, from what the buckets tell of the part's keys."""
-    made, size = [], np.zeros(len(listed), np.int64)
-    for rows, parts in chunks(listed):
+    made, size = [], np.zeros(len(data), np.int64)
+    for rows, parts in chunks(data):
         key, row = keys_of(parts)
         order = np.argsort(key)
-        made.append((rows, *counted(key[order]), row[order].astype(np.int32)))
+        found, times = counted(key[order])
+        made.append((rows, found, times.astype(np.uint32), row[order].astype(np.uint16 if len(rows) < 1 << 16 else np.uint32)))
         size[rows] = [len(p) for p in parts]
     keys = counted(np.sort(np.concatenate([m[1] for m in made])))[0]
     logs = np.empty(len(keys), np.float32)
-    logs[np.argsort(root_bucket(keys, n), kind="stable")] = gathered(got, 0, np.float32)
-    total = np.zeros(len(listed))
+    logs[np.argsort(root_bucket(keys, n, root), kind="stable")] = gathered(got, 0, np.float32)
+    total = np.zeros(len(data))
     for rows, found, times, row in made:
         each = np.repeat(logs[np.searchsorted(keys, found)], times)
         total[rows] = np.bincount(row, each, len(rows))
     return total, size
 
 
-def _base(listed: list[list[bytes]], held: np.ndarray, got: list) -> tuple[np.ndarray, np.ndarray]:
-    """Known tokens and sum of log10(count + 0.1) of each text."""
-    words, _, _ = part_tokens(listed, held)
+def _base(data: list[bytes], held: np.ndarray, got: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, known tokens and sum of log10(count + 0.1) of each text."""
+    words, _, _ = part_tokens(data, held)
     place = {w: i for i, w in enumerate(words)}
     counts = gathered(got, 0, np.int64)
     rate, there, end = np.log10(counts + 0.1), (counts > 0).astype(np.int64), place[b"\n"]
-    known, base = np.full(len(listed), there[end]), np.full(len(listed), rate[end])
-    for i, own in enumerate(listed):
+    size, known, base = np.ones(len(data), np.int64), np.full(len(data), there[end]), np.full(len(data), rate[end])
+    for i, raw in enumerate(data):
+        own = tokens(raw)
         if own:
             at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
+            size[i] += len(own)
             known[i] += there[at].sum()
             base[i] += rate[at].sum()
-    return known, base
+    return size, known, base

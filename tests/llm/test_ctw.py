@@ -88,10 +88,10 @@ def brute(rows, depth):
     return out
 
 
-def check(spark, rows, part_bytes):
+def check(spark, rows, part_bytes, root=0):
     df = spark.createDataFrame([(i, t, "x", None) for i, t in rows], "doc_id long, text string, score string, held_out string")
     want = brute(rows, ctw.DEPTH)
-    got = ctw.score(df, part_bytes=part_bytes).collect()
+    got = ctw.score(df, part_bytes=part_bytes, root=root).collect()
     order = lambda x: (str(x[0]), x[1][1:])
     mine = sorted(((r[0], tuple(r)[1:7]) for r in got), key=order)
     theirs = sorted(((i, want[i, t]) for i, t in rows), key=order)
@@ -100,12 +100,12 @@ def check(spark, rows, part_bytes):
         assert a == b and x[:4] == y[:4] and x[4] == pytest.approx(y[4], rel=1e-9) and x[5] == pytest.approx(y[5], rel=1e-5)
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 24, 400])
-def test_scores(spark, part_bytes):
+@pytest.mark.parametrize("part_bytes, root", [(1 << 24, 2), (400, 2), (400, 3), (700, 4)])
+def test_scores(spark, part_bytes, root):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["The", "cat", "sat", "ça", "ab" * rng.randrange(1, 4)]) for _ in range(rng.randrange(0, 25)))) for i in range(45)]
     rows += [(100, None), (101, ""), (102, "\n \t"), (None, "the cat"), (103, "x" * 300), rows[2], rows[2]]
-    check(spark, rows, part_bytes)
+    check(spark, rows, part_bytes, root)
 
 
 def test_all_held_out_and_empty(spark):
