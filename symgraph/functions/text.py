@@ -43,12 +43,21 @@ def phrases(query: str) -> list[list[str]]:
 
 
 def context_terms(task: Column) -> Column:
-    """Identifier-like terms of a task: three characters or more, no stop words, first spelling of each."""
-    found = F.regexp_extract_all(task, F.lit(f"({_TERM})"), 1)
-    lower = F.transform(found, F.lower)
-    first = F.filter(found, lambda t, i: (F.octet_length(F.lower(t)) >= 3) & ~F.lower(t).isin(*STOP_WORDS) & (F.array_position(lower, F.lower(t)) == i + 1))
+    """Identifier-like terms of a task: three characters or more, no stop words, first spelling of each.
+
+    A fold over the terms that remembers what it has seen; its lambda refers to nothing outside, since such
+    expressions would be computed anew for each element.
+    """
+    found = F.filter(F.regexp_extract_all(task, F.lit(f"({_TERM})"), 1), lambda t: (F.octet_length(t) >= 3) & ~F.lower(t).isin(*STOP_WORDS))
+
+    def step(acc: Column, term: Column) -> Column:
+        new = F.struct(F.array_append(acc["seen"], F.lower(term)).alias("seen"), F.array_append(acc["out"], term).alias("out"))
+        return F.when(F.array_contains(acc["seen"], F.lower(term)), acc).otherwise(new)
+
+    none = F.array().cast("array<string>")
+    first = F.aggregate(found, F.struct(none.alias("seen"), none.alias("out")), step, lambda acc: acc["out"])
     whole = F.trim(task)
-    return F.when(F.size(first) > 0, first).when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(found) > 0, first).when(whole != "", F.array(whole)).otherwise(none)
 
 
 def context_terms_of(task: str) -> list[str]:
