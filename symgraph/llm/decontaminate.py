@@ -7,7 +7,8 @@ fewer words, but not none, is one pattern.  A document is scanned once; each occ
 
 The automaton is made from the benchmark, a query set of stated size.  The set's bytes are counted first:
 up to BLOCK_BYTES it is one automaton, beyond that it is cut into blocks by a hash of the item, each scanned
-in turn over all documents without any shuffle, and the marks are united.
+in turn over all documents without any shuffle, and the marks are united.  One job takes up to CHAIN blocks, which
+is what the driver holds; then what was found so far is written to the shared folder and the next ones follow.
 
 Null or empty texts have no words and no hits; null items match nothing.  Items with equal windows all
 count.  Items with a null id are listed as an empty id.  Repeated rows are scanned each for itself.
@@ -18,16 +19,19 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import checkpoint, map_rows
 
 WIDTH = 10
 BLOCK_BYTES = 4 << 20
+#: Blocks that one job takes; so many are on the driver at once.
+CHAIN = 8
 _TABLE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 _WORD = re.compile(rb"[^\x20]+")
 _built: dict[str, object] = {}
@@ -103,18 +107,23 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
     return [(chars(at[s][0]), chars(at[e - 1][1])) for s, e in spans]
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str, str]]]:
-    """The items as (id, text), cut into blocks of about BLOCK_BYTES."""
+def blocks(items: DataFrame, id_col: str, text_col: str) -> tuple[int, Callable[[int], list[tuple[str, str]]]]:
+    """Into how many blocks of about BLOCK_BYTES the items are cut, and what gives a block's (id, text) rows."""
     items = items.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t"))
     n = math.ceil((items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) / BLOCK_BYTES)
     part = lambda b: items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) if n > 1 else items
-    return [sorted((r[0], r[1]) for r in part(b).collect()) for b in range(n)]
+    return n, lambda b: sorted((r[0], r[1]) for r in part(b).collect())
+
+
+def _cut(df: DataFrame, b: int, n: int) -> DataFrame:
+    """After every CHAIN blocks but the last what was found is written, so that the driver can let go of them."""
+    return checkpoint(df) if (b + 1) % CHAIN == 0 and b + 1 < n else df
 
 
 def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: words, words hit, items found and their digest."""
     kind = dict(docs.dtypes)[id_col]
-    found = blocks(items, item_id, item_text)
+    n, block_of = blocks(items, item_id, item_text)
     out = f"{id_col} {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
     def digest(ids, rows) -> dict:
@@ -128,8 +137,8 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
             "contaminated": [h > 0 for h in hit],
         }
 
-    if len(found) <= 1:
-        only = found[0] if found else []
+    if n <= 1:
+        only = block_of(0) if n else []
 
         def fn(cols: dict) -> dict:
             a = automaton(only)
@@ -138,9 +147,9 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         return map_rows(docs.select(id_col, text_col), fn, out)
     span = "array<struct<s:int,e:int>>"
     df = docs.select(id_col, text_col, F.lit(0).alias("_n"), F.expr(f"cast(array() as {span})").alias("_spans"), F.expr("cast(array() as array<string>)").alias("_items"))
-    for block in found:
+    for b in range(n):
 
-        def add(cols: dict, block=block) -> dict:
+        def add(cols: dict, block=block_of(b)) -> dict:
             a = automaton(block)
             rows = [marks(t, a) for t in cols[text_col]]
             spans = [merged(r[1] + [(x["s"], x["e"]) for x in old]) for r, old in zip(rows, cols["_spans"])]
@@ -150,20 +159,21 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
                 "_items": [sorted(r[2].union(old)) for r, old in zip(rows, cols["_items"])],
             }
 
-        df = map_rows(df, add, f"{id_col} {kind}, {text_col} string, _n int, _spans {span}, _items array<string>")
+        df = _cut(map_rows(df, add, f"{id_col} {kind}, {text_col} string, _n int, _spans {span}, _items array<string>"), b, n)
     last = lambda c: digest(c[id_col], [(n, [(x["s"], x["e"]) for x in s], set(i)) for n, s, i in zip(c["_n"], c["_spans"], c["_items"])])
     return map_rows(df.drop(text_col), last, out)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows without any window of any item, with all their columns."""
-    for block in blocks(items, item_id, item_text):
+    n, block_of = blocks(items, item_id, item_text)
+    for b in range(n):
 
-        def run(batches, block=block):
+        def run(batches, block=block_of(b)):
             a = automaton(block)
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
                 yield batch.filter(pa.array([not marks(t, a)[1] for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = _cut(docs.mapInArrow(run, docs.schema), b, n)
     return docs

@@ -170,9 +170,10 @@ def brute_marks(rows, items):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [4 << 20, 300])
-def test_decontaminate(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, chain", [(4 << 20, 8), (300, 8), (300, 2)])
+def test_decontaminate(spark, monkeypatch, block, chain):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontaminate, "CHAIN", chain)
     rng = random.Random(7)
     word = lambda: rng.choice(["A", "b", "ça", "42", "The", "x-y"])
     items = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 3, 10, 11, 25])))) for i in range(25)] + [(None, "null id item"), (77, None), (78, "!!")]
