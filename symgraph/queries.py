@@ -496,7 +496,7 @@ def language_and_tests(spark, sf_dir):
 
 
 @query(
-    """SELECT DISTINCT p_type AS callee, coalesce(nullif(regexp_extract('x.' || replace(p_type, ' ', '.'), '(?s)^(.*)\.[^.]*$', 1), ''), '') AS qualifier, p_brand || '::' || p_type || '::' || p_size AS id FROM part"""
+    """SELECT DISTINCT p_type AS callee, coalesce(nullif(regexp_extract('x.' || replace(p_type, ' ', '.'), '(?s)^(.*)\\.[^.]*$', 1), ''), '') AS qualifier, p_brand || '::' || p_type || '::' || p_size AS id FROM part"""
 )
 def qualifiers_and_ids(spark, sf_dir):
     part = star.read(spark, sf_dir, "part").select("p_type", "p_brand", "p_size").distinct()
