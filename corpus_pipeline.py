@@ -6,7 +6,8 @@ last return the columns of documents; n_chars follows a changed text.
 1. quality         documents that the classifier (trained on `labels`) rejects go
 2. line_dedup      later occurrences of three-line windows are taken out of the texts; a document all of whose
                    lines are repeats goes
-3. near_dedup      of each group of near-duplicates the document with the smallest id stays
+3. near_dedup      of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the document
+                   with the smallest id stays
 4. decontaminate   documents with a ten-word window of `benchmark` go
 5. byte_bpe        texts become token ids and back: counts and digests
 """
@@ -18,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm import bpe, decontaminate, line_dedup, quality, simhash
+from symgraph.llm import bpe, decontaminate, line_dedup, quality, similar
 from symgraph.llm.common import shared_path, table
 
 
@@ -31,7 +32,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.representatives(docs)
+    return similar.representatives(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ STAGES = [
     ("byte_bpe", byte_bpe_stage),
 ]
 
-#: The classifier, line windows, fingerprints and tokenizer are no SQL; tests hold the rows against brute force.
+#: The classifier, line windows, shingle sets and tokenizer are no SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 

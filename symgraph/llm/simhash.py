@@ -44,18 +44,25 @@ _QUERIES = 64
 _ONE = np.uint64(1)
 
 
-def fingerprint(text: str | None) -> int:
+def shingles(text: str | None, size: int = SHINGLE) -> list[int]:
+    """XXH64 of each run of size words; of all words where there are fewer; nothing where there is none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     line = b" ".join(words)
     n = len(words)
-    if n <= SHINGLE:
-        return xxhash.xxh64_intdigest(line, SEED)
+    if n <= size:
+        return [xxhash.xxh64_intdigest(line, SEED)]
     sizes = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(sizes + 1) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(line[s:e], SEED) for s, e in zip((ends - sizes)[: n - SHINGLE + 1].tolist(), ends[SHINGLE - 1 :].tolist())]
+    return [digest(line[s:e], SEED) for s, e in zip((ends - sizes)[: n - size + 1].tolist(), ends[size - 1 :].tolist())]
+
+
+def fingerprint(text: str | None) -> int:
+    hashes = shingles(text)
+    if len(hashes) < 2:
+        return hashes[0] if hashes else 0
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[at : at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
