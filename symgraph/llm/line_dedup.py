@@ -2,15 +2,16 @@
 
 Lines are the pieces between newlines; those without a word (blank ones) take no part and always stay.  Ends
 of lines are stripped of ASCII white space before comparison.  Each three consecutive lines are hashed to
-128 bits; over all documents the first occurrence of a window is that with the smallest (id, position), and
-every later one covers its three lines.  Covered positions merge; their lines are removed.
+128 bits; over all documents the first occurrence of a window is that with the smallest (id, position,
+hash of the text), and every later one covers its three lines.  Covered positions merge; their lines are removed.
 
 Each part of the documents sends every window once, with its own first occurrence; buckets of the hash
 space answer with first occurrences elsewhere (see `exchange`).  A window that all documents share costs a
 bucket one entry per part.
 
 Null and empty texts and texts of fewer than three lines have no window and stay as they are.  A null id
-counts as larger than any other.  Rows with the same id and text are the same document: neither is later.
+counts as larger than any other.  Rows with the same id and text are the same document: neither is later;
+of different texts with the same id (or none), the 64-bit hash of the text says which is first.
 Windows that overlap their own first occurrence (runs of equal lines) keep the lines before the overlap.
 """
 
@@ -29,7 +30,7 @@ SPAN = 3
 _SPACE = b" \t\n\x0b\x0c\r"
 _32 = np.uint64(32)
 _KEY = np.dtype([("hi", "<u8"), ("lo", "<u8")])
-_FIRST = np.dtype([("id", "<i8"), ("at", "<i4")])
+_AT = np.dtype([("at", "<i4"), ("tie", "<u8")])
 
 
 def windows(raw: bytes) -> tuple[list[bytes], list[int], list[bytes]]:
@@ -43,7 +44,7 @@ def windows(raw: bytes) -> tuple[list[bytes], list[int], list[bytes]]:
 
 
 def _occurrences(data: list[bytes], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, id, position, row) of all windows of a part, ordered by key, id, position."""
+    """(key, id, position and hash of the text, row) of all windows of a part, ordered by key, id, position, hash."""
     digests, rows, places = [], [], []
     for row, raw in enumerate(data):
         found = windows(raw)[2]
@@ -51,9 +52,10 @@ def _occurrences(data: list[bytes], own: np.ndarray) -> tuple[np.ndarray, np.nda
         rows += [row] * len(found)
         places += range(len(found))
     key = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
-    row, at = np.asarray(rows, np.int64), np.asarray(places, np.int32)
+    row, at = np.asarray(rows, np.int64), np.empty(len(rows), _AT)
+    at["at"], at["tie"] = places, np.asarray([xxhash.xxh3_64_intdigest(x) for x in data], np.uint64)[row]
     owner = own[row] if len(row) else np.empty(0, np.int64)
-    order = np.lexsort((at, owner, key[:, 1], key[:, 0]))
+    order = np.lexsort((at["tie"], at["at"], owner, key[:, 1], key[:, 0]))
     return key[order], owner[order], at[order], row[order]
 
 
@@ -74,8 +76,8 @@ def _announce(n: int):
 
 def _first(bucket: int, got: list, out: Outbox) -> None:
     """Tell each part which of its windows occur earlier in another."""
-    sent, owner, at = gathered(got, 0, _KEY), gathered(got, 1, np.int64), gathered(got, 2, np.int32)
-    order = np.lexsort((at, owner, sent["lo"], sent["hi"]))
+    sent, owner, at = gathered(got, 0, _KEY), gathered(got, 1, np.int64), gathered(got, 2, _AT)
+    order = np.lexsort((at["tie"], at["at"], owner, sent["lo"], sent["hi"]))
     key = np.stack([sent["hi"][order], sent["lo"][order]], axis=1)
     first = _starts(key)
     group = np.empty(len(sent), np.int64)
@@ -103,7 +105,7 @@ def removed_lines(data: list[bytes], own: np.ndarray, got: list) -> list[set[int
         mine["hi"], mine["lo"] = key[first, 0], key[first, 1]
         place = {k: i for i, k in enumerate(mine.tolist())}
         where = np.asarray([place[k] for k in told.tolist()])
-        best_owner[where], best_at[where] = gathered(got, 1, np.int64), gathered(got, 2, np.int32)
+        best_owner[where], best_at[where] = gathered(got, 1, np.int64), gathered(got, 2, _AT)
     later = np.flatnonzero((owner != best_owner[group]) | (at != best_at[group])) if len(key) else []
     out: list[set[int]] = [set() for _ in data]
     used: dict[int, list[int]] = {}
@@ -111,7 +113,8 @@ def removed_lines(data: list[bytes], own: np.ndarray, got: list) -> list[set[int
         r = int(row[i])
         if r not in used:
             used[r] = windows(data[r])[1]
-        out[r].update(used[r][int(at[i]) : int(at[i]) + SPAN])
+        p = int(at["at"][i])
+        out[r].update(used[r][p : p + SPAN])
     return out
 
 

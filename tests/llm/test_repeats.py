@@ -100,6 +100,18 @@ def test_lines_keep_columns(spark):
     assert got == [("s", "a\nb\nc", 1), (None, "z\ny", 3), (None, "", 4), (None, None, 5)]
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 24, 40])
+@pytest.mark.parametrize("own", [None, 7])
+def test_one_of_several_texts_with_equal_ids_is_first(spark, part_bytes, own):
+    """A common header at the same place stays in one of the different texts, and in all copies of that one."""
+    texts = [f"a\nb\nc\n{x}" for x in ("one", "two", "three", "four")]
+    df = spark.createDataFrame([(own, t, "", "") for t in [*texts, *texts]], SCHEMA)
+    got = sorted(r["text"] for r in line_dedup.without_repeats(df, part_bytes=part_bytes).collect())
+    assert len(got) == 8 and [t for t in got if "\n" in t] == [max(got, key=len)] * 2
+    assert sorted(t.split("\n")[-1] for t in got) == sorted(["one", "two", "three", "four"] * 2)
+    assert sorted(r["n_removed"] for r in line_dedup.dedup(df, part_bytes=part_bytes).collect()) == [0, 0, 3, 3, 3, 3, 3, 3]
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert repeats.dedup(df).count() == 0
