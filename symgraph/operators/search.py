@@ -28,14 +28,16 @@ def occurrences(col: str, phrase: list[str]):
     """How often a phrase stands in a token array; its last token is a prefix.
 
     An array expression in place of postings: rows are scanned once for all phrases, and nothing is shuffled.
+    No lambda refers to anything outside, since the tokens would be made anew for each of them.
     """
-    arr, n = F.col(col), len(phrase)
-
-    def hit(_, i):
-        parts = [F.get(arr, i + k) == t for k, t in enumerate(phrase[:-1])] + [F.get(arr, i + (n - 1)).startswith(phrase[-1])]
-        return F.coalesce(reduce(lambda a, b: a & b, parts), F.lit(False))
-
-    return F.size(F.filter(arr, hit))
+    arr, last = F.col(col), len(phrase) - 1
+    if not last:
+        return F.size(F.filter(arr, lambda t: t.startswith(phrase[0])))
+    hit = F.transform(arr, lambda t: t == phrase[0])
+    for k in range(1, last + 1):
+        same = (lambda t: t == phrase[k]) if k < last else (lambda t: t.startswith(phrase[k]))
+        hit = F.zip_with(hit, F.slice(arr, k + 1, 1 << 30), lambda a, t: a & same(t))
+    return F.size(F.filter(hit, lambda a: F.coalesce(a, F.lit(False))))
 
 
 def bm25(nodes: DataFrame, query: str) -> DataFrame:

@@ -16,6 +16,7 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 NATION, SYMBOL, TERM = "nation:3", "customer:7", "an"
+DOCUMENT_TERMS, NAME_TERM = "src1 en ther of-th", "wid"
 
 _NODES = """
 places AS (SELECT n_nationkey, n_name, r_name, r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey),
@@ -348,6 +349,20 @@ def search_bm25(spark, sf_dir):
     return search.bm25(docs, "ther of-th").select("item_id", F.round("score", 6).alias("score"))
 
 
+@query(None)
+def search_bm25_documents(spark, sf_dir):
+    """All documents, with a text in each of the columns that count; tests hold it against brute force."""
+    d = star.read(spark, sf_dir, "documents")
+    docs = d.select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("source").alias("name"), F.concat_ws(".", "source", "lang").alias("qualified_name"), F.col("text").alias("docstring"), F.col("lang").alias("signature"))
+    return search.bm25(docs, DOCUMENT_TERMS).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(None)
+def search_text(spark, sf_dir):
+    """The ranked text search over all nodes; tests hold it against brute force."""
+    return search.search_text(star.graph(spark, sf_dir), NAME_TERM, limit=40).select("id", F.round("score", 6).alias("score"), F.round("rank", 6).alias("rank"))
+
+
 @query(f"SELECT doc_id, len(regexp_extract_all(translate(lower(coalesce(text, '')), '{text.FOLD_FROM}', '{text.FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+'))::BIGINT AS n_tokens FROM documents")
 def text_tokens(spark, sf_dir):
     return star.read(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"))
