@@ -114,7 +114,13 @@ def spans(text: str | None) -> tuple[list, list]:
         return [], []
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     base = sorted(base_spans(text), key=order)
-    more = [x for x in entropy_spans(text) if not any(b[1] <= x[1] and x[2] <= b[2] for b in base)]
+    more, reach, at = [], 0, 0
+    for x in entropy_spans(text):  # by start, as the base spans: one pass over both
+        while at < len(base) and base[at][1] <= x[1]:
+            reach = max(reach, base[at][2])
+            at += 1
+        if x[2] > reach:
+            more.append(x)
     return base, sorted(base + more, key=order)
 
 
