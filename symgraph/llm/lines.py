@@ -5,28 +5,37 @@ capitals and digits, separators, repetition, stock phrases).  A two-state chain
 is scored by feature and transition weights; Viterbi decoding gives the labels, and a document is kept if
 lines labelled content hold at least MIN_SHARE of its word characters.
 
-The weights are trained here, by gradient ascent on the conditional likelihood (forward-backward in
-numpy), on lines generated from rules with a fixed seed, so no corpus row is needed and the weights are the
-same everywhere.  They number a few dozen.
+The weights, a few dozen numbers, are learned from labelled documents by gradient ascent on the conditional
+likelihood (forward-backward in numpy).  There are no labels of lines, so the document's label stands for each of
+its lines.  Training takes at most MAX_LABELLED labelled documents of the training fold (crc32 of the id modulo
+FOLDS is not 0), those with the smallest xxhash64 of their id, and of each at most MAX_LINES lines in a row; these
+two bounds limit what comes to the driver to a few megabytes.  Whole texts are judged.
 
 Null and empty texts have no words: all counts are 0, base_failed is true, kept is false.  A line counts as
-repeated if an earlier line of the same text is equal to it.  Repeated rows are judged each for itself.
+repeated if an earlier line of the same text is equal to it.  Repeated rows are judged each for itself.  Label rows
+with a null id or label are ignored; of several labels of one id the smallest counts, of several texts of a labelled
+id the first in order.  Without labels of both kinds every line is content, so the base rules alone decide.
 """
 
 from __future__ import annotations
 
-import functools
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import WORD, map_rows
+from .common import WORD, crc_mod, map_rows
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_SHARE = 0.5
+MAX_LABELLED = 2000
+MAX_LINES = 512
+FOLDS = 5
+STEPS, RATE, DECAY = 300, 4.0, 0.002
 _SYMBOLS = b"#*$%&|<>"
 _STOCK = re.compile(
     r"(?i)\b(?:all rights reserved|copyright|licensed under|license|cookies?|privacy policy|terms of (?:use|service)"
@@ -70,100 +79,117 @@ def features(line: str, words: list[str], seen: bool) -> list[int]:
     return out
 
 
-def _generated(seed: int, n: int) -> list[tuple[list[list[int]], list[int]]]:
-    """Documents of generated lines: their features and labels."""
-    rng = np.random.default_rng(seed)
-    parts = ["ba", "ter", "on", "li", "sen", "que", "ment", "ar", "ei", "sch", "da", "re", "th", "ing", "o"]
-    stock = ["Copyright 2020, all rights reserved", "Click here to subscribe", "Licensed under the terms of use", "Read more", "Privacy policy", "Sign in", "Share this", "Back to top"]
-    word = lambda: "".join(rng.choice(parts, rng.integers(1, 5)))
-
-    def content() -> str:
-        words = [word() for _ in range(int(rng.integers(1, 5) if rng.random() < 0.15 else rng.integers(6, 60)))]
-        if rng.random() < 0.1:
-            words.insert(0, str(rng.integers(1, 3000)))
-        if rng.random() < 0.05:
-            words.append(f"{word()}@{word()}.com")
-        line = " ".join(words).capitalize()
-        return line + ("." if rng.random() < 0.92 else "")
-
-    def junk() -> str:
-        return plain_junk() + ("." if rng.random() < 0.5 else "")
-
-    def plain_junk() -> str:
-        kind = rng.integers(0, 7)
-        words = [word() for _ in range(int(rng.integers(1, 40)))]
-        if kind == 0:
-            return " ".join(w.upper() + "!!" for w in words)
-        if kind == 1:
-            return " ".join(w + str(rng.choice(["***", "###", "&&&", "$$$", "%%%"])) for w in words)
-        if kind == 2:
-            return " | ".join(words)
-        if kind == 3:
-            return str(rng.choice(stock))
-        if kind == 4:
-            return " ".join(str(rng.integers(0, 99999)) for _ in words)
-        if kind == 5:
-            return "http://" + word() + ".com " + " ".join(words[:3])
-        return " ".join([words[0]] * 12)
-
-    out = []
-    for _ in range(n):
-        labels, lines, state = [], [], int(rng.random() < 0.35)
-        for _ in range(int(rng.integers(1, 14))):
-            if rng.random() < 0.15:
-                state = 1 - state
-            line = lines[-1] if state and lines and rng.random() < 0.1 else junk() if state else content()
-            lines.append(line)
-            labels.append(state)
-        seen: set[str] = set()
-        rows = []
-        for line in lines:
-            rows.append(features(line, WORD.findall(line), line in seen))
-            seen.add(line)
-        out.append((rows, labels))
-    return out
+def line_rows(text: str | None) -> tuple[list[list[int]], list[int], list[list[str]], int]:
+    """Of the lines with a word: features, word characters and words; and how many equal an earlier line."""
+    rows, sizes, words, seen, dups = [], [], [], set(), 0
+    for line in (text or "").split("\n"):
+        own = WORD.findall(line)
+        if not own:
+            continue
+        again = line in seen
+        dups += again
+        seen.add(line)
+        rows.append(features(line, own, again))
+        sizes.append(sum(map(len, own)))
+        words.append(own)
+    return rows, sizes, words, dups
 
 
 def log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=0)
-    return top + np.log(np.exp(x - top).sum(axis=0))
-
-
-def gradient(docs, weights: np.ndarray, moves: np.ndarray):
-    """Expected minus model counts of features and transitions (forward-backward)."""
-    gw, gm = np.zeros_like(weights), np.zeros_like(moves)
-    for rows, labels in docs:
-        score = np.array([weights[:, r].sum(axis=1) for r in rows])
-        n = len(rows)
-        fore, back = np.empty((n, 2)), np.zeros((n, 2))
-        fore[0] = score[0]
-        for t in range(1, n):
-            fore[t] = score[t] + log_sum(fore[t - 1][:, None] + moves)
-        for t in range(n - 2, -1, -1):
-            back[t] = log_sum((moves + score[t + 1] + back[t + 1]).T)
-        total = log_sum(fore[-1])
-        for t, r in enumerate(rows):
-            p = np.exp(fore[t] + back[t] - total)
-            gw[:, r] -= p[:, None]
-            gw[labels[t], r] += 1
-            if t:
-                gm -= np.exp(fore[t - 1][:, None] + moves + score[t] + back[t] - total)
-                gm[labels[t - 1], labels[t]] += 1
-    return gw, gm
-
-
-@functools.cache
-def model() -> tuple[tuple, tuple]:
-    """Trained (feature weights by state, transition weights)."""
-    docs = _generated(11, 240)
+    """Over the last axis."""
+    top = x.max(axis=-1)
+    return top + np.log(np.exp(x - top[..., None]).sum(axis=-1))
+
+
+class Chains:
+    """Labelled sequences of lines, the longest first, so that those with a line t are a prefix of the list."""
+
+    def __init__(self, docs: list[tuple[list[list[int]], list[int]]], weights: list[float]):
+        order = sorted(range(len(docs)), key=lambda i: -len(docs[i][0]))
+        self.sizes = np.array([len(docs[i][0]) for i in order])
+        self.start = np.cumsum(self.sizes) - self.sizes
+        self.x = np.zeros((self.sizes.sum(), N_FEATURES))
+        self.y = np.zeros((len(self.x), 2))
+        self.moved = np.zeros((2, 2))
+        self.weight = np.repeat([weights[i] for i in order], self.sizes)
+        for i, at in zip(order, self.start.tolist()):
+            rows, labels = docs[i]
+            for t, (r, label) in enumerate(zip(rows, labels)):
+                self.x[at + t, r] = 1
+                self.y[at + t, label] = 1
+                if t:
+                    self.moved[labels[t - 1], label] += weights[i]
+        self.active = [int((self.sizes > t).sum()) for t in range(self.sizes.max(initial=0))]
+
+    def gradient(self, weights: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Observed less expected counts of features and transitions (forward-backward), and the log-likelihood."""
+        score = self.x @ weights.T
+        fore, back = score.copy(), np.zeros_like(score)
+        for t in range(1, len(self.active)):
+            at = self.start[: self.active[t]] + t
+            fore[at] += log_sum((fore[at - 1][:, :, None] + moves).transpose(0, 2, 1))
+        for t in range(len(self.active) - 1, 0, -1):
+            at = self.start[: self.active[t]] + t
+            back[at - 1] = log_sum(moves + (score[at] + back[at])[:, None, :])
+        total = np.repeat(log_sum(fore[self.start + self.sizes - 1]), self.sizes)
+        p = np.exp(fore + back - total[:, None])
+        later = np.ones(len(score), bool)
+        later[self.start] = False
+        at = np.flatnonzero(later)
+        pairs = np.exp(fore[at - 1][:, :, None] + moves + (score[at] + back[at])[:, None, :] - total[at][:, None, None])
+        gw = ((self.y - p) * self.weight[:, None]).T @ self.x
+        gm = self.moved - (pairs * self.weight[at][:, None, None]).sum(axis=0)
+        seen = (self.weight * (self.y * score).sum(axis=1)).sum() + (self.moved * moves).sum()
+        return gw, gm, float(seen - (total * self.weight / np.repeat(self.sizes, self.sizes)).sum())
+
+
+def train(docs: list[tuple[list[list[int]], int]]) -> tuple[tuple, tuple]:
+    """(feature weights by state, transition weights) from (line features, label of the document) rows.
+
+    Every line of a document of label 1 counts as content, every line of one of label 0 as boilerplate; both labels
+    have the same total weight.  Without both labels all weights are 0, by which every line is content.
+    """
+    docs = [(rows, label) for rows, label in docs if rows]
+    n = [sum(label == k for _, label in docs) for k in (0, 1)]
     weights, moves = np.zeros((2, N_FEATURES)), np.zeros((2, 2))
-    for _ in range(40):
-        gw, gm = gradient(docs, weights, moves)
-        weights += 4.0 * (gw / len(docs) - 0.002 * weights)
-        moves += 1.0 * (gm / len(docs) - 0.002 * moves)
+    if all(n):
+        chains = Chains([(rows, [1 - label] * len(rows)) for rows, label in docs], [0.5 / n[label] / len(rows) for rows, label in docs])
+        for _ in range(STEPS):
+            gw, gm, _ = chains.gradient(weights, moves)
+            weights += RATE * (gw - DECAY * weights)
+            moves += RATE * (gm - DECAY * moves)
     return tuple(map(tuple, weights.tolist())), tuple(map(tuple, moves.tolist()))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> list[tuple[list[list[int]], int]]:
+    """(line features, label) of at most MAX_LABELLED labelled documents, MAX_LINES lines in a row of each."""
+    ids = (
+        labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (crc_mod(id_col, FOLDS) != 0))
+        .groupBy(id_col)
+        .agg(F.min(label_col).cast("int").alias("_label"))
+        .orderBy(F.xxhash64(id_col), id_col)
+        .limit(MAX_LABELLED)
+    )
+    mine = docs.select(id_col, text_col).join(F.broadcast(ids), id_col)  # at most MAX_LABELLED ids
+    mine = mine.groupBy(id_col, "_label").agg(F.min(text_col).alias("_text"))  # one text an id, however often it is there
+
+    def fn(cols: dict) -> dict:
+        masks = []
+        for i, text in zip(cols["_id"], cols["_text"]):
+            rows = line_rows(text)[0]
+            at = zlib.crc32(i.encode()) % max(1, len(rows) - MAX_LINES + 1)
+            masks.append([sum(1 << f for f in r) for r in rows[at : at + MAX_LINES]])
+        return {"_id": cols["_id"], "_label": cols["_label"], "_masks": masks}
+
+    rows = map_rows(mine.select(F.col(id_col).cast("string").alias("_id"), "_label", "_text"), fn, "_id string, _label int, _masks array<int>", 64)
+    return [([[f for f in range(N_FEATURES) if m >> f & 1] for m in r["_masks"]], r["_label"]) for r in sorted(rows.collect(), key=lambda r: r["_id"])]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> tuple[tuple, tuple]:
+    """The chain's weights, learned from labelled documents of the training fold."""
+    return train(labelled_sample(docs, labels, label_col, id_col, text_col))
+
+
 def viterbi(rows: list[list[int]], weights, moves) -> list[int]:
     """The likeliest labels; ties go to content."""
     w0, w1 = weights
@@ -209,37 +235,26 @@ def repeated_words(words: list[str]) -> int:
 
 def judge(text: str | None, weights, moves) -> tuple:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, content_share)."""
-    if not text:
-        return 0, 0, 0, 0, 0, True, False, 0.0
-    words: list[str] = []
-    rows, sizes, seen, dups = [], [], set(), 0
-    for line in text.split("\n"):
-        own = WORD.findall(line)
-        if not own:
-            continue
-        again = line in seen
-        dups += again
-        seen.add(line)
-        rows.append(features(line, own, again))
-        sizes.append(sum(map(len, own)))
-        words += own
+    rows, sizes, by_line, dups = line_rows(text)
+    if not rows:
+        return 0, 0, 0, 0, 0, True, False, 0.0  # white space only, so no symbols either
+    words = [w for line in by_line for w in line]
     raw = text.encode("utf-8", "surrogatepass")
     symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
     n, chars, again = len(words), sum(sizes), repeated_words(words)
     failed = n < MIN_WORDS or 100 * again > MAX_REPEAT_PERCENT * n
-    good = sum(s for s, x in zip(sizes, viterbi(rows, weights, moves)) if x == 0) if rows else 0
-    share = good / chars if chars else 0.0
+    share = sum(s for s, x in zip(sizes, viterbi(rows, weights, moves)) if x == 0) / chars
     return n, chars, symbols, dups, again, failed, not failed and share >= MIN_SHARE, share
 
 
-def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: counts, base verdict, verdict, share of content."""
-    weights, moves = model()
+def rules(docs: DataFrame, model: tuple[tuple, tuple], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: counts, base verdict, verdict, share of content; model: what `fit` gives."""
+    weights, moves = model
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
     def fn(cols: dict) -> dict:
-        found = [judge(t, weights, moves) for t in cols[text_col]]
-        return {id_col: cols[id_col]} | {k: [x[i] for x in found] for i, k in enumerate(names)}
+        found = [judge(t, weights, moves) for t in cols["_text"]]
+        return {id_col: cols["_id"]} | {k: [x[i] for x in found] for i, k in enumerate(names)}
 
-    schema = f"{id_col} {dict(docs.dtypes)[id_col]}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
-    return map_rows(docs.select(id_col, text_col), fn, schema)
+    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
+    return map_rows(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), fn, schema)

@@ -25,7 +25,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.rules(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return lines.rules(docs, lines.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
