@@ -26,6 +26,7 @@ from __future__ import annotations
 import functools
 import math
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,23 +49,61 @@ _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0
 _MASKED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[({]\x20?(?:at|AT|@)\x20?[\])}]\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:\.|[\[({]\x20?(?:dot|DOT|\.)\x20?[\])}])\x20?[A-Za-z0-9-]{2,24}){1,4}"
 
 SPAN = "array<struct<s:int,k:int,e:int,m:string,before:string,after:string>>"
+SHORT = "array<struct<s:int,k:int,e:int>>"
+#: Elements that a fold over an array takes at once.
+_RUN = 64
 
 
-def _spans(text: Column, pattern: str, kind: int, gate: Column) -> Column:
-    """All matches as (start, kind, end, match, 40 characters before, 4 after); none where the gate is closed."""
-    pieces = F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_SHUT}"), _OPEN, -1)
+def running(values: str, op: Callable[[Column, Column], Column], zero: int) -> Column:
+    """Fold of each element of an array column (of longs) with all before it; op is associative.
 
-    def step(acc: Column, x: Column) -> Column:
-        match = F.substring_index(x, _SHUT, 1)
-        size = F.char_length(match)
-        end = acc["p"] + size
-        rest = F.substring(x, size + F.lit(2), F.char_length(x))
-        one = F.struct(acc["p"].alias("s"), F.lit(kind).alias("k"), end.alias("e"), match.alias("m"), acc["b"].alias("before"), F.substring(rest, F.lit(1), F.lit(4)).alias("after"))
-        return F.struct((acc["p"] + F.char_length(x) - 1).alias("p"), F.right(rest, F.lit(40)).alias("b"), F.concat(acc["o"], F.array(one)).alias("o"))
+    A fold's state is copied at each step, so one that gathers an array takes time beyond linear.  Here runs of _RUN
+    elements are folded to numbers, these to each run's start, and the runs' elements from there: states hold _RUN
+    numbers, or one a run.  Lambdas refer to a column only, never to an expression, which they would compute anew for
+    each element.
+    """
+    v, start = F.col(values), F.lit(zero).cast("long")
+    run = lambda k: F.slice(v, k * _RUN + 1, F.lit(_RUN))
+    grow = lambda a, x: F.concat(a, F.array(op(F.element_at(a, -1), x)))
+    count = F.ceil(F.size(v) / _RUN).cast("int")
+    totals = F.transform(F.slice(F.sequence(F.lit(0), count), F.lit(1), count), lambda k: F.aggregate(run(k), start, op))
+    starts = F.aggregate(totals, F.array(start), grow)
+    return F.flatten(F.transform(starts, lambda s, k: F.aggregate(run(k), F.array(s), grow, lambda a: F.slice(a, F.lit(2), F.size(a)))))
 
-    first = F.struct(F.char_length(pieces[0]).alias("p"), F.right(pieces[0], F.lit(40)).alias("b"), F.array().cast(SPAN).alias("o"))
-    found = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), first, step, lambda acc: acc["o"])
-    return F.when(gate, found).otherwise(F.array().cast(SPAN))
+
+_add = lambda a, b: a + b
+_most = lambda a, b: F.greatest(a, b)
+_least = lambda a, b: F.least(a, b)
+
+
+def with_spans(df: DataFrame, text: str, made: dict[str, tuple[str, int, Column]]) -> DataFrame:
+    """df with an array column of matches for each (pattern, kind, gate): start, kind, end, match, 40 characters before,
+    4 after; none where the gate is closed.  What a later step reads more than once is a column, computed once a row.
+
+    The text is cut before each match; a piece holds a match, a mark, and what follows it.
+    """
+    t, keep = F.col(text), df.columns
+    piece, size, upto = ({n: f"_{x}{n}" for n in made} for x in ("piece", "size", "upto"))
+    cut = lambda pattern, gate: F.when(gate, F.split(F.regexp_replace(t, pattern, f"{_OPEN}$0{_SHUT}"), _OPEN, -1)).otherwise(F.array().cast("array<string>"))
+    df = df.select(*keep, *[cut(p, gate).alias(piece[n]) for n, (p, _, gate) in made.items()])
+    df = df.select("*", *[F.transform(piece[n], lambda x: F.char_length(x).cast("long") - 1).alias(size[n]) for n in made])
+    df = df.select("*", *[running(size[n], _add, 0).alias(upto[n]) for n in made])
+
+    def spans(name: str, kind: int) -> Column:
+        p, here = F.col(piece[name]), F.col(upto[name])
+        pairs = F.zip_with(F.slice(p, F.lit(2), F.size(p)), F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), lambda x, before: F.struct(x.alias("x"), before.alias("before")))
+
+        def one(y: Column, sum_: Column) -> Column:
+            match = F.substring_index(y["x"], _SHUT, 1)
+            start = (sum_ + 1).cast("int")
+            return F.struct(
+                start.alias("s"), F.lit(kind).alias("k"), (start + F.char_length(match)).alias("e"), match.alias("m"),
+                F.right(F.substring_index(y["before"], _SHUT, -1), F.lit(40)).alias("before"), F.substring(F.substring_index(y["x"], _SHUT, -1), 1, 4).alias("after"),
+            )
+
+        return F.zip_with(pairs, F.slice(here, F.lit(1), F.greatest(F.size(here) - 1, F.lit(0))), one)
+
+    return df.select(*keep, *[spans(n, kind).alias(n) for n, (_, kind, _) in made.items()])
 
 
 def _digits(m: Column) -> Column:
@@ -81,20 +120,25 @@ def _valid(kind: str, x: Column) -> Column:
     return n.between(10, 15) if kind == "phone" else F.lit(True)
 
 
-def base_spans(text: Column) -> list[Column]:
-    """Arrays of valid spans, by kind."""
+def base_kinds(text: Column) -> dict[str, tuple[str, int, Column]]:
+    """(pattern, kind, gate) of the base kinds."""
     digit = text.rlike("[0-9]")
     made = [(_EMAIL, text.contains("@")), (_IP, text.rlike(r"[0-9]\.[0-9]")), (_CARD, digit), (_PHONE, text.contains("+"))]
-    return [F.filter(_spans(text, p, i, gate), functools.partial(_valid, kind)) for i, (kind, (p, gate)) in enumerate(zip(BASE, made))]
+    return {f"_{kind}": (p, i, gate) for i, (kind, (p, gate)) in enumerate(zip(BASE, made))}
+
 
+def generators(text: Column) -> dict[str, tuple[str, int, Column]]:
+    """What proposes candidates: digit groups, letter-and-digit groups, addresses written out."""
+    return {
+        "_digits": (_DIGITS, 4, text.rlike("[0-9]")),
+        "_iban": (_IBAN, 6, text.rlike("[A-Z]{2}[0-9]{2}")),
+        "_masked": (_MASKED, 7, text.rlike(r"[\[({]\x20?(?:at|AT|@)")),
+    }
 
-def candidates(text: Column) -> Column:
-    """What the generators propose; digit groups are proposed under two kinds."""
-    digits = _spans(text, _DIGITS, 4, text.rlike("[0-9]"))
-    ssn = F.transform(digits, lambda x: x.withField("k", F.lit(5)))
-    iban = _spans(text, _IBAN, 6, text.rlike("[A-Z]{2}[0-9]{2}"))
-    masked = _spans(text, _MASKED, 7, text.rlike(r"[\[({]\x20?(?:at|AT|@)"))
-    return F.concat(digits, ssn, iban, masked)
+
+def candidates() -> Column:
+    """All proposals; digit groups are proposed under two kinds."""
+    return F.concat("_digits", F.transform("_digits", lambda x: x.withField("k", F.lit(5))), F.col("_iban"), F.col("_masked"))
 
 
 #: Cue words, by what they speak for.
@@ -161,7 +205,8 @@ def _described(spark: SparkSession, seed: int, n: int) -> list[tuple[list[float]
     """(features, label) of the candidates in n generated texts, by the SQL expressions."""
     rng = random.Random(seed)
     rows = ",".join("('{}',{})".format(t.replace("\\", "\\\\").replace("'", "\\'"), y) for t, y in (_example(rng) for _ in range(n)))
-    df = spark.sql(f"SELECT * FROM VALUES {rows} AS t(text, y)").select("y", F.explode(candidates(F.col("text"))).alias("x"))
+    df = spark.sql(f"SELECT * FROM VALUES {rows} AS t(text, y)")
+    df = with_spans(df, "text", generators(F.col("text"))).select("y", F.explode(candidates()).alias("x"))
     kept = df.select("y", F.array(*features(F.col("x"))).alias("f")).orderBy("y", "f").limit(MAX_EXAMPLES)
     return [(list(r[1]), r[0] if _fits(r[1]) else 0) for r in kept.collect()]
 
@@ -231,22 +276,53 @@ def _case(tree, f: Column) -> Column:
     return F.when(f[tree[0]] <= tree[1], _case(tree[2], f)).otherwise(_case(tree[3], f))
 
 
-def selected(cands: Column, base: Column, trees: tuple, thresholds: dict[int, float]) -> Column:
-    """The candidates whose log-odds reach their kind's threshold and that overlap no base span."""
-    scored = F.transform(cands, lambda x: F.struct(x.alias("x"), F.array(*features(x)).alias("f")))
+def _short(x: Column) -> Column:
+    return F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))
+
+
+def accepted(cands: Column, trees: tuple, thresholds: dict[int, float]) -> Column:
+    """The candidates whose log-odds reach their kind's threshold, without their strings."""
+    scored = F.transform(cands, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.array(*features(x)).alias("f")))
     odds = lambda y: functools.reduce(lambda a, b: a + b, [_case(t, y["f"]) for t in trees])
     cut = lambda k: functools.reduce(lambda c, i: c.when(k == i, F.lit(thresholds[i])), list(thresholds)[1:], F.when(k == 4, F.lit(thresholds[4])))
-    good = F.filter(scored, lambda y: odds(y) >= cut(y["x"]["k"]))
-    free = lambda y: ~F.exists(base, lambda b: (b["s"] < y["x"]["e"]) & (y["x"]["s"] < b["e"]))
-    left = F.transform(F.filter(good, free), lambda y: y["x"])
-    inside = lambda x, y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]) & (x["e"] - x["s"] < y["e"] - y["s"])
-    return F.filter(left, lambda x: ~F.exists(left, lambda y: inside(x, y)))
+    return F.transform(F.filter(scored, lambda y: odds(y) >= cut(y["k"])), _short)
+
+
+def apart(df: DataFrame, good: str, base: str, out: str) -> DataFrame:
+    """df with the spans of one column that overlap none of another's: both in one order, with the furthest end of the
+    base spans that begin before each, and the start of the next one."""
+    mark = lambda t: lambda x: F.struct(x["s"].alias("s"), F.lit(t).alias("t"), x["e"].alias("e"), x["k"].alias("k"))
+    keep, far = df.columns, F.lit(2**31).cast("long")
+    none = F.array().cast("array<struct<s:int,t:int,e:int,k:int>>")
+    both = F.when(F.size(good) > 0, F.sort_array(F.concat(F.transform(base, mark(0)), F.transform(good, mark(1))))).otherwise(none)
+    df = df.select("*", both.alias("_both"))
+    end = F.transform("_both", lambda x: F.when(x["t"] == 0, x["e"].cast("long")).otherwise(F.lit(0).cast("long")))
+    start = F.transform(F.reverse("_both"), lambda x: F.when(x["t"] == 0, x["s"].cast("long")).otherwise(far))
+    df = df.select("*", end.alias("_end"), start.alias("_start"))
+    reach, after = running("_end", _most, 0), F.reverse(running("_start", _least, 2**31))
+    seen = F.zip_with(F.zip_with("_both", reach, lambda x, r: F.struct(x.alias("x"), r.alias("r"))), after, lambda y, n: F.struct(y["x"].alias("x"), y["r"].alias("r"), n.alias("n")))
+    free = F.filter(seen, lambda y: (y["x"]["t"] == 1) & (y["r"] <= y["x"]["s"]) & (y["n"] >= y["x"]["e"]))
+    return df.select(*keep, F.transform(free, lambda y: _short(y["x"])).alias(out))
+
+
+def outermost(df: DataFrame, spans: str, out: str) -> DataFrame:
+    """df with those spans of a column that lie in no longer one of it.
+
+    In the order of start and, from the longest, of end, a longer span around another one comes before it; it has a
+    larger end, or the same with a smaller start.
+    """
+    keep, size = df.columns, 1 << 32
+    order = F.sort_array(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("n"), x["k"].alias("k"))))
+    df = df.select("*", order.alias("_order"))
+    df = df.select("*", F.transform("_order", lambda x: -x["n"].cast("long") * size - x["s"]).alias("_rank"))
+    seen = F.zip_with("_order", F.zip_with("_rank", running("_rank", _most, 0), lambda r, top: top > r), lambda x, inside: F.struct(x.alias("x"), inside.alias("inside")))
+    found = F.transform(F.filter(seen, lambda y: ~y["inside"]), lambda y: F.struct(y["x"]["s"].alias("s"), y["x"]["k"].alias("k"), (-y["x"]["n"]).alias("e")))
+    return df.select(*keep, found.alias(out))
 
 
 def _joined(spans: Column, names: tuple) -> Column:
     kind = F.array(*[F.lit(k) for k in names])
-    short = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))
-    return F.array_join(F.transform(short, lambda x: F.concat_ws(":", F.element_at(kind, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kind, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,15 +330,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     trees, thresholds = model(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     clean = F.when(text.contains(_OPEN) | text.contains(_SHUT), F.translate(text, _OPEN + _SHUT, _OTHER * 2)).otherwise(text)
-    df = docs.select(F.col(id_col).alias("_id"), clean.alias("_t"))
-    df = df.select("_id", *[c.alias(f"_{k}") for k, c in zip(BASE, base_spans(F.col("_t")))], candidates(F.col("_t")).alias("_more"))
-    base = F.concat(*[F.col(f"_{k}") for k in BASE])
-    df = df.select("_id", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE], base.alias("_base"), "_more")
-    df = df.select("_id", *[f"n_{k}" for k in BASE], "_base", F.when(F.size("_more") > 0, selected(F.col("_more"), F.col("_base"), trees, thresholds)).otherwise(F.array().cast(SPAN)).alias("_more"))
+    names, t = [f"n_{k}" for k in BASE], F.col("_t")
+    df = with_spans(docs.select(F.col(id_col).alias("_id"), clean.alias("_t")), "_t", base_kinds(t) | generators(t))
+    df = df.select("_id", *[F.filter(f"_{k}", functools.partial(_valid, k)).alias(f"_{k}") for k in BASE], candidates().alias("_cands"))
+    base = F.sort_array(F.concat(*[F.transform(f"_{k}", _short) for k in BASE]))
+    good = F.when(F.size("_cands") > 0, accepted(F.col("_cands"), trees, thresholds)).otherwise(F.array().cast(SHORT))
+    df = df.select("_id", *[F.size(f"_{k}").cast("long").alias(n) for k, n in zip(BASE, names)], base.alias("_base"), good.alias("_good"))
+    df = outermost(apart(df, "_good", "_base", "_apart"), "_apart", "_more")
     return df.select(
         F.col("_id").alias(id_col),
-        *[f"n_{k}" for k in BASE],
+        *names,
         F.sha2(_joined(F.col("_base"), BASE).cast("binary"), 256).alias("base_sha256"),
-        _joined(F.concat("_base", "_more"), BASE + MORE).alias("spans"),
+        _joined(F.sort_array(F.concat("_base", "_more")), BASE + MORE).alias("spans"),
         F.size("_more").cast("long").alias("n_more"),
     )
