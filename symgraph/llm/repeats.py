@@ -2,22 +2,24 @@
 
 A byte goes if a string of WIDTH (50) bytes that covers it also starts in a document with a smaller id.
 
-Parsing.  A rolling hash over GRAM bytes picks triggers: the trigger of a WIDTH-byte string is its gram with
-the smallest hash.  Consecutive strings with the same trigger form a phrase, which is cut out whole:
-a phrase with w strings has WIDTH + w - 1 bytes, so neighbouring phrases overlap, every WIDTH-byte string
-lies in exactly one phrase, and where the phrases begin and end depends on nothing but the bytes there.  The
+Parsing.  A rolling hash over WIDTH - 1 bytes picks triggers, one place in EVERY; a phrase ends with a trigger and
+the next one begins with it, so phrases overlap by WIDTH - 1 bytes and every WIDTH-byte string lies in exactly one
+phrase.  Where phrases begin and end depends on the bytes there alone, so copies have the same phrases.  The
 distinct phrases are the dictionary, a document's series of phrases is its parse.
 
-Order.  What is asked of corpus order (suffixes sorted by their first WIDTH bytes, the smallest id in each
-run of equal ones) is found in two steps.  In the parse: a trigger whose phrases are all equal has its
-strings in these phrases only, so one comparison of phrases settles all of them at once; that covers the
-insides of copies, however many.  In the dictionary: where phrases with the same trigger differ, the distinct
-phrases meet, their suffixes are sorted by their first WIDTH bytes (as 64-bit hashes of them), and runs of
-equal ones get their smallest id.  A trigger with more than HOT distinct phrases does not meet in one place:
-its suffixes are dealt by their own hashes instead.  Strings whose trigger occurs in one document only need
-no further work.
+The parse.  Buckets of phrase digests (128 bits) tell the parts which of their phrases a smaller id has: there all
+of the phrase goes.  A phrase stays in the dictionary where its smallest id is, so from here on the work follows the
+distinct text, not the copies.
 
-Phrases are compared by 64-bit hashes next to the trigger's address, strings by 64-bit hashes.
+The dictionary.  Equal strings of different phrases have to meet.  A string's key is the smallest hash of a gram of
+GRAM bytes in it, and a run is a series of strings of one phrase with one key; it is cut out whole.  Parts first
+announce their keys; a key that only one run has is settled.  Runs with shared keys meet in a bucket of the key, each
+distinct one sent once by a part.  There they are a corpus of their own, highly repetitive: the suffix arrays of its
+dictionary and of its parse combine into corpus order (see `pfp`), equal WIDTH-byte strings are neighbours in it,
+compared byte by byte, and each run of equal ones gets its smallest id.  The strings of a key that has more than HOT
+runs don't meet in one place: they are sent one by one, to buckets of their own hash.
+
+Nothing is removed on the equality of short hashes: those only decide what is compared.
 
 Ids are integers; a null id counts as larger than any other.  Rows with equal ids never remove from each
 other.  Null and empty texts, and texts under WIDTH bytes, keep everything.
@@ -30,25 +32,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from .common import splitmix
 from .exchange import PART_BYTES, Outbox, address, answer, deal, finish, gathered, ids, joined, lookup, low, resend, send, texts, thin, unpack
+from .pfp import Corpus
 
 WIDTH = 50
+#: One place in so many is a trigger.
+EVERY = 256
 GRAM = 16
 CHUNK = 1 << 17
-#: Strings of a phrase at most: as many as can share one gram.  Only periodic texts would have longer runs.
+#: Strings of a run at most: as many as can share one gram.  Only periodic texts would have longer runs.
 LONGEST = WIDTH - GRAM + 1
-#: Distinct phrases of one trigger from which its suffixes are dealt one by one.
+#: Runs of one key from which its strings are dealt one by one.
 HOT = 1 << 16
-#: Strings of a bucket that are sorted at once.
-SLICE = 1 << 19
-_MANY, _HOT = np.int64(-(2**63)), np.int64(-(2**63) + 1)
 _PRIME = 0x9E3779B97F4A7C15
 _32 = np.uint64(32)
-#: Buckets of phrases for each bucket of triggers, as a power of two: phrases are larger than addresses.
-_SUB = np.uint64(2)
+#: Buckets of runs for each bucket of keys, as a power of two: runs are larger than keys.
+_SUB = np.uint64(3)
+_KEY = np.dtype([("hi", "<u8"), ("lo", "<u8")])
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -77,60 +81,56 @@ def hashes(prefix: np.ndarray, start: np.ndarray, size) -> np.ndarray:
         return (prefix[start + size] - prefix[start]) * _table["inverse"][start]
 
 
-def string_hashes(prefix: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(step within its phrase, hash) of every WIDTH-byte string of phrases."""
-    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return step, splitmix(hashes(prefix, np.repeat(start, count) + step, WIDTH) ^ np.uint64(0xA0761D6478BD642F))
-
-
-class Pieces:
-    """Some documents' bytes in a row, with prefix hashes and the phrases of all their WIDTH-byte strings."""
+class Slab:
+    """Some texts (or phrases) in a row, with prefix hashes; only those of WIDTH bytes or more."""
 
     def __init__(self, rows: list[int], offsets: list[int], data: list[bytes]):
         self.raw = b"".join(data)
-        n = len(self.raw)
-        sizes = np.fromiter(map(len, data), np.int64, len(data))
-        ends = np.cumsum(sizes)
+        self.size = np.fromiter(map(len, data), np.int64, len(data))
+        self.end = np.cumsum(self.size)
+        self.begin = self.end - self.size
+        self.rows, self.offsets = np.asarray(rows, np.int64), np.asarray(offsets, np.int64)
         self.prefix = prefixes(self.raw)
-        grams = splitmix(hashes(self.prefix, np.arange(n - GRAM + 1), GRAM)) if n >= GRAM else np.empty(0, np.uint64)
-        least, span, want = grams, 1, WIDTH - GRAM + 1
+
+    def grams(self, size: int) -> np.ndarray:
+        n = len(self.raw) - size + 1
+        return splitmix(hashes(self.prefix, np.arange(n), size)) if n > 0 else np.empty(0, np.uint64)
+
+    def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """(row, place in the row, strings, bytes) of every phrase."""
+        found = np.flatnonzero(self.grams(WIDTH - 1) % np.uint64(EVERY) == 0)
+        piece = np.searchsorted(self.end, found, side="right")
+        found = found[(found > self.begin[piece]) & (found + WIDTH - 1 <= self.end[piece])]
+        start = np.sort(np.concatenate([self.begin, found]))
+        piece = np.searchsorted(self.end, start, side="right")
+        follow = np.append(start[1:], len(self.raw))
+        follow = np.where(follow < self.end[piece], follow, self.end[piece] - (WIDTH - 1))
+        some = np.flatnonzero(follow > start)
+        start, piece, count = start[some], piece[some], (follow - start)[some]
+        content = [self.raw[s:e] for s, e in zip(start.tolist(), (start + count + WIDTH - 1).tolist())]
+        return self.rows[piece], start - self.begin[piece] + self.offsets[piece], count, content
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(key, row, place in the row, place here, strings) of every run of strings with one key."""
+        least, span, want = self.grams(GRAM), 1, WIDTH - GRAM + 1
         while span < want and len(least):
             step = min(span, want - span)
             least = np.minimum(least[:-step], least[step:])
             span += step
-        # Strings stay within a document; a phrase is a run of strings with one trigger.
-        piece = np.repeat(np.arange(len(data)), sizes)[: len(least)]
-        inside = np.flatnonzero(np.arange(len(least)) + WIDTH <= ends[piece])
+        # Strings stay within their text.
+        piece = np.repeat(np.arange(len(self.size)), self.size)[: len(least)]
+        inside = np.flatnonzero(np.arange(len(least)) + WIDTH <= self.end[piece])
         key, own = least[inside], piece[inside]
         first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))) if len(key) else np.empty(0, np.int64)
         run = np.diff(np.append(first, len(key)))
         if len(run) and run.max() > LONGEST:  # texts of a short period
             parts = -(-run // LONGEST)
             first = np.repeat(first, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-        self.start = inside[first]
-        self.count = np.diff(np.append(first, len(key)))
-        self.key = key[first]
-        self.row = np.asarray(rows, np.int64)[own[first]]
-        self.at = self.start - (ends - sizes)[own[first]] + np.asarray(offsets, np.int64)[own[first]]
-
-    def phrases(self, which: np.ndarray) -> np.ndarray:
-        """Hashes of whole phrases; never 0."""
-        with np.errstate(over="ignore"):
-            x = hashes(self.prefix, self.start[which], self.count[which] + WIDTH - 1) + self.count[which].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        return np.maximum(splitmix(x), np.uint64(1))
-
-    def content(self, which: np.ndarray) -> list[bytes]:
-        start = self.start[which]
-        return [self.raw[s:e] for s, e in zip(start.tolist(), (start + self.count[which] + WIDTH - 1).tolist())]
-
-    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, place in its text, hash) of every WIDTH-byte string of these phrases."""
-        count = self.count[which]
-        step, found = string_hashes(self.prefix, self.start[which], count)
-        return np.repeat(self.row[which], count), np.repeat(self.at[which], count) + step, found
-
-
-def pieces(data: list[bytes]) -> Iterator[Pieces]:
+        start, own = inside[first], own[first]
+        return key[first], self.rows[own], start - self.begin[own] + self.offsets[own], start, np.diff(np.append(first, len(key)))
+
+
+def slabs(data: list[bytes]) -> Iterator[Slab]:
     """All texts, about CHUNK bytes at a time; a longer text comes in pieces that share WIDTH - 1 bytes."""
     rows, offsets, parts, size = [], [], [], 0
     for row, raw in enumerate(data):
@@ -143,10 +143,10 @@ def pieces(data: list[bytes]) -> Iterator[Pieces]:
             parts.append(part)
             size += len(part)
             if size >= CHUNK:
-                yield Pieces(rows, offsets, parts)
+                yield Slab(rows, offsets, parts)
                 rows, offsets, parts, size = [], [], [], 0
     if parts:
-        yield Pieces(rows, offsets, parts)
+        yield Slab(rows, offsets, parts)
 
 
 def groups(sorted_keys: np.ndarray) -> np.ndarray:
@@ -154,262 +154,211 @@ def groups(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.empty(0, np.int64)
 
 
-def _triggers(data: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Addresses of a part's triggers that one row has, and of those that several rows have."""
-    keys, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for p in pieces(data):
-        keys.append(address(p.key, n))
-        rows.append(p.row)
-    key, row = np.concatenate(keys), np.concatenate(rows)
-    order = np.argsort(key, kind="stable")
-    key, row = key[order], row[order]
-    at = groups(key)
-    if not len(at):
-        return key, key
-    several = np.minimum.reduceat(row, at) != np.maximum.reduceat(row, at)
-    return key[at][~several], key[at][several]
-
-
-def _announce(n: int):
+class Parse:
+    """The phrases of a part's texts: row, place, strings and number of each; the distinct ones by digest, with their
+    content and the part's smallest id."""
+
+    def __init__(self, data: list[bytes], own: np.ndarray):
+        row, at, count, content = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+        for slab in slabs(data):
+            r, a, c, x = slab.phrases()
+            row.append(r)
+            at.append(a)
+            count.append(c)
+            content += x
+        self.row, self.at, self.count = (np.concatenate(x) for x in (row, at, count))
+        found = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, content)), "<u8").reshape(-1, 2)
+        order = np.lexsort((found[:, 1], found[:, 0]))
+        found = found[order]
+        first = np.flatnonzero(np.append(True, (found[1:] != found[:-1]).any(axis=1))) if len(order) else np.empty(0, np.int64)
+        self.number = np.empty(len(order), np.int64)
+        self.number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        self.key = np.empty(len(first), _KEY)
+        self.key["hi"], self.key["lo"] = found[first, 0], found[first, 1]
+        self.content = [content[i] for i in order[first].tolist()]
+        self.least = np.minimum.reduceat(own[self.row][order], first) if len(first) else np.empty(0, np.int64)
+
+    def told(self, got: list, n: int) -> None:
+        """Takes in which phrases a smaller id has elsewhere; `kept` numbers the phrases for which there is none."""
+        bucket = address(self.key["hi"], n) >> _32
+        elsewhere = np.zeros(len(self.key), bool)
+        for src, place, least, _ in got:
+            if src < n:
+                mine = np.searchsorted(bucket, src) + unpack(place, np.uint32).astype(np.int64)
+                self.least[mine] = unpack(least, np.int64)
+                elsewhere[mine] = True
+        self.kept = np.flatnonzero(~elsewhere)
+
+
+def _announce_phrases(n: int):
     def fn(part: int, table: pa.Table, out: Outbox) -> None:
-        for kind, found in enumerate(_triggers(texts(table), n)):
-            out.scatter(n, found >> _32, low(found), np.full(len(found), kind, np.uint8))
+        parse = Parse(texts(table), ids(table))
+        out.scatter(n, address(parse.key["hi"], n) >> _32, parse.key, parse.least)
 
     return fn
 
 
-def _shared(bucket: int, got: list, out: Outbox) -> None:
-    """Tell each part which of its triggers another row has."""
-    keys = gathered(got, 0, np.uint32)
-    several = gathered(got, 1, np.uint8)
-    src = np.repeat([m[0] for m in got], [len(m[1]) // 4 for m in got])
-    order = np.argsort(keys, kind="stable")
-    at = groups(keys[order])
-    count = np.diff(np.append(at, len(keys)))
-    shared = np.empty(len(keys), bool)
-    shared[order] = np.repeat((count > 1) | (np.maximum.reduceat(several[order], at) > 0), count)
-    mine = np.flatnonzero(shared)
-    for a in np.split(mine, np.flatnonzero(np.diff(src[mine])) + 1) if len(mine) else []:
-        out.put(int(src[a[0]]), np.sort(keys[a]))
-
-
-def _addresses(got: list) -> np.ndarray:
-    return np.sort(np.concatenate([joined(m[0], unpack(m[1], np.uint32)) for m in got])) if got else np.empty(0, np.uint64)
+def _owners(bucket: int, got: list, out: Outbox) -> None:
+    """Tell each part which of its phrases (by place in its message) a smaller id has, and this id."""
+    key, owner = gathered(got, 0, _KEY), gathered(got, 1, np.int64)
+    order = np.lexsort((key["lo"], key["hi"]))
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    least = np.empty(len(key), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(owner[order], first), np.diff(np.append(first, len(key))))
+    s = 0
+    for m in got:
+        e = s + len(m[1]) // _KEY.itemsize
+        less = np.flatnonzero(least[s:e] < owner[s:e])
+        if len(less):
+            out.put(m[0], less.astype(np.uint32), least[s:e][less])
+        s = e
 
 
-def _phrases(n: int):
-    """For each shared trigger: its phrase's hash and smallest id, or 0 and their number where the part has several."""
+def _announce_keys(n: int):
+    """Keys of the runs of the phrases that are kept, with the number of these runs (255 for more)."""
 
     def fn(part: int, table: pa.Table, got: list, out: Outbox) -> None:
-        shared, own = _addresses(got), ids(table)
-        keys, values, owners = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for p in pieces(texts(table)):
-            key = address(p.key, n)
-            which = np.flatnonzero(lookup(shared, key)[1])
-            keys.append(key[which])
-            values.append(p.phrases(which))
-            owners.append(own[p.row[which]])
-        key, value, owner = np.concatenate(keys), np.concatenate(values), np.concatenate(owners)
-        order = np.lexsort((value, key))
-        key, value, owner = key[order], value[order], owner[order]
+        parse = Parse(texts(table), ids(table))
+        parse.told(got, n)
+        keys = [np.empty(0, np.uint64)]
+        for slab in slabs([parse.content[i] for i in parse.kept.tolist()]):
+            keys.append(address(slab.runs()[0], n))
+        key = np.sort(np.concatenate(keys))
         at = groups(key)
-        if not len(at):
-            return
-        new = np.append(True, (value[1:] != value[:-1]) | (key[1:] != key[:-1]))
-        several = np.add.reduceat(new.astype(np.int64), at)
-        found = key[at]
-        out.scatter(n, found >> _32, low(found), np.where(several == 1, value[at], np.uint64(0)), np.where(several == 1, np.minimum.reduceat(owner, at), several))
+        count = np.minimum(np.diff(np.append(at, len(key))), 255)
+        out.scatter(n, (key[at] >> _32) + np.uint64(n), low(key[at]), count.astype(np.uint8))
 
     return fn
 
 
-def _owners(bucket: int, got: list, out: Outbox) -> None:
-    """Tell each part, for each shared trigger, the smallest id, or that there are several phrases or very many."""
-    keys, value, owner = gathered(got, 0, np.uint32), gathered(got, 1, np.uint64), gathered(got, 2, np.int64)
-    order = np.argsort(keys, kind="stable")
-    at = groups(keys[order])
-    count = np.diff(np.append(at, len(keys)))
-    least, most = np.minimum.reduceat(value[order], at), np.maximum.reduceat(value[order], at)
-    phrases = np.add.reduceat(np.where(value > 0, 1, owner)[order], at)
-    result = np.where((least == most) & (least > 0), np.minimum.reduceat(owner[order], at), np.where(phrases > HOT, _HOT, _MANY))
-    back = np.empty(len(keys), np.int64)
-    back[order] = np.repeat(result, count)
-    s = 0
-    for m in got:
-        e = s + len(m[1]) // 4
-        out.put(m[0], keys[s:e], back[s:e])
-        s = e
+def _shared(n: int, hot: int):
+    """Tell each part which of its keys several runs have, and which of these very many."""
 
+    def fn(bucket: int, got: list, out: Outbox) -> None:
+        keys, count = gathered(got, 0, np.uint32), gathered(got, 1, np.uint8).astype(np.int64)
+        src = np.repeat([m[0] for m in got], [len(m[1]) // 4 for m in got])
+        order = np.argsort(keys, kind="stable")
+        at = groups(keys[order])
+        total = np.empty(len(keys), np.int64)
+        total[order] = np.repeat(np.add.reduceat(count[order], at), np.diff(np.append(at, len(keys))))
+        mine = np.flatnonzero(total > 1)
+        for a in np.split(mine, np.flatnonzero(np.diff(src[mine])) + 1) if len(mine) else []:
+            a = a[np.argsort(keys[a], kind="stable")]
+            out.put(int(src[a[0]]), keys[a], (total[a] > hot).astype(np.uint8))
 
-def _owner_table(got: list) -> tuple[np.ndarray, np.ndarray]:
-    got = [m for m in got if m[3] is None]
-    if not got:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    key = np.concatenate([joined(m[0], unpack(m[1], np.uint32)) for m in got])
-    value = gathered(got, 1, np.int64)
-    order = np.argsort(key, kind="stable")
-    return key[order], value[order]
-
-
-def _located(data: list[bytes], table: tuple, n: int) -> list[tuple]:
-    """Of every piece: itself, its phrases with shared triggers, these triggers' addresses and what was told of them."""
-    out = []
-    for p in pieces(data):
-        key = address(p.key, n)
-        at, there = lookup(table[0], key)
-        which = np.flatnonzero(there)
-        out.append((p, which, key[which], table[1][at[which]]))
-    return out
+    return fn
 
 
-def _disputed(cut: list[tuple], own: np.ndarray) -> tuple:
-    """(address and hash, smallest id, content) of a part's distinct phrases whose trigger has several, in order."""
-    keys, values, owners, content = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], []
-    for p, which, key, told in cut:
-        which, key = which[told == _MANY], key[told == _MANY]
-        keys.append(key)
-        values.append(p.phrases(which))
-        owners.append(own[p.row[which]])
-        content += p.content(which)
-    key, value, owner = np.concatenate(keys), np.concatenate(values), np.concatenate(owners)
-    order = np.lexsort((owner, value, key))
-    both = np.empty(len(key), [("key", "<u8"), ("value", "<u8")])
-    both["key"], both["value"] = key[order], value[order]
-    at = np.flatnonzero(np.append(True, (key[order][1:] != key[order][:-1]) | (value[order][1:] != value[order][:-1]))) if len(key) else np.empty(0, np.int64)
-    return both[at], owner[order][at], [content[i] for i in order[at].tolist()]
-
-
-def _suffixes(cut: list[tuple], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted string hashes of the phrases with very many rivals, and the part's smallest id for each."""
-    values, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for p, which, _, told in cut:
-        hot = which[told == _HOT]
-        if len(hot):
-            row, _, found = p.strings(hot)
-            values.append(found)
-            owners.append(own[row])
-    value, owner = np.concatenate(values), np.concatenate(owners)
-    order = np.argsort(value, kind="stable")
-    value, owner = value[order], owner[order]
-    at = groups(value)
-    return value[at], np.minimum.reduceat(owner, at) if len(at) else owner
-
-
-def _dispute(n: int):
-    """Distinct phrases to four buckets for each of their triggers' ones, hot suffixes to those of their hashes (after these)."""
+class Runs:
+    """A part's runs with shared keys: phrase, place in it, strings and number of each; the distinct ones by bucket and
+    content, with the part's smallest id.  Strings of hot keys are runs of one."""
+
+    def __init__(self, parse: Parse, got: list, n: int):
+        got = [m for m in got if n <= m[0] < 2 * n]
+        table = np.concatenate([joined(m[0] - n, unpack(m[1], np.uint32)) for m in got]) if got else np.empty(0, np.uint64)
+        hot = gathered(got, 1, np.uint8)
+        order = np.argsort(table, kind="stable")
+        table, hot = table[order], hot[order]
+        phrase, at, count = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        number, seen = [], {}
+        for slab in slabs([parse.content[i] for i in parse.kept.tolist()]):
+            key, row, place, start, strings = slab.runs()
+            key = address(key, n)
+            where, there = lookup(table, key)
+            mine = np.flatnonzero(there)
+            key, row, place, start, strings = key[mine], row[mine], place[mine], start[mine], strings[mine]
+            single = hot[where[mine]] > 0
+            if single.any():  # every string on its own
+                times = np.where(single, strings, 1)
+                step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                key, row, single = (np.repeat(x, times) for x in (key, row, single))
+                place, start, strings = np.repeat(place, times) + step, np.repeat(start, times) + step, np.where(single, 1, np.repeat(strings, times))
+            dest = (key >> (_32 - _SUB)).tolist()
+            for s, e, d, alone in zip(start.tolist(), (start + strings + WIDTH - 1).tolist(), dest, single.tolist()):
+                x = slab.raw[s:e]
+                number.append(seen.setdefault((_bucket(x, n) if alone else d, x), len(seen)))
+            phrase.append(row)
+            at.append(place)
+            count.append(strings)
+        self.phrase, self.at, self.count = parse.kept[np.concatenate(phrase)], np.concatenate(at), np.concatenate(count)
+        listed = sorted(seen)
+        rank = np.empty(len(seen), np.int64)
+        rank[[seen[x] for x in listed]] = np.arange(len(seen))
+        self.number = rank[np.asarray(number, np.int64)]
+        self.dest, self.content = [d for d, _ in listed], [x for _, x in listed]
+        self.least = np.full(len(seen), 2**63 - 1)
+        np.minimum.at(self.least, self.number, parse.least[self.phrase])
+
+
+def _bucket(string: bytes, n: int) -> int:
+    return xxhash.xxh3_64_intdigest(string) * (n << int(_SUB)) >> 64
+
+
+def _send_runs(n: int):
+    """Distinct runs to their buckets, which come after those of phrases and keys."""
 
     def fn(part: int, table: pa.Table, got: list, out: Outbox) -> None:
-        own, cut = ids(table), _located(texts(table), _owner_table(got), n)
-        both, owner, content = _disputed(cut, own)
-        dest = (both["key"] >> (_32 - _SUB)).astype(np.int64)
-        cuts = groups(dest).tolist()
-        for s, e in zip(cuts, [*cuts[1:], len(dest)]):
-            count = np.fromiter(map(len, content[s:e]), np.int64, e - s) - (WIDTH - 1)
-            out.put(int(dest[s]), np.frombuffer(b"".join(content[s:e]), np.uint8), count.astype(np.uint8), owner[s:e])
-        value, owner = _suffixes(cut, own)
-        out.scatter(n, (address(value, n) >> _32) + np.uint64(n << int(_SUB)), value, owner)
+        parse = Parse(texts(table), ids(table))
+        parse.told(got, n)
+        runs = Runs(parse, got, n)
+        size = np.fromiter(map(len, runs.content), np.int64, len(runs.content))
+        cuts = groups(np.asarray(runs.dest, np.int64)).tolist()
+        for s, e in zip(cuts, [*cuts[1:], len(size)]):
+            out.put(2 * n + runs.dest[s], np.frombuffer(b"".join(runs.content[s:e]), np.uint8), (size[s:e] - (WIDTH - 1)).astype(np.uint8), runs.least[s:e])
 
     return fn
 
 
-def _settle(n: int):
-    def fn(bucket: int, got: list, out: Outbox) -> None:
-        (_settle_phrases if bucket < n << int(_SUB) else _settle_strings)(got, out)
-
-    return fn
-
-
-def _settle_phrases(got: list, out: Outbox) -> None:
-    """Tell each part, for each phrase it sent, which of its strings a smaller id has (a bit each).
-
-    The suffixes are sorted slice by slice of the hash space, so that work space does not grow with the bucket.
-    """
-    counts = [unpack(m[2], np.uint8).astype(np.int64) for m in got]
-    count, owner = np.concatenate(counts), gathered(got, 2, np.int64)
-    value, at = np.empty(count.sum(), np.uint64), 0
-    for m, c in zip(got, counts):
-        ends = np.cumsum(c + WIDTH - 1)
-        found = string_hashes(prefixes(m[1]), ends - (c + WIDTH - 1), c)[1]
-        value[at : at + len(found)] = found
-        at += len(found)
-    phrase = np.repeat(np.arange(len(count), dtype=np.int32), count)
-    first = np.cumsum(count) - count
-    bits = np.zeros(len(count), np.uint64)
-    slices = max(1, len(value) // SLICE)
-    for k in range(slices):
-        inside = value >= np.uint64((k << 64) // slices)
-        if k + 1 < slices:
-            inside &= value < np.uint64(((k + 1) << 64) // slices)
-        mine = np.flatnonzero(inside)
-        mine = mine[np.argsort(value[mine], kind="stable")]
-        start = groups(value[mine])
-        own = owner[phrase[mine]]
-        least = np.repeat(np.minimum.reduceat(own, start), np.diff(np.append(start, len(mine)))) if len(mine) else own
-        less = mine[least < own]
-        np.bitwise_or.at(bits, phrase[less], np.uint64(1) << (less - first[phrase[less]]).astype(np.uint64))
+def _settle(bucket: int, got: list, out: Outbox) -> None:
+    """Tell each part, for each run it sent, which of its strings a smaller id has (a bit each), by corpus order."""
+    number, seen, counts = [], {}, []
+    for _, raw, count, _ in got:
+        counts.append(unpack(count, np.uint8).astype(np.int64))
+        ends = np.cumsum(counts[-1] + WIDTH - 1)
+        number += [seen.setdefault(raw[s:e], len(seen)) for s, e in zip((ends - counts[-1] - (WIDTH - 1)).tolist(), ends.tolist())]
+    number, owner = np.asarray(number, np.int64), gathered(got, 2, np.int64)
+    least = np.full(len(seen), 2**63 - 1)
+    np.minimum.at(least, number, owner)
+    corpus = Corpus(list(seen))
+    place, string = corpus.equal_strings(WIDTH)
+    best = np.full(string.max(initial=-1) + 1, 2**63 - 1)
+    np.minimum.at(best, string, least[corpus.doc[place]])
+    at = np.empty(len(corpus.raw), np.int64)  # smallest id of the string that begins at each place
+    at[place] = best[string]
     s = 0
-    for m, c in zip(got, counts):
-        out.put(m[0], bits[s : s + len(c)], None, np.ones(1, np.uint8))
-        s += len(c)
-
-
-def _settle_strings(got: list, out: Outbox) -> None:
-    """Tell each part which of its strings a smaller id has elsewhere."""
-    value, owner = gathered(got, 0, np.uint64), gathered(got, 1, np.int64)
-    order = np.argsort(value, kind="stable")
-    at = groups(value[order])
-    least = np.empty(len(value), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(owner[order], at), np.diff(np.append(at, len(value))))
-    s = 0
-    for m in got:
-        e = s + len(m[1]) // 8
-        less = np.flatnonzero(least[s:e] < owner[s:e]) + s
-        if len(less):
-            out.put(m[0], value[less], least[less], np.empty(0, np.uint8))
+    for m, count in zip(got, counts):
+        e = s + len(count)
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        less = at[np.repeat(corpus.start[number[s:e]], count) + step] < np.repeat(owner[s:e], count)
+        bits = np.zeros(len(count), np.uint64)
+        np.bitwise_or.at(bits, np.repeat(np.arange(len(count)), count)[less], np.uint64(1) << step[less].astype(np.uint64))
+        out.put(m[0], bits)
         s = e
 
 
 def removed_spans(data: list[bytes], own: np.ndarray, got: list, n: int) -> list[list[tuple[int, int]]]:
     """Merged byte spans of each row that go."""
-    cut = _located(data, _owner_table(got), n)
-    both, first_owner, _ = _disputed(cut, own)
-    bits = gathered([m for m in got if m[3]], 0, np.uint64)
-    value, owner = _suffixes(cut, own)
-    told = [m for m in got if m[3] == b""]
-    if told:
-        keys, least = gathered(told, 0, np.uint64), gathered(told, 1, np.int64)
-        at, there = lookup(value, keys)
-        owner = owner.copy()
-        owner[at[there]] = np.minimum(owner[at[there]], least[there])
-    rows, starts, ends = [], [], []
-
-    def gone(row: np.ndarray, start: np.ndarray, size) -> None:
-        rows.append(row)
-        starts.append(start)
-        ends.append(start + size)
-
-    for p, which, key, result in cut:
-        # A trigger with one phrase everywhere.
-        all_ = which[(result != _MANY) & (result != _HOT) & (result < own[p.row[which]])]
-        gone(p.row[all_], p.at[all_], p.count[all_] + WIDTH - 1)
-        # Several phrases: all of it where the part has it under a smaller id, else as told.
-        some = which[result == _MANY]
-        if len(some):
-            mine = np.empty(len(some), both.dtype)
-            mine["key"], mine["value"] = key[result == _MANY], p.phrases(some)
-            place = np.searchsorted(both, mine)
-            later = first_owner[place] < own[p.row[some]]
-            gone(p.row[some[later]], p.at[some[later]], p.count[some[later]] + WIDTH - 1)
-            rest, mask = some[~later], bits[place[~later]]
-            count = p.count[rest]
-            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            on = (np.repeat(mask, count) >> step.astype(np.uint64)) & np.uint64(1) > 0
-            gone(np.repeat(p.row[rest], count)[on], (np.repeat(p.at[rest], count) + step)[on], WIDTH)
-        row, start, found = p.strings(which[result == _HOT])
-        if len(found):
-            less = owner[np.searchsorted(value, found)] < own[row]
-            gone(row[less], start[less], WIDTH)
-    return covered([len(x) for x in data], np.concatenate(rows), np.concatenate(starts), np.concatenate(ends)) if rows else [[] for _ in data]
+    parse = Parse(data, own)
+    parse.told(got, n)
+    runs = Runs(parse, got, n)
+    bits = gathered([m for m in got if m[0] >= 2 * n], 0, np.uint64)
+    # Strings that go, by phrase: all of a run that the part has under a smaller id, else as told.
+    step = np.arange(runs.count.sum()) - np.repeat(np.cumsum(runs.count) - runs.count, runs.count)
+    on = (np.repeat(bits[runs.number], runs.count) >> step.astype(np.uint64)) & np.uint64(1) > 0
+    on |= np.repeat(runs.least[runs.number] < parse.least[runs.phrase], runs.count)
+    phrase, place = np.repeat(runs.phrase, runs.count)[on], (np.repeat(runs.at, runs.count) + step)[on]
+    order = np.argsort(phrase, kind="stable")
+    phrase, place = phrase[order], place[order]
+    whole = own[parse.row] > parse.least[parse.number]
+    some = np.flatnonzero(~whole)
+    from_, to = np.searchsorted(phrase, parse.number[some]), np.searchsorted(phrase, parse.number[some], side="right")
+    times = to - from_
+    which = np.repeat(from_, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    rows = np.concatenate([parse.row[whole], np.repeat(parse.row[some], times)])
+    starts = np.concatenate([parse.at[whole], np.repeat(parse.at[some], times) + place[which]])
+    sizes = np.concatenate([parse.count[whole] + WIDTH - 1, np.full(len(which), WIDTH)])
+    return covered([len(x) for x in data], rows, starts, starts + sizes)
 
 
 def covered(sizes: list[int], row: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -434,18 +383,18 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def _plan(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> tuple[DataFrame, DataFrame, int]:
+def _plan(docs: DataFrame, id_col: str, text_col: str, part_bytes: int, hot: int) -> tuple[DataFrame, DataFrame, int]:
     """(dealt documents, messages that tell each part what goes, number of parts)."""
     dealt, n = deal(docs, id_col, text_col, part_bytes)
     mine = thin(dealt)
-    owners = answer(resend(mine, answer(send(mine, _announce(n)), _shared), _phrases(n)), _owners)
-    strings = answer(resend(mine, owners, _dispute(n)), _settle(n))
-    return dealt, owners.unionByName(strings), n
+    owners = answer(send(mine, _announce_phrases(n)), _owners)
+    known = owners.unionByName(answer(resend(mine, owners, _announce_keys(n)), _shared(n, hot)))
+    return dealt, known.unionByName(answer(resend(mine, known, _send_runs(n)), _settle)), n
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, hot: int = HOT) -> DataFrame:
     """One row per input row: bytes, bytes removed, maximal removed runs, digest of what is kept."""
-    dealt, messages, n = _plan(docs, id_col, text_col, part_bytes)
+    dealt, messages, n = _plan(docs, id_col, text_col, part_bytes, hot)
 
     def fn(part: int, table: pa.Table, got: list) -> dict:
         data, spans = texts(table), []

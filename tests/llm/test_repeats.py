@@ -69,14 +69,25 @@ def cases():
 
 
 @pytest.mark.parametrize("part_bytes, hot", [(1 << 24, 1 << 16), (4000, 1 << 16), (4000, 2), (4000, 0)])
-def test_repeats(spark, monkeypatch, part_bytes, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+def test_repeats(spark, part_bytes, hot):
     rows = cases()
     df = spark.createDataFrame([(i, t, "x", "s") for i, t in rows], SCHEMA)
-    got = sorted(map(tuple, repeats.dedup(df, part_bytes=part_bytes).collect()), key=str)
+    got = sorted(map(tuple, repeats.dedup(df, part_bytes=part_bytes, hot=hot).collect()), key=str)
     assert got == brute_repeats(rows)
 
 
+def test_adversarial_texts(spark):
+    """Periodic texts, and one on which polynomial hashes modulo a power of two collide."""
+    morse = "a"
+    while len(morse) < 4096:
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    rows = [(1, "\0" * 3000), (2, "x" + "\0" * 2000), (3, morse[:2048]), (4, other[:2048]), (5, "".join(morse[i : i + 64] + "-" for i in range(0, 4096, 64))), (6, "abc" * 900 + morse[100:400]), (7, "bca" * 700)]
+    df = spark.createDataFrame([(i, t, "", "") for i, t in rows], SCHEMA)
+    for part_bytes, hot in ((1 << 24, repeats.HOT), (1500, 3)):
+        assert sorted(map(tuple, repeats.dedup(df, part_bytes=part_bytes, hot=hot).collect()), key=str) == brute_repeats(rows)
+
+
 def test_repeats_of_a_text_longer_than_a_piece(spark, monkeypatch):
     rng = random.Random(5)
     long = "".join(rng.choice("abcdefghij ") for _ in range(3 * repeats.CHUNK // 2))
