@@ -100,23 +100,22 @@ class Corpus:
         count = np.diff(np.append(-1, ends))
         return doubled(self.phrase + 1, np.repeat(ends, count), 1, int(count.max()))
 
-    def order(self) -> np.ndarray:
-        """All places in the order of what begins there."""
-        if not len(self.raw):
-            return np.empty(0, np.int64)
+    def order(self, places: np.ndarray | None = None) -> np.ndarray:
+        """Places (all by default, or some in ascending order) in the order of what begins there."""
+        places = np.arange(len(self.raw)) if places is None else places
+        if not len(places):
+            return places
         suffix, base = self.dictionary_ranks()
-        follow = self.parse_ranks()
-        size = np.diff(np.append(self.begin, len(self.raw)))
-        offset = np.arange(len(self.raw)) - np.repeat(self.begin, size)
-        first = suffix[np.repeat(base[self.phrase], size) + offset].astype(np.uint64)
-        after = np.where(self.final, 0, np.append(follow[1:], 0)).astype(np.uint64)
-        return np.argsort((first << _32) | np.repeat(after, size), kind="stable")
+        follow = np.where(self.final, 0, np.append(self.parse_ranks()[1:], 0)).astype(np.uint64)
+        at = np.searchsorted(self.begin, places, side="right") - 1
+        first = suffix[base[self.phrase[at]] + places - self.begin[at]].astype(np.uint64)
+        return places[np.argsort((first << _32) | follow[at], kind="stable")]
 
     def equal_strings(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(places with at least `width` (8 or more) bytes left in their document, number of each one's string), in
         corpus order.  Neighbours in that order are compared byte by byte; equal strings are neighbours."""
-        order = self.order()
-        order = order[order + width <= self.end[self.doc[order]]]
+        left = np.maximum(self.end - self.start - (width - 1), 0)
+        order = self.order(np.repeat(self.start, left) + np.arange(left.sum()) - np.repeat(np.cumsum(left) - left, left))
         word, new = words(self.raw), np.zeros(max(0, len(order) - 1), bool)
         for j in [*range(0, width - 7, 8), width - 8]:
             part = word[order + j]

@@ -2,22 +2,22 @@
 
 A byte goes if a string of WIDTH (50) bytes that covers it also starts in a document with a smaller id.
 
-Parsing.  A rolling hash over WIDTH - 1 bytes picks triggers, one place in EVERY; a phrase ends with a trigger and
-the next one begins with it, so phrases overlap by WIDTH - 1 bytes and every WIDTH-byte string lies in exactly one
-phrase.  Where phrases begin and end depends on the bytes there alone, so copies have the same phrases.  The
-distinct phrases are the dictionary, a document's series of phrases is its parse.
+Parsing.  A rolling hash over GRAM bytes gives every WIDTH-byte string a key, the smallest hash of a gram in it; a
+series of strings with one key is a run.  One gram in EVERY is a trigger: a phrase ends where the run of a trigger
+begins, and the next one begins there.  Strings overlap, so phrases do, by WIDTH - 1 bytes; every string lies in
+exactly one run of exactly one phrase.  Where runs and phrases begin and end depends on the bytes there alone, so
+copies have the same phrases.  The distinct phrases are the dictionary, a document's series of phrases is its parse.
 
 The parse.  Buckets of phrase digests (128 bits) tell the parts which of their phrases a smaller id has: there all
 of the phrase goes.  A phrase stays in the dictionary where its smallest id is, so from here on the work follows the
 distinct text, not the copies.
 
-The dictionary.  Equal strings of different phrases have to meet.  A string's key is the smallest hash of a gram of
-GRAM bytes in it, and a run is a series of strings of one phrase with one key; it is cut out whole.  Parts first
-announce their keys; a key that only one run has is settled.  Runs with shared keys meet in a bucket of the key, each
-distinct one sent once by a part.  There they are a corpus of their own, highly repetitive: the suffix arrays of its
-dictionary and of its parse combine into corpus order (see `pfp`), equal WIDTH-byte strings are neighbours in it,
-compared byte by byte, and each run of equal ones gets its smallest id.  The strings of a key that has more than HOT
-runs don't meet in one place: they are sent one by one, to buckets of their own hash.
+The dictionary.  Equal strings of different phrases have equal keys.  Parts first announce the keys; a key that only
+one run has is settled.  Runs with shared keys meet in a bucket of the key, each distinct one sent once by a part.
+There they are a corpus of their own, highly repetitive: the suffix arrays of its dictionary and of its parse combine
+into corpus order (see `pfp`), equal WIDTH-byte strings are neighbours in it, compared byte by byte, and each run of
+equal ones gets its smallest id.  The strings of a key that has more than HOT runs don't meet in one place: they are
+sent one by one, to buckets of their own hash.
 
 Nothing is removed on the equality of short hashes: those only decide what is compared.
 
@@ -40,9 +40,9 @@ from .exchange import PART_BYTES, Outbox, address, answer, deal, finish, gathere
 from .pfp import Corpus
 
 WIDTH = 50
-#: One place in so many is a trigger.
-EVERY = 256
 GRAM = 16
+#: One run in so many begins a phrase.
+EVERY = 16
 CHUNK = 1 << 17
 #: Strings of a run at most: as many as can share one gram.  Only periodic texts would have longer runs.
 LONGEST = WIDTH - GRAM + 1
@@ -51,8 +51,11 @@ HOT = 1 << 16
 _PRIME = 0x9E3779B97F4A7C15
 _32 = np.uint64(32)
 #: Buckets of runs for each bucket of keys, as a power of two: runs are larger than keys.
-_SUB = np.uint64(3)
+_SUB = np.uint64(2)
+#: Slices of a bucket that are settled one after the other, as a power of two.
+_SLICE = np.uint64(4)
 _KEY = np.dtype([("hi", "<u8"), ("lo", "<u8")])
+_ABOUT = np.dtype([("count", "u1"), ("slice", "u1")])
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -92,27 +95,13 @@ class Slab:
         self.rows, self.offsets = np.asarray(rows, np.int64), np.asarray(offsets, np.int64)
         self.prefix = prefixes(self.raw)
 
-    def grams(self, size: int) -> np.ndarray:
-        n = len(self.raw) - size + 1
-        return splitmix(hashes(self.prefix, np.arange(n), size)) if n > 0 else np.empty(0, np.uint64)
-
-    def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """(row, place in the row, strings, bytes) of every phrase."""
-        found = np.flatnonzero(self.grams(WIDTH - 1) % np.uint64(EVERY) == 0)
-        piece = np.searchsorted(self.end, found, side="right")
-        found = found[(found > self.begin[piece]) & (found + WIDTH - 1 <= self.end[piece])]
-        start = np.sort(np.concatenate([self.begin, found]))
-        piece = np.searchsorted(self.end, start, side="right")
-        follow = np.append(start[1:], len(self.raw))
-        follow = np.where(follow < self.end[piece], follow, self.end[piece] - (WIDTH - 1))
-        some = np.flatnonzero(follow > start)
-        start, piece, count = start[some], piece[some], (follow - start)[some]
-        content = [self.raw[s:e] for s, e in zip(start.tolist(), (start + count + WIDTH - 1).tolist())]
-        return self.rows[piece], start - self.begin[piece] + self.offsets[piece], count, content
+    def grams(self) -> np.ndarray:
+        n = len(self.raw) - GRAM + 1
+        return splitmix(hashes(self.prefix, np.arange(n), GRAM)) if n > 0 else np.empty(0, np.uint64)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(key, row, place in the row, place here, strings) of every run of strings with one key."""
-        least, span, want = self.grams(GRAM), 1, WIDTH - GRAM + 1
+        """(key, row, place in the row, strings, whether a phrase begins) of every run of strings with one key."""
+        least, span, want = self.grams(), 1, WIDTH - GRAM + 1
         while span < want and len(least):
             step = min(span, want - span)
             least = np.minimum(least[:-step], least[step:])
@@ -126,8 +115,10 @@ class Slab:
         if len(run) and run.max() > LONGEST:  # texts of a short period
             parts = -(-run // LONGEST)
             first = np.repeat(first, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-        start, own = inside[first], own[first]
-        return key[first], self.rows[own], start - self.begin[own] + self.offsets[own], start, np.diff(np.append(first, len(key)))
+        count = np.diff(np.append(first, len(key)))
+        start, own, key = inside[first], own[first], key[first]
+        begins = (key % np.uint64(EVERY) == 0) | np.append(True, own[1:] != own[:-1])[: len(own)]
+        return key, self.rows[own], start - self.begin[own] + self.offsets[own], count, begins
 
 
 def slabs(data: list[bytes]) -> Iterator[Slab]:
@@ -155,28 +146,30 @@ def groups(sorted_keys: np.ndarray) -> np.ndarray:
 
 
 class Parse:
-    """The phrases of a part's texts: row, place, strings and number of each; the distinct ones by digest, with their
-    content and the part's smallest id."""
+    """The runs of a part's texts, in phrases: row, place, strings and number of each phrase; the distinct ones by digest,
+    with the part's smallest id and one place where each stands."""
 
     def __init__(self, data: list[bytes], own: np.ndarray):
-        row, at, count, content = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
-        for slab in slabs(data):
-            r, a, c, x = slab.phrases()
-            row.append(r)
-            at.append(a)
-            count.append(c)
-            content += x
-        self.row, self.at, self.count = (np.concatenate(x) for x in (row, at, count))
-        found = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, content)), "<u8").reshape(-1, 2)
+        self.data = data
+        none = np.empty(0, np.int64)
+        made = [slab.runs() for slab in slabs(data)] or [(np.empty(0, np.uint64), none, none, none, np.empty(0, bool))]
+        self.run_key, self.run_row, self.run_at, self.run_count, begins = (np.concatenate(x) for x in zip(*made))
+        self.first = np.flatnonzero(begins)
+        self.runs = np.diff(np.append(self.first, len(begins)))
+        self.row, self.at = self.run_row[self.first], self.run_at[self.first]
+        self.count = np.add.reduceat(self.run_count, self.first) if len(self.first) else none
+        digest = xxhash.xxh3_128_digest
+        found = [digest(data[r][s:e]) for r, s, e in zip(self.row.tolist(), self.at.tolist(), (self.at + self.count + WIDTH - 1).tolist())]
+        found = np.frombuffer(b"".join(found), "<u8").reshape(-1, 2)
         order = np.lexsort((found[:, 1], found[:, 0]))
         found = found[order]
-        first = np.flatnonzero(np.append(True, (found[1:] != found[:-1]).any(axis=1))) if len(order) else np.empty(0, np.int64)
+        first = np.flatnonzero(np.append(True, (found[1:] != found[:-1]).any(axis=1))) if len(order) else none
         self.number = np.empty(len(order), np.int64)
         self.number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
         self.key = np.empty(len(first), _KEY)
         self.key["hi"], self.key["lo"] = found[first, 0], found[first, 1]
-        self.content = [content[i] for i in order[first].tolist()]
-        self.least = np.minimum.reduceat(own[self.row][order], first) if len(first) else np.empty(0, np.int64)
+        self.one = order[first]
+        self.least = np.minimum.reduceat(own[self.row][order], first) if len(first) else none
 
     def told(self, got: list, n: int) -> None:
         """Takes in which phrases a smaller id has elsewhere; `kept` numbers the phrases for which there is none."""
@@ -189,6 +182,12 @@ class Parse:
                 elsewhere[mine] = True
         self.kept = np.flatnonzero(~elsewhere)
 
+    def kept_runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(run, phrase) of the runs of the phrases that are kept, each phrase once."""
+        times = self.runs[self.one[self.kept]]
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        return np.repeat(self.first[self.one[self.kept]], times) + step, np.repeat(self.kept, times)
+
 
 def _announce_phrases(n: int):
     def fn(part: int, table: pa.Table, out: Outbox) -> None:
@@ -221,10 +220,7 @@ def _announce_keys(n: int):
     def fn(part: int, table: pa.Table, got: list, out: Outbox) -> None:
         parse = Parse(texts(table), ids(table))
         parse.told(got, n)
-        keys = [np.empty(0, np.uint64)]
-        for slab in slabs([parse.content[i] for i in parse.kept.tolist()]):
-            keys.append(address(slab.runs()[0], n))
-        key = np.sort(np.concatenate(keys))
+        key = np.sort(address(parse.run_key[parse.kept_runs()[0]], n))
         at = groups(key)
         count = np.minimum(np.diff(np.append(at, len(key))), 255)
         out.scatter(n, (key[at] >> _32) + np.uint64(n), low(key[at]), count.astype(np.uint8))
@@ -251,8 +247,8 @@ def _shared(n: int, hot: int):
 
 
 class Runs:
-    """A part's runs with shared keys: phrase, place in it, strings and number of each; the distinct ones by bucket and
-    content, with the part's smallest id.  Strings of hot keys are runs of one."""
+    """A part's runs with shared keys: phrase, place in it, strings and number of each; the distinct ones by slice of a
+    bucket and content, with the part's smallest id.  Strings of hot keys are runs of one."""
 
     def __init__(self, parse: Parse, got: list, n: int):
         got = [m for m in got if n <= m[0] < 2 * n]
@@ -260,28 +256,23 @@ class Runs:
         hot = gathered(got, 1, np.uint8)
         order = np.argsort(table, kind="stable")
         table, hot = table[order], hot[order]
-        phrase, at, count = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        number, seen = [], {}
-        for slab in slabs([parse.content[i] for i in parse.kept.tolist()]):
-            key, row, place, start, strings = slab.runs()
-            key = address(key, n)
-            where, there = lookup(table, key)
-            mine = np.flatnonzero(there)
-            key, row, place, start, strings = key[mine], row[mine], place[mine], start[mine], strings[mine]
-            single = hot[where[mine]] > 0
-            if single.any():  # every string on its own
-                times = np.where(single, strings, 1)
-                step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                key, row, single = (np.repeat(x, times) for x in (key, row, single))
-                place, start, strings = np.repeat(place, times) + step, np.repeat(start, times) + step, np.where(single, 1, np.repeat(strings, times))
-            dest = (key >> (_32 - _SUB)).tolist()
-            for s, e, d, alone in zip(start.tolist(), (start + strings + WIDTH - 1).tolist(), dest, single.tolist()):
-                x = slab.raw[s:e]
-                number.append(seen.setdefault((_bucket(x, n) if alone else d, x), len(seen)))
-            phrase.append(row)
-            at.append(place)
-            count.append(strings)
-        self.phrase, self.at, self.count = parse.kept[np.concatenate(phrase)], np.concatenate(at), np.concatenate(count)
+        run, phrase = parse.kept_runs()
+        key = address(parse.run_key[run], n)
+        where, there = lookup(table, key)
+        mine = np.flatnonzero(there)
+        run, phrase, key, single = run[mine], phrase[mine], key[mine], hot[where[mine]] > 0 if len(table) else np.zeros(0, bool)
+        row, at, count = parse.run_row[run], parse.run_at[run], parse.run_count[run]
+        if single.any():  # every string on its own
+            times = np.where(single, count, 1)
+            step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            phrase, key, single, row, at, count = (np.repeat(x, times) for x in (phrase, key, single, row, at, count))
+            at, count = at + step, np.where(single, 1, count)
+        number, seen, data = [], {}, parse.data
+        dest = (key >> (_32 - _SUB - _SLICE)).tolist()
+        for r, s, e, d, alone in zip(row.tolist(), at.tolist(), (at + count + WIDTH - 1).tolist(), dest, single.tolist()):
+            x = data[r][s:e]
+            number.append(seen.setdefault((_bucket(x, n) if alone else d, x), len(seen)))
+        self.phrase, self.at, self.count = phrase, at - parse.at[parse.one[phrase]], count
         listed = sorted(seen)
         rank = np.empty(len(seen), np.int64)
         rank[[seen[x] for x in listed]] = np.arange(len(seen))
@@ -292,7 +283,7 @@ class Runs:
 
 
 def _bucket(string: bytes, n: int) -> int:
-    return xxhash.xxh3_64_intdigest(string) * (n << int(_SUB)) >> 64
+    return xxhash.xxh3_64_intdigest(string) * (n << int(_SUB + _SLICE)) >> 64
 
 
 def _send_runs(n: int):
@@ -303,38 +294,72 @@ def _send_runs(n: int):
         parse.told(got, n)
         runs = Runs(parse, got, n)
         size = np.fromiter(map(len, runs.content), np.int64, len(runs.content))
-        cuts = groups(np.asarray(runs.dest, np.int64)).tolist()
+        dest, slice_ = np.divmod(np.asarray(runs.dest, np.int64), 1 << int(_SLICE))
+        cuts = groups(dest).tolist()
         for s, e in zip(cuts, [*cuts[1:], len(size)]):
-            out.put(2 * n + runs.dest[s], np.frombuffer(b"".join(runs.content[s:e]), np.uint8), (size[s:e] - (WIDTH - 1)).astype(np.uint8), runs.least[s:e])
+            about = np.stack([size[s:e] - (WIDTH - 1), slice_[s:e]], axis=1).astype(np.uint8)
+            out.put(2 * n + int(dest[s]), np.frombuffer(b"".join(runs.content[s:e]), np.uint8), about.reshape(-1).view(_ABOUT), runs.least[s:e])
 
     return fn
 
 
 def _settle(bucket: int, got: list, out: Outbox) -> None:
-    """Tell each part, for each run it sent, which of its strings a smaller id has (a bit each), by corpus order."""
-    number, seen, counts = [], {}, []
-    for _, raw, count, _ in got:
-        counts.append(unpack(count, np.uint8).astype(np.int64))
-        ends = np.cumsum(counts[-1] + WIDTH - 1)
-        number += [seen.setdefault(raw[s:e], len(seen)) for s, e in zip((ends - counts[-1] - (WIDTH - 1)).tolist(), ends.tolist())]
-    number, owner = np.asarray(number, np.int64), gathered(got, 2, np.int64)
-    least = np.full(len(seen), 2**63 - 1)
+    """Tell each part, for each run it sent, which of its strings a smaller id has (a bit each).
+
+    Runs with different keys have no string in common, so the bucket is settled slice by slice of the keys.
+    """
+    about = [unpack(m[2], _ABOUT) for m in got]
+    owner = [unpack(m[3], np.int64) for m in got]
+    ends = [np.cumsum(a["count"].astype(np.int64) + WIDTH - 1) for a in about]
+    bits = [np.zeros(len(a), np.uint64) for a in about]
+    for k in range(1 << int(_SLICE)):
+        cut = [np.searchsorted(a["slice"], [k, k + 1]).tolist() for a in about]
+        seen: dict[bytes, int] = {}
+        number = []
+        for m, a, end, (s, e) in zip(got, about, ends, cut):
+            stop = end[s:e].tolist()
+            start = (end[s:e] - a["count"][s:e].astype(np.int64) - (WIDTH - 1)).tolist()
+            number.append(np.asarray([seen.setdefault(m[1][i:j], len(seen)) for i, j in zip(start, stop)], np.int64))
+        least = _least_ids(seen, np.concatenate(number), np.concatenate([o[s:e] for o, (s, e) in zip(owner, cut)]))
+        for mine, a, o, b, (s, e) in zip(number, about, owner, bits, cut):
+            count = a["count"][s:e].astype(np.int64)
+            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            less = least[0][np.repeat(least[1][mine], count) + step] < np.repeat(o[s:e], count)
+            np.bitwise_or.at(b, s + np.repeat(np.arange(len(count)), count)[less], np.uint64(1) << step[less].astype(np.uint64))
+    for m, b in zip(got, bits):
+        out.put(m[0], b)
+
+
+def _repeating(runs: list[bytes]) -> np.ndarray:
+    """Which runs have a string whose hash another place has too; without one, none of a run's strings is repeated."""
+    size = np.fromiter(map(len, runs), np.int64, len(runs))
+    begin, count = np.cumsum(size) - size, size - (WIDTH - 1)
+    run = np.repeat(np.arange(len(runs)), count)
+    at = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    found = hashes(prefixes(b"".join(runs)), at, WIDTH)
+    order = np.argsort(found)
+    same = found[order][1:] == found[order][:-1]
+    out = np.zeros(len(runs), bool)
+    out[run[order[1:][same]]] = True
+    out[run[order[:-1][same]]] = True
+    return out
+
+
+def _least_ids(runs: dict[bytes, int], number: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest id of the string that begins at each place of the distinct runs, where each of these begins)."""
+    least = np.full(len(runs), 2**63 - 1)
     np.minimum.at(least, number, owner)
-    corpus = Corpus(list(seen))
+    listed = list(runs)
+    size = np.fromiter(map(len, listed), np.int64, len(listed))
+    begin, again = np.cumsum(size) - size, np.flatnonzero(_repeating(listed))
+    at = np.repeat(least, size)
+    corpus = Corpus([listed[i] for i in again.tolist()])
     place, string = corpus.equal_strings(WIDTH)
+    doc = corpus.doc[place]
     best = np.full(string.max(initial=-1) + 1, 2**63 - 1)
-    np.minimum.at(best, string, least[corpus.doc[place]])
-    at = np.empty(len(corpus.raw), np.int64)  # smallest id of the string that begins at each place
-    at[place] = best[string]
-    s = 0
-    for m, count in zip(got, counts):
-        e = s + len(count)
-        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        less = at[np.repeat(corpus.start[number[s:e]], count) + step] < np.repeat(owner[s:e], count)
-        bits = np.zeros(len(count), np.uint64)
-        np.bitwise_or.at(bits, np.repeat(np.arange(len(count)), count)[less], np.uint64(1) << step[less].astype(np.uint64))
-        out.put(m[0], bits)
-        s = e
+    np.minimum.at(best, string, least[again][doc])
+    at[begin[again][doc] + place - corpus.start[doc]] = best[string]
+    return at, begin
 
 
 def removed_spans(data: list[bytes], own: np.ndarray, got: list, n: int) -> list[list[tuple[int, int]]]:
