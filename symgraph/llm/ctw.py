@@ -1,22 +1,26 @@
 """Context-tree weighting over bytes: code length of each text under a model of the training documents.
 
-A text is modelled as its tokens (A-Z lower-cased, split on ASCII white space), joined by single spaces and
-ended by a newline, which is the end token; it is the token sequence that the base score rates.  Each byte is
-decomposed into eight binary decisions; a decision is identified by the bits before it in its byte (255
-nodes), and each has its own context tree over the preceding bytes, up to DEPTH of them.
+A text is modelled as its bytes with A-Z lower-cased, white space and all, and one END (a byte that UTF-8 never has);
+its first bytes have ENDs before them as their context.  Each byte is decomposed into eight binary decisions; a
+decision is identified by the bits before it in its byte (255 nodes), and each has its own context tree over the
+preceding bytes, up to DEPTH of them.
 
 Training counts zeros and ones at every context node.  A node's Krichevsky-Trofimov estimate gives P_e; its
 weighted probability is P_w = (P_e + product of the children's P_w) / 2 inside the tree and P_e at depth DEPTH.
 To predict a bit, the KT probabilities along its context path are mixed over all depths with the posterior
-weights w = P_e / (2 P_w): the node's own estimate gets w of what is left, deeper ones the rest.  Below the
-deepest context seen in training nothing is left to mix, so that one takes all the rest.
+weights w = P_e / (2 P_w): the node's own estimate gets w of what is left, deeper ones the rest.  A context that
+training hasn't seen is a node without counts: its estimate, and all below it, is 1/2.
 
 Distribution.  The key of a position is its DEPTH preceding bytes (latest first) and the byte.  A part of the
-documents sends its distinct keys with their training counts (0 for held-out ones) to the bucket of their two
-latest context bytes (three or four where there are very many parts), where all deeper nodes of these contexts
-meet.  Buckets pass weighted probabilities up to the shorter contexts, down to that of no byte, get the mixture
-of these shallow depths back, and answer each part with the log probability of each key it sent.  So the tree is never in one place: what is gathered grows with
-the distinct keys of the corpus, and nothing of it is broadcast or collected.  Texts are shuffled once.
+documents sends its distinct keys with their training counts (0 for held-out ones) to the bucket of their root, a
+context of their latest bytes, below which all deeper nodes meet.  Roots have ROOT bytes; a context that would hold
+more keys than a fair share of a bucket is heavy and split, so that its roots have one byte more, and so on.  Which
+are heavy is estimated on a sample of documents of about SAMPLE_BYTES; that decides where work is done, not what comes
+out.  Buckets pass weighted probabilities up to the contexts above the roots, down to that of no byte, get the mixture
+of these shallow depths back, and answer each part with the log probability of each key it sent.  So the tree is never
+in one place: what is gathered grows with the distinct keys of the corpus.  To all go only the heavy contexts, at most
+64 MiB (see `heavy`).  Texts are shuffled once.  Log probabilities travel as 32-bit numbers (relative error up to 6e-8
+each).
 
 The base score (add-0.1 smoothed token frequencies) goes the same way with hashed tokens (64 bits); the corpus
 totals, two numbers, are sent to every part.
@@ -36,15 +40,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import splitmix
-from .exchange import MESSAGE, PART_BYTES, Outbox, address, answer, deal, finish, gathered, ids, inbox, send, texts, thin, unpack
+from .common import checkpoint, splitmix
+from .exchange import MESSAGE, PART_BYTES, Outbox, address, answer, deal, finish, gathered, ids, inbox, lookup, send, texts, thin, unpack
 
 DEPTH = 6
 FOLDS = 10
 CHUNK = 1 << 19
-#: Up to how many parts a bucket holds contexts of two, three latest bytes; beyond, of four.
-ROOTS = ((1 << 9, 2), (1 << 17, 3))
+#: A byte that no UTF-8 text has: the end of a text, and what comes before its beginning.
+END = b"\xff"
+#: Context bytes that decide the bucket, where the context isn't heavy.
+ROOT = 2
+#: Bytes of text on which the heavy contexts are estimated, and the least share of keys that makes a context heavy.
+SAMPLE_BYTES = 16 << 20
+LEAST_SHARE = 1 / (1 << 18)
 _LN2 = math.log(2.0)
 _HALF = math.lgamma(0.5)
 _32 = np.uint64(32)
@@ -54,8 +64,8 @@ def tokens(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
-def serial(words: list[bytes]) -> bytes:
-    return b" ".join(words) + b"\n"
+def serial(raw: bytes) -> bytes:
+    return raw.lower() + END
 
 
 def held_out(own: np.ndarray) -> np.ndarray:
@@ -64,8 +74,8 @@ def held_out(own: np.ndarray) -> np.ndarray:
 
 
 def keys_of(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(key of every byte, which of the texts it is in); contexts before a text's start are zero bytes."""
-    pad = bytes(DEPTH)
+    """(key of every byte, which of the texts it is in)."""
+    pad = END * DEPTH
     blob = np.frombuffer(b"".join([x for r in rows for x in (pad, r)]), np.uint8).astype(np.uint64)
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
     at = np.arange(sizes.sum()) + np.repeat(DEPTH * np.arange(1, len(rows) + 1), sizes)
@@ -76,14 +86,14 @@ def keys_of(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[at - DEPTH], np.repeat(np.arange(len(rows)), sizes)
 
 
-def chunks(data: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Row numbers and serial texts, about CHUNK bytes at a time; tokens are made anew rather than kept."""
+def chunks(data: list[bytes], most: int = CHUNK) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Row numbers and serial texts, about `most` bytes at a time."""
     rows, parts, size = [], [], 0
     for i, raw in enumerate(data):
         rows.append(i)
-        parts.append(serial(tokens(raw)))
+        parts.append(serial(raw))
         size += len(parts[-1])
-        if size >= CHUNK:
+        if size >= most:
             yield rows, parts
             rows, parts, size = [], [], 0
     if rows:
@@ -115,13 +125,92 @@ def part_keys(data: list[bytes], held: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return summed(np.concatenate(keys), np.concatenate(counts))
 
 
-def root_depth(n: int) -> int:
-    """Context bytes that decide the bucket; shallower depths are handled context by context.  Results do not depend on it."""
-    return next((root for most, root in ROOTS if n <= most), 4)
+def context_of(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The latest `depth` bytes of the keys' contexts."""
+    return keys >> np.uint64(8 * (DEPTH + 1 - depth))
 
 
-def root_bucket(keys: np.ndarray, n: int, root: int) -> np.ndarray:
-    return (address(splitmix((keys >> np.uint64(8 * (DEPTH + 1 - root))) + np.uint64(1)), n) >> _32).astype(np.int64)
+class Roots:
+    """Which contexts are heavy, by depth (sorted); those of ROOT - 1 bytes and fewer all are, in effect.
+
+    Contexts above roots, the shallow ones, are addressed by numbers below 0, buckets by numbers from 0 on.
+    """
+
+    def __init__(self, heavy: dict[int, np.ndarray]):
+        self.heavy = heavy
+        self.first, self.levels, total = {}, list(range(ROOT)), 0
+        for d in range(ROOT):
+            self.first[d] = total
+            total += 1 << (8 * d)
+        for d in sorted(heavy):
+            self.first[d] = total
+            total += len(heavy[d])
+            self.levels.append(d)
+
+    def depths(self, keys: np.ndarray) -> np.ndarray:
+        """Bytes of each key's root."""
+        out = np.full(len(keys), ROOT)
+        for d in sorted(self.heavy):
+            out[lookup(self.heavy[d], context_of(keys, d))[1]] = d + 1
+        return out
+
+    def buckets(self, keys: np.ndarray, n: int) -> np.ndarray:
+        depth = self.depths(keys)
+        root = keys >> (np.uint64(8) * (DEPTH + 1 - depth).astype(np.uint64))
+        return (address(splitmix((root << np.uint64(3)) + depth.astype(np.uint64)), n) >> _32).astype(np.int64)
+
+    def code(self, context: np.ndarray, depth: int) -> np.ndarray:
+        """Addresses of shallow contexts."""
+        place = np.searchsorted(self.heavy[depth], context) if depth in self.heavy else context.astype(np.int64)
+        return -1 - (self.first[depth] + place)
+
+    def above(self, code: int) -> int:
+        """Address of the context without its oldest byte."""
+        depth = self.depth(code)
+        place = -1 - code - self.first[depth]
+        context = self.heavy[depth][place] if depth in self.heavy else np.uint64(place)
+        return int(self.code(np.asarray([context >> np.uint64(8)], np.uint64), depth - 1)[0])
+
+    def depth(self, code: int) -> int:
+        return max(d for d in self.levels if self.first[d] <= -1 - code)
+
+
+def heavy(docs: DataFrame, id_col: str, text_col: str, n: int, every: int) -> Roots:
+    """Contexts of ROOT to DEPTH - 1 bytes with more than half a bucket's share of distinct keys, in one row of `every`.
+
+    A key counts once in each chunk of texts.  A share is LEAST_SHARE at least and a context of d bytes is heavy only if
+    its d - 1 latest bytes are, so there are at most 2 / LEAST_SHARE of each depth: 16 MiB of numbers, on the driver too.
+    """
+    if n == 1:
+        return Roots({})
+    some = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(every)) == 0).select(F.col(text_col).alias("_text"))
+
+    def run(batches):
+        for batch in batches:
+            for _, parts in chunks(texts(pa.table({"_text": batch.column(0)})), 4 * CHUNK):
+                keys = counted(np.sort(keys_of(parts)[0]))[0]
+                depth, context, times = [np.zeros(1, np.int32)], [np.zeros(1, np.uint64)], [np.array([len(keys)])]
+                for d in range(ROOT, DEPTH):
+                    found, k = counted(context_of(keys, d))
+                    keep = k * 16 * n > len(keys)  # what is rarer than that here counts for little
+                    depth.append(np.full(keep.sum(), d, np.int32))
+                    context.append(found[keep])
+                    times.append(k[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(depth)), pa.array(np.concatenate(context).astype(np.int64)), pa.array(np.concatenate(times))], names=["d", "c", "k"])
+
+    found = some.mapInArrow(run, "d int, c long, k long").groupBy("d", "c").agg(F.sum("k").alias("k"))
+    found = checkpoint(found)
+    total = found.where("d = 0").first()
+    rows = found.where((F.col("d") > 0) & (F.col("k") > max(0.5 / n, LEAST_SHARE) * (total["k"] if total else 0))).select("d", "c").collect()
+    out: dict[int, np.ndarray] = {}
+    for d in range(ROOT, DEPTH):
+        mine = np.sort(np.array([r[1] for r in rows if r[0] == d], np.int64).astype(np.uint64))
+        if d > ROOT:
+            mine = mine[lookup(out.get(d - 1, np.empty(0, np.uint64)), mine >> np.uint64(8))[1]]
+        if not len(mine):
+            break
+        out[d] = mine
+    return Roots(out)
 
 
 def part_tokens(data: list[bytes], held: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -140,11 +229,11 @@ def part_tokens(data: list[bytes], held: np.ndarray) -> tuple[list[bytes], np.nd
     return [names[i] for i in order.tolist()], hashes[order], np.fromiter(train.values(), np.int64, len(train))[order]
 
 
-def _announce(n: int, root: int):
+def _announce(n: int, roots: Roots):
     def fn(part: int, table: pa.Table, out: Outbox) -> None:
         data, held = texts(table), held_out(ids(table))
         keys, counts = part_keys(data, held)
-        dest = root_bucket(keys, n, root)
+        dest = roots.buckets(keys, n)
         order = np.argsort(dest, kind="stable")
         out.scatter(n, dest[order], keys[order], counts[order].astype(np.uint32))
         _, hashes, times = part_tokens(data, held)
@@ -237,40 +326,34 @@ class Tree:
             first = level.first[k]
             node = (1 << k) - 1 + (byte[first] >> (8 - k))
             sums += np.bincount(place[first] * 255 + node, self.weighted[self.root][k], len(sums))
-        yield from zip(listed.astype(np.int64).tolist(), sums.reshape(-1, 255), counts)
+        yield from zip(listed, sums.reshape(-1, 255), counts)
 
-    def log10(self, above: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Log10 probability of each key's byte; above: what shallower depths give, by context of root - 1 bytes."""
-        listed = sorted(above)
-        tops = [np.stack([above[c][i] for c in listed]) for i in range(3)]
+    def log10(self, listed: np.ndarray, mixed_above: np.ndarray, left_above: np.ndarray) -> np.ndarray:
+        """Log10 probability of each key's byte; listed: contexts of root - 1 bytes, in order, with what shallower depths
+        give and leave for their 255 nodes."""
         out = np.zeros(len(self.levels[DEPTH].keys))
         for k in range(8):
             level = self.levels[self.root]
             at = level.keys[level.first[k]]
-            place = np.searchsorted(listed, (at >> np.uint64(16)).astype(np.int64))
+            place = np.searchsorted(listed, at >> np.uint64(16))
             node = (1 << k) - 1 + ((at & np.uint64(255)) >> np.uint64(8 - k)).astype(np.int64)
-            mixed, left, last = (t[place, node] for t in tops)
+            mixed, left = mixed_above[place, node], left_above[place, node]
             for d in range(self.root, DEPTH + 1):
                 level = self.levels[d]
                 if d > self.root:
                     up = self.parent(d, k)
-                    mixed, left, last = mixed[up], left[up], last[up]
+                    mixed, left = mixed[up], left[up]
                 weight = np.exp(self.own[d][k] - _LN2 - self.weighted[d][k]) if d < DEPTH else 1.0
-                mixed, left, last = descend(level.kt(k), level.zeros[k] + level.ones[k], weight, mixed, left, last)
-            p = last[level.node[k]]
+                mixed, left = descend(level.kt(k), weight, mixed, left)
+            p = mixed[level.node[k]]
             bit = (level.keys >> np.uint64(7 - k)) & np.uint64(1)
             out += np.log10(np.where(bit, p, 1 - p))
         return out
 
 
-def descend(kt, n, weight, mixed, left, last):
-    """One depth further: (mixture so far, weight left for deeper depths, mixture if this is the deepest)."""
-    seen = n > 0
-    here = np.where(seen, mixed + left * kt, last)
-    return np.where(seen, mixed + left * weight * kt, last), np.where(seen, left * (1 - weight), 0.0), here
-
-
-_PREFIXES = [(k, p) for k in range(8) for p in range(1 << k)]
+def descend(kt, weight, mixed, left):
+    """One depth further: (mixture so far, weight left for deeper depths)."""
+    return mixed + left * weight * kt, left * (1 - weight)
 
 
 def split_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,29 +383,46 @@ def _bucket_keys(got: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, np.bincount(inverse, gathered(got, 1, np.uint32), len(keys)).astype(np.int64), inverse
 
 
-def _up(n: int, root: int):
-    """Buckets of keys: weighted probabilities to the contexts one byte shorter.  Buckets of tokens: none."""
+def _trees(keys: np.ndarray, counts: np.ndarray, roots: Roots) -> Iterator[tuple[np.ndarray, Tree]]:
+    """(places of the keys, tree) for each depth of root in a bucket."""
+    depth = roots.depths(keys)
+    for d in np.unique(depth).tolist():
+        mine = np.flatnonzero(depth == d)
+        yield mine, Tree(keys[mine], counts[mine], d)
+
+
+def _up(n: int, roots: Roots):
+    """Buckets of keys: weighted probabilities to the contexts one byte shorter than roots.  Buckets of tokens: none."""
 
     def fn(bucket: int, got: list, out: Outbox) -> None:
         if bucket < n:
             keys, counts, _ = _bucket_keys(got)
-            for context, sums, by_byte in Tree(keys, counts, root).shallow():
-                out.put(context, sums, by_byte)
+            for _, tree in _trees(keys, counts, roots):
+                listed, sums, by_byte = zip(*tree.shallow())
+                for code, x, y in zip(roots.code(np.array(listed, np.uint64), tree.root - 1).tolist(), sums, by_byte):
+                    out.put(code, x, y)
 
     return fn
 
 
-def _to_parent(context: int, got: list, out: Outbox) -> None:
-    """A shallow context to the one without its oldest byte."""
-    counts, weighted, _, _ = shallow_node(got)
-    out.put(context >> 8, weighted, counts)
+def _pass_up(roots: Roots, level: int):
+    """Shallow contexts of a depth to those without their oldest byte; what is meant for others goes on to them."""
+
+    def fn(code: int, got: list, out: Outbox) -> None:
+        if roots.depth(code) == level:
+            counts, weighted, _, _ = shallow_node(got)
+            out.put(roots.above(code), weighted, counts)
+        else:
+            out.forward(code, got)
+
+    return fn
 
 
-def _from_root(root: int, got: list, out: Outbox) -> None:
-    counts, _, weight, kt = shallow_node(got)
-    start = (np.zeros(255), np.ones(255), np.full(255, 0.5))
+def _from_top(code: int, got: list, out: Outbox) -> None:
+    _, _, weight, kt = shallow_node(got)
+    answer_ = descend(kt, weight, np.zeros(255), np.ones(255))
     for m in got:
-        out.put(m[0], *descend(kt, sum(split_counts(counts)), weight, *start))
+        out.put(m[0], *answer_)
 
 
 def _both(left: DataFrame, right: DataFrame, fn) -> DataFrame:
@@ -335,24 +435,36 @@ def _both(left: DataFrame, right: DataFrame, fn) -> DataFrame:
     return left.groupBy("dest").cogroup(right.groupBy("dest")).applyInArrow(run, MESSAGE)
 
 
-def _down(context: int, got: list, above: list, out: Outbox) -> None:
-    counts, _, weight, kt = shallow_node(got)
-    mixed, left, last = (unpack(x, np.float64) for x in above[0][1:])
-    answer_ = descend(kt, sum(split_counts(counts)), weight, mixed, left, last)
-    for m in got:
-        out.put(m[0], *answer_)
+def _pass_down(roots: Roots, level: int):
+    """Shallow contexts of a depth to whom they heard from; what is meant for others goes on to them."""
+
+    def fn(code: int, got: list, above: list, out: Outbox) -> None:
+        if code < 0 and roots.depth(code) == level:
+            _, _, weight, kt = shallow_node(got)
+            mixed, left = (unpack(x, np.float64) for x in above[0][1:3])
+            answer_ = descend(kt, weight, mixed, left)
+            for m in got:
+                out.put(m[0], *answer_)
+        else:
+            out.forward(code, above)
+
+    return fn
 
 
-def _tell(n: int, root: int):
+def _tell(n: int, roots: Roots):
     """To each part: log probabilities of its keys, counts of its tokens, in the order sent."""
 
     def fn(bucket: int, got: list, above: list, out: Outbox) -> None:
+        keys, counts, inverse = _bucket_keys(got)
         if bucket < n:
-            keys, counts, inverse = _bucket_keys(got)
-            tops = {m[0]: tuple(unpack(x, np.float64) for x in m[1:]) for m in above}
-            told = Tree(keys, counts, root).log10(tops).astype(np.float32)[inverse]
+            tops = {m[0]: (unpack(m[1], np.float64), unpack(m[2], np.float64)) for m in above}
+            logs = np.empty(len(keys), np.float32)
+            for mine, tree in _trees(keys, counts, roots):
+                listed = np.unique(context_of(tree.levels[DEPTH].keys, tree.root - 1))
+                mixed, left = (np.stack(x) for x in zip(*[tops[c] for c in roots.code(listed, tree.root - 1).tolist()]))
+                logs[mine] = tree.log10(listed, mixed, left)
+            told = logs[inverse]
         else:
-            _, counts, inverse = _bucket_keys(got)
             told = counts[inverse]
         s = 0
         for m in got:
@@ -383,24 +495,24 @@ def _spread_totals(n: int):
     return fn
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 3 * PART_BYTES // 4, root: int = 0) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 3 * PART_BYTES // 4, roots: Roots | None = None) -> DataFrame:
     """One row per input row: fold, tokens, known tokens, training tokens, base score, score, bits per byte."""
     dealt, n = deal(docs, id_col, text_col, part_bytes)
     mine = thin(dealt)
-    root = root or root_depth(n)
-    messages = send(mine, _announce(n, root))
+    roots = roots or heavy(docs, id_col, text_col, n, max(1, n * part_bytes // SAMPLE_BYTES))
+    messages = send(mine, _announce(n, roots))
     totals = answer(answer(messages, _count_tokens(n)), _spread_totals(n))
-    up = [answer(messages, _up(n, root))]  # to contexts of root - 1 bytes, root - 2, ... none
-    while len(up) < root:
-        up.append(answer(up[-1], _to_parent))
-    down = answer(up.pop(), _from_root)
-    while up:
-        down = _both(up.pop(), down, _down)
-    told = _both(messages, down, _tell(n, root))
+    up = [answer(messages, _up(n, roots))]  # to shallow contexts; after each pass those of one depth are done
+    for level in roots.levels[:0:-1]:
+        up.append(answer(up[-1], _pass_up(roots, level)))
+    down = answer(up.pop(), _from_top)
+    for level in roots.levels[1:]:
+        down = _both(up.pop(), down, _pass_down(roots, level))
+    told = _both(messages, down, _tell(n, roots))
 
     def fn(part: int, table: pa.Table, got: list) -> dict:
         data, held = texts(table), held_out(ids(table))
-        score_, size = _scores(data, [m for m in got if not m[3] and m[0] < n], n, root)
+        score_, size = _scores(data, [m for m in got if not m[3] and m[0] < n], n, roots)
         n_tokens, known, base = _base(data, held, [m for m in got if not m[3] and m[0] >= n])
         train, distinct = gathered([m for m in got if m[3]], 0, np.int64).tolist()
         return {
@@ -418,7 +530,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
     return finish(mine, told.unionByName(totals), fn, schema)
 
 
-def _scores(data: list[bytes], got: list, n: int, root: int) -> tuple[np.ndarray, np.ndarray]:
+def _scores(data: list[bytes], got: list, n: int, roots: Roots) -> tuple[np.ndarray, np.ndarray]:
     """Log10 probability and bytes of each text, from what the buckets tell of the part's keys."""
     made, size = [], np.zeros(len(data), np.int64)
     for rows, parts in chunks(data):
@@ -429,7 +541,7 @@ def _scores(data: list[bytes], got: list, n: int, root: int) -> tuple[np.ndarray
         size[rows] = [len(p) for p in parts]
     keys = counted(np.sort(np.concatenate([m[1] for m in made])))[0]
     logs = np.empty(len(keys), np.float32)
-    logs[np.argsort(root_bucket(keys, n, root), kind="stable")] = gathered(got, 0, np.float32)
+    logs[np.argsort(roots.buckets(keys, n), kind="stable")] = gathered(got, 0, np.float32)
     total = np.zeros(len(data))
     for rows, found, times, row in made:
         each = np.repeat(logs[np.searchsorted(keys, found)], times)

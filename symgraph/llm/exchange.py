@@ -87,6 +87,12 @@ class Outbox:
         for k, v in zip(("dest", "src", "a", "b", "c"), (dest, self.src, *(None if x is None else pack(x) for x in (a, b, c)))):
             self.rows[k].append(v)
 
+    def forward(self, dest: int, got: list) -> None:
+        """Pass on what was got, with its senders."""
+        for m in got:
+            for k, v in zip(("dest", "src", "a", "b", "c"), (dest, *m)):
+                self.rows[k].append(v)
+
     def scatter(self, n: int, buckets_sorted: np.ndarray, a: np.ndarray, b: np.ndarray | None = None, c: np.ndarray | None = None) -> None:
         """Cut arrays that are ordered by bucket and put each piece that isn't empty."""
         if not len(a):
