@@ -250,10 +250,9 @@ def brute_marks(rows, items):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block, chain", [(4 << 20, 8), (300, 8), (300, 2)])
-def test_decontaminate(spark, monkeypatch, block, chain):
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 300])
+def test_decontaminate(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
-    monkeypatch.setattr(decontaminate, "CHAIN", chain)
     rng = random.Random(7)
     word = lambda: rng.choice(["A", "b", "ça", "42", "The", "x-y"])
     items = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 3, 10, 11, 25])))) for i in range(25)] + [(None, "null id item"), (77, None), (78, "!!")]
@@ -274,6 +273,27 @@ def test_decontaminate_driver_tables(spark):
     assert decontaminate.scan(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_windows_at_every_place_of_an_item():
+    """Each window of a long item has a seed, and what only looks like one at a seed is no hit."""
+    words = [f"w{k}" for k in range(60)]
+    a = decontaminate.Index([("x", " ".join(words)), ("y", "one two")])
+    for k in range(51):
+        n, spans, items = decontaminate.marks("before it " + " ".join(words[k : k + 10]) + " after", a)
+        assert (n, spans, items) == (13, [(2, 12)], {"x"})
+    assert decontaminate.marks(" ".join(words[3:12]) + " zz", a)[1] == []
+    assert decontaminate.marks("One, two; three", a) == (3, [(0, 2)], {"y"})
+
+
+def test_a_large_benchmark_takes_bounded_memory():
+    """The automaton's share of a block of BLOCK_BYTES, by the size of a smaller one: half a gigabyte at most."""
+    rng = random.Random(1)
+    items = [(str(i), " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(200))) for i in range(2000)]
+    size = sum(len(t) for _, t in items)
+    a = decontaminate.Index(items)
+    used = a.automaton.get_stats()["total_size"] + a.hashes.nbytes + a.starts.nbytes + a.sizes.nbytes + a.owner.nbytes + len(a.text)
+    assert used / size * decontaminate.BLOCK_BYTES < 640 << 20
+
+
 def test_original_spans():
     text = "Ça VA, bien -- oui"
     assert [text[s:e] for s, e in decontaminate.original_spans(text, [(0, 2), (3, 4)])] == ["Ça VA", "oui"]
