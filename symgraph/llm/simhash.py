@@ -14,7 +14,9 @@ Comparison.  Within a key, fingerprints are compared bit-sliced: the bit planes
 lie in machine words, a query's planes are xored onto them, and carry-save adders count the differing bits of
 64 pairs per word.  A block of queries is given up once all its counters have passed the radius.  A key with
 more than TILE fingerprints is cut into tiles, and each pair of tiles is a group of its own, so that no task
-gets all of it.  A group gives a spanning forest of its links, never all pairs.
+gets all of it.  Of a key with more than COPIES tiles the fingerprints are taken through the tables of MOST_BLOCKS
+blocks instead, whose keys have three times as many bits, so that what is sent grows with their number and not with
+its square.  A group gives a spanning forest of its links, never all pairs.
 
 Components are found by alternating stars (see `graph`); component_id is the smallest id reachable.
 
@@ -40,6 +42,9 @@ SHINGLE = 4
 SEED = 42
 RADIUS = 4
 TILE = 2048
+MOST_BLOCKS = 12
+#: Tiles of a key up to which each of its fingerprints is sent to all of them: as many as there are tables at most.
+COPIES = 495
 _QUERIES = 64
 _ONE = np.uint64(1)
 
@@ -88,26 +93,41 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def close(block: np.ndarray, queries: np.ndarray, dead: np.ndarray) -> np.ndarray | None:
-    """Which pairs (query, lane) differ in RADIUS or fewer bits, as words; None once all are beyond it.
+def close(block: np.ndarray, queries: np.ndarray, dead: np.ndarray, radius: int = RADIUS) -> np.ndarray | None:
+    """Which pairs (query, lane) differ in `radius` or fewer bits, as words; None once all are beyond it.
 
-    dead: words of pairs that aren't asked for.  A pair's count is in c2 c1 c0; `over` keeps what passed 7.
+    block: bit planes, 64 for each word of a fingerprint; queries: fingerprints, of a word or a row of words each.
+    dead: words of pairs that aren't asked for.  Pairs are counted in bit-sliced counters by carry-save addition, two
+    planes at a time; `over` keeps what passed the largest count.
     """
+    words = queries.reshape(len(queries), -1)
     over = dead.copy()
-    c0, c1, c2 = np.zeros_like(over), np.zeros_like(over), np.zeros_like(over)
-    for k in range(0, 64, 2):
-        a = block[k] ^ (np.uint64(0) - ((queries >> np.uint64(k)) & _ONE))[:, None]
-        b = block[k + 1] ^ (np.uint64(0) - ((queries >> np.uint64(k + 1)) & _ONE))[:, None]
+    count = [np.zeros_like(over) for _ in range(max(1, radius.bit_length()))]
+
+    def beyond() -> np.ndarray:
+        more, same = over.copy(), ~np.uint64(0)
+        for i in reversed(range(len(count))):
+            if radius >> i & 1:
+                same = same & count[i]
+            else:
+                more |= same & count[i]
+                same = same & ~count[i]
+        return more
+
+    plane = lambda k: block[k] ^ (np.uint64(0) - ((words[:, k // 64] >> np.uint64(k % 64)) & _ONE))[:, None]
+    for k in range(0, len(block), 2):
+        a, b = plane(k), plane(k + 1)
         half = a ^ b
-        carry = (a & b) | (half & c0)
-        c0 ^= half
-        up = c1 & carry
-        c1 ^= carry
-        over |= c2 & up
-        c2 ^= up
-        if k % 8 == 6 and (over | (c2 & (c1 | c0)) == ~np.uint64(0)).all():
+        carry = (a & b) | (half & count[0])
+        count[0] ^= half
+        for c in count[1:]:
+            up = c & carry
+            c ^= carry
+            carry = up
+        over |= carry
+        if k % 8 == 6 and (beyond() == ~np.uint64(0)).all():
             return None
-    return ~(over | (c2 & (c1 | c0)))
+    return ~beyond()
 
 
 def links(a: np.ndarray, b: np.ndarray | None) -> Iterator[tuple[int, int]]:
@@ -185,7 +205,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def blocks_for(n: int) -> int:
     """Into how many blocks 64 bits are cut for n fingerprints."""
     m = RADIUS + 1
-    while m < 12 and n > TILE * 2 ** (64 * (m - RADIUS) // m):
+    while m < MOST_BLOCKS and n > TILE * 2 ** (64 * (m - RADIUS) // m):
         m += 1
     return m
 
@@ -201,16 +221,23 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(distinct: DataFrame, n: int) -> DataFrame:
+def near_links(distinct: DataFrame, n: int, tile: int = TILE, copies: int = COPIES, m: int = 0) -> DataFrame:
     """Links (u, v) between the ids of distinct fingerprints (fp, _id), enough to connect all that are close."""
-    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(x))).alias("k")) for i, x in enumerate(masks(blocks_for(n)))])
+    m = m or blocks_for(n)
+    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(x))).alias("k")) for i, x in enumerate(masks(m))])
     rows = distinct.select("fp", "_id", F.explode(tables).alias("x")).select("fp", "_id", F.xxhash64("x.t", "x.k").alias("split"))
-    sizes = rows.groupBy("split").agg(F.count("*").alias("c")).where(F.col("c") > TILE).select("split", F.ceil(F.col("c") / TILE).cast("int").alias("tiles"))
-    tile = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("tiles")).cast("int")
-    dealt = rows.join(sizes, "split", "left").select("fp", "_id", "split", F.coalesce("tiles", F.lit(1)).alias("tiles"), F.coalesce(tile, F.lit(0)).alias("tile"))
-    pairs = dealt.select("fp", "_id", "split", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
+    sizes = rows.groupBy("split").agg(F.count("*").alias("c")).where(F.col("c") > tile).select("split", F.ceil(F.col("c") / tile).cast("int").alias("tiles"))
+    number = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("tiles")).cast("int")
+    dealt = rows.join(sizes, "split", "left").select("fp", "_id", "split", F.coalesce("tiles", F.lit(1)).alias("tiles"), F.coalesce(number, F.lit(0)).alias("tile"))
+    hot = m < MOST_BLOCKS and n > copies * tile  # no key can have more fingerprints than there are
+    cold = dealt.where(F.col("tiles") <= copies) if hot else dealt
+    pairs = cold.select("fp", "_id", "split", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
     groups = pairs.select("split", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("two"), "tile", "fp", "_id")
-    return groups.repartition("split", "one", "two").sortWithinPartitions("split", "one", "two").mapInArrow(_compare, "u long, v long")
+    found = groups.repartition("split", "one", "two").sortWithinPartitions("split", "one", "two").mapInArrow(_compare, "u long, v long")
+    if hot:
+        rest = checkpoint(dealt.where(F.col("tiles") > copies).select("fp", "_id").distinct())
+        found = found.unionByName(near_links(rest, n, tile, copies, MOST_BLOCKS))
+    return found
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,8 +260,20 @@ def _same_id(known: DataFrame, distinct: DataFrame) -> DataFrame:
     return pairs.join(distinct, "fp").select(F.col("_id").alias("u"), "v")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stand for their component (its smallest id), and rows without an id, with all columns."""
-    gone = cluster(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+def one_of_each(docs: DataFrame, gone: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows whose id isn't in `gone` (column _id), one of those with equal ids (that with the smallest hash of its
+    text), and all rows without an id; ids: the _id of every row."""
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    several = checkpoint(ids.where("_id is not null").groupBy("_id").agg(F.count("*").alias("k")).where("k > 1").select("_id").join(gone, "_id", "left_anti"))
+    if several.isEmpty():
+        return rows.join(gone, "_id", "left_anti").select("_row.*")
+    marks = gone.select("_id", F.lit(True).alias("goes")).unionByName(several.select("_id", F.lit(False).alias("goes")))
+    marked = rows.join(marks, "_id", "left")
+    first = marked.where("not goes").groupBy("_id").agg(F.min_by("_row", F.struct(F.xxhash64("_text"), "_text")).alias("_row"))
+    return marked.where("goes is null").select("_row").unionByName(first.select("_row")).select("_row.*")
+
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each component (its smallest id), and the rows without an id, with all columns."""
+    found = checkpoint(cluster(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "component_id"))
+    return one_of_each(docs, found.where("_id <> component_id").select("_id").distinct(), found.select("_id"), id_col, text_col)

@@ -1,19 +1,26 @@
-"""Near-duplicates by the similarity of shingle sets: links are exact, candidates come from MinHash bands.
+"""SimHash near-duplicates at a wide radius: the similarity of shingle sets in place of a few differing bits.
 
 Rule.  Words as in `simhash`; a text is the set of its runs of SIZE words (one run if there are fewer words).
 Two texts are linked if the sets' Jaccard similarity is SIMILARITY or more, or if their words are equal (so
 texts without a word are copies of each other).  Components of the links count, by the smallest id.
 
-Candidates.  Texts of equal words collapse first (128-bit hash, smallest id kept).  BANDS bands of ROWS
-minima each are hashed; whoever shares a band with another is tied to the smallest id of the band, and the
-components of these ties are the candidate groups.  A pair at similarity s shares no band with a chance of
-(1 - s^ROWS)^BANDS: 5e-8 at 0.8, less above.
+Fingerprints.  At a similarity of 0.8 a bit of two SimHashes differs with a chance of 0.15 (0.19 for sets of a few
+shingles), so 64 bits differ in 10 on average and masks that two fingerprints must agree on, as `simhash` has them, do
+not exist.  Fingerprints have 128 bits here, compared bit-sliced as there, at a radius of RADIUS: a similar pair is
+beyond it with a chance of less than 1e-7, two texts that have nothing in common are within it in 3 of 1000 cases.
+What is within it is verified on the whole sets.
 
-Comparison.  All texts of a candidate group meet once, and shared shingles are counted (64-bit hashes).  A
-group of more than TILE texts or TILE_SHINGLES shingles is cut into tiles, and each pair of tiles is a group of
-its own.  Tiles give a spanning forest of their links.  Counting stops once a tile hangs together.
+Blocks.  What is compared with what is decided by smallest shingles: texts of equal words collapse first (128-bit
+hash, smallest id kept).  BANDS bands of ROWS smallest hashes each are hashed; whoever shares a band with another is
+tied to the smallest id of the band, and the components of these ties are the blocks.  A pair at similarity s shares no
+band with a chance of (1 - s^ROWS)^BANDS: 5e-8 at 0.8, less above.
 
-Rows with a null id link nothing and stay.  Rows with equal ids and different texts are one node.
+Comparison.  All texts of a block meet once.  A block of more than TILE texts or TILE_SHINGLES shingles is cut into
+tiles, and each pair of tiles is a group of its own.  Tiles give a spanning forest of their links.  Comparison stops
+once a tile hangs together.
+
+Of rows with equal ids and different texts, which are one node, one stays: that with the smallest hash of its text.
+Rows with a null id link nothing and stay.
 """
 
 from __future__ import annotations
@@ -29,12 +36,15 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, map_rows, splitmix
 from .graph import components
-from .simhash import shingles
+from .simhash import close, one_of_each, planes, shingles
 
 SIZE = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 4
+#: Differing bits of 128 up to which a pair is verified.
+RADIUS = 48
+_QUERIES = 64
 TILE = 2048
 TILE_SHINGLES = 1 << 20
 _PLACES = np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)
@@ -72,32 +82,52 @@ def _described(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
     return map_rows(rows, fn, "_id long, key binary, n long, band array<long>", 128)
 
 
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """Two words: a bit is set if over half of the shingles' 128-bit hashes have it."""
+    total = np.zeros(128, np.int64)
+    for at in range(0, len(found), 1 << 14):
+        part = found[at : at + (1 << 14)]
+        both = np.stack([part, splitmix(part + np.uint64(1))], axis=1).astype("<u8")
+        total += np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > len(found), bitorder="little").view("<u8")
+
+
 def links(sets: list[np.ndarray], left: np.ndarray | None, similarity: float) -> Iterator[tuple[int, int]]:
     """A spanning forest of the similar pairs, as places; left: flags, if only pairs of a flagged with another set count."""
     n = np.array([len(s) for s in sets])
+    prints = np.stack([fingerprint(s) for s in sets])
+    block = np.concatenate([planes(prints[:, 0]), planes(prints[:, 1])])
     token = np.unique(np.concatenate(sets), return_inverse=True)[1]
     order = np.argsort(token, kind="stable")
     holders = np.repeat(np.arange(len(sets)), n)[order]
     starts = np.searchsorted(token[order], np.arange(token.max() + 2 if len(token) else 1))
     ends, label, groups = np.cumsum(n), np.arange(len(sets)), len(sets)
-    for i in range(len(sets)) if left is None else np.flatnonzero(left).tolist():
-        if groups == 1:
-            return
-        own = token[ends[i] - n[i] : ends[i]]
-        if not len(own):
+    lanes = np.arange(block.shape[1] * 64)
+    unasked = (lanes >= len(sets)) | (np.append(left, np.zeros(len(lanes) - len(left), bool)) if left is not None else False)
+    queries = np.arange(len(sets)) if left is None else np.flatnonzero(left)
+    for at in range(0, len(queries), _QUERIES):
+        part = queries[at : at + _QUERIES]
+        dead = np.repeat(unasked[None, :], len(part), axis=0) if left is not None else unasked[None, :] | (lanes[None, :] <= part[:, None])
+        near = close(block, prints[part], np.packbits(dead, axis=1, bitorder="little").view(np.uint64), RADIUS)
+        if near is None:
             continue
-        shared = np.zeros(len(sets), np.int64)
-        for at in range(0, len(own), 256):
-            shared += np.bincount(np.concatenate([holders[starts[t] : starts[t + 1]] for t in own[at : at + 256].tolist()]), minlength=len(sets))
-        near = shared / (n[i] + n - shared) >= similarity
-        if left is not None:
-            near &= ~left
-        near &= label != label[i]
-        for j in np.flatnonzero(near).tolist():
-            if label[j] != label[i]:
-                yield i, j
-                label[label == label[j]] = label[i]
-                groups -= 1
+        for k in np.flatnonzero(near.any(axis=1)).tolist():
+            if groups == 1:
+                return
+            i = int(part[k])
+            some = np.flatnonzero(np.unpackbits(near[k].view(np.uint8), bitorder="little"))
+            some = some[label[some] != label[i]]
+            own = token[ends[i] - n[i] : ends[i]]
+            if not len(some) or not len(own):
+                continue
+            shared = np.zeros(len(sets), np.int64)
+            for t in range(0, len(own), 256):
+                shared += np.bincount(np.concatenate([holders[starts[x] : starts[x + 1]] for x in own[t : t + 256].tolist()]), minlength=len(sets))
+            for j in some[shared[some] / (n[i] + n[some] - shared[some]) >= similarity].tolist():
+                if label[j] != label[i]:
+                    yield i, j
+                    label[label == label[j]] = label[i]
+                    groups -= 1
 
 
 def _compare(size: int, similarity: float):
@@ -141,9 +171,9 @@ def _pairs(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, siz
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows that stand for their component (its smallest id), and rows without an id, with all columns."""
+    """One row for each component (its smallest id), and the rows without an id, with all columns."""
     rows = checkpoint(_described(docs, id_col, text_col, size))
     distinct = rows.groupBy("key").agg(F.min(F.struct("_id", "n", "band")).alias("x")).select("key", "x.*")
     copies = rows.select("key", F.col("_id").alias("v")).distinct().join(distinct.select("key", F.col("_id").alias("u")), "key").where("u <> v").select("u", "v")
-    gone = components(_pairs(docs, distinct, id_col, text_col, size, similarity).unionByName(copies)).select(F.col("node").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = components(_pairs(docs, distinct, id_col, text_col, size, similarity).unionByName(copies)).select(F.col("node").alias("_id")).distinct()
+    return one_of_each(docs, gone, rows.select("_id"), id_col, text_col)

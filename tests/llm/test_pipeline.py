@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from test_repeats import brute_lines  # noqa: F401  the same definition of windows
 from test_rowwise import brute_marks
-from test_simhash import brute_components, brute_fingerprint
+from test_similar import brute_kept
 
 import corpus_pipeline
 from symgraph.llm import quality
@@ -46,8 +46,8 @@ def test_rows(spark):
     table = quality.fit(docs, labels)
     rows = [r for r, s in zip(rows, quality.scores([t for _, t in rows], table)) if s >= 0.3]
     rows = without_repeats(rows)
-    fps = [(i, brute_fingerprint(t)) for i, t in rows]
-    rows = [r for r, c in zip(rows, brute_components(fps)) if r[0] == c]
+    kept = set(brute_kept(rows))
+    rows = [r for r in rows if r[0] in kept]
     items = [tuple(r) for r in bench.select("item_id", "text").collect()]
     rows = [r for r in rows if brute_marks([r], items)[0].endswith("False)")]
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
@@ -59,6 +59,21 @@ def test_rows(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(want)
 
 
+def test_repeated_rows_are_one_document(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    once = sorted(map(tuple, corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()))
+    assert sorted(map(tuple, corpus_pipeline.near_dedup_stage(spark, docs.unionByName(docs).unionByName(docs), SF).collect())) == once
+
+
+def test_last_stage_takes_odd_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (10**9, "", "en", None, 0), (10**9, "", "en", None, 0), (10**9 + 1, "a " * 20_000, None, "s", 40_000)], docs.schema)
+    out = corpus_pipeline.byte_bpe_stage(spark, odd, SF).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == ["1000000000", "1000000000", "1000000001", "None"]
+    assert {r["n_tokens"] for r in out if r["doc_id"] != 10**9 + 1} == {0}
+    assert corpus_pipeline.byte_bpe_stage(spark, docs.limit(0), SF).count() == 0
+
+
 @pytest.mark.parametrize("stage", [0, 1, 2, 3])
 def test_stages_take_odd_rows_and_keep_columns(spark, stage):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

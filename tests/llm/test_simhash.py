@@ -100,14 +100,44 @@ def test_components(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_wide_radii():
+    rng = random.Random(7)
+    fps = np.array([[rng.getrandbits(64), rng.getrandbits(64)] for _ in range(70)], np.uint64)
+    fps[10:20] = fps[0] ^ np.array([[sum(1 << rng.randrange(64) for _ in range(3)), 1 << k] for k in range(10)], np.uint64)
+    block = np.concatenate([simhash.planes(fps[:, 0]), simhash.planes(fps[:, 1])])
+    want = np.bitwise_count(fps[:, None, :] ^ fps[None, :, :]).sum(axis=2)
+    for radius in (0, 1, 4, 5, 48, 63, 64, 70, 127):
+        near = simhash.close(block, fps, np.zeros((70, 2), np.uint64), radius)
+        got = np.unpackbits(near.view(np.uint8), axis=1, bitorder="little")[:, :70].astype(bool)
+        assert (got == (want <= radius)).all()
+
+
+def test_hot_keys_go_through_finer_tables(spark):
+    """Many fingerprints that agree on a whole block, and close pairs among them."""
+    rng = random.Random(3)
+    fps = {rng.getrandbits(48) << 16 for _ in range(150)}
+    fps |= {x ^ sum(1 << k for k in rng.sample(range(16, 64), 4)) for x in list(fps)[:40]}
+    rows = [(simhash._signed(x), i) for i, x in enumerate(sorted(fps))]
+    links = simhash.near_links(spark.createDataFrame(rows, "fp long, _id long"), len(rows), tile=8, copies=3, m=5).collect()
+    at = {i: x % (1 << 64) for x, i in rows}
+    assert all((at[r["u"]] ^ at[r["v"]]).bit_count() <= 4 for r in links)
+    label = {i: i for i in at}
+    for r in links:
+        a, b = label[r["u"]], label[r["v"]]
+        label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
+    assert [label[i] for i in sorted(at)] == brute_components([(i, at[i]) for i in sorted(at)])
+
+
 def test_empty(spark):
     assert simhash.cluster(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_representatives(spark):
     rows = [(3, "a b c", "x"), (1, "A b  c", "y"), (2, "quite another text of some words", "z"), (None, "a b c", "w")]
-    got = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[1], rows[2], rows[3]], key=str)
+    for again in ([], [rows[1]], [rows[1], rows[2], rows[0]]):  # of a repeated row one stays
+        got = simhash.representatives(spark.createDataFrame(rows + again, "doc_id long, text string, _id string"))
+        assert got.columns == ["doc_id", "text", "_id"]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[1], rows[2], rows[3]], key=str)
 
 
 def test_driver_table(spark):

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -28,7 +29,7 @@ def brute_kept(rows):
     least = {}
     for i, (a, _) in enumerate(rows):
         least[find(i)] = min(a, least.get(find(i), a))
-    return sorted(a for i, (a, _) in enumerate(rows) if least[find(i)] == a)
+    return sorted({a for i, (a, _) in enumerate(rows) if least[find(i)] == a})
 
 
 def variants():
@@ -54,6 +55,19 @@ def test_against_all_pairs(spark, monkeypatch, tile):
     assert got.count(None) == 2 and sorted(i for i in got if i is not None) == brute_kept(rows)
 
 
+def test_similar_texts_are_within_the_radius():
+    """Of pairs at a similarity of 0.8 and more, at all sizes, none is beyond the radius, most others are."""
+    rng, near, far = np.random.default_rng(5), [], []
+    for n in [5, 6, 9, 10, 20, 45, 90, 450, 3000] * 60:
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        gone = n // 9  # taken out of one and put into the other: (n - gone) / (n + gone) = 0.8
+        b = np.concatenate([a[gone:], rng.integers(0, 1 << 63, gone, dtype=np.uint64)]) if gone else a[1:]
+        bits = lambda x, y: int(np.bitwise_count(similar.fingerprint(x) ^ similar.fingerprint(y)).sum())
+        near.append(bits(a, b))
+        far.append(bits(a, rng.integers(0, 1 << 63, n, dtype=np.uint64)))
+    assert max(near) <= similar.RADIUS and np.mean(np.array(far) <= similar.RADIUS) < 0.05
+
+
 def test_stage_links_pairs_that_are_over_four_bits_apart(spark):
     """Documents 1 and 177: similarity 0.83, fingerprints 9 bits apart."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
