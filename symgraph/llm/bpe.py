@@ -13,6 +13,7 @@ per Python worker.  Texts are encoded whole, a few rows at a time, so memory fol
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 
@@ -51,10 +52,22 @@ def load(path: str | None = None):
         table = [b""] * tok.get_vocab_size(with_added_tokens=True)
         for piece, i in tok.get_vocab(with_added_tokens=True).items():
             table[i] = bytes(back[c] for c in piece) if all(c in back for c in piece) else piece.encode()
+        check_ranks(table, path)
         _loaded[path] = (tok, table)
     return _loaded[path]
 
 
+def check_ranks(table: list[bytes], path: str) -> None:
+    """The ranks file beside a tokenizer file, where there is one, must give the same bytes for every id."""
+    ranks = os.path.splitext(path)[0] + ".tiktoken"
+    if not os.path.exists(ranks):
+        return
+    with open(ranks, "rb") as f:
+        pairs = [line.split() for line in f if line.strip()]
+    if any(int(rank) >= len(table) or table[int(rank)] != base64.b64decode(piece) for piece, rank in pairs):
+        raise ValueError(f"{path} and {ranks} differ")
+
+
 def encode_batch(texts: list[str | None], path: str | None = None) -> list[list[int]]:
     tok, _ = load(path)
     return [e.ids for e in tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]

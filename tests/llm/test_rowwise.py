@@ -125,6 +125,16 @@ def test_bpe_offsets():
     assert "�" in bpe.decode([i for i, *_ in rows][:-1][:5]) or bpe.decode([i for i, *_ in rows]) == text
 
 
+def test_bpe_ranks_are_checked():
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_50k.json")
+    _, table = bpe.load(path)
+    bpe.check_ranks(table, path)
+    with pytest.raises(ValueError):
+        bpe.check_ranks([*table[:300], b"?", *table[301:]], path)
+
+
 # Line labels
 
 
@@ -302,12 +312,77 @@ def test_original_spans():
 # Quality
 
 
-def test_features_match_their_definition():
-    words = ["abc", "é", "longer", "abc"]
-    ids, starts = quality.word_features(words)
-    per = [sorted(ids[s:e].tolist()) for s, e in zip(starts, [*starts[1:], len(ids)])]
-    assert per[0] == per[3] and [len(x) for x in per] == [1 + sum(max(0, len(w) + 2 - n + 1) for n in (3, 4, 5)) for w in words]
-    assert per[1] == sorted(quality.word_features(["é"])[0].tolist())
+def brute_bucket(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def brute_features(text):
+    """Buckets of a text, one by one."""
+    prime, words, out = 0x100000001B3, re.findall(r"[^\x20\x09-\x0D]+", text or ""), [0]
+    code = lambda w: sum(ord(c) * prime**k for k, c in enumerate(w)) % 2**64
+    place = lambda x: max(2, brute_bucket(x) >> 47)
+    for w in words:
+        w = f"<{w}>"
+        out.append(place(code(w)))
+        for n in (3, 4, 5):
+            out += [place(sum(ord(c) * prime ** (n - k) for k, c in enumerate(w[i : i + n])) % 2**64) for i in range(len(w) - n + 1)]
+    for a, b in zip(words, words[1:]):
+        out.append(1 if a == b else place((brute_bucket(code(f"<{a}>")) * prime + code(f"<{b}>")) % 2**64))
+    return out
+
+
+def test_scores_by_brute_force():
+    rng = np.random.default_rng(4)
+    table = rng.normal(size=quality.BUCKETS)
+    texts = ["", None, "a", "abc é longer abc abc", "\U0001f600 x\ty\nz", " ".join("w" * (k % 9 + 1) for k in range(300))]
+    want = [1 / (1 + np.exp(-np.clip(np.mean([table[f] for f in brute_features(t)]), -30, 30))) for t in texts]
+    assert quality.scores(texts, table) == pytest.approx(want, rel=1e-9)
+    for t in texts:
+        ids, shares = quality.text_features(quality.WORD.findall(t or ""))
+        counts = Counter(brute_features(t))
+        assert dict(zip(ids.tolist(), shares.tolist())) == pytest.approx({f: c / sum(counts.values()) for f, c in counts.items()}, rel=1e-6)
+
+
+def test_training_by_brute_force(monkeypatch):
+    """Plain loops over the same steps."""
+    monkeypatch.setattr(quality, "BUCKETS", 40)
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(12):
+        ids, counts = np.unique(rng.integers(0, 40, 9), return_counts=True)
+        rows.append((ids, (counts / counts.sum()).astype(np.float32), k % 2))
+    draw = np.random.default_rng(7)
+    vectors = draw.uniform(-1 / quality.DIM, 1 / quality.DIM, (40, quality.DIM)).astype(np.float32).astype(float)
+    out, done = np.zeros((2, quality.DIM)), 0
+    for _ in range(quality.EPOCHS):
+        for i in draw.permutation(12):
+            ids, shares, label = rows[i]
+            rate = quality.RATE * (1 - done / (12 * quality.EPOCHS))
+            done += 1
+            mean = [sum(float(s) * vectors[f][d] for f, s in zip(ids, shares)) for d in range(quality.DIM)]
+            logits = [sum(o * m for o, m in zip(out[c], mean)) for c in (0, 1)]
+            p = [np.exp(x - max(logits)) / sum(np.exp(y - max(logits)) for y in logits) for x in logits]
+            error = [p[c] - (c == label) for c in (0, 1)]
+            back = [sum(error[c] * out[c][d] for c in (0, 1)) for d in range(quality.DIM)]
+            for c in (0, 1):
+                for d in range(quality.DIM):
+                    out[c][d] -= rate * error[c] * mean[d]
+            for f, s in zip(ids, shares):
+                for d in range(quality.DIM):
+                    vectors[f][d] -= rate * min(1.0, float(s) * len(ids)) * back[d]
+    assert quality.train(rows) == pytest.approx(vectors @ (out[1] - out[0]), rel=1e-3, abs=1e-4)
+
+
+def test_clashing_columns_and_long_texts_of_quality(spark):
+    rows = [(i, t, "a", 1.0) for i, t in ODD]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out string, score double")
+    labels = spark.createDataFrame([(902, 1, 0), (903, 0, 0), (903, 0, 0)], "doc_id long, quality int, toxic int")
+    out = quality.score(docs, quality.fit(docs, labels))
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == len(ODD)
 
 
 def test_quality(spark):
