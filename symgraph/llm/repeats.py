@@ -116,7 +116,8 @@ class Slab:
             parts = -(-run // LONGEST)
             first = np.repeat(first, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
         count = np.diff(np.append(first, len(key)))
-        start, own, key = inside[first], own[first], key[first]
+        # Smallest hashes crowd at 0; mixed anew, keys are dealt evenly.
+        start, own, key = inside[first], own[first], splitmix(key[first] + np.uint64(_PRIME))
         begins = (key % np.uint64(EVERY) == 0) | np.append(True, own[1:] != own[:-1])[: len(own)]
         return key, self.rows[own], start - self.begin[own] + self.offsets[own], count, begins
 
