@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import paths, text
+from .functions import paths, strings, text
 from .functions.scores import importance, match_score
 from .operators import context, find, impact, overview, resolve, search, sink, status
-from .plans.graph import with_degrees
+from .plans.graph import Graph, with_degrees
 from .schemas import ENTRY_KINDS, LANGUAGES
 from .sources import star
 
@@ -21,22 +21,22 @@ DOCUMENT_TERMS, NAME_TERM = "src1 en ther of-th", "wid"
 _NODES = """
 places AS (SELECT n_nationkey, n_name, r_name, r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey),
 nodes AS (
-  SELECT 'region:' || r_regionkey AS id, 'interface' AS kind, r_name AS name, r_name AS qualified_name, 'world.go' AS file_path, r_regionkey::INT AS start_line, TRUE AS is_exported FROM region
-  UNION ALL SELECT 'nation:' || n_nationkey, 'struct', n_name, r_name || '.' || n_name, r_name || '/nations.go', n_nationkey::INT, TRUE FROM places
-  UNION ALL SELECT 'customer:' || c_custkey, 'class', c_name, n_name || '.' || c_name, r_name || '/' || n_name || '/customers.go', c_custkey::INT, c_acctbal > 0 FROM customer JOIN places ON c_nationkey = n_nationkey
-  UNION ALL SELECT 'supplier:' || s_suppkey, 'class', s_name, n_name || '.' || s_name, r_name || '/' || n_name || '/suppliers.go', s_suppkey::INT, s_acctbal > 0 FROM supplier JOIN places ON s_nationkey = n_nationkey
-  UNION ALL SELECT 'part:' || p_partkey, 'function', p_name, p_brand || '.' || p_name, 'parts/' || p_brand || '/part.ts', p_partkey::INT, TRUE FROM part
-  UNION ALL SELECT 'order:' || o_orderkey, 'method', 'order_' || o_orderkey, o_orderpriority || '.' || o_orderkey, 'orders/' || o_orderpriority || '/order_test.go', o_orderkey::INT, o_totalprice > 100000 FROM orders
+  SELECT 'region:' || r_regionkey AS id, 'interface' AS kind, r_name AS name, r_name AS qualified_name, 'world.go' AS file_path, (r_regionkey % 2147483647)::INT AS start_line, TRUE AS is_exported FROM region
+  UNION ALL SELECT 'nation:' || n_nationkey, 'struct', n_name, r_name || '.' || n_name, r_name || '/nations.go', (n_nationkey % 2147483647)::INT, TRUE FROM places
+  UNION ALL SELECT 'customer:' || c_custkey, 'class', c_name, n_name || '.' || c_name, r_name || '/' || n_name || '/customers.go', (c_custkey % 2147483647)::INT, c_acctbal > 0 FROM customer JOIN places ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'supplier:' || s_suppkey, 'class', s_name, n_name || '.' || s_name, r_name || '/' || n_name || '/suppliers.go', (s_suppkey % 2147483647)::INT, s_acctbal > 0 FROM supplier JOIN places ON s_nationkey = n_nationkey
+  UNION ALL SELECT 'part:' || p_partkey, 'function', p_name, p_brand || '.' || p_name, 'parts/' || p_brand || '/part.ts', (p_partkey % 2147483647)::INT, TRUE FROM part
+  UNION ALL SELECT 'order:' || o_orderkey, 'method', 'order_' || o_orderkey, o_orderpriority || '.' || o_orderkey, 'orders/' || o_orderpriority || '/order_test.go', (o_orderkey % 2147483647)::INT, o_totalprice > 100000 FROM orders
 )"""
 _EDGES = """
 edges AS (
-  SELECT 100000000000000000 + n_nationkey AS id, 'region:' || n_regionkey AS source, 'nation:' || n_nationkey AS target, 'contains' AS kind, NULL::INT AS line FROM nation
-  UNION ALL SELECT 200000000000000000 + c_custkey, 'customer:' || c_custkey, 'nation:' || c_nationkey, 'references', NULL FROM customer
-  UNION ALL SELECT 300000000000000000 + s_suppkey, 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'references', NULL FROM supplier
-  UNION ALL SELECT 400000000000000000 + o_orderkey, 'order:' || o_orderkey, 'customer:' || o_custkey, 'calls', NULL FROM orders
-  UNION ALL SELECT DISTINCT 500000000000000000 + l_orderkey * 10000000 + l_partkey * 10 + l_linenumber, 'order:' || l_orderkey, 'part:' || l_partkey, 'calls', l_linenumber::INT FROM lineitem
-  UNION ALL SELECT DISTINCT 600000000000000000 + l_orderkey * 10000000 + l_suppkey * 10 + l_linenumber, 'order:' || l_orderkey, 'supplier:' || l_suppkey, 'calls', l_linenumber::INT FROM lineitem
-  UNION ALL SELECT DISTINCT 700000000000000000 + l_partkey * 1000000 + l_suppkey, 'part:' || l_partkey, 'supplier:' || l_suppkey, 'imports', NULL FROM lineitem
+  SELECT 1000000000000000000 + n_nationkey AS id, 'region:' || n_regionkey AS source, 'nation:' || n_nationkey AS target, 'contains' AS kind, NULL::INT AS line FROM nation
+  UNION ALL SELECT 2000000000000000000 + c_custkey, 'customer:' || c_custkey, 'nation:' || c_nationkey, 'references', NULL FROM customer
+  UNION ALL SELECT 3000000000000000000 + s_suppkey, 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'references', NULL FROM supplier
+  UNION ALL SELECT 4000000000000000000 + o_orderkey, 'order:' || o_orderkey, 'customer:' || o_custkey, 'calls', NULL FROM orders
+  UNION ALL SELECT DISTINCT 5000000000000000000 + (l_orderkey * (SELECT max(p_partkey) + 1 FROM part) + l_partkey) * 8 + l_linenumber, 'order:' || l_orderkey, 'part:' || l_partkey, 'calls', l_linenumber::INT FROM lineitem
+  UNION ALL SELECT DISTINCT 6000000000000000000 + (l_orderkey * (SELECT max(s_suppkey) + 1 FROM supplier) + l_suppkey) * 8 + l_linenumber, 'order:' || l_orderkey, 'supplier:' || l_suppkey, 'calls', l_linenumber::INT FROM lineitem
+  UNION ALL SELECT DISTINCT 7000000000000000000 + l_partkey * (SELECT max(s_suppkey) + 1 FROM supplier) + l_suppkey, 'part:' || l_partkey, 'supplier:' || l_suppkey, 'imports', NULL FROM lineitem
 )"""
 _FILES = """
 files AS (
@@ -102,7 +102,7 @@ def resolved_edges(spark, sf_dir):
 
 
 _REFS = """
-refs AS (SELECT 'customer:' || c_custkey AS ref FROM customer WHERE c_custkey % 7 = 0 UNION SELECT c_name FROM customer UNION SELECT p_name FROM part UNION SELECT r_name || '.' || n_name FROM places)"""
+refs AS (SELECT 'customer:' || c_custkey AS ref FROM customer UNION SELECT c_name FROM customer UNION SELECT p_name FROM part UNION SELECT r_name || '.' || n_name FROM places)"""
 
 
 @query(
@@ -115,7 +115,7 @@ refs AS (SELECT 'customer:' || c_custkey AS ref FROM customer WHERE c_custkey %
 )
 def find_node_tiers(spark, sf_dir):
     t = lambda n: star.read(spark, sf_dir, n)
-    refs = t("customer").where("c_custkey % 7 = 0").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("ref"))
+    refs = t("customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("ref"))
     refs = refs.union(t("customer").select("c_name")).union(t("part").select("p_name"))
     places = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
     refs = refs.union(places.select(F.concat_ws(".", "r_name", "n_name"))).distinct()
@@ -238,9 +238,13 @@ def overview_package_symbols(spark, sf_dir):
 # Resolution
 
 _PENDING = """
+place AS (SELECT s_suppkey, s_name, j, s_suppkey * 20 + j AS i FROM supplier, (SELECT unnest(range(20)) AS j)),
+shown AS (SELECT min(c_name) AS a, max(c_name) AS b FROM customer WHERE c_acctbal > 0),
 calls AS (
-  SELECT s_suppkey * 10 + j AS edge_id, s_suppkey, j, CASE j WHEN 0 THEN s_name WHEN 5 THEN p_name ELSE c_name END AS name, CASE WHEN j IN (3, 4) THEN 'next' ELSE '' END AS qualifier
-  FROM supplier, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS j) JOIN customer ON c_custkey = (s_suppkey * 13 + j * 977) % 1499 JOIN part ON p_partkey = c_custkey
+  SELECT i * 4 AS edge_id, s_suppkey, s_name AS name, '' AS qualifier FROM place WHERE j = 0
+  UNION ALL SELECT i * 4 + 1, s_suppkey, c_name, CASE WHEN j % 5 > 2 THEN 'next' ELSE '' END FROM place JOIN customer ON c_custkey = i % (SELECT count(*) FROM customer)
+  UNION ALL SELECT i * 4 + 2, s_suppkey, p_name, '' FROM place JOIN part ON p_partkey = i % (SELECT count(*) FROM part)
+  UNION ALL SELECT i * 4 + 3, s_suppkey, 'alias', '' FROM place WHERE j = 0
 ),
 pending AS (
   SELECT edge_id, c.name, qualifier, r_name || '/' || n_name AS dir, r_name || '/' || n_name || '/suppliers.go' AS source_file, n_nationkey
@@ -258,10 +262,15 @@ t3 AS (
   JOIN syms s ON s.name = p.name AND s.dir = q.r_name || '/' || q.n_name AND s.file_path LIKE '%.go'
   WHERE qualifier = 'next' AND edge_id NOT IN (SELECT edge_id FROM t1 UNION SELECT edge_id FROM t2) GROUP BY edge_id
 ),
+t4 AS (
+  SELECT edge_id, arg_min(hit, s.file_path) AS hit, 4 AS tier FROM pending p JOIN places q ON q.n_nationkey = (p.n_nationkey + 2) % 25
+  JOIN syms s ON s.name = p.name AND s.dir = q.r_name || '/' || q.n_name AND s.file_path LIKE '%.go'
+  WHERE edge_id NOT IN (SELECT edge_id FROM t1 UNION SELECT edge_id FROM t2 UNION SELECT edge_id FROM t3) GROUP BY edge_id
+),
 uniq AS (SELECT name, min(id) AS hit FROM own WHERE is_exported GROUP BY name HAVING count(*) = 1),
 t5 AS (
-  SELECT edge_id, hit, 5 AS tier FROM pending JOIN uniq USING (name)
-  WHERE edge_id NOT IN (SELECT edge_id FROM t1 UNION SELECT edge_id FROM t2 UNION SELECT edge_id FROM t3)
+  SELECT edge_id, hit, 5 AS tier FROM (SELECT edge_id, CASE WHEN name = 'alias' THEN (SELECT b FROM shown) ELSE name END AS name FROM pending) JOIN uniq USING (name)
+  WHERE edge_id NOT IN (SELECT edge_id FROM t1 UNION SELECT edge_id FROM t2 UNION SELECT edge_id FROM t3 UNION SELECT edge_id FROM t4)
 )"""
 
 
@@ -288,12 +297,25 @@ def resolve_import(spark, sf_dir):
     return resolve.resolve(nodes, edges, "world").where("tier = 3")
 
 
+@query("SELECT edge_id, hit, tier FROM t4", _NODES, _PENDING)
+def resolve_star_import(spark, sf_dir):
+    nodes, edges, _, _ = _left(spark, sf_dir)
+    return resolve.resolve(nodes, edges, "world").where("tier = 4")
+
+
+@query("SELECT edge_id, hit FROM t5 WHERE edge_id % 4 = 3", _NODES, _PENDING)
+def resolve_last_import(spark, sf_dir):
+    """Calls of a name that two imports give: the last one counts."""
+    nodes, edges, _, _ = _left(spark, sf_dir)
+    return resolve.resolve(nodes, edges, "world").where("tier = 5 and edge_id % 4 = 3").select("edge_id", "hit")
+
+
 @query("SELECT name, hit FROM uniq", _NODES, _PENDING)
 def resolve_global_unique(spark, sf_dir):
     return resolve.unique_names(_left(spark, sf_dir)[0])
 
 
-@query("SELECT edge_id, hit, tier FROM t1 UNION ALL SELECT edge_id, hit, tier FROM t2 UNION ALL SELECT edge_id, hit, tier FROM t3 UNION ALL SELECT edge_id, hit, tier FROM t5", _NODES, _PENDING)
+@query("SELECT edge_id, hit, tier FROM t1 UNION ALL SELECT edge_id, hit, tier FROM t2 UNION ALL SELECT edge_id, hit, tier FROM t3 UNION ALL SELECT edge_id, hit, tier FROM t4 UNION ALL SELECT edge_id, hit, tier FROM t5", _NODES, _PENDING)
 def resolve_all(spark, sf_dir):
     nodes, edges, _, _ = _left(spark, sf_dir)
     return resolve.resolve(nodes, edges, "world")
@@ -400,6 +422,49 @@ def context_related(spark, sf_dir):
     return context.related(star.graph(spark, sf_dir), ids, 60).select("id", "pos")
 
 
+@query(
+    f"""SELECT id, ({_MATCH} + {_IMPORTANCE})::DOUBLE AS rank FROM (
+      SELECT * FROM full_nodes WHERE (name ILIKE '%{TERM}%' OR qualified_name ILIKE '%{TERM}%') AND kind = 'struct'
+      ORDER BY CASE WHEN name = '{TERM}' THEN 0 WHEN name ILIKE '{TERM}%' THEN 1 ELSE 2 END, name, id LIMIT 200)
+    ORDER BY rank DESC, name, id LIMIT 40""",
+    _NODES, _EDGES, _DEGREE, _FULL,
+)
+def search_kind(spark, sf_dir):
+    return search.search_like(star.graph(spark, sf_dir), TERM, kind="struct", limit=40).select("id", F.col("rank").cast("double").alias("rank"))
+
+
+@query(
+    f"""SELECT p.path, p.files, p.nodes, l.languages, coalesce(s.symbols, '') AS symbols
+    FROM (SELECT {_PACKAGE.format('path')} AS path, count(*) AS files, sum(node_count)::BIGINT AS nodes FROM both_files GROUP BY 1 ORDER BY nodes DESC, path LIMIT 20) p
+    JOIN (SELECT path, string_agg(language || '=' || n, ',' ORDER BY language) AS languages FROM (SELECT {_PACKAGE.format('path')} AS path, language, count(*) AS n FROM both_files GROUP BY 1, 2) GROUP BY path) l USING (path)
+    LEFT JOIN (SELECT path, string_agg(qualified_name, ',' ORDER BY pos) AS symbols FROM (
+      SELECT {_PACKAGE.format('file_path')} AS path, qualified_name, row_number() OVER (PARTITION BY {_PACKAGE.format('file_path')} ORDER BY file_path, start_line, id) AS pos
+      FROM nodes WHERE kind IN ({_ENTRY}) AND is_exported AND NOT file_path ILIKE '%_test.go') WHERE pos <= 8 GROUP BY path) s USING (path)""",
+    _NODES, _FILES,
+    """both_files AS (
+  SELECT path, language, node_count::BIGINT AS node_count FROM files
+  UNION ALL SELECT file_path, CASE WHEN ends_with(file_path, '.ts') THEN 'typescript' ELSE 'go' END, count(*) FROM nodes GROUP BY file_path)""",
+)
+def overview_top_packages(spark, sf_dir):
+    """The largest packages of the documents and of the graph's own files, as one result."""
+    g = star.graph(spark, sf_dir)
+    own = g.nodes.groupBy(F.col("file_path").alias("path"), "language").agg(F.count("*").alias("node_count"))
+    both = Graph(g.nodes, g.edges, g.files.select("path", "language", F.col("node_count").cast("long").alias("node_count")).unionByName(own.select("path", "language", "node_count")))
+    languages = F.array_join(F.transform(F.map_entries("languages"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    return overview.top_packages(both).select("path", "files", "nodes", languages.alias("languages"), F.coalesce(F.array_join("symbols", ","), F.lit("")).alias("symbols"))
+
+
+@query(
+    """SELECT ref, id, row_number() OVER (PARTITION BY ref ORDER BY is_exported DESC, file_path, start_line, id) AS pos FROM nodes JOIN (SELECT p_name AS ref FROM part WHERE p_partkey = 11) ON name = ref""",
+    _NODES,
+)
+def lookup_order(spark, sf_dir):
+    """The nodes of one name in the order in which a lookup gives them."""
+    name = star.read(spark, sf_dir, "part").where("p_partkey = 11").first()["p_name"]
+    found = find.in_order(find.find_node(star.graph(spark, sf_dir), name)).select(F.lit(name).alias("ref"), "id", F.monotonically_increasing_id().alias("m"))
+    return found.select("ref", "id", F.row_number().over(Window.partitionBy("ref").orderBy("m")).cast("long").alias("pos"))
+
+
 # Incremental runs
 
 
@@ -547,10 +612,49 @@ def module_candidates(spark, sf_dir):
     return star.read(spark, sf_dir, "documents").select("doc_id", F.explode(paths.module_candidates(module, file)).alias("candidate"))
 
 
-@query("SELECT p_name, 'limit' AS flag, levenshtein(p_name, 'limit')::BIGINT AS distance FROM (SELECT DISTINCT p_name FROM part)")
+def _mapped(df: DataFrame, schema: str, fn) -> DataFrame:
+    """Rows of fn(*row) for the rows of a small table of distinct values; for functions that are used on the driver."""
+    import pyarrow as pa
+
+    names = df.columns
+
+    def run(batches):
+        for batch in batches:
+            rows = [fn(*r) for r in zip(*[batch.column(i).to_pylist() for i in range(len(names))])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=[x.split(" ")[0] for x in schema.split(", ")])
+
+    return df.mapInArrow(run, schema)
+
+
+_FLAGS = ("--depth", "--json", "--kind", "--limit")
+
+
+@query(
+    f"""SELECT word, arg_min(flag, (levenshtein(word, flag), flag)) AS nearest, min(levenshtein(word, flag))::BIGINT AS distance,
+    CASE WHEN min(levenshtein(word, flag)) <= 2 THEN arg_min(flag, (levenshtein(word, flag), flag)) ELSE '' END AS suggestion
+    FROM (SELECT DISTINCT unnest(['--' || event_type, '--dept' || event_type[1:1], '--' || event_type[1:2] || 'nd', '--lim' || event_type[1:2]]) AS word FROM events), (SELECT unnest({list(_FLAGS)}) AS flag) GROUP BY word"""
+)
 def flag_suggest(spark, sf_dir):
-    names = star.read(spark, sf_dir, "part").select("p_name").distinct()
-    return names.select("p_name", F.lit("limit").alias("flag"), F.levenshtein("p_name", F.lit("limit")).cast("long").alias("distance"))
+    kind = F.col("event_type")
+    made = F.array(F.concat(F.lit("--"), kind), F.concat(F.lit("--dept"), F.substring(kind, 1, 1)), F.concat(F.lit("--"), F.substring(kind, 1, 2), F.lit("nd")), F.concat(F.lit("--lim"), F.substring(kind, 1, 2)))
+    words = star.read(spark, sf_dir, "events").select(F.explode(made).alias("word")).distinct()
+
+    def fn(word):
+        nearest = min(_FLAGS, key=lambda f: (strings.edit_distance(word, f), f))
+        return word, nearest, strings.edit_distance(word, nearest), strings.similar(word, list(_FLAGS))
+
+    return _mapped(words, "word string, nearest string, distance long, suggestion string", fn)
+
+
+@query(
+    """SELECT n, CASE WHEN n < 1024 THEN n || 'B' WHEN n < 1048576 THEN printf('%.1fKB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1fMB', n / 1048576.0) ELSE printf('%.1fGB', n / 1073741824.0) END AS size
+    FROM (SELECT DISTINCT unnest([n_chars, n_chars * 1000, n_chars * 1000000]) AS n FROM documents)"""
+)
+def human_sizes(spark, sf_dir):
+    n = F.col("n_chars")
+    sizes = star.read(spark, sf_dir, "documents").select(F.explode(F.array(n, n * 1000, n * 1000000)).alias("n")).distinct()
+    return _mapped(sizes, "n long, size string", lambda n: (n, strings.human_size(n)))
 
 
 # Extraction: no SQL; over generated sources of three languages, one file a part
@@ -597,10 +701,17 @@ def extract_ts(spark, sf_dir):
     return _extracted(_sources(spark, sf_dir, ".ts", lambda w: F.format_string("import { x } from './b';\nexport class %s {\n  async run(a) {\n    x(a);\n}\n}\nexport const make = async (q) => {\n  x(q);\n  return new %s();\n}\n", w, w)))
 
 
-@query("SELECT DISTINCT host, regexp_replace(host || '/team/repo', '[^A-Za-z0-9._/-]', '_', 'g') AS key FROM (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages)")
+@query(
+    """SELECT DISTINCT form, host, CASE WHEN form = 2 THEN host || '/a b/~x/repo' ELSE host || '/team/repo' END AS remote, CASE WHEN form = 2 THEN host || '/a_b/_x/repo' ELSE host || '/team/repo' END AS key
+    FROM (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages), (SELECT unnest([0, 1, 2]::BIGINT[]) AS form)"""
+)
 def remote_keys(spark, sf_dir):
-    """Keys of the pages' hosts as remotes."""
-    hosts = star.read(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("host")).distinct()
-    key = F.regexp_replace(F.regexp_replace(F.concat(F.lit("git@"), F.col("host"), F.lit(":team/repo.git")), r"^[^@]+@([^:]+):(.+)\.git$", "$1/$2"), "[^A-Za-z0-9._/-]", "_")
-    return hosts.select("host", key.alias("key"))
+    """Remotes at the pages' hosts, written in three ways, and their keys."""
+    hosts = star.read(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("host"), F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])).alias("form")).distinct()
+
+    def fn(host, form):
+        url = (f" git@{host}:team/repo.git\n", f"https://me@{host}//team/repo.git/", f"ssh://{host}/a b/~x/repo")[form]
+        remote = strings.normalize_remote(url)
+        return form, host, remote, strings.safe_key(remote)
 
+    return _mapped(hosts, "form long, host string, remote string, key string", fn)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..plans.graph import Graph
 
 
+#: Keys beyond an int's range wrap around as line numbers.
+LINES = 2**31 - 1
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,29 +49,34 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _row(df: DataFrame, prefix: str, kind: str, key: Column, name: Column, qualified: Column, path: Column, exported: Column) -> DataFrame:
     return df.select(
         _id(prefix, key).alias("id"), F.lit(kind).alias("kind"), name.alias("name"), qualified.alias("qualified_name"), path.alias("file_path"),
-        F.when(path.endswith(".ts"), "typescript").otherwise("go").alias("language"), key.cast("int").alias("start_line"), key.cast("int").alias("end_line"),
+        F.when(path.endswith(".ts"), "typescript").otherwise("go").alias("language"), (key % LINES).cast("int").alias("start_line"), (key % LINES).cast("int").alias("end_line"),
         F.lit(None).cast("string").alias("docstring"), F.lit(None).cast("string").alias("signature"), exported.alias("is_exported"), key.cast("long").alias("node_ordinal"),
     )
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """contains: region to nation; references: parties to nations; calls: order to customer, parts, suppliers;
-    imports: part to supplier.  Ids are built from the keys, so that no global numbering is needed; repeated line
-    items collapse."""
+    imports: part to supplier.  Repeated line items collapse.
+
+    Ids are built from the keys, in a mixed radix by the largest part and supplier key, so that no global numbering is
+    needed; they are unique while eight times the largest order key times the largest part key is below 10^18.
+    """
     t = lambda name: read(spark, sf_dir, name)
     item = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    number = lambda code, *keys: sum((k.cast("long") * m for k, m in keys), F.lit(code * 10**17))
+    above = lambda name, key: (t(name).agg(F.max(key).cast("long").alias("m")).scalar() + 1)
+    parts, suppliers = above("part", "p_partkey"), above("supplier", "s_suppkey")
+    number = lambda code, key: F.lit(code * 10**18) + key
     o, p, s, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     row = lambda df, i, a, b, kind, line: df.select(i.alias("id"), a.alias("source"), b.alias("target"), F.lit(kind).alias("kind"), F.lit(True).alias("resolved"), line.cast("int").alias("line"), F.lit(0).alias("col"))
     none = F.lit(None)
     return (
-        row(t("nation"), number(1, (F.col("n_nationkey"), 1)), _id("region", F.col("n_regionkey")), _id("nation", F.col("n_nationkey")), "contains", none)
-        .unionByName(row(t("customer"), number(2, (F.col("c_custkey"), 1)), _id("customer", F.col("c_custkey")), _id("nation", F.col("c_nationkey")), "references", none))
-        .unionByName(row(t("supplier"), number(3, (F.col("s_suppkey"), 1)), _id("supplier", F.col("s_suppkey")), _id("nation", F.col("s_nationkey")), "references", none))
-        .unionByName(row(t("orders"), number(4, (F.col("o_orderkey"), 1)), _id("order", F.col("o_orderkey")), _id("customer", F.col("o_custkey")), "calls", none))
-        .unionByName(row(item.select("l_orderkey", "l_partkey", "l_linenumber").distinct(), number(5, (o, 10**7), (p, 10), (n, 1)), _id("order", o), _id("part", p), "calls", n))
-        .unionByName(row(item.select("l_orderkey", "l_suppkey", "l_linenumber").distinct(), number(6, (o, 10**7), (s, 10), (n, 1)), _id("order", o), _id("supplier", s), "calls", n))
-        .unionByName(row(item.select("l_partkey", "l_suppkey").distinct(), number(7, (p, 10**6), (s, 1)), _id("part", p), _id("supplier", s), "imports", none))
+        row(t("nation"), number(1, F.col("n_nationkey")), _id("region", F.col("n_regionkey")), _id("nation", F.col("n_nationkey")), "contains", none)
+        .unionByName(row(t("customer"), number(2, F.col("c_custkey")), _id("customer", F.col("c_custkey")), _id("nation", F.col("c_nationkey")), "references", none))
+        .unionByName(row(t("supplier"), number(3, F.col("s_suppkey")), _id("supplier", F.col("s_suppkey")), _id("nation", F.col("s_nationkey")), "references", none))
+        .unionByName(row(t("orders"), number(4, F.col("o_orderkey")), _id("order", F.col("o_orderkey")), _id("customer", F.col("o_custkey")), "calls", none))
+        .unionByName(row(item.select("l_orderkey", "l_partkey", "l_linenumber").distinct(), number(5, (o * parts + p) * 8 + n), _id("order", o), _id("part", p), "calls", n))
+        .unionByName(row(item.select("l_orderkey", "l_suppkey", "l_linenumber").distinct(), number(6, (o * suppliers + s) * 8 + n), _id("order", o), _id("supplier", s), "calls", n))
+        .unionByName(row(item.select("l_partkey", "l_suppkey").distinct(), number(7, p * suppliers + s), _id("part", p), _id("supplier", s), "imports", none))
     )
 
 
@@ -84,25 +93,49 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes(spark, sf_dir), edges(spark, sf_dir), files(spark, sf_dir))
 
 
+#: Calls of each supplier to customers, and as many to parts: there are that many parts to a supplier.
+CALLS = 20
+
+
 def placeholders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, unresolved edges): suppliers call customers, parts and themselves by name; each nation's supplier
-    file imports the package of the nation after it under the alias `next`."""
+    """(nodes, unresolved edges): suppliers call customers, parts and themselves by name, all keys in turn.
+
+    Each nation's supplier file imports the package of the nation after it under the alias `next`, all of that of the
+    one after that, and under the alias `alias` first one and then another customer from a module that isn't there.
+    """
     t = lambda name: read(spark, sf_dir, name)
     supplier, places = t("supplier"), t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
     here = F.concat_ws("/", "r_name", "n_name", F.lit("suppliers.go"))
-    after = places.select(F.col("n_nationkey").alias("k"), F.concat_ws("/", F.lit("world"), "r_name", "n_name").alias("module"))
-    imports = places.join(F.broadcast(after), F.col("k") == (F.col("n_nationkey") + 1) % 25).select(
-        F.concat_ws("::", here, F.lit("next"), F.lit("1")).alias("id"), F.lit("import").alias("kind"), F.lit("next").alias("name"), F.lit("next").alias("qualified_name"), here.alias("file_path"),
-        F.lit("go").alias("language"), F.lit(1).alias("start_line"), F.lit(False).alias("is_exported"), F.col("module").alias("import_module"), F.lit(None).cast("string").alias("import_symbol"), F.lit(-1).cast("long").alias("node_ordinal"),
-    )
+    module = places.select(F.col("n_nationkey").alias("k"), F.concat_ws("/", F.lit("world"), "r_name", "n_name").alias("module"))
+    shown = t("customer").where("c_acctbal > 0").agg(F.min("c_name").alias("a"), F.max("c_name").alias("b"))
+
+    def imported(df: DataFrame, line: int, local: str, module: Column, symbol: Column) -> DataFrame:
+        return df.select(
+            F.concat_ws("::", here, F.lit(local), F.lit(str(line))).alias("id"), F.lit("import").alias("kind"), F.lit(local).alias("name"), F.lit(local).alias("qualified_name"), here.alias("file_path"),
+            F.lit("go").alias("language"), F.lit(line).alias("start_line"), F.lit(False).alias("is_exported"), module.alias("import_module"), symbol.cast("string").alias("import_symbol"), F.lit(line - 100).cast("long").alias("node_ordinal"),
+        )
+
+    after = lambda step: places.join(F.broadcast(module), F.col("k") == (F.col("n_nationkey") + step) % 25)
+    lost = places.crossJoin(F.broadcast(shown))  # one row
+    imports = (
+        imported(after(1), 1, "next", F.col("module"), F.lit(None))
+        .unionByName(imported(after(2), 2, "*", F.col("module"), F.lit("*")))
+        .unionByName(imported(lost, 3, "alias", F.lit("no/where"), F.col("a")))
+        .unionByName(imported(lost, 4, "alias", F.lit("no/where"), F.col("b")))
+    )
     own = nodes(spark, sf_dir).where("id like 'customer:%' or id like 'supplier:%' or id like 'part:%'")
     all_ = own.select("id", "kind", "name", "qualified_name", "file_path", "language", "start_line", "is_exported", F.lit(None).cast("string").alias("import_module"), F.lit(None).cast("string").alias("import_symbol"), "node_ordinal").unionByName(imports)
-    customer = t("customer").select("c_custkey", "c_name")
-    names = F.explode(F.transform(F.array(*map(F.lit, range(6))), lambda j: F.struct(j.alias("j"), ((F.col("s_suppkey") * 13 + j * 977) % 1499).alias("k"))))
-    calls = supplier.select("s_suppkey", "s_name", names.alias("x")).select("s_suppkey", "s_name", "x.j", "x.k")
-    calls = calls.join(customer, F.col("k") == F.col("c_custkey")).join(t("part").select("p_partkey", "p_name"), F.col("k") == F.col("p_partkey"))
-    wanted = F.when(F.col("j") == 0, F.col("s_name")).when(F.col("j") == 5, F.col("p_name")).otherwise(F.col("c_name"))
+    place = supplier.select("s_suppkey", "s_name", F.explode(F.sequence(F.lit(0), F.lit(CALLS - 1))).alias("j")).withColumn("i", F.col("s_suppkey") * CALLS + F.col("j"))
+    rows = lambda name: t(name).agg(F.count("*").alias("n")).scalar()
+    people = t("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    goods = t("part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))
+    calls = (
+        place.where("j = 0").select("s_suppkey", "i", "j", F.lit(0).alias("t"), F.col("s_name").alias("name"))
+        .unionByName(place.withColumn("k", F.col("i") % rows("customer")).join(people, "k").select("s_suppkey", "i", "j", F.lit(1).alias("t"), "name"))
+        .unionByName(place.withColumn("k", F.col("i") % rows("part")).join(goods, "k").select("s_suppkey", "i", "j", F.lit(2).alias("t"), "name"))
+        .unionByName(place.where("j = 0").select("s_suppkey", "i", "j", F.lit(3).alias("t"), F.lit("alias").alias("name")))
+    )
     return all_, calls.select(
-        (F.col("s_suppkey") * 10 + F.col("j")).alias("id"), _id("supplier", F.col("s_suppkey")).alias("source"), F.concat(F.lit("name:"), wanted).alias("target"), F.lit("calls").alias("kind"), F.lit(False).alias("resolved"),
-        F.col("j").cast("int").alias("line"), F.lit(0).alias("col"), F.when(F.col("j").isin(3, 4), F.concat(F.lit("next."), wanted)).otherwise(wanted).alias("callee_text"),
+        (F.col("i") * 4 + F.col("t")).alias("id"), _id("supplier", F.col("s_suppkey")).alias("source"), F.concat(F.lit("name:"), "name").alias("target"), F.lit("calls").alias("kind"), F.lit(False).alias("resolved"),
+        F.col("j").cast("int").alias("line"), F.lit(0).alias("col"), F.when((F.col("t") == 1) & (F.col("j") % 5 > 2), F.concat(F.lit("next."), "name")).otherwise(F.col("name")).alias("callee_text"),
     )
