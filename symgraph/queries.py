@@ -701,6 +701,90 @@ def extract_ts(spark, sf_dir):
     return _extracted(_sources(spark, sf_dir, ".ts", lambda w: F.format_string("import { x } from './b';\nexport class %s {\n  async run(a) {\n    x(a);\n}\n}\nexport const make = async (q) => {\n  x(q);\n  return new %s();\n}\n", w, w)))
 
 
+#: One source in each language: imports with and without aliases, types, members, values, flags and calls of each form.
+_SOURCES = {
+    ".go": 'package p\n\nimport "fmt"\nimport al "x/y"\n\ntype {w} struct{ a int }\ntype Few interface{ Run() }\ntype Old = {w}\n\nconst lim = 3\nvar Tab = 4\n\n'
+    'func (x *{w}) Run() { fmt.Println("{(", x.a) }\n\nfunc Make{w}() *{w} {\n\tx := new({w})\n\tx.Run()\n\tal.Do(lim)\n\treturn x\n}\n',
+    ".py": 'import os\nfrom a.b import c as d\nclass {w}:\n    """Doc."""\n    @staticmethod\n    def run(a):\n        os.walk(a)\n\nasync def make():\n    return {w}.run(d(1))\n',
+    ".ts": "import { x, y as z } from './b';\nimport * as ns from './c';\nexport class {w} {}\nexport const make = async (q) => {\n  z(q);\n  ns.go();\n}\nfunction own() {\n  return make(1);\n}\n",
+}
+#: What these give: kind, qualified name, first and last line, flags (exported, async, static), imported module and symbol, docstring.
+_FOUND_NODES = [
+    (".go", "import", "fmt", 3, 3, "", "fmt", "", ""), (".go", "import", "al", 4, 4, "", "x/y", "", ""), (".go", "struct", "{w}", 6, 6, "e", "", "", ""), (".go", "interface", "Few", 7, 7, "e", "", "", ""),
+    (".go", "type_alias", "Old", 8, 8, "e", "", "", ""), (".go", "constant", "lim", 10, 10, "", "", "", ""), (".go", "variable", "Tab", 11, 11, "e", "", "", ""), (".go", "method", "{w}.Run", 13, 13, "e", "", "", ""),
+    (".go", "function", "Make{w}", 15, 20, "e", "", "", ""),
+    (".py", "import", "os", 1, 1, "", "os", "", ""), (".py", "import", "a.b.c", 2, 2, "", "a.b", "c", ""), (".py", "class", "{w}", 3, 7, "e", "", "", "Doc."), (".py", "method", "{w}.run", 6, 7, "es", "", "", ""),
+    (".py", "function", "make", 9, 10, "ea", "", "", ""),
+    (".ts", "import", "./b.x", 1, 1, "", "./b", "x", ""), (".ts", "import", "./b.y", 1, 1, "", "./b", "y", ""), (".ts", "import", "ns", 2, 2, "", "./c", "*", ""), (".ts", "class", "{w}", 3, 3, "e", "", "", ""),
+    (".ts", "function", "make", 4, 7, "ea", "", "", ""), (".ts", "function", "own", 8, 10, "", "", "", ""),
+]
+#: Kind, source (qualified name and line), target, line, column and how much of the word's length it has, callee text.
+_FOUND_EDGES = [
+    (".go", "calls", "{w}.Run::13", "name:Println", 13, 30, 1, "fmt.Println"), (".go", "calls", "Make{w}::15", "name:new", 16, 9, 0, "new"), (".go", "calls", "Make{w}::15", "name:Run", 17, 6, 0, "x.Run"),
+    (".go", "calls", "Make{w}::15", "name:Do", 18, 6, 0, "al.Do"),
+    (".py", "contains", "{w}::3", "pkg/f{k}.py::{w}.run::6", -1, -1, 0, ""), (".py", "calls", "{w}.run::6", "name:walk", 7, 8, 0, "os.walk"), (".py", "calls", "make::9", "name:run", 10, 11, 0, "{w}.run"),
+    (".py", "calls", "make::9", "name:d", 10, 16, 1, "d"),
+    (".ts", "calls", "make::4", "name:z", 5, 0, 0, "z"), (".ts", "calls", "make::4", "name:go", 6, 0, 0, "ns.go"), (".ts", "calls", "own::8", "name:make", 9, 0, 0, "make"),
+]
+_WORDS = "words AS (SELECT p_partkey AS k, regexp_replace((SELECT string_agg(upper(x[1]) || lower(x[2:]), '') FROM (SELECT unnest(string_split(p_name, ' ')) AS x)), '[^A-Za-z]', '', 'g') AS w FROM part)"
+
+
+def _values(rows) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
+
+
+def _all_sources(spark, sf_dir) -> DataFrame:
+    """The three sources of every part, its name in place of {w}."""
+    word = F.regexp_replace(F.initcap(F.col("p_name")), "[^A-Za-z]", "")
+    made = F.array(*[F.struct(F.lit(ending).alias("ending"), F.replace(F.lit(text), F.lit("{w}"), word).alias("text")) for ending, text in _SOURCES.items()])
+    part = star.read(spark, sf_dir, "part").select("p_partkey", F.explode(made).alias("x"))
+    return part.select(F.concat(F.lit("pkg/f"), F.col("p_partkey").cast("string"), F.col("x.ending")).alias("path"), F.encode("x.text", "UTF-8").alias("content"))
+
+
+def _extracts(spark, sf_dir, schema: str, rows_of) -> DataFrame:
+    """Rows of rows_of(extract) for every source."""
+    from .extract import extract_file
+
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [x for r in batch.to_pylist() for x in rows_of(extract_file(r["path"], r["content"]))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+
+    return _all_sources(spark, sf_dir).mapInArrow(run, schema)
+
+
+@query(
+    f"""SELECT 'pkg/f' || k || e AS path, kind, replace(q, '{{w}}', w) AS qualified_name, first::BIGINT AS first, last::BIGINT AS last, flags, module, symbol, doc
+    FROM words, {_values(_FOUND_NODES)} AS t(e, kind, q, first, last, flags, module, symbol, doc)""",
+    _WORDS,
+)
+def extract_nodes(spark, sf_dir):
+    def rows(x):
+        for n in x.nodes:
+            flags = "".join(c for c, on in zip("eas", (n["is_exported"], n["is_async"], n["is_static"])) if on)
+            yield x.path, n["kind"], n["qualified_name"], n["start_line"], n["end_line"], flags, n["import_module"] or "", n["import_symbol"] or "", n["docstring"] or ""
+
+    return _extracts(spark, sf_dir, "path string, kind string, qualified_name string, first long, last long, flags string, module string, symbol string, doc string", rows)
+
+
+@query(
+    f"""SELECT 'pkg/f' || k || e || '::' || replace(source, '{{w}}', w) AS source, kind, replace(replace(target, '{{w}}', w), '{{k}}', k::VARCHAR) AS target, line::BIGINT AS line, (col + n * length(w))::BIGINT AS col, replace(callee, '{{w}}', w) AS callee
+    FROM words, {_values(_FOUND_EDGES)} AS t(e, kind, source, target, line, col, n, callee)""",
+    _WORDS,
+)
+def extract_edges(spark, sf_dir):
+    def rows(x):
+        for e in x.edges:
+            yield e["source"], e["kind"], e["target"], -1 if e["line"] is None else e["line"], -1 if e["col"] is None else e["col"], e["callee_text"] or ""
+
+    return _extracts(spark, sf_dir, "source string, kind string, target string, line long, col long, callee string", rows)
+
+
 @query(
     """SELECT DISTINCT form, host, CASE WHEN form = 2 THEN host || '/a b/~x/repo' ELSE host || '/team/repo' END AS remote, CASE WHEN form = 2 THEN host || '/a_b/_x/repo' ELSE host || '/team/repo' END AS key
     FROM (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages), (SELECT unnest([0, 1, 2]::BIGINT[]) AS form)"""
