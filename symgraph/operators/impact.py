@@ -71,6 +71,35 @@ def impact(graph: Graph, roots: DataFrame, depth: int = 2, limit: int = 100) ->
     return visited, out
 
 
+def impact_each(graph: Graph, roots: DataFrame, depth: int, limit: int) -> DataFrame:
+    """(root, id, level) of what each root (column id) reaches on its own, under the rule of `impact`: a node is expanded
+    only while fewer than `limit` nodes were found for its root.
+
+    All roots go level by level together.  Ranks are needed only of roots that are below the limit still, so no window's
+    group has more rows than that; what passes the limit in one step is kept unranked.
+    """
+    edges = incoming(graph).join(graph.nodes.select(F.col("id").alias("source")), "source", "left_semi").select("edge_id", "source", "target")
+    frontier = cut(roots.select(F.col("id").alias("root"), "id", F.lit(0).cast("long").alias("rank"), F.lit(1).cast("long").alias("total")).distinct())
+    visited = frontier.select("root", "id", F.lit(0).alias("level"))
+    for level in range(1, depth + 1):
+        parents = frontier.where(F.col("total") < limit).select("root", F.col("id").alias("target"), F.col("rank").alias("parent_rank"), "total")
+        found = edges.join(parents, "target")
+        first = found.groupBy("root", F.col("source").alias("id")).agg(F.min(F.struct("parent_rank", "edge_id")).alias("by")).join(visited.select("root", "id"), ["root", "id"], "left_anti")
+        first = cut(first.select("root", "id", "by.parent_rank", "by.edge_id"))
+        fresh = parents.join(first.groupBy("root", "parent_rank").agg(F.count("*").alias("n")), ["root", "parent_rank"], "left").fillna(0, ["n"])
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("root").orderBy("parent_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        kept = fresh.withColumn("before", before).where(F.col("before") + F.col("total") < limit)
+        new = first.join(kept.select("root", "parent_rank"), ["root", "parent_rank"], "left_semi")
+        total = kept.groupBy("root").agg((F.max("total") + F.sum("n")).alias("total"))
+        new = cut(new.join(total, "root"))
+        if new.isEmpty():
+            break
+        visited = visited.unionByName(new.select("root", "id", F.lit(level).alias("level")))
+        rank = F.row_number().over(Window.partitionBy("root").orderBy("parent_rank", "edge_id")).cast("long")
+        frontier = cut(new.where(F.col("total") < limit).select("root", "id", rank.alias("rank"), "total"))
+    return visited
+
+
 def is_test(path: Column, pattern: str = "") -> Column:
     """By an unanchored regular expression, or by the built-in marks."""
     if pattern:
@@ -81,10 +110,14 @@ def is_test(path: Column, pattern: str = "") -> Column:
     return marks
 
 
-def affected(graph: Graph, changed: DataFrame, depth: int = 5, pattern: str = "") -> tuple[DataFrame, DataFrame]:
+#: Fixed value: nodes up to which each root symbol of a changed file is followed.
+AFFECTED_LIMIT = 1000
+
+
+def affected(graph: Graph, changed: DataFrame, depth: int = 5, pattern: str = "", limit: int = AFFECTED_LIMIT) -> tuple[DataFrame, DataFrame]:
     """(root symbols, impacted files with is_test) of changed files (column path; a leading ./ is dropped)."""
     paths = changed.select(F.regexp_replace("path", r"^\./", "").alias("file_path")).distinct()
     roots = graph.nodes.where("kind <> 'import'").join(paths, "file_path", "left_semi")
-    reached = reach(graph, roots, depth)
+    reached = impact_each(graph, roots, depth, limit)
     files = graph.nodes.select("id", "file_path").join(reached, "id", "left_semi").select(F.col("file_path").alias("path")).distinct()
     return roots, files.withColumn("is_test", is_test(F.col("path"), pattern))

@@ -326,8 +326,9 @@ def resolve_all(spark, sf_dir):
 _IMPORTANCE = """least(degree, 40) * 1.5 + least(in_degree, 20) + least(out_degree, 20) * 0.5 + CASE WHEN is_exported THEN 6 ELSE 0 END
   + CASE WHEN starts_with(file_path, 'cmd/') OR starts_with(file_path, 'internal/cli/') THEN 4 ELSE 0 END
   + CASE WHEN name IN ('Run', 'Main') OR starts_with(name, 'cmd') THEN 3 ELSE 0 END - CASE WHEN ends_with(file_path, '_test.go') THEN 12 ELSE 0 END"""
-_MATCH = f"""CASE WHEN lower(name) = '{TERM}' THEN 100 WHEN starts_with(lower(name), '{TERM}') THEN 70 WHEN contains(lower(name), '{TERM}') THEN 40 WHEN contains(lower(qualified_name), '{TERM}') THEN 20 ELSE 0 END
+_TERM_MATCH = """CASE WHEN lower(name) = '{0}' THEN 100 WHEN starts_with(lower(name), '{0}') THEN 70 WHEN contains(lower(name), '{0}') THEN 40 WHEN contains(lower(qualified_name), '{0}') THEN 20 ELSE 0 END
   + CASE kind WHEN 'function' THEN 10 WHEN 'method' THEN 10 WHEN 'class' THEN 10 WHEN 'struct' THEN 8 WHEN 'interface' THEN 8 WHEN 'import' THEN -40 ELSE 0 END"""
+_MATCH = _TERM_MATCH.format(TERM)
 _FULL = "full_nodes AS (SELECT n.*, coalesce(out_degree, 0)::BIGINT AS out_degree, coalesce(in_degree, 0)::BIGINT AS in_degree, (coalesce(out_degree, 0) + coalesce(in_degree, 0))::BIGINT AS degree FROM nodes n LEFT JOIN degree d ON d.id = n.id)"
 
 
@@ -379,9 +380,25 @@ def search_bm25_documents(spark, sf_dir):
     return search.bm25(docs, DOCUMENT_TERMS).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(None)
+_NODE_HITS = f"""
+words AS (SELECT *, {", ".join(f"regexp_extract_all(translate(lower({c}), '{text.FOLD_FROM}', '{text.FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+') AS w_{c}" for c in ("id", "name", "qualified_name"))} FROM full_nodes),
+counted AS (SELECT *, len(w_id) + len(w_name) + len(w_qualified_name) AS length, {", ".join(f"len(list_filter(w_{c}, lambda x: starts_with(x, '{NAME_TERM}'))) AS f_{c}" for c in ("id", "name", "qualified_name"))} FROM words),
+stats AS (SELECT count(*) AS n, avg(length) AS av, count(*) FILTER (f_id + f_name + f_qualified_name > 0) AS d FROM counted),
+scored AS (
+  SELECT id, name, kind, qualified_name, file_path, is_exported, degree, in_degree, out_degree, CASE WHEN name = '{NAME_TERM}' THEN 0 WHEN name ILIKE '{NAME_TERM}%' THEN 1 ELSE 2 END AS tier,
+    CASE WHEN ln((n - d + 0.5) / (d + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d + 0.5) / (d + 0.5)) END * (20 * f_name + 5 * f_qualified_name) * 2.2 / ((20 * f_name + 5 * f_qualified_name) + 1.2 * (0.25 + 0.75 * length / av)) AS score
+  FROM counted, stats WHERE f_id + f_name + f_qualified_name > 0
+)"""
+
+
+@query(
+    f"""SELECT id, round(score, 6) AS score, round(rank, 6) AS rank FROM (
+      SELECT *, score + {_TERM_MATCH.format(NAME_TERM)} + {_IMPORTANCE} AS rank FROM (SELECT * FROM scored ORDER BY tier, score, name, id LIMIT 200))
+    ORDER BY rank DESC, name, tier, score, id LIMIT 40""",
+    _NODES, _EDGES, _DEGREE, _FULL, _NODE_HITS,
+)
 def search_text(spark, sf_dir):
-    """The ranked text search over all nodes; tests hold it against brute force."""
+    """The ranked text search over all nodes: tiers, scores, candidates, ranks."""
     return search.search_text(star.graph(spark, sf_dir), NAME_TERM, limit=40).select("id", F.round("score", 6).alias("score"), F.round("rank", 6).alias("rank"))
 
 

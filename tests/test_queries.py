@@ -48,6 +48,33 @@ def test_reach_grows_with_depth_and_unites_over_roots(spark):
     assert reach(["n1", "n2"], 3) == reach(["n1"], 3) | reach(["n2"], 3)
 
 
+def brute_impact(edges, root, depth, limit):
+    """A queue: nodes are expanded in the order of discovery while fewer than `limit` were found."""
+    seen, queue = {root}, [(root, 0)]
+    while queue:
+        node, level = queue.pop(0)
+        if level == depth or len(seen) >= limit:
+            continue
+        for _, source, target in edges:
+            if target == node and source not in seen:
+                seen.add(source)
+                queue.append((source, level + 1))
+    return seen
+
+
+@pytest.mark.parametrize("limit", [1, 4, 9, 1000])
+def test_each_root_has_its_own_limit(spark, limit):
+    rng = random.Random(limit)
+    edges = [(i, f"n{rng.randrange(25)}", f"n{rng.randrange(25)}") for i in range(60)]
+    g = small_graph(spark, edges)
+    ids = [r["id"] for r in g.nodes.select("id").collect()]
+    roots = g.nodes.where(g.nodes["id"].isin(ids[:8]))
+    got = {}
+    for r in impact.impact_each(g, roots, 3, limit).collect():
+        got.setdefault(r["root"], set()).add(r["id"])
+    assert got == {i: brute_impact(edges, i, 3, limit) for i in ids[:8]}
+
+
 def test_clean_paths(spark):
     from pyspark.sql import functions as F
 
