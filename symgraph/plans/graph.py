@@ -36,9 +36,18 @@ def with_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint in the shared folder of the cluster (a local one only where none is set)."""
+    """Cut lineage by a checkpoint in the shared folder of the cluster (a local one only where everything is local)."""
     spark: SparkSession = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         found = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="symgraph-"))
+        if found is None:
+            need_one_machine(spark, "spark.checkpoint.dir is not set")
+            found = "file://" + tempfile.mkdtemp(prefix="symgraph-")
+        spark.sparkContext.setCheckpointDir(found)
     return df.checkpoint(eager=True)
+
+
+def need_one_machine(spark: SparkSession, why: str) -> None:
+    """Raises where executors run on other machines, which don't see this one's folders."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{why}: executors on other machines would not find local files")

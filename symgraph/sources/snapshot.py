@@ -1,6 +1,7 @@
 """A project's store: Parquet snapshots, a pointer that is swapped atomically, and metadata.
 
-Readers see the snapshot that the pointer names; a run that fails leaves it as it was.  `extracts` keeps what files
+The store of a project lies in a folder of this machine, as the sources do; sessions whose executors run elsewhere are
+refused.  Readers see the snapshot that the pointer names; a run that fails leaves it as it was.  `extracts` keeps what files
 yielded, with calls still unresolved, so that an incremental run resolves from the same rows as a full one.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from ..plans.graph import Graph
+from ..plans.graph import Graph, need_one_machine
 from ..schemas import EDGES, FILES, NODES, SCHEMA_VERSION
 
 TABLES = ("nodes", "edges", "files")
@@ -74,6 +75,7 @@ class Store:
         folder = self.current and self.file("snapshots", self.current, table)
         if not folder or not os.path.isdir(folder):
             return spark.createDataFrame([], want)
+        need_one_machine(spark, f"the store is in {self.path}")
         df = spark.read.parquet(f"file://{folder}")
         return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])
 
@@ -88,6 +90,7 @@ class Store:
         return name
 
     def write(self, name: str, table: str, df: DataFrame) -> None:
+        need_one_machine(df.sparkSession, f"the store is in {self.path}")
         df.write.mode("overwrite").parquet(f"file://{self.file('snapshots', name, table)}")
 
     def commit(self, name: str) -> None:
