@@ -441,13 +441,13 @@ def context_related(spark, sf_dir):
 
 @query(
     f"""SELECT id, ({_MATCH} + {_IMPORTANCE})::DOUBLE AS rank FROM (
-      SELECT * FROM full_nodes WHERE (name ILIKE '%{TERM}%' OR qualified_name ILIKE '%{TERM}%') AND kind = 'struct'
+      SELECT * FROM full_nodes WHERE (name ILIKE '%{TERM}%' OR qualified_name ILIKE '%{TERM}%') AND kind = 'function'
       ORDER BY CASE WHEN name = '{TERM}' THEN 0 WHEN name ILIKE '{TERM}%' THEN 1 ELSE 2 END, name, id LIMIT 200)
     ORDER BY rank DESC, name, id LIMIT 40""",
     _NODES, _EDGES, _DEGREE, _FULL,
 )
 def search_kind(spark, sf_dir):
-    return search.search_like(star.graph(spark, sf_dir), TERM, kind="struct", limit=40).select("id", F.col("rank").cast("double").alias("rank"))
+    return search.search_like(star.graph(spark, sf_dir), TERM, kind="function", limit=40).select("id", F.col("rank").cast("double").alias("rank"))
 
 
 @query(
