@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import expanded_limit, importance, match_score, name_tier
 from ..functions.text import phrases, tokens
-from ..plans.graph import Graph, with_degrees
+from ..plans.graph import Graph, cut, with_degrees
 
 #: Weight of each indexed column, and BM25's parameters.
 WEIGHTS = {"id": 0.0, "name": 20.0, "qualified_name": 5.0, "docstring": 1.0, "signature": 2.0}
@@ -67,10 +67,12 @@ def ranked(graph: Graph, hits: DataFrame, query: str, limit: int, order: str = "
     """Candidates cut to the expanded limit, ranked by score, match, kind and importance.
 
     order: 'compat' keeps the weakest scores inside a tier at the cut, 'best_first' the strongest.
+
+    The candidates (200 at most) are written once and sent to the edges, of which none but theirs are counted.
     """
     by = F.col("score") if order == "compat" else F.desc("score")
-    some = hits.withColumn("tier", name_tier(query)).orderBy("tier", by, "name", "id").limit(expanded_limit(limit))
-    full = with_degrees(some, graph.edges)
+    some = cut(hits.withColumn("tier", name_tier(query)).orderBy("tier", by, "name", "id").limit(expanded_limit(limit)))
+    full = with_degrees(some, graph.edges, few=True)
     rank = F.coalesce("score", F.lit(0.0)) + match_score(query) + importance()
     return full.withColumn("rank", rank).orderBy(F.desc("rank"), "name", "tier", by, "id").limit(limit)
 

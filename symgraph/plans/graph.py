@@ -22,15 +22,21 @@ class Graph:
         return self.edges.where("resolved")
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """(id, out_degree, in_degree) of every endpoint of a resolved edge: one shuffle of pre-aggregated counts."""
-    ends = edges.where("resolved").select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("target").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
-    return ends.groupBy(F.col("x.id").alias("id")).agg(F.sum("x.o").alias("out_degree"), F.sum("x.i").alias("in_degree"))
+def degrees(edges: DataFrame, few: DataFrame | None = None) -> DataFrame:
+    """(id, out_degree, in_degree) of every endpoint of a resolved edge: one shuffle of pre-aggregated counts.
 
+    few: ids (column id) to count for, of a number that the caller bounds; they are sent to the edges, so only their
+    counts are shuffled.
+    """
+    ends = edges.where("resolved").select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("target").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x")).select("x.*")
+    if few is not None:
+        ends = ends.join(F.broadcast(few.select("id")), "id", "left_semi")
+    return ends.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
-def with_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes with in_degree, out_degree and degree; 0 for those without edges."""
-    out = nodes.join(degrees(edges), "id", "left")
+
+def with_degrees(nodes: DataFrame, edges: DataFrame, few: bool = False) -> DataFrame:
+    """Nodes with in_degree, out_degree and degree; 0 for those without edges.  few: the nodes' number is bounded."""
+    out = nodes.join(degrees(edges, nodes if few else None), "id", "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("in_degree", "out_degree")})
     return out.withColumn("degree", F.col("in_degree") + F.col("out_degree"))
 
