@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, decontaminate, line_dedup, lines, pii, quality, repeats, secrets, simhash
+from . import bpe, codes, ctw, decontaminate, line_dedup, lines, pairs, pii, quality, repeats, secrets, simhash
 from .common import table
 
 
@@ -50,13 +50,30 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def op12_pair_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_context_tree, op2_line_dedup, op3_byte_bpe, op4_simhash, op5_line_crf, op6_decontaminate, op7_pii, op8_quality, op9_secret_scan, op10_repeats)
-}
+    for f in (
+        op1_context_tree, op2_line_dedup, op3_byte_bpe, op4_simhash, op5_line_crf, op6_decontaminate, op7_pii, op8_quality, op9_secret_scan, op10_repeats, op11_vector_codes, op12_pair_bpe,
+    )
+}
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+#: One round: each part's nearest entry (the lower of equally near ones), then entries as floors of means.
+_CODE_ROUND = """
+a{r} AS MATERIALIZED (SELECT vec_id, q, arg_min(e, (list_dot_product(c, c) - 2 * list_dot_product(p, c), e)) AS e FROM parts JOIN b{r} USING (q) GROUP BY vec_id, q),
+s{r} AS (SELECT q, e, i, sum(x::BIGINT)::BIGINT AS s, count(*) AS n FROM (SELECT q, e, unnest(p) AS x, unnest(range(len(p))) AS i FROM a{r} JOIN parts USING (vec_id, q)) GROUP BY q, e, i),
+m{r} AS (SELECT q, e, list(((s - (s % n + n) % n) // n)::DOUBLE ORDER BY i) AS c FROM s{r} GROUP BY q, e),
+b{t} AS MATERIALIZED (SELECT b.q, b.e, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN m{r} m USING (q, e))"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": f"""
 WITH lines AS (
@@ -85,4 +102,21 @@ words AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(rang
 found AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hits) GROUP BY doc_id)
 SELECT l.doc_id, len(l.w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(found.n, 0)::BIGINT AS n_items, sha256(coalesce(found.ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
 FROM low l LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op11_vector_codes": f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS p FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+parts AS MATERIALIZED (SELECT vec_id, q, p[q * (len(p) // 4) + 1:(q + 1) * (len(p) // 4)] AS p FROM v, (SELECT unnest(range({codes.PARTS})) AS q)),
+b0 AS MATERIALIZED (
+  SELECT q, row_number() OVER (PARTITION BY q ORDER BY vec_id) - 1 AS e, p AS c FROM parts JOIN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {codes.ENTRIES}) USING (vec_id)
+),{",".join(_CODE_ROUND.format(r=r, t=r + 1) for r in range(codes.ROUNDS))},
+a AS MATERIALIZED (
+  SELECT vec_id, q, (arg_min(e, (d, e)))::BIGINT AS e, min(d)::BIGINT AS d
+  FROM (SELECT vec_id, q, e, list_dot_product(p, p) + list_dot_product(c, c) - 2 * list_dot_product(p, c) AS d FROM parts JOIN b{codes.ROUNDS} USING (q)) GROUP BY vec_id, q
+),
+coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY q) AS code, sum(d)::BIGINT AS error FROM a GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY q, e, i)) FROM (SELECT q, e, unnest(c) AS x, unnest(range(len(c))) AS i FROM b{codes.ROUNDS})) AS codebooks_sha256
+FROM coded JOIN v USING (vec_id)""",
 }
