@@ -10,7 +10,7 @@ pair can only hold pieces of lower rank, so no rank comes back and each word get
 files whose merges are not in this order are refused.
 
 Neither white space nor what stands on its other side changes how a word is normalised, split or merged, so texts are cut at
-ASCII white space, and each distinct chunk is worked out once: its count of ids, the ids and the pieces.  Known chunks are
+ASCII white space, and each distinct chunk is worked out once, from words that are merged once.  Known chunks are
 kept up to KEEP characters, then forgotten, which changes no result.  Decoding without a decoder puts a space between
 pieces, as the library does; a file with a decoder is refused.
 
@@ -21,6 +21,7 @@ other than id and text are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -34,8 +35,10 @@ from .common import WORD, map_rows
 
 TOKENIZER = "word_bpe_49k.json"
 #: Characters of text whose new words are indexed at once, and characters of chunks that are kept.
-STRETCH, KEEP = 1 << 20, 1 << 22
+STRETCH, KEEP = 1 << 21, 1 << 23
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
+#: Number of ids of a chunk or word, the ids in decimal and their pieces, each joined by one space.
+Chunk = tuple[int, str, str]
 _loaded: dict[str, Vocabulary] = {}
 
 
@@ -61,22 +64,41 @@ class Vocabulary:
         made = {a + b: rank for rank, (a, b) in enumerate(listed)}
         if len(made) < len(listed) or any(made.get(x, -1) >= rank for rank, pair in enumerate(listed) for x in pair):
             raise ValueError(f"{path}: merges are not in the order of learning")
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(listed)}
-        self.of_rank = [(a, b, new) for (a, b), (_, new) in self.merges.items()]
+        self.of_rank = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in listed]
+        self.merges: dict[int, int] = {a << 32 | b: rank for rank, (a, b, _) in enumerate(self.of_rank)}
         tok = Tokenizer.from_file(path)
         self.normalizer, self.splitter = tok.normalizer, tok.pre_tokenizer
-        self.known: dict[str, tuple[list[int], bytes, bytes]] = {}
+        self.number = {i: str(i) for i in self.pieces}
+        self.known: dict[str, Chunk] = {}
+        self.known_words: dict[str, Chunk] = {}
         self.kept = 0
 
-    def words(self, chunk: str) -> list[str | int]:
-        """Words of a chunk as strings of byte characters; an added token is its id."""
-        out: list[str | int] = []
-        for part in self.cut.split(chunk) if self.cut else [chunk]:
-            if part in self.added:
-                out.append(self.added[part])
-            elif part:
-                clean = self.normalizer.normalize_str(part) if self.normalizer else part
-                out += [w for w, _ in self.splitter.pre_tokenize_str(clean)] if self.splitter else [clean]
+    def split(self, chunks: list[str]) -> list[list[str | int]]:
+        """Words of each chunk as strings of byte characters; an added token is its id.
+
+        ASCII chunks go through the library in one string: a space parts them for it as white space parts them in a text.
+        """
+        out: list[list[str | int]] = [[] for _ in chunks]
+        plain = [k for k, c in enumerate(chunks) if c.isascii() and not (self.cut and self.cut.search(c))]
+        text = " ".join([chunks[k] for k in plain])
+        clean = self.normalizer.normalize_str(text) if self.normalizer else text
+        if self.splitter is None or clean != text.lower():
+            plain = []
+        else:
+            at, end, k = -1, -1, -1
+            for word, (start, _) in self.splitter.pre_tokenize_str(clean):
+                while start > end:
+                    at += 1
+                    k = plain[at]
+                    end += len(chunks[k]) + 1
+                out[k].append(word)
+        for k in set(range(len(chunks))) - set(plain):
+            for part in self.cut.split(chunks[k]) if self.cut else [chunks[k]]:
+                if part in self.added:
+                    out[k].append(self.added[part])
+                elif part:
+                    clean = self.normalizer.normalize_str(part) if self.normalizer else part
+                    out[k] += [w for w, _ in self.splitter.pre_tokenize_str(clean)] if self.splitter else [clean]
         return out
 
     def merge(self, words: list[str]) -> list[list[int]]:
@@ -91,19 +113,11 @@ class Vocabulary:
             symbols.append(-1)
         after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
         where: dict[int, list[int]] = {}
-        for p in range(1, len(symbols) - 1):
-            if found := merges.get((symbols[p], symbols[p + 1])):
-                where.setdefault(found[0], []).append(p)
+        for p, (x, y) in enumerate(zip(symbols, symbols[1:])):
+            if x >= 0 and y >= 0 and (rank := merges.get(x << 32 | y)) is not None:
+                where.setdefault(rank, []).append(p)
         active = list(where)
         heapq.heapify(active)
-
-        def enter(p: int, q: int) -> None:
-            if found := merges.get((symbols[p], symbols[q])):
-                if (places := where.get(found[0])) is None:
-                    where[found[0]] = places = []
-                    heapq.heappush(active, found[0])
-                places.append(p)
-
         while active:
             rank = heapq.heappop(active)
             a, b, new = self.of_rank[rank]
@@ -111,11 +125,16 @@ class Vocabulary:
                 q = after[p]
                 if symbols[p] != a or symbols[q] != b:
                     continue
-                r = after[q]
+                o, r = before[p], after[q]
                 symbols[p], symbols[q] = new, -2
                 after[p], before[r] = r, p
-                enter(before[p], p)
-                enter(p, r)
+                for x, y, at in ((symbols[o], new, o), (new, symbols[r], p)):
+                    if x >= 0 and y >= 0 and (rank := merges.get(x << 32 | y)) is not None:
+                        if rank in where:
+                            where[rank].append(at)
+                        else:
+                            where[rank] = [at]
+                            heapq.heappush(active, rank)
         out = []
         for p in starts:
             one = []
@@ -125,21 +144,34 @@ class Vocabulary:
             out.append(one)
         return out
 
-    def encode_chunks(self, chunks: set[str]) -> dict[str, list[int]]:
-        """Ids of chunks without white space."""
-        split = {c: self.words(c) for c in chunks}
-        distinct = sorted({w for ws in split.values() for w in ws if isinstance(w, str)})
-        of = dict(zip(distinct, self.merge(distinct)))
-        return {c: [i for w in ws for i in ([w] if isinstance(w, int) else of[w])] for c, ws in split.items()}
+    def learn(self, chunks: set[str]) -> dict[str, Chunk]:
+        """What is known of chunks without white space, with these in it.
+
+        Nothing here makes reference cycles; looking for them among so many small objects would take a fifth of the time.
+        """
+        looking = gc.isenabled()
+        gc.disable()
+        try:
+            return self._learn(chunks)
+        finally:
+            if looking:
+                gc.enable()
 
-    def learn(self, chunks: set[str]) -> None:
-        """Puts chunks into `known`: ids, the ids in decimal, and their pieces, each joined by one space."""
+    def _learn(self, chunks: set[str]) -> dict[str, Chunk]:
         if self.kept > KEEP:
-            self.known, self.kept = {}, 0
-        new = {c for c in chunks if c not in self.known} if self.known else chunks
-        for c, ids in self.encode_chunks(new).items():
-            self.known[c] = ids, " ".join(map(str, ids)).encode(), self.decode(ids).encode()
+            self.known, self.known_words, self.kept = {}, {}, 0
+        known, of_word = self.known, self.known_words
+        new = [c for c in chunks if c not in known]
+        split = self.split(new)
+        words = [w for w in {w for ws in split for w in ws} if w not in of_word]
+        merged = self.merge(strings := [w for w in words if isinstance(w, str)])
+        for w, ids in [*zip(strings, merged), *[(w, [w]) for w in words if isinstance(w, int)]]:
+            of_word[w] = len(ids), " ".join([self.number[i] for i in ids]), self.decode(ids)
+        for c, ws in zip(new, split):
+            found = [x for w in ws if (x := of_word[w])[0]]
+            known[c] = found[0] if len(found) == 1 else (sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found]))
             self.kept += len(c)
+        return known
 
     def decode(self, ids: list[int]) -> str:
         """Pieces with one space between; ids that the file has not are passed over."""
@@ -180,10 +212,10 @@ def encode_batch(texts: list[str | None], path: str | None = None) -> list[list[
     """Ids of each text."""
     v, out = load(path), [[] for _ in texts]
     for some in _stretches(texts):
-        v.learn({c for _, chunks in some for c in chunks})
+        known = v.learn({c for _, chunks in some for c in chunks})
         for row, chunks in some:
             for c in chunks:
-                out[row] += v.known[c][0]
+                out[row] += map(int, known[c][1].split())
     return out
 
 
@@ -216,14 +248,14 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         v, texts = load(path), cols[text_col]
         n, of_ids, of_text, begun = [0] * len(texts), [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts], [False] * len(texts)
         for some in _stretches(texts):
-            v.learn({c for _, chunks in some for c in chunks})
+            known = v.learn({c for _, chunks in some for c in chunks})
             for row, chunks in some:
-                got = [x for c in chunks if (x := v.known[c])[0]]
+                got = [x for c in chunks if (x := known[c])[0]]
                 if got:
-                    n[row] += sum([len(x[0]) for x in got])
-                    gap = b" " if begun[row] else b""
-                    of_ids[row].update(gap + b" ".join([x[1] for x in got]))
-                    of_text[row].update(gap + b" ".join([x[2] for x in got]))
+                    n[row] += sum([x[0] for x in got])
+                    gap = " " if begun[row] else ""
+                    of_ids[row].update((gap + " ".join([x[1] for x in got])).encode())
+                    of_text[row].update((gap + " ".join([x[2] for x in got])).encode())
                     begun[row] = True
         return {id_col: cols[id_col], "n_tokens": n, "ids_sha256": [h.hexdigest() for h in of_ids], "decoded_sha256": [h.hexdigest() for h in of_text]}
 

@@ -70,9 +70,10 @@ def test_ranks_in_turn(library):
     words = list({"".join(rng.choice("aabenrstthi") for _ in range(rng.randrange(1, 14))) for _ in range(500)})
     for word, got in zip(words, v.merge(words)):
         ids = [v.ids[c] for c in [*word[:-1], word[-1] + "</w>"]]
-        while found := [(v.merges[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in v.merges]:
+        rank_of = {(a, b): (rank, new) for rank, (a, b, new) in enumerate(v.of_rank)}
+        while found := [(rank_of[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in rank_of]:
             _, i = min(found)
-            ids[i : i + 2] = [v.merges[ids[i], ids[i + 1]][1]]
+            ids[i : i + 2] = [rank_of[ids[i], ids[i + 1]][1]]
         assert got == ids
 
 
