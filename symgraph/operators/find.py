@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import Graph
+from ..sources import adjacency
 
 NODE = ["id", "kind", "name", "qualified_name", "file_path", "language", "start_line", "end_line"]
 
@@ -54,11 +55,19 @@ def resolved_edges(graph: Graph, source: str = "", target: str = "", kind: str =
     return joined.select("id", "source", "target", "kind", "line", "col", "source_name", "source_file", "target_name", "target_file", "target_kind", "target_qname", "target_line")
 
 
+def _edges_at(graph: Graph, end: str, roots: DataFrame) -> DataFrame:
+    """Resolved edges at the roots: their buckets only, where the graph has its edges bucketed."""
+    if graph.near is None:
+        return graph.resolved
+    spark = graph.nodes.sparkSession
+    return adjacency.of(graph.near.into(spark) if end == "target" else graph.near.out_of(spark), end, roots.select(F.col(f"{end}_id").alias("id")))
+
+
 def callers(graph: Graph, symbol: str) -> DataFrame:
     """Calls that reach the symbol's nodes."""
     roots = find_node(graph, symbol).select(F.col("id").alias("target_id"), F.col("qualified_name").alias("target_qname"))
     source = graph.nodes.select(F.col("id").alias("caller_id"), F.col("name").alias("caller_name"), F.col("file_path").alias("caller_file"))
-    calls = graph.resolved.where("kind = 'calls'").select(F.col("id").alias("edge_id"), F.col("source").alias("caller_id"), F.col("target").alias("target_id"), "line")
+    calls = _edges_at(graph, "target", roots).where("kind = 'calls'").select(F.col("id").alias("edge_id"), F.col("source").alias("caller_id"), F.col("target").alias("target_id"), "line")
     return calls.join(roots, "target_id").join(source, "caller_id").select("edge_id", "caller_id", "caller_name", "caller_file", "line", "target_id", "target_qname")
 
 
@@ -66,7 +75,7 @@ def callees(graph: Graph, symbol: str) -> DataFrame:
     """Calls that leave the symbol's nodes."""
     roots = find_node(graph, symbol).select(F.col("id").alias("source_id"), F.col("qualified_name").alias("source_qname"))
     target = graph.nodes.select(F.col("id").alias("callee_id"), F.col("name").alias("callee_name"), F.col("qualified_name").alias("callee_qname"), F.col("file_path").alias("callee_file"), F.col("start_line").alias("callee_line"))
-    calls = graph.resolved.where("kind = 'calls'").select(F.col("id").alias("edge_id"), F.col("source").alias("source_id"), F.col("target").alias("callee_id"), "line")
+    calls = _edges_at(graph, "source", roots).where("kind = 'calls'").select(F.col("id").alias("edge_id"), F.col("source").alias("source_id"), F.col("target").alias("callee_id"), "line")
     return calls.join(roots, "source_id").join(target, "callee_id").select("edge_id", "source_id", "source_qname", "callee_id", "callee_name", "callee_qname", "callee_file", "callee_line", "line")
 
 

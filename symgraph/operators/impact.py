@@ -14,7 +14,15 @@ TEST_END = "_test.go"
 
 
 def incoming(graph: Graph) -> DataFrame:
-    return graph.resolved.where(F.col("kind").isin(*IMPACT_KINDS)).select(F.col("id").alias("edge_id"), "source", "target", "kind", "line", "col")
+    """Edges that carry impact; those of a bucketed graph lie by target, so joins on it don't shuffle them."""
+    edges = graph.resolved if graph.near is None else graph.near.into(graph.nodes.sparkSession)
+    return edges.where(F.col("kind").isin(*IMPACT_KINDS)).select(F.col("id").alias("edge_id"), "source", "target", "kind", "line", "col")
+
+
+def _from_nodes(graph: Graph) -> DataFrame:
+    """incoming() whose source is a node; bucketed edges have no others."""
+    edges = incoming(graph)
+    return edges if graph.near is not None else edges.join(graph.nodes.select(F.col("id").alias("source")), "source", "left_semi")
 
 
 def reach(graph: Graph, roots: DataFrame, depth: int) -> DataFrame:
@@ -28,7 +36,9 @@ def reach(graph: Graph, roots: DataFrame, depth: int) -> DataFrame:
     visited = frontier
     for level in range(1, depth + 1):
         step = edges.join(frontier, edges["target"] == frontier["id"], "left_semi").select(F.col("source").alias("id")).distinct()
-        frontier = cut(step.join(visited, "id", "left_anti").join(graph.nodes.select("id"), "id", "left_semi").withColumn("level", F.lit(level)))
+        fresh = step.join(visited, "id", "left_anti")
+        fresh = fresh if graph.near is not None else fresh.join(graph.nodes.select("id"), "id", "left_semi")
+        frontier = cut(fresh.withColumn("level", F.lit(level)))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
@@ -43,7 +53,7 @@ def impact(graph: Graph, roots: DataFrame, depth: int = 2, limit: int = 100) ->
     parent's rank, then edge id.  A level's parents are cut where the running total, over parents before them,
     reaches the limit; as expansion only goes on below the limit, ranked sets are smaller than it.
     """
-    edges = incoming(graph).join(graph.nodes.select(F.col("id").alias("source")), "source", "left_semi")
+    edges = _from_nodes(graph)
     frontier = cut(roots.select("id", F.col("rank").cast("long").alias("rank"), F.lit(0).alias("level")))
     visited, total, taken = frontier, frontier.count(), []
     for level in range(1, depth + 1):
@@ -78,7 +88,7 @@ def impact_each(graph: Graph, roots: DataFrame, depth: int, limit: int) -> DataF
     All roots go level by level together.  Ranks are needed only of roots that are below the limit still, so no window's
     group has more rows than that; what passes the limit in one step is kept unranked.
     """
-    edges = incoming(graph).join(graph.nodes.select(F.col("id").alias("source")), "source", "left_semi").select("edge_id", "source", "target")
+    edges = _from_nodes(graph).select("edge_id", "source", "target")
     frontier = cut(roots.select(F.col("id").alias("root"), "id", F.lit(0).cast("long").alias("rank"), F.lit(1).cast("long").alias("total")).distinct())
     visited = frontier.select("root", "id", F.lit(0).alias("level"))
     for level in range(1, depth + 1):

@@ -54,14 +54,19 @@ def core_symbols(graph: Graph, limit: int = 12) -> DataFrame:
     return n.orderBy(F.desc("degree"), F.desc("is_exported"), "file_path", "start_line", "id").limit(limit)
 
 
-def dependencies(graph: Graph, limit: int = 20) -> DataFrame:
-    """(source, target, kind, n): resolved edges between packages, most frequent first.
+def package_edges(graph: Graph) -> DataFrame:
+    """(source, target, kind, n): resolved edges by the packages of their ends.
 
     Packages replace node ids right after each join, and counts are summed before the last shuffle.
     """
     of = graph.nodes.select("id", package_path(F.col("file_path")).alias("package"))
     s = of.select(F.col("id").alias("source"), F.col("package").alias("source_package"))
     t = of.select(F.col("id").alias("target"), F.col("package").alias("target_package"))
-    e = graph.resolved.select("source", "target", "kind").join(s, "source").join(t, "target").where("source_package <> target_package")
-    n = e.groupBy(F.col("source_package").alias("source"), F.col("target_package").alias("target"), "kind").agg(F.count("*").alias("n"))
+    e = graph.resolved.select("source", "target", "kind").join(s, "source").join(t, "target")
+    return e.groupBy(F.col("source_package").alias("source"), F.col("target_package").alias("target"), "kind").agg(F.count("*").alias("n"))
+
+
+def dependencies(graph: Graph, limit: int = 20) -> DataFrame:
+    """Edges between different packages, the most frequent first."""
+    n = package_edges(graph).where("source <> target")
     return n.orderBy(F.desc("n"), F.concat("source", "target"), "kind", "source").limit(limit)

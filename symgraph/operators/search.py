@@ -1,15 +1,19 @@
-"""Ranked symbol search: a phrase and prefix index with BM25, and a substring search where that finds nothing."""
+"""Ranked symbol search: a phrase and prefix index with BM25, and a substring search where that finds nothing.
+
+With a persisted index (`sources.textindex`) only the postings of the query's terms are read; without one, all texts.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import expanded_limit, importance, match_score, name_tier
 from ..functions.text import phrases, tokens
 from ..plans.graph import Graph, cut, with_degrees
+from ..sources.textindex import TextIndex, head
 
 #: Weight of each indexed column, and BM25's parameters.
 WEIGHTS = {"id": 0.0, "name": 20.0, "qualified_name": 5.0, "docstring": 1.0, "signature": 2.0}
@@ -63,6 +67,58 @@ def bm25(nodes: DataFrame, query: str) -> DataFrame:
     return hits.withColumn("score", score).drop(*per, *[f"t_{c}" for c in WEIGHTS], "length")
 
 
+#: Above all characters that a term can hold, in the order of UTF-8.
+_TOP = "\U0010ffff"
+
+
+def term_filter(found: list[list[str]]):
+    """Postings of the phrases' terms: folders and ranges of the term that reach the scan."""
+    wanted = F.lit(False)
+    for p in found:
+        for t in p[:-1]:
+            wanted = wanted | (F.col("term") == t)
+        wanted = wanted | ((F.col("term") >= p[-1]) & (F.col("term") < p[-1] + _TOP))
+    # A token begins with a letter or a digit, so its folder is known even where it is a prefix.
+    folders = {t[0] if t[0].isascii() else "_" for p in found for t in p}
+    return F.col("head").isin(*sorted(folders)) & wanted
+
+
+def phrase_counts(postings: DataFrame, phrase: list[str], number: int) -> DataFrame:
+    """(id, field, length, phrase, f): how often a phrase stands in a field, from its terms' postings.
+
+    The last token is a prefix, so several terms may fill its place.  Places of token k are moved back by k and met with
+    those of the token before: joins of the documents that hold them.
+    """
+    last, key = len(phrase) - 1, ["id", "field", "length"]
+    prefix = postings.where((F.col("term") >= phrase[-1]) & (F.col("term") < phrase[-1] + _TOP))
+    if not last:
+        return prefix.groupBy(*key).agg(F.sum("n").cast("long").alias("f")).withColumn("phrase", F.lit(number))
+    back = lambda col, k: F.transform(col, lambda x: x - k)
+    at = prefix.groupBy(*key).agg(F.flatten(F.collect_list(back("positions", last))).alias("at"))
+    for k in range(last):
+        at = at.join(postings.where(F.col("term") == phrase[k]).select(*key, back("positions", k).alias("here")), key).select(*key, F.array_intersect("at", "here").alias("at"))
+    return at.select(*key, F.size("at").cast("long").alias("f"), F.lit(number).alias("phrase")).where("f > 0")
+
+
+def bm25_index(spark: SparkSession, index: TextIndex, query: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """(id, score) of what bm25() finds, from a persisted index: the postings of the query's terms, dead rows and statistics."""
+    found = phrases(query)
+    if not found:
+        return spark.createDataFrame([], "id string, score double")
+    postings = index.live_postings(spark, term_filter(found)).where(F.col("field").isin(*weights))
+    counts = reduce(DataFrame.unionByName, [phrase_counts(postings, p, i) for i, p in enumerate(found)])
+    weight = reduce(lambda a, cw: a.when(F.col("field") == cw[0], F.lit(float(cw[1]))), list(weights.items())[1:], F.when(F.col("field") == list(weights)[0], F.lit(float(list(weights.values())[0]))))
+    per = counts.groupBy("id", "length", "phrase").agg(F.sum(F.col("f") * weight).alias("f"))
+    # One row a phrase, which the query's words bound.
+    docs = per.groupBy("phrase").agg(F.count("*").alias("docs"))
+    stats = index.stats(spark)
+    n, avg = stats.select("n").scalar(), stats.select("avg").scalar()
+    idf = F.log((n - F.col("docs") + 0.5) / (F.col("docs") + 0.5))
+    per = per.join(F.broadcast(docs), "phrase").withColumn("idf", F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf))
+    score = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / avg))
+    return per.groupBy("id").agg(F.sum(score).alias("score"))
+
+
 def ranked(graph: Graph, hits: DataFrame, query: str, limit: int, order: str = "compat") -> DataFrame:
     """Candidates cut to the expanded limit, ranked by score, match, kind and importance.
 
@@ -78,7 +134,8 @@ def ranked(graph: Graph, hits: DataFrame, query: str, limit: int, order: str = "
 
 
 def search_text(graph: Graph, query: str, kind: str = "", limit: int = 20, order: str = "compat") -> DataFrame:
-    hits = bm25(graph.nodes, query)
+    """With the graph's text index if it has one: then nodes are only looked up by id."""
+    hits = bm25(graph.nodes, query) if graph.text is None else graph.nodes.join(bm25_index(graph.nodes.sparkSession, graph.text, query), "id")
     return ranked(graph, hits.where(F.col("kind") == kind) if kind else hits, query, limit, order)
 
 

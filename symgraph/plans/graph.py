@@ -4,18 +4,28 @@ from __future__ import annotations
 
 import tempfile
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from ..sources.adjacency import Adjacency
+    from ..sources.textindex import TextIndex
 
 @dataclass(frozen=True)
 class Graph:
-    """nodes, edges and files; see `schemas` for their columns."""
+    """nodes, edges and files; see `schemas` for their columns.
+
+    text and near are what a store keeps for lookups: a text index of the nodes (`sources.textindex`) and the resolved
+    edges bucketed by either end (`sources.adjacency`); operators work without them, on whole tables.
+    """
 
     nodes: DataFrame
     edges: DataFrame
     files: DataFrame
+    text: TextIndex | None = None
+    near: Adjacency | None = None
 
     @property
     def resolved(self) -> DataFrame:
@@ -41,15 +51,20 @@ def with_degrees(nodes: DataFrame, edges: DataFrame, few: bool = False) -> DataF
     return out.withColumn("degree", F.col("in_degree") + F.col("out_degree"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint in the shared folder of the cluster (a local one only where everything is local)."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; a local folder only where it is unset and everything is on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found is None:
+        need_one_machine(spark, "spark.checkpoint.dir is not set")
+        found = "file://" + tempfile.mkdtemp(prefix="symgraph-")
     if spark.sparkContext.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if found is None:
-            need_one_machine(spark, "spark.checkpoint.dir is not set")
-            found = "file://" + tempfile.mkdtemp(prefix="symgraph-")
         spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

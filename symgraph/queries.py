@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import paths, strings, text
 from .functions.scores import importance, match_score
 from .operators import context, find, impact, overview, resolve, search, sink, status
-from .plans.graph import Graph, with_degrees
+from .plans.graph import Graph, shared_folder, with_degrees
 from .schemas import ENTRY_KINDS, LANGUAGES
 from .sources import star
+from .sources.adjacency import Adjacency
+from .sources.textindex import TextIndex
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -65,6 +70,11 @@ def query(sql: str | None, *parts: str):
     return add
 
 
+def _new_folder(spark: SparkSession, what: str) -> str:
+    """A new folder of the shared one, for what a query builds and reads back."""
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 # Counts
 
 
@@ -140,6 +150,23 @@ def callees(spark, sf_dir):
     return find.callees(star.graph(spark, sf_dir), "order:5").fillna(-1, ["line"]).orderBy("edge_id").limit(21)
 
 
+def _bucketed(spark, sf_dir) -> Graph:
+    """The star graph with its edges bucketed by either end."""
+    g = star.graph(spark, sf_dir)
+    near = Adjacency(_new_folder(spark, "near"), buckets=16)
+    near.write(g.nodes, g.edges)
+    return replace(g, near=near)
+
+
+ORACLE_SQL["callers_bucketed"] = ORACLE_SQL["callers"]
+
+
+@query(None)
+def callers_bucketed(spark, sf_dir):
+    """callers() from edges bucketed by target: one bucket is read."""
+    return find.callers(_bucketed(spark, sf_dir), SYMBOL).fillna(-1, ["line"])
+
+
 # Impact
 
 _REACH = """
@@ -155,6 +182,16 @@ def impact_depth2(spark, sf_dir):
     return impact.reach(g, g.nodes.where(F.col("id") == NATION), 2)
 
 
+ORACLE_SQL["impact_bucketed"] = ORACLE_SQL["impact_depth2"]
+
+
+@query(None)
+def impact_bucketed(spark, sf_dir):
+    """reach() over bucketed edges: only frontiers are shuffled."""
+    g = _bucketed(spark, sf_dir)
+    return impact.reach(g, g.nodes.where(F.col("id") == NATION), 2)
+
+
 _LIMITED = """
 incoming AS (SELECT id AS edge_id, source, target FROM edges WHERE kind IN ('calls', 'references', 'imports')),
 l1 AS (SELECT source AS id, min(edge_id) AS fst FROM incoming WHERE target = 'nation:3' GROUP BY source),
@@ -402,6 +439,41 @@ def search_text(spark, sf_dir):
     return search.search_text(star.graph(spark, sf_dir), NAME_TERM, limit=40).select("id", F.round("score", 6).alias("score"), F.round("rank", 6).alias("rank"))
 
 
+ORACLE_SQL["search_index"] = ORACLE_SQL["search_text"]
+
+
+@query(None)
+def search_index(spark, sf_dir):
+    """search_text() from a persisted index that got the nodes in two runs: those that aren't exported under other names
+    at first, then all of them as they are."""
+    g = star.graph(spark, sf_dir)
+    index = TextIndex(_new_folder(spark, "text"))
+    index.put(spark, 1, g.nodes.withColumn("name", F.when(F.col("is_exported"), F.col("name")).otherwise(F.concat(F.lit("widget "), "name"))), list(search.WEIGHTS))
+    index.sync(spark, 2, g.nodes, list(search.WEIGHTS))
+    return search.search_text(replace(g, text=index), NAME_TERM, limit=40).select("id", F.round("score", 6).alias("score"), F.round("rank", 6).alias("rank"))
+
+
+_DOCUMENT_HITS = f"""
+words AS (SELECT doc_id, regexp_extract_all(translate(lower(coalesce(text, '')), '{text.FOLD_FROM}', '{text.FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+hits AS (
+  SELECT doc_id, len(w) AS length, len(list_filter(w, lambda x: starts_with(x, 'ther'))) AS f0, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND starts_with(w[i + 1], 'th'))) AS f1 FROM words
+),
+stats AS (SELECT count(*) AS n, avg(length) AS av, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM hits),
+idf AS (SELECT *, CASE WHEN ln((n - d0 + 0.5) / (d0 + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d0 + 0.5) / (d0 + 0.5)) END AS i0, CASE WHEN ln((n - d1 + 0.5) / (d1 + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d1 + 0.5) / (d1 + 0.5)) END AS i1 FROM stats)"""
+
+
+@query(
+    """SELECT doc_id, round(i0 * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * length / av)) + i1 * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * length / av)), 6) AS score
+    FROM hits, idf WHERE f0 > 0 OR f1 > 0""",
+    _DOCUMENT_HITS,
+)
+def search_index_documents(spark, sf_dir):
+    """A prefix and a two-word phrase in all documents, from their persisted index."""
+    index = TextIndex(_new_folder(spark, "text"))
+    index.put(spark, 1, star.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"), ["text"])
+    return search.bm25_index(spark, index, "ther of-th", {"text": 1.0}).select(F.col("id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query(f"SELECT doc_id, len(regexp_extract_all(translate(lower(coalesce(text, '')), '{text.FOLD_FROM}', '{text.FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+'))::BIGINT AS n_tokens FROM documents")
 def text_tokens(spark, sf_dir):
     return star.read(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"))
