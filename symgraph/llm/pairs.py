@@ -250,12 +250,16 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for some in _stretches(texts):
             known = v.learn({c for _, chunks in some for c in chunks})
             for row, chunks in some:
-                got = [x for c in chunks if (x := known[c])[0]]
-                if got:
-                    n[row] += sum([x[0] for x in got])
+                if not chunks:
+                    continue
+                counts, ids, pieces = zip(*[known[c] for c in chunks])
+                if 0 in counts:  # white space that isn't ASCII
+                    ids, pieces = [x for x in ids if x], [x for x in pieces if x]
+                if ids:
+                    n[row] += sum(counts)
                     gap = " " if begun[row] else ""
-                    of_ids[row].update((gap + " ".join([x[1] for x in got])).encode())
-                    of_text[row].update((gap + " ".join([x[2] for x in got])).encode())
+                    of_ids[row].update((gap + " ".join(ids)).encode())
+                    of_text[row].update((gap + " ".join(pieces)).encode())
                     begun[row] = True
         return {id_col: cols[id_col], "n_tokens": n, "ids_sha256": [h.hexdigest() for h in of_ids], "decoded_sha256": [h.hexdigest() for h in of_text]}
 
