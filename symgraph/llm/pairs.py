@@ -11,7 +11,7 @@ files whose merges are not in this order are refused.
 
 Neither white space nor what stands on its other side changes how a word is normalised, split or merged, so texts are cut at
 ASCII white space, and each distinct chunk is worked out once, from words that are merged once.  Known chunks are
-kept up to KEEP characters, then forgotten, which changes no result.  Decoding without a decoder puts a space between
+kept up to KEEP characters and words up to WORDS, then forgotten, which changes no result.  Decoding without a decoder puts a space between
 pieces, as the library does; a file with a decoder is refused.
 
 Null texts count as empty: no ids, the digest of nothing.  Repeated rows stay, with equal results.  Long texts are taken
@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from .common import WORD, map_rows
 
 TOKENIZER = "word_bpe_49k.json"
-#: Characters of text whose new words are indexed at once, and characters of chunks that are kept.
-STRETCH, KEEP = 1 << 21, 1 << 23
+#: Characters of text whose new words are indexed at once, characters of chunks that are kept, and words that are kept.
+STRETCH, KEEP, WORDS = 1 << 21, 1 << 23, 1 << 20
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 #: Number of ids of a chunk or word, the ids in decimal and their pieces, each joined by one space.
 Chunk = tuple[int, str, str]
@@ -79,8 +79,11 @@ class Vocabulary:
         ASCII chunks go through the library in one string: a space parts them for it as white space parts them in a text.
         """
         out: list[list[str | int]] = [[] for _ in chunks]
-        plain = [k for k, c in enumerate(chunks) if c.isascii() and not (self.cut and self.cut.search(c))]
+        plain = [k for k, c in enumerate(chunks) if c.isascii()]
         text = " ".join([chunks[k] for k in plain])
+        if self.cut and self.cut.search(text):
+            plain = [k for k in plain if not self.cut.search(chunks[k])]
+            text = " ".join([chunks[k] for k in plain])
         clean = self.normalizer.normalize_str(text) if self.normalizer else text
         if self.splitter is None or clean != text.lower():
             plain = []
@@ -103,7 +106,7 @@ class Vocabulary:
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each word: all words in one array, all places of a pair in one list, ranks in ascending order."""
-        merges, ids, end = self.merges, self.ids, self.end
+        rank_of, ids, end = self.merges.get, self.ids, self.end
         symbols: list[int] = [-1]
         starts = []
         for w in words:
@@ -114,7 +117,7 @@ class Vocabulary:
         after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
         where: dict[int, list[int]] = {}
         for p, (x, y) in enumerate(zip(symbols, symbols[1:])):
-            if x >= 0 and y >= 0 and (rank := merges.get(x << 32 | y)) is not None:
+            if x >= 0 and y >= 0 and (rank := rank_of(x << 32 | y)) is not None:
                 where.setdefault(rank, []).append(p)
         active = list(where)
         heapq.heapify(active)
@@ -128,13 +131,18 @@ class Vocabulary:
                 o, r = before[p], after[q]
                 symbols[p], symbols[q] = new, -2
                 after[p], before[r] = r, p
-                for x, y, at in ((symbols[o], new, o), (new, symbols[r], p)):
-                    if x >= 0 and y >= 0 and (rank := merges.get(x << 32 | y)) is not None:
-                        if rank in where:
-                            where[rank].append(at)
-                        else:
-                            where[rank] = [at]
-                            heapq.heappush(active, rank)
+                if (x := symbols[o]) >= 0 and (rank := rank_of(x << 32 | new)) is not None:
+                    if (places := where.get(rank)) is None:
+                        where[rank] = [o]
+                        heapq.heappush(active, rank)
+                    else:
+                        places.append(o)
+                if (x := symbols[r]) >= 0 and (rank := rank_of(new << 32 | x)) is not None:
+                    if (places := where.get(rank)) is None:
+                        where[rank] = [p]
+                        heapq.heappush(active, rank)
+                    else:
+                        places.append(p)
         out = []
         for p in starts:
             one = []
@@ -159,18 +167,24 @@ class Vocabulary:
 
     def _learn(self, chunks: set[str]) -> dict[str, Chunk]:
         if self.kept > KEEP:
-            self.known, self.known_words, self.kept = {}, {}, 0
+            self.known, self.kept = {}, 0
+        if len(self.known_words) > WORDS:
+            self.known_words = {}
         known, of_word = self.known, self.known_words
         new = [c for c in chunks if c not in known]
         split = self.split(new)
-        words = [w for w in {w for ws in split for w in ws} if w not in of_word]
-        merged = self.merge(strings := [w for w in words if isinstance(w, str)])
-        for w, ids in [*zip(strings, merged), *[(w, [w]) for w in words if isinstance(w, int)]]:
-            of_word[w] = len(ids), " ".join([self.number[i] for i in ids]), self.decode(ids)
+        words = list({w for ws in split for w in ws} - of_word.keys())
+        strings, number, pieces = [w for w in words if isinstance(w, str)], self.number, self.pieces
+        for w, ids in zip(strings, self.merge(strings)):
+            of_word[w] = len(ids), " ".join([number[i] for i in ids]), " ".join([pieces[i] for i in ids])
+        of_word.update({w: (1, number[w], pieces[w]) for w in words if isinstance(w, int)})
         for c, ws in zip(new, split):
+            if len(ws) == 1:
+                known[c] = of_word[ws[0]]
+                continue
             found = [x for w in ws if (x := of_word[w])[0]]
-            known[c] = found[0] if len(found) == 1 else (sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found]))
-            self.kept += len(c)
+            known[c] = (sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found]))
+        self.kept += sum(map(len, new))
         return known
 
     def decode(self, ids: list[int]) -> str:

@@ -52,6 +52,7 @@ def test_stretches_and_forgetting(monkeypatch, library):
     """Small stretches and a small store of chunks change nothing."""
     monkeypatch.setattr(pairs, "STRETCH", 50)
     monkeypatch.setattr(pairs, "KEEP", 100)
+    monkeypatch.setattr(pairs, "WORDS", 20)
     rng = random.Random(5)
     texts = [" ".join("".join(rng.choice("abcde'") for _ in range(rng.randrange(1, 90))) for _ in range(rng.randrange(30))) for _ in range(60)]
     assert pairs.encode_batch(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
