@@ -157,16 +157,16 @@ class App:
     def _counts(self, s: dict) -> str:
         return f"scanned: {s['files_scanned']}  indexed: {s['files_indexed']}  skipped: {s['files_skipped']}  deleted: {s['files_deleted']}  failed: {s['files_failed']}\nnodes: {s['nodes']}  edges: {s['edges']}"
 
-    def _index(self, path: str, force: bool, verb: str):
+    def _index(self, path: str, force: bool, verb: str, lookups: bool = False):
         root, name, store = self.project(path)
-        s = index.index_all(self.spark, root, store.path, force)
+        s = index.index_all(self.spark, root, store.path, force, lookups)
         payload = {"project": name, "root": root, "store": store.path} | s | {"errors": s["errors"][:20]}
         text = f"{verb} {name}\n{self._counts(s)}" + (f"\nerrors({s['errors_total']}): {s['errors'][0]}..." if s["errors"] else "")
         self.emit(payload, text)
 
     def index(self, args):
-        o, _ = Flags("index", path="", force=False, quiet=False).parse(args)
-        self._index(o.path, o.force, "indexed")
+        o, _ = Flags("index", path="", force=False, quiet=False, lookups=False).parse(args)
+        self._index(o.path, o.force, "indexed", o.lookups)
 
     def sync(self, args):
         o, _ = Flags("sync", path="").parse(args)

@@ -1,19 +1,27 @@
-"""Indexing a source tree: difference by content hash, extraction of what changed, resolution, new snapshot."""
+"""Indexing a source tree: difference by content hash, extraction of what changed, resolution of what that touches, and a
+new state of the store that shares the buckets that stayed as they were."""
 
 from __future__ import annotations
 
-import shutil
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.paths import path_dir
 from .operators import resolve, sink
+from .operators.search import WEIGHTS
+from .plans.graph import cut
+from .schemas import EDGES, FILES, NODES
 from .sources import config, tree
-from .sources.snapshot import Store, now_ms
+from .sources.adjacency import BUCKETS, Adjacency
+from .sources.snapshot import Store, bucket_of, now_ms
+from .sources.textindex import TextIndex
 
 #: Edges of a file have numbers below this; files have at most 1 MiB.
 _PER_FILE = 1 << 20
+#: Edges of a bucket of the lookup tables, as their number follows from the number of edges.
+_PER_BUCKET = 1 << 20
 
 
 def nodes_of(extracts: DataFrame, stamp: int) -> DataFrame:
@@ -39,18 +47,70 @@ def go_packages(extracts: DataFrame) -> DataFrame:
     return go.groupBy("dir").agg(F.min_by("package", "path").alias("package"))
 
 
-def resolve_extracts(spark: SparkSession, extracts: DataFrame, root: str, stamp: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) with what can be resolved resolved."""
-    nodes, edges = nodes_of(extracts, stamp), edges_of(extracts)
-    hits = resolve.resolve(nodes, edges, config.go_module(root), config.path_aliases(root), go_packages(extracts))
-    return nodes, resolve.apply(edges, hits)
+def rules_of(root: str) -> tuple[str, list[tuple[str, str]]]:
+    """What resolution takes from the tree besides its sources: the Go module, the path aliases."""
+    return config.go_module(root), config.path_aliases(root)
 
 
-def index_all(spark: SparkSession, root: str, store_dir: str, force: bool = False) -> dict:
+def resolved_edges(extracts: DataFrame, nodes: DataFrame, rules: tuple[str, list], old: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Edges of all files, with what can be resolved resolved.
+
+    old: (extracts, nodes, edges) of the state before, made under the same rules.  Then edges of unchanged files keep what
+    they were resolved to, unless a name that they want has got, lost or changed a symbol, or a package its name.
+    """
+    edges, packages = edges_of(extracts), go_packages(extracts)
+    if old is None:
+        return resolve.apply(edges, resolve.resolve(nodes, edges, *rules, packages))
+    extracts_before, nodes_before, edges_before = old
+    same = extracts.select("path", "rank", "content_hash").join(extracts_before.select("path", F.col("rank").alias("old_rank"), F.col("content_hash").alias("old_hash")), "path")
+    same = same.where("content_hash = old_hash").select("path", "rank", "old_rank")
+    # An edge's number holds its file's rank and its place in the file.
+    place = edges_before.where("callee_text is not null").select(((F.col("id") - 1).bitwiseAND(F.lit(_PER_FILE - 1))).alias("seq"), F.shiftright(F.col("id") - 1, 20).alias("old_rank"), "target", "resolved")
+    carried = place.join(same, "old_rank").select((F.col("rank") * _PER_FILE + F.col("seq") + 1).alias("edge_id"), "target", "resolved")
+    left = cut(resolve.pending(nodes, edges))
+    targets = resolve.import_targets(nodes, *rules)
+    again = resolve.touched(left, targets, resolve.changed_names(nodes_before, nodes), resolve.changed_packages(go_packages(extracts_before), packages))
+    kept = cut(carried.join(again, "edge_id", "left_anti"))
+    anew = cut(left.join(kept, "edge_id", "left_anti"))
+    hits = resolve.resolve_pending(resolve.of_interest(nodes, anew, targets), anew, *rules, packages)
+    stay = kept.where("resolved").select("edge_id", F.col("target").alias("hit"), F.lit(0).alias("tier"))
+    return resolve.apply(edges, stay.unionByName(hits))
+
+
+def _buckets(changed: DataFrame) -> list[int]:
+    """Distinct buckets of a column `file`; there are no more than the store has."""
+    return [r[0] for r in changed.select(bucket_of(F.col("file")).alias("b")).distinct().collect()]
+
+
+def _write_edges(spark: SparkSession, store: Store, name: str, edges: DataFrame, whole: bool) -> None:
+    """Stages the buckets whose edges differ from those of the store."""
+    before = store.read(spark, "edges", EDGES)
+    differ = None if whole else _buckets(edges.exceptAll(before).unionByName(before.exceptAll(edges)).select(F.col("source").alias("file")))
+    store.write(name, "edges", edges, differ)
+
+
+def _write_lookups(spark: SparkSession, store: Store, name: str, nodes: DataFrame, upserts: DataFrame | None, gone: DataFrame | None) -> None:
+    """Stages the text index, by the nodes that came and went or else in full, and the bucketed edges."""
+    run = (store.staged.get("text") or 0) + 1
+    index = TextIndex(f"{store.place.uri}/text")
+    fields = list(WEIGHTS)
+    if run == 1 or upserts is None:
+        index.sync(spark, run, nodes, fields)
+    else:
+        index.put(spark, run, upserts, fields, gone)
+    edges = store.read(spark, "edges", EDGES, staged=True)
+    buckets = min(BUCKETS, max(1, edges.count() // _PER_BUCKET))
+    near = Adjacency(f"{store.place.uri}/snapshots/{name}/near", buckets)
+    near.write(nodes, edges)
+    store.staged |= {"text": run, "near": [name, buckets]}
+
+
+def index_all(spark: SparkSession, root: str, store_dir: str, force: bool = False, lookups: bool = False) -> dict:
     """Brings the store up to the tree and gives the counts.
 
     Files whose hash is known are not extracted again; those that vanished go; those that fail keep their old rows,
-    unless forced.  If nothing changed, only the time of the run is noted.
+    unless forced.  If nothing changed, only the time of the run is noted.  Of each table the buckets are written whose
+    rows changed.  lookups: keep a text index and bucketed edges; a store that has them keeps them.
     """
     root, store, stamp = config.absolute(root), Store(store_dir), now_ms()
     old = store.read(spark, "extracts", tree.EXTRACTS)
@@ -60,7 +120,7 @@ def index_all(spark: SparkSession, root: str, store_dir: str, force: bool = Fals
     parts = max(1, min(spark.sparkContext.defaultParallelism * 4, listed.count()))
     name = store.stage()
     store.write(name, "fresh", tree.extracts(now.repartition(parts, "path"), root))
-    fresh = spark.read.parquet(f"file://{store.file('snapshots', name, 'fresh')}")
+    fresh = store.scratch(spark, name, "fresh")
     by = {r[0]: r[1] for r in fresh.groupBy("status").count().collect()}
     errors = [e for r in fresh.where("size(errors) > 0").select("path", "status", "errors").orderBy("path").collect() if r["status"] == "failed" for e in r["errors"]]
     gone = 0 if force else known.join(listed, "path", "left_anti").count()
@@ -68,41 +128,67 @@ def index_all(spark: SparkSession, root: str, store_dir: str, force: bool = Fals
         "files_scanned": sum(by.values()), "files_indexed": by.get("indexed", 0), "files_skipped": by.get("unchanged", 0), "files_failed": by.get("failed", 0), "files_deleted": gone,
         "nodes": 0, "edges": 0, "edges_resolved": 0, "edges_still_unresolved": 0, "errors": errors, "errors_total": len(errors),
     }
-    before = store.graph(spark).edges
-    if force or stats["files_indexed"] or gone or not store.get("last_resolved_at"):
+    before = store.graph(spark)
+    rules = rules_of(root)
+    lookups = lookups or before.text is not None
+    ruled = store.get("resolved_with") == json.dumps(rules)
+    whole = force or not store.current
+    if force or stats["files_indexed"] or gone or not store.get("last_resolved_at") or not ruled or (lookups and before.text is None):
         made = fresh.where("status = 'indexed'")
-        kept = old.drop("rank").join(fresh.where("status = 'unchanged'" if force else "status <> 'indexed'").select("path", "rank"), "path").select(*old.columns)
-        store.write(name, "extracts", made.select(*old.columns).unionByName(kept))
-        extracts = spark.read.parquet(f"file://{store.file('snapshots', name, 'extracts')}")
-        nodes, edges = resolve_extracts(spark, extracts, root, stamp)
-        store.write(name, "nodes", nodes)
-        store.write(name, "edges", edges)
-        store.write(name, "files", files_of(extracts, stamp))
+        kept = fresh.where("status = 'unchanged'" if force else "status <> 'indexed'").select("path", "rank")
+        extracts = made.select(*old.columns).unionByName(old.drop("rank").join(kept, "path").select(*old.columns))
+        # Files that changed, came, went, or have another rank than before.
+        ranks = old.select("path", F.col("rank").alias("old_rank")).join(kept, "path").where("rank <> old_rank").select("path")
+        left_out = old.select("path").join(made.select("path").unionByName(kept.select("path")), "path", "left_anti")
+        changed = made.select("path").unionByName(left_out)
+        written = None if whole else _buckets(changed.unionByName(ranks).select(F.col("path").alias("file")))
+        store.write(name, "extracts", extracts, written)
+        extracts = store.read(spark, "extracts", tree.EXTRACTS, staged=True)
+        new_nodes = nodes_of(made, stamp).select(*before.nodes.columns)
+        stay = kept.select(F.col("path").alias("file_path"))
+        nodes = new_nodes.unionByName(before.nodes.join(stay, "file_path", "left_semi").select(*before.nodes.columns))
+        differ = None if whole else _buckets(changed.select(F.col("path").alias("file")))
+        store.write(name, "nodes", nodes, differ)
+        nodes = store.read(spark, "nodes", NODES, staged=True)
+        state = None if whole or not ruled else (old, before.nodes, before.edges)
+        edges = cut(resolved_edges(extracts, nodes, rules, state))
+        _write_edges(spark, store, name, edges, whole)
+        files = files_of(made, stamp).unionByName(before.files.join(kept.select("path"), "path", "left_semi").select(*before.files.columns))
+        store.write(name, "files", files, differ)
+        if lookups:
+            out = before.nodes.join(changed.select(F.col("path").alias("file_path")), "file_path", "left_semi").select("id")
+            _write_lookups(spark, store, name, nodes, None if whole or before.text is None else new_nodes, out.join(new_nodes.select("id"), "id", "left_anti"))
         sizes = made.agg(F.sum(F.size("nodes")), F.sum(F.size("edges"))).first()
         stats |= {"nodes": sizes[0] or 0, "edges": sizes[1] or 0}
-        resolved_before = before.where("resolved and callee_text is not null").count()
+        resolved_before = before.edges.where("resolved and callee_text is not null").count()
+        done, open_ = edges.agg(F.count_if(F.expr("resolved and callee_text is not null")), F.count_if(~F.col("resolved"))).first()
         store.commit(name)
-        store.put(last_resolved_at=str(now_ms()))
-        edges_now = store.graph(spark).edges
-        done, open_ = edges_now.agg(F.count_if(F.expr("resolved and callee_text is not null")), F.count_if(~F.col("resolved"))).first()
+        store.put(last_resolved_at=str(now_ms()), resolved_with=json.dumps(rules))
         stats |= {"edges_resolved": done if force else max(0, done - resolved_before), "edges_still_unresolved": open_}
     else:
-        shutil.rmtree(store.file("snapshots", name), ignore_errors=True)
-        stats["edges_still_unresolved"] = before.where("not resolved").count()
+        store.discard(name)
+        stats["edges_still_unresolved"] = before.edges.where("not resolved").count()
     store.put(last_indexed=str(stamp), project_root=root)
     store.write_errors(errors)
     return stats
 
 
 def resolve_all(spark: SparkSession, store_dir: str) -> dict:
-    """Resolves the store's placeholders again from its extracts; a second run changes nothing."""
-    store, stamp = Store(store_dir), now_ms()
-    before = store.graph(spark).edges.agg(F.count("*"), F.count_if("resolved")).first()
+    """Resolves the store's placeholders again, under the tree's rules as they are now, and writes the edges that differ;
+    a second run changes nothing."""
+    store = Store(store_dir)
+    graph = store.graph(spark)
+    total, before = graph.edges.agg(F.count("*"), F.count_if("resolved")).first()
+    name, rules = store.stage(), rules_of(store.get("project_root"))
     extracts = store.read(spark, "extracts", tree.EXTRACTS)
-    _, edges = resolve_extracts(spark, extracts, store.get("project_root"), stamp)
-    after = edges.agg(F.count("*"), F.count_if("resolved")).first()
-    store.put(last_resolved_at=str(stamp))
-    return {"edges_total": after[0], "edges_resolved_before": before[1], "edges_resolved_now": after[1] - before[1], "edges_still_unresolved": after[0] - after[1]}
+    edges = cut(resolved_edges(extracts, graph.nodes, rules))
+    after = edges.where("resolved").count()
+    _write_edges(spark, store, name, edges, whole=False)
+    if graph.near is not None:
+        _write_lookups(spark, store, name, graph.nodes, graph.nodes.limit(0), None)
+    store.commit(name)
+    store.put(last_resolved_at=str(now_ms()), resolved_with=json.dumps(rules))
+    return {"edges_total": total, "edges_resolved_before": before, "edges_resolved_now": max(0, after - before), "edges_still_unresolved": total - after}
 
 
 def resolution_snapshot(spark: SparkSession, store_dir: str) -> dict:

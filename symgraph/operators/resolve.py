@@ -29,6 +29,46 @@ def pending(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.join(nodes.select(F.col("id").alias("source"), F.col("file_path").alias("source_file")), "source").drop("source")
 
 
+def wanted(left: DataFrame, targets: DataFrame) -> DataFrame:
+    """(edge_id, name): the names whose symbols decide what becomes of each pending edge.
+
+    These are the called name and what imports of that local name rename it from.
+    """
+    renamed = targets.where("symbol is not null and symbol not in ('default', '*')").select("source_file", F.col("local").alias("name"), "symbol").distinct()
+    via = left.where("qualifier = ''").join(renamed, ["source_file", "name"]).select("edge_id", F.col("symbol").alias("name"))
+    return left.select("edge_id", "name").unionByName(via).distinct()
+
+
+def changed_names(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(name) of the symbols that came, went, or differ in what resolution looks at."""
+    key = ["name", "id", "file_path", "node_ordinal", "is_exported"]
+    a, b = (x.where("kind <> 'import'").select(*key) for x in (before, after))
+    return a.exceptAll(b).unionByName(b.exceptAll(a)).select("name").distinct()
+
+
+def changed_packages(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(package) names that a directory has got or lost."""
+    a, b = before.select("dir", "package"), after.select("dir", "package")
+    return a.exceptAll(b).unionByName(b.exceptAll(a)).select("package").distinct()
+
+
+def touched(left: DataFrame, targets: DataFrame, names: DataFrame, packages: DataFrame) -> DataFrame:
+    """(edge_id) of pending edges that the changed names and packages may resolve otherwise than before.
+
+    An edge's own file and its imports are as they were: edges of changed files are resolved anew in any case.
+    """
+    by_name = wanted(left, targets).join(names, "name", "left_semi").select("edge_id")
+    by_package = left.join(packages.select(F.col("package").alias("qualifier")), "qualifier", "left_semi").select("edge_id")
+    return by_name.unionByName(by_package).distinct()
+
+
+def of_interest(nodes: DataFrame, left: DataFrame, targets: DataFrame) -> DataFrame:
+    """The nodes that can matter to the pending edges: imports of their files, symbols of the names they want."""
+    imports = nodes.where("kind = 'import'").join(left.select(F.col("source_file").alias("file_path")).distinct(), "file_path", "left_semi").select(*nodes.columns)
+    symbols_ = nodes.where("kind <> 'import'").join(wanted(left, targets).select("name").distinct(), "name", "left_semi").select(*nodes.columns)
+    return imports.unionByName(symbols_)
+
+
 def same_file(left: DataFrame, syms: DataFrame) -> DataFrame:
     return left.join(syms, (F.col("source_file") == F.col("file_path")) & (left["name"] == syms["name"])).select("edge_id", "hit", F.lit(1).alias("tier"))
 
@@ -103,8 +143,13 @@ def resolve(nodes: DataFrame, edges: DataFrame, go_module: str = "", aliases: li
 
     packages: (dir, package) of Go directories, for imports whose package name differs from the path.
     """
+    return resolve_pending(nodes, pending(nodes, edges), go_module, aliases, packages)
+
+
+def resolve_pending(nodes: DataFrame, left: DataFrame, go_module: str = "", aliases: list[tuple[str, str]] = (), packages: DataFrame | None = None) -> DataFrame:
+    """The same for edges in the form of pending(); nodes may be cut to those of interest."""
     syms = cut(symbols(nodes))
-    left = cut(pending(nodes, edges))
+    left = cut(left)
     targets = import_targets(nodes, go_module, aliases)
     done = cut(same_file(left, syms))
     left = cut(left.join(done, "edge_id", "left_anti"))
