@@ -26,14 +26,15 @@ def importance() -> Column:
     )
 
 
-def match_score(query: str) -> Column:
+def match_score(query: str | Column) -> Column:
     """How a row's name answers the whole query, and what its kind is worth."""
-    q, name = query.lower(), F.lower("name")
+    q, name = F.lower(F.lit(query)), F.lower("name")
     text = F.when(name == q, 100.0).when(name.startswith(q), 70.0).when(name.contains(q), 40.0).when(F.lower("qualified_name").contains(q), 20.0).otherwise(0.0)
     kind = F.when(F.col("kind").isin("function", "method", "class"), 10.0).when(F.col("kind").isin("struct", "interface"), 8.0).when(F.col("kind") == "import", -40.0).otherwise(0.0)
     return text + kind
 
 
-def name_tier(query: str) -> Column:
+def name_tier(query: str | Column) -> Column:
     """0 for the name itself, 1 for names that begin with it (case-insensitively; % and _ are wild), 2 else."""
-    return F.when(F.col("name") == query, 0).when(F.col("name").ilike(query + "%"), 1).otherwise(2)
+    q = F.lit(query)
+    return F.when(F.col("name") == q, 0).when(F.ilike(F.col("name"), F.concat(q, F.lit("%"))), 1).otherwise(2)

@@ -6,25 +6,27 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import context_terms_of
-from ..plans.graph import Graph
+from ..plans.graph import Graph, cut
 from ..schemas import ENTRY_KINDS
 from . import find
-from .search import search
+from .search import search_each
 
 _EDGE = ["id", "source", "target", "kind", "line", "col", "source_name", "source_file", "target_name", "target_file", "target_kind", "target_qname", "target_line"]
 
 
-def entrypoints(graph: Graph, task: str, max_nodes: int) -> list[dict]:
-    """Hits of the task's terms in turn, entry kinds first, each node once, up to max_nodes."""
-    out: dict[str, dict] = {}
-    for term in context_terms_of(task):
-        rows = [r.asDict() for r in search(graph, term, limit=max(max_nodes, 10))]
-        for row in sorted(rows, key=lambda r: r["kind"] not in ENTRY_KINDS):
-            if len(out) < max_nodes:
-                out.setdefault(row["id"], row)
-        if len(out) >= max_nodes:
-            break
-    return list(out.values())
+def entrypoints(graph: Graph, task: str, max_nodes: int) -> DataFrame:
+    """(pos, node columns) of the hits of the task's terms in turn, entry kinds first, each node once, up to max_nodes.
+
+    All terms are searched for in one plan.  What is put in order here are at most max(max_nodes, 10) hits a term.
+    """
+    terms = context_terms_of(task)
+    if not terms:
+        return graph.nodes.limit(0).withColumn("pos", F.lit(0).cast("long"))
+    hits = search_each(graph, terms, limit=max(max_nodes, 10)).withColumn("turn", F.struct("query", (~F.col("kind").isin(*ENTRY_KINDS)).alias("late"), F.col("pos").alias("at")))
+    rest = [c for c in hits.columns if c not in ("id", "turn", "pos", "query")]
+    first = hits.groupBy("id").agg(F.min("turn").alias("turn"), F.min_by(F.struct(*rest), "turn").alias("x"))
+    top = first.orderBy("turn").limit(max_nodes)
+    return top.select((F.row_number().over(Window.orderBy("turn")) - 1).cast("long").alias("pos"), "id", "x.*")
 
 
 def neighbours(graph: Graph, ids: DataFrame) -> DataFrame:
@@ -46,11 +48,22 @@ def related(graph: Graph, ids: DataFrame, limit: int) -> DataFrame:
     return find.nodes_in_order(graph, top.select("pos", "id"))
 
 
+def sections(graph: Graph, task: str, max_nodes: int = 20) -> DataFrame:
+    """(section, pos, id): a task's entry points, their neighbours, and the calls at them, as one result."""
+    found = cut(entrypoints(graph, task, max_nodes)).select("pos", "id")
+    near = related(graph, found, max_nodes)
+    calls = neighbours(graph, found).orderBy("pos", "side", "id").limit(2 * max_nodes)
+    calls = calls.select(F.row_number().over(Window.orderBy("pos", "side", "id")).alias("pos"), F.col("id").cast("string").alias("id"))
+    part = lambda df, name: df.select(F.lit(name).alias("section"), F.col("pos").cast("long").alias("pos"), "id")
+    return part(found.withColumn("pos", F.col("pos") + 1), "entry").unionByName(part(near, "related")).unionByName(part(calls, "call"))
+
+
 def build(spark: SparkSession, graph: Graph, root: str, task: str, max_nodes: int = 20, max_code: int = 8, code: bool = True) -> dict:
     from ..sources.tree import snippet
 
-    entries = entrypoints(graph, task, max_nodes)
-    ids = spark.createDataFrame([(i, e["id"]) for i, e in enumerate(entries)], "pos long, id string")
+    found = cut(entrypoints(graph, task, max_nodes))
+    ids = found.select("pos", "id")
+    entries = [{k: v for k, v in r.asDict().items() if k != "pos"} for r in found.orderBy("pos").collect()]
     near = [r.asDict() for r in related(graph, ids, max_nodes).orderBy("pos").drop("pos").collect()] if entries else []
     calls = [r.asDict() for r in neighbours(graph, ids).orderBy("pos", "side", "id").select(*_EDGE).limit(2 * max_nodes).collect()] if entries else []
     blocks = []

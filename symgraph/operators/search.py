@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import expanded_limit, importance, match_score, name_tier
@@ -44,27 +44,43 @@ def occurrences(col: str, phrase: list[str]):
     return F.size(F.filter(hit, lambda a: F.coalesce(a, F.lit(False))))
 
 
-def bm25(nodes: DataFrame, query: str) -> DataFrame:
-    """Matching nodes with their score: two passes over the nodes, one for the corpus' counts and one for scores.
+def _numbered(queries: list[str]) -> tuple[list[list[str]], dict[int, list[int]]]:
+    """(distinct phrases, the phrases of each query by number)."""
+    distinct: dict[tuple, int] = {}
+    of = {q: [distinct.setdefault(tuple(p), len(distinct)) for p in phrases(query)] for q, query in enumerate(queries)}
+    return [list(p) for p in distinct], of
+
+
+def bm25_each(nodes: DataFrame, queries: list[str]) -> DataFrame:
+    """Nodes that match a query, with its number (column query) and their score; one row for each such pair.
 
-    The counts (documents, mean length, documents per phrase) are one row, joined as scalar subqueries.
+    Two passes over the nodes for all queries together, one for the corpus' counts and one for scores.  The counts
+    (documents, mean length, documents per phrase) are one row, joined as scalar subqueries.
     """
-    found = phrases(query)
+    found, of = _numbered(queries)
     idx = index(nodes)
     per = {f"p{i}_{c}": occurrences(f"t_{c}", p) for i, p in enumerate(found) for c in WEIGHTS}
     df = idx.withColumns(per)
     there = [reduce(lambda a, b: a | b, [F.col(f"p{i}_{c}") > 0 for c in WEIGHTS]) for i in range(len(found))]
     stats = df.agg(F.count("*").alias("n"), F.avg("length").alias("avg"), *[F.count_if(t).alias(f"df{i}") for i, t in enumerate(there)])
     n, avg = stats.select("n").scalar(), stats.select("avg").scalar()
-    score = F.lit(0.0)
+    part = []
     for i in range(len(found)):
         docs = stats.select(f"df{i}").scalar()
         idf = F.log((n - docs + 0.5) / (docs + 0.5))
         idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
         f = sum((F.col(f"p{i}_{c}") * w for c, w in WEIGHTS.items()), F.lit(0.0))
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / avg))
-    hits = df.where(reduce(lambda a, b: a | b, there)) if found else df.where("false")
-    return hits.withColumn("score", score).drop(*per, *[f"t_{c}" for c in WEIGHTS], "length")
+        part.append(idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / avg)))
+    hit = [F.when(reduce(lambda a, b: a | b, [there[i] for i in ps]), F.struct(F.lit(q).alias("query"), sum((part[i] for i in ps), F.lit(0.0)).alias("score"))) for q, ps in of.items() if ps]
+    if not hit:
+        return nodes.withColumns({"query": F.lit(0), "score": F.lit(0.0)}).where("false")
+    hits = df.withColumn("hit", F.explode(F.array_compact(F.array(*hit))))
+    return hits.withColumns({"query": F.col("hit.query"), "score": F.col("hit.score")}).drop("hit", *per, *[f"t_{c}" for c in WEIGHTS], "length")
+
+
+def bm25(nodes: DataFrame, query: str) -> DataFrame:
+    """Matching nodes with their score."""
+    return bm25_each(nodes, [query]).drop("query")
 
 
 #: Above all characters that a term can hold, in the order of UTF-8.
@@ -100,23 +116,66 @@ def phrase_counts(postings: DataFrame, phrase: list[str], number: int) -> DataFr
     return at.select(*key, F.size("at").cast("long").alias("f"), F.lit(number).alias("phrase")).where("f > 0")
 
 
-def bm25_index(spark: SparkSession, index: TextIndex, query: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(id, score) of what bm25() finds, from a persisted index: the postings of the query's terms, dead rows and statistics."""
-    found = phrases(query)
+def bm25_index_each(spark: SparkSession, index: TextIndex, queries: list[str], weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """(query, id, score) of what bm25_each() finds, from a persisted index: the postings of the queries' terms, dead rows
+    and statistics."""
+    found, of = _numbered(queries)
     if not found:
-        return spark.createDataFrame([], "id string, score double")
+        return spark.createDataFrame([], "query int, id string, score double")
     postings = index.live_postings(spark, term_filter(found)).where(F.col("field").isin(*weights))
     counts = reduce(DataFrame.unionByName, [phrase_counts(postings, p, i) for i, p in enumerate(found)])
-    weight = reduce(lambda a, cw: a.when(F.col("field") == cw[0], F.lit(float(cw[1]))), list(weights.items())[1:], F.when(F.col("field") == list(weights)[0], F.lit(float(list(weights.values())[0]))))
+    first, *more = weights.items()
+    weight = reduce(lambda a, cw: a.when(F.col("field") == cw[0], F.lit(float(cw[1]))), more, F.when(F.col("field") == first[0], F.lit(float(first[1]))))
     per = counts.groupBy("id", "length", "phrase").agg(F.sum(F.col("f") * weight).alias("f"))
-    # One row a phrase, which the query's words bound.
+    # One row a phrase, which the queries' words bound.
     docs = per.groupBy("phrase").agg(F.count("*").alias("docs"))
     stats = index.stats(spark)
     n, avg = stats.select("n").scalar(), stats.select("avg").scalar()
     idf = F.log((n - F.col("docs") + 0.5) / (F.col("docs") + 0.5))
+    asks = F.create_map(*[x for i in range(len(found)) for x in (F.lit(i), F.array(*[F.lit(q) for q, ps in of.items() for p in ps if p == i]))])
     per = per.join(F.broadcast(docs), "phrase").withColumn("idf", F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf))
     score = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / avg))
-    return per.groupBy("id").agg(F.sum(score).alias("score"))
+    return per.select("id", score.alias("part"), F.explode(asks[F.col("phrase")]).alias("query")).groupBy("query", "id").agg(F.sum("part").alias("score"))
+
+
+def bm25_index(spark: SparkSession, index: TextIndex, query: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """(id, score) for one query."""
+    return bm25_index_each(spark, index, [query], weights).drop("query")
+
+
+def like_each(nodes: DataFrame, queries: list[str]) -> DataFrame:
+    """Nodes that hold a query in name, qualified name, docstring or signature, with its number and no score; % and _ of a
+    query are wild.  One scan for all queries."""
+    cond = lambda q: reduce(lambda a, b: a | b, [F.coalesce(F.col(c).ilike(f"%{q}%"), F.lit(False)) for c in ("name", "qualified_name", "docstring", "signature")])
+    hits = nodes.withColumn("query", F.explode(F.array_compact(F.array(*[F.when(cond(q), F.lit(i)) for i, q in enumerate(queries)]))))
+    return hits.withColumn("score", F.lit(None).cast("double"))
+
+
+def ranked_each(graph: Graph, hits: DataFrame, queries: list[str], limit: int, order: str = "compat") -> DataFrame:
+    """ranked() for the hits of many queries at once: (query, pos, node columns), pos from 1.
+
+    Candidates and results are cut by a rank within each query, which Spark also applies before the shuffle; there are at
+    most 200 candidates a query, so the degrees of no others are counted.
+    """
+    text = F.element_at(F.array(*[F.lit(q) for q in queries]), F.col("query") + 1)
+    by = F.col("score") if order == "compat" else F.desc("score")
+    hits = hits.withColumn("asked", text)
+    tiered = hits.withColumn("tier", name_tier(F.col("asked")))
+    best = F.row_number().over(Window.partitionBy("query").orderBy("tier", by, "name", "id"))
+    some = cut(tiered.withColumn("k", best).where(F.col("k") <= expanded_limit(limit)).drop("k"))
+    full = with_degrees(some, graph.edges, few=True)
+    full = full.withColumn("rank", F.coalesce("score", F.lit(0.0)) + match_score(F.col("asked")) + importance())
+    pos = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rank"), "name", "tier", by, "id"))
+    return full.withColumn("pos", pos).where(F.col("pos") <= limit).drop("asked")
+
+
+def search_each(graph: Graph, queries: list[str], limit: int = 20, order: str = "compat") -> DataFrame:
+    """The text search for many queries in one plan, with the substring search for those that it finds nothing for."""
+    text = bm25_each(graph.nodes, queries) if graph.text is None else graph.nodes.join(bm25_index_each(graph.nodes.sparkSession, graph.text, queries), "id")
+    names = [*graph.nodes.columns, "query", "score"]
+    text = text.select(*names)
+    like = like_each(graph.nodes, queries).select(*names).join(text.select("query").distinct(), "query", "left_anti").select(*names)
+    return ranked_each(graph, text.unionByName(like), queries, limit, order)
 
 
 def ranked(graph: Graph, hits: DataFrame, query: str, limit: int, order: str = "compat") -> DataFrame:
@@ -141,9 +200,7 @@ def search_text(graph: Graph, query: str, kind: str = "", limit: int = 20, order
 
 def search_like(graph: Graph, query: str, kind: str = "", limit: int = 20) -> DataFrame:
     """Substring hits in name, qualified name, docstring and signature; % and _ of the query are wild."""
-    like = f"%{query}%"
-    cond = reduce(lambda a, b: a | b, [F.coalesce(F.col(c).ilike(like), F.lit(False)) for c in ("name", "qualified_name", "docstring", "signature")])
-    hits = graph.nodes.where(cond).withColumn("score", F.lit(None).cast("double"))
+    hits = like_each(graph.nodes, [query]).drop("query")
     return ranked(graph, hits.where(F.col("kind") == kind) if kind else hits, query, limit)
 
 

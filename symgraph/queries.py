@@ -554,6 +554,50 @@ def lookup_order(spark, sf_dir):
     return found.select("ref", "id", F.row_number().over(Window.partitionBy("ref").orderBy("m")).cast("long").alias("pos"))
 
 
+TASK, TASK_TERMS = "fix the wid of FRANCE, ustomer", ("wid", "FRANCE", "ustomer")
+
+
+def _term_sql(k: int, term: str) -> str:
+    """Common tables of one term's search: hits by tokens, else by substring, then candidates, then ranks."""
+    low = term.lower()
+    match = _TERM_MATCH.format(low)
+    tier = f"CASE WHEN name = '{term}' THEN 0 WHEN name ILIKE '{term}%' THEN 1 ELSE 2 END AS tier"
+    return f"""
+c{k} AS (SELECT *, {", ".join(f"len(list_filter(w_{c}, lambda x: starts_with(x, '{low}'))) AS f_{c}" for c in ("id", "name", "qualified_name"))} FROM task_words),
+s{k} AS (SELECT count(*) AS n, avg(length) AS av, count(*) FILTER (f_id + f_name + f_qualified_name > 0) AS d FROM c{k}),
+h{k} AS (
+  SELECT c.*, {tier}, CASE WHEN ln((n - d + 0.5) / (d + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d + 0.5) / (d + 0.5)) END * (20 * f_name + 5 * f_qualified_name) * 2.2 / ((20 * f_name + 5 * f_qualified_name) + 1.2 * (0.25 + 0.75 * length / av)) AS score
+  FROM c{k} c, s{k} WHERE f_id + f_name + f_qualified_name > 0
+  UNION ALL SELECT c.*, {tier}, 0 FROM c{k} c, s{k} WHERE d = 0 AND (name ILIKE '%{term}%' OR qualified_name ILIKE '%{term}%')
+),
+r{k} AS (SELECT *, score + {match} + {_IMPORTANCE} AS rank FROM (SELECT * FROM h{k} ORDER BY tier, score, name, id LIMIT 100)),
+t{k} AS (SELECT {k} AS query, id, kind, row_number() OVER (ORDER BY rank DESC, name, tier, score, id) AS place FROM r{k} QUALIFY place <= 20)"""
+
+
+_CONTEXT = (
+    f"""task_words AS (SELECT *, len(w_id) + len(w_name) + len(w_qualified_name) AS length FROM (
+  SELECT *, {", ".join(f"regexp_extract_all(translate(lower({c}), '{text.FOLD_FROM}', '{text.FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+') AS w_{c}" for c in ("id", "name", "qualified_name"))} FROM full_nodes))""",
+    *[_term_sql(k, t) for k, t in enumerate(TASK_TERMS)],
+    f"""turns AS (SELECT id, min((query, kind NOT IN ({_ENTRY}), place)) AS turn FROM (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2) GROUP BY id),
+entries AS (SELECT id, row_number() OVER (ORDER BY turn) AS pos FROM turns QUALIFY pos <= 20),
+sides AS (
+  SELECT e.target AS other, k.pos, 0 AS side, e.id AS edge FROM edges e JOIN entries k ON e.source = k.id WHERE kind = 'calls'
+  UNION ALL SELECT e.source, k.pos, 1, e.id FROM edges e JOIN entries k ON e.target = k.id WHERE kind = 'calls'
+)""",
+)
+
+
+@query(
+    """SELECT 'entry' AS section, pos, id FROM entries
+    UNION ALL SELECT 'related', row_number() OVER (ORDER BY first) AS pos, other FROM (SELECT other, min((pos, side, edge)) AS first FROM sides GROUP BY other) QUALIFY pos <= 20
+    UNION ALL SELECT 'call', row_number() OVER (ORDER BY pos, side, edge) AS k, edge::VARCHAR FROM sides QUALIFY k <= 40""",
+    _NODES, _EDGES, _DEGREE, _FULL, *_CONTEXT,
+)
+def context_build(spark, sf_dir):
+    """A task's whole context over the graph: terms found by tokens and, for the last, by substring only."""
+    return context.sections(star.graph(spark, sf_dir), TASK, 20)
+
+
 # Incremental runs
 
 
