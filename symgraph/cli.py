@@ -125,12 +125,10 @@ class App:
         if not last.lstrip("-").isdigit():
             return out | {"is_stale": True, "reason": "invalid_last_indexed"}
         try:
-            ms, path = tree.latest_mtime(root)
-        except OSError as e:
+            found = status.staleness(tree.scan(self.spark, root), int(last)).first()
+        except Exception as e:  # whatever keeps the tree from being listed is the answer
             return out | {"is_stale": True, "reason": f"staleness_check_failed: {e}"}
-        if ms:
-            out |= {"latest_source_mtime": ms, "latest_source_file": path}
-        return out | ({"is_stale": True, "reason": "source file modified after last_indexed"} if ms > int(last) else {})
+        return out | {k: found[k] for k in ("latest_source_mtime", "latest_source_file", "is_stale", "reason")}
 
     # Commands on projects
 

@@ -1,4 +1,4 @@
-"""Source trees: listing on the driver, reading and extraction on the executors."""
+"""Source trees: listing, reading and extraction, all where the executors are."""
 
 from __future__ import annotations
 
@@ -8,10 +8,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..extract import detect_language, extract_file
 from ..functions.paths import glob_regex
+from ..plans.graph import cut
 from ..schemas import MAX_FILE_SIZE
 
 #: Directories that are never entered.
@@ -54,26 +57,97 @@ class Ignore:
         return False
 
 
-def list_files(root: str) -> list[str]:
-    """Relative paths of the source files below root, in byte order; what can't be listed is passed over."""
-    ignore, out = Ignore(root), []
-    for folder, dirs, names in os.walk(root):
-        here = os.path.relpath(folder, root).replace(os.sep, "/")
-        prefix = "" if here == "." else here + "/"
-        dirs[:] = [d for d in dirs if d not in IGNORED and not d.startswith(".") and not os.path.islink(os.path.join(folder, d)) and not ignore.matches(f"{prefix}{d}/")]
-        for name in names:
-            full, rel = os.path.join(folder, name), prefix + name
-            if os.path.islink(full):  # a link counts under the path it leads to
-                rel = os.path.relpath(os.path.realpath(full), os.path.realpath(root)).replace(os.sep, "/")
-            if not os.path.isdir(full) and detect_language(rel) and not ignore.matches(rel):
-                out.append(rel)
-    return sorted(set(out), key=lambda p: p.encode("utf-8", "surrogateescape"))
+def _entered(root: str, folder: str, ignore: Ignore) -> tuple[list[str], list[tuple[str, str]]]:
+    """(folders below one that are entered, its source files as (place, path)); what can't be listed is passed over."""
+    try:
+        entries = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
+    except OSError:
+        return [], []
+    folders, files, prefix = [], [], f"{folder}/" if folder else ""
+    for e in entries:
+        rel = prefix + e.name
+        if e.is_dir(follow_symlinks=False):
+            if e.name not in IGNORED and not e.name.startswith(".") and not ignore.matches(f"{rel}/"):
+                folders.append(rel)
+            continue
+        if e.is_symlink():  # a link counts under the path it leads to
+            rel = os.path.relpath(os.path.realpath(e.path), os.path.realpath(root)).replace(os.sep, "/")
+        if not os.path.isdir(e.path) and detect_language(rel) and not ignore.matches(rel):
+            files.append((e.path, rel))
+    return folders, files
+
+
+class Folder(InputPartition):
+    """A folder to list: itself only, or with all below it."""
+
+    def __init__(self, path: str, deep: bool):
+        self.path, self.deep = path, deep
+
+
+class TreeReader(DataSourceReader):
+    """Folders are opened level by level until there are PARTS of them or none is left; each is then a partition, and
+    lists what is below it.  So planning sees the names of some folders, and never those of files."""
+
+    PARTS = 256
+
+    def __init__(self, root: str):
+        self.root = root
+
+    def partitions(self) -> list[Folder]:
+        ignore, level, above = Ignore(self.root), [""], []
+        while level and len(level) < self.PARTS:
+            above += level
+            level = [f for folder in level for f in _entered(self.root, folder, ignore)[0]]
+        return [Folder(f, False) for f in above] + [Folder(f, True) for f in level]
+
+    def read(self, partition: Folder) -> Iterator[tuple[str, int | None, int | None]]:
+        ignore, folders = Ignore(self.root), [partition.path]
+        while folders:
+            below, files = _entered(self.root, folders.pop(), ignore)
+            if partition.deep:
+                folders += below
+            for place, rel in files:
+                try:
+                    st = os.stat(place)
+                except OSError:
+                    yield rel, None, None
+                else:
+                    yield rel, st.st_size, st.st_mtime_ns // 1_000_000
+
+
+class TreeSource(DataSource):
+    """spark.read.format("source_tree").option("root", PATH): path, size and modified_at of the source files of a tree.
+
+    Ignored folders are not entered.  The root must be a path that every executor sees.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "source_tree"
+
+    def schema(self) -> str:
+        return "path string, size long, modified_at long"
+
+    def reader(self, schema) -> TreeReader:
+        return TreeReader(self.options["root"])
+
+
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size, modified_at) of the files below root, each path once."""
+    spark.dataSource.register(TreeSource)
+    found = spark.read.format("source_tree").option("root", root).load()
+    return found.groupBy("path").agg(F.max("size").alias("size"), F.max("modified_at").alias("modified_at"))
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, rank) of the files below root."""
-    rows = [(p, i) for i, p in enumerate(list_files(root))]
-    return spark.createDataFrame(rows, "path string, rank long")
+    """(path, rank) of the files below root; ranks count from 0 in byte order.
+
+    A range sort puts paths in order over partitions; their sizes, one row a partition, give where each one's ranks begin.
+    """
+    parts = cut(scan(spark, root).select("path").orderBy("path").withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
+    begin = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
+    return parts.join(F.broadcast(begin), "part").select("path", (F.col("begin") + F.col("at")).alias("rank"))
 
 
 def package_of(raw: bytes) -> str | None:
@@ -130,16 +204,3 @@ def snippet(root: str, path: str, start: int, end: int, around: int = 1) -> str:
         return ""
     first, last = max(start - 1 - around, 0), min(end + around, len(lines))
     return "\n".join(f"{i + 1:4d}: {lines[i]}" for i in range(first, last))
-
-
-def latest_mtime(root: str) -> tuple[int, str]:
-    """Largest time in ms of a source file, and the first path that has it."""
-    best, path = 0, ""
-    for rel in list_files(root):
-        try:
-            ms = os.stat(os.path.join(root, rel)).st_mtime_ns // 1_000_000
-        except OSError:
-            continue
-        if ms > best:
-            best, path = ms, rel
-    return best, path

@@ -35,10 +35,20 @@ def targets(spark, store):
     return {(r["source"].split("::")[1], r["callee_text"]): r["target"] for r in e}
 
 
-def test_listing(project):
+def test_listing(spark, project, monkeypatch):
     root, _ = project
     write(root, {"a.py": "", "pkg/__init__.py": "", "pkg/b.ts": "", "skip/c.py": "", "gen/x_gen.go": "", "node_modules/d.js": "", ".hid/e.py": "", "dist/f.py": "", "z.txt": "", "deep/skipme/g.py": "", "B.PY": "", ".gitignore": "# c\nskip/\n*_gen.go\n!a.py\n\nskipme\n"})
-    assert tree.list_files(root) == ["B.PY", "a.py", "pkg/__init__.py", "pkg/b.ts"]
+    write(root, {"far/one/two/three/h.go": "", "far/one/é.py": ""})
+    os.symlink(os.path.join(root, "pkg/b.ts"), os.path.join(root, "far/link.ts"))
+    os.symlink(os.path.join(root, "far"), os.path.join(root, "pkg/loop"))
+    os.symlink(os.path.join(root, "nowhere.py"), os.path.join(root, "dangling.py"))
+    want = ["B.PY", "a.py", "far/one/two/three/h.go", "far/one/é.py", "nowhere.py", "pkg/__init__.py", "pkg/b.ts"]
+    for parts in (256, 3, 1):  # a partition a folder, or one for all below some
+        monkeypatch.setattr(tree.TreeReader, "PARTS", parts)
+        reader = tree.TreeReader(root)
+        assert sorted({f[0] for p in reader.partitions() for f in reader.read(p)}) == want
+    assert [tuple(r) for r in tree.listing(spark, root).orderBy("rank").collect()] == [(p, k) for k, p in enumerate(want)]
+    assert tree.listing(spark, os.path.join(root, "empty")).count() == 0
 
 
 def test_incremental_equals_full(spark, project):
