@@ -251,7 +251,7 @@ class App:
     def files(self, args):
         o, _ = Flags("files", path="", glob=[]).parse(args)
         root, name, store = self.project(o.path)
-        df = matching_files(store.graph(self.spark).files, o.glob)
+        df = status.matching_files(store.graph(self.spark).files, o.glob)
         rows = [r.asDict() for r in df.select("path", "language", "size", "node_count", "indexed_at").orderBy("path").collect()]
         self._answer({"project": name, "count": len(rows), "files": rows}, root, store, lambda: "\n".join(f"{r['language']:<10} {r['node_count']:>6} nodes  {r['path']}" for r in rows) or "(no files)")
 
@@ -328,15 +328,6 @@ def _public(row: dict) -> dict:
     return {k: int(row[k]) if k == "is_exported" else row[k] for k in keep if row.get(k) is not None}
 
 
-def matching_files(files, globs: list[str]):
-    """Files whose path any of the patterns matches; all without patterns."""
-    from pyspark.sql import functions as F
-
-    from .functions.paths import glob_regex
-
-    return files.where(F.col("path").rlike("|".join(map(glob_regex, globs)))) if globs else files
-
-
 def overview_payload(spark: SparkSession, store: Store, packages: int = 20, symbols: int = 12, dependencies: int = 20) -> dict:
     g = store.graph(spark)
     pick = lambda n, d: n if n > 0 else d

@@ -73,6 +73,27 @@ def glob_regex(pattern: str) -> str:
     return f"^(?:{out})$"
 
 
+def glob_prefix(pattern: str) -> str:
+    """The literal text that every match of a shell pattern begins with."""
+    out, i = "", 0
+    while i < len(pattern) and pattern[i] not in "*?[":
+        if pattern[i] == "\\":
+            i += 1
+        out += pattern[i : i + 1]
+        i += 1
+    return out
+
+
+def glob_filter(path: Column, globs: list[str]) -> Column:
+    """Whether a path matches any of the patterns: a range of paths for each, which reaches the scan of a table that is sorted by path, and
+    the regular expression for what is left."""
+    hit = F.lit(False)
+    for glob in globs:
+        start, match = glob_prefix(glob), path.rlike(glob_regex(glob))
+        hit = hit | ((path >= start) & (path < start + "\U0010ffff") & match if start else match)
+    return hit
+
+
 def alias_bases(module: Column, aliases: list[tuple[str, str]]) -> Column:
     """Module paths by (pattern, target) aliases, each with at most one `*`."""
     out = []

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import package_path
 from ..plans.graph import Graph, with_degrees
 from ..schemas import ENTRY_KINDS
+from . import status
 
 #: Symbols listed for a package.
 SYMBOLS = 8
@@ -70,3 +71,20 @@ def dependencies(graph: Graph, limit: int = 20) -> DataFrame:
     """Edges between different packages, the most frequent first."""
     n = package_edges(graph).where("source <> target")
     return n.orderBy(F.desc("n"), F.concat("source", "target"), "kind", "source").limit(limit)
+
+
+def whole(graph: Graph, packages_limit: int = 20, symbols_limit: int = 12, dependencies_limit: int = 20) -> DataFrame:
+    """(section, pos, name, detail, n): counts, top packages with languages and symbols, core symbols and dependencies as one result."""
+    place = lambda *order: F.row_number().over(Window.orderBy(*order)).cast("long").alias("pos")  # noqa: E731 - over rows that a limit has cut
+    text = lambda c: F.col(c).cast("string")
+    count = status.counts(graph)
+    summary = count.select(F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("pos"), F.lit(c).alias("name"), F.lit("").alias("detail"), F.col(c).alias("n")) for k, c in enumerate(("files", "nodes", "edges", "resolved_edges"), 1)])).alias("x")).select("x.*")
+    languages = F.array_join(F.transform(F.map_entries("languages"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    top = top_packages(graph, packages_limit).select(place(F.desc("nodes"), "path"), F.col("path").alias("name"), F.concat_ws(";", languages, F.coalesce(F.array_join("symbols", ","), F.lit(""))).alias("detail"), F.col("nodes").cast("long").alias("n"))
+    core = core_symbols(graph, symbols_limit).select(place(F.desc("degree"), F.desc("is_exported"), "file_path", "start_line", "id"), F.col("id").alias("name"), F.concat_ws(";", "kind", "file_path", text("start_line")).alias("detail"), F.col("degree").alias("n"))
+    deps = dependencies(graph, dependencies_limit).select(place(F.desc("n"), F.concat("source", "target"), "kind", "source"), F.concat_ws(" -> ", "source", "target").alias("name"), F.col("kind").alias("detail"), "n")
+    out = None
+    for section, df in (("summary", summary), ("package", top), ("symbol", core), ("dependency", deps)):
+        df = df.select(F.lit(section).alias("section"), "pos", "name", "detail", "n")
+        out = df if out is None else out.unionByName(df)
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import glob_filter
 from ..plans.graph import Graph
 
 
@@ -37,6 +38,33 @@ def staleness(files: DataFrame, last_indexed, path: str = "path", mtime: str = "
     return latest(files, path, mtime).withColumns({"is_stale": stale, "reason": F.when(stale, "source file modified after last_indexed")})
 
 
+def staleness_each(projects: DataFrame, files: DataFrame) -> DataFrame:
+    """(project, is_stale, reason, latest_source_mtime, latest_source_file) of many projects at once.
+
+    projects: (project, last_indexed as text or null, failure: why its files couldn't be listed, or null); files: (project,
+    path, modified_at in the unit of last_indexed).  The reasons in the order in which they are looked for: no run yet, a
+    time that is no number, files that can't be listed, a file that is newer.  The latest file is the first path that has the
+    largest time; partial maxima are taken before the shuffle, so a project of very many files is no hot key.
+    """
+    first = F.min_by(F.struct("modified_at", "path"), F.struct(-F.col("modified_at"), "path"))
+    latest_of = files.groupBy("project").agg(first.alias("f"))
+    j = projects.join(latest_of, "project", "left")
+    number = F.when(F.col("last_indexed").rlike(r"^-?\d{1,18}$"), F.col("last_indexed")).cast("long")
+    reason = (
+        F.when(F.coalesce("last_indexed", F.lit("")) == "", "never_indexed")
+        .when(number.isNull(), "invalid_last_indexed")
+        .when(F.col("failure").isNotNull(), F.concat(F.lit("staleness_check_failed: "), "failure"))
+        .when(F.col("f.modified_at") > number, "source file modified after last_indexed")
+    )
+    known = number.isNotNull() & F.col("failure").isNull()
+    return j.select("project", reason.isNotNull().alias("is_stale"), reason.alias("reason"), F.when(known, F.col("f.modified_at")).alias("latest_source_mtime"), F.when(known, F.col("f.path")).alias("latest_source_file"))
+
+
+def matching_files(files: DataFrame, globs: list[str]) -> DataFrame:
+    """Files whose path any of the patterns matches; all without patterns."""
+    return files.where(glob_filter(F.col("path"), globs)) if globs else files
+
+
 def diff(current: DataFrame, cached: DataFrame) -> DataFrame:
     """(path, state): new, changed, unchanged or deleted, by content hash."""
     c = cached.select("path", F.col("content_hash").alias("old_hash"))

@@ -227,6 +227,29 @@ def affected(spark, sf_dir):
     return impact.affected(star.graph(spark, sf_dir), changed, 3)[1]
 
 
+_AFFECTED_LIMITED = """
+incoming AS (SELECT id AS edge_id, source, target FROM edges WHERE kind IN ('calls', 'references', 'imports')),
+roots AS (SELECT id AS root FROM nodes WHERE file_path LIKE '%/nations.go'),
+l1 AS (SELECT root, source AS id, min(edge_id) AS fst FROM incoming JOIN roots ON target = root WHERE source <> root GROUP BY ALL),
+r1 AS (SELECT root, id, row_number() OVER (PARTITION BY root ORDER BY fst) AS rank, count(*) OVER (PARTITION BY root) AS n1 FROM l1),
+f2 AS (SELECT root, i.source AS id, min((rank, i.edge_id)) AS fst FROM r1 JOIN incoming i ON i.target = r1.id WHERE i.source <> root GROUP BY root, i.source),
+new2 AS (SELECT f2.*, fst[1] AS rank FROM f2 ANTI JOIN l1 USING (root, id)),
+news AS (SELECT r1.root, r1.rank, n1, count(new2.id) AS n FROM r1 LEFT JOIN new2 ON new2.root = r1.root AND new2.rank = r1.rank GROUP BY ALL),
+kept AS (SELECT root, rank FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY root ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM news) WHERE earlier + 1 + n1 < 30),
+reached AS (SELECT root AS id FROM roots UNION SELECT id FROM l1 UNION SELECT id FROM new2 JOIN kept USING (root, rank))"""
+
+
+@query(
+    """SELECT DISTINCT n.file_path AS path, regexp_matches(n.file_path, '\\.test\\.|\\.spec\\.|/tests/|/test/|__tests__/|_test\\.go$') AS is_test FROM reached JOIN nodes n ON n.id = reached.id""",
+    _NODES, _EDGES, _AFFECTED_LIMITED,
+)
+def affected_limit(spark, sf_dir):
+    """All nations as roots, each followed up to 30 nodes: where they have more callers than that, tests are not reached."""
+    g = star.graph(spark, sf_dir)
+    changed = g.nodes.where("file_path like '%/nations.go'").select(F.col("file_path").alias("path")).distinct()
+    return impact.affected(g, changed, 2, limit=30)[1]
+
+
 # Overview
 
 
@@ -522,6 +545,12 @@ def search_kind(spark, sf_dir):
     return search.search_like(star.graph(spark, sf_dir), TERM, kind="function", limit=40).select("id", F.col("rank").cast("double").alias("rank"))
 
 
+def _with_own_files(g: Graph) -> Graph:
+    """The graph with the files of its own nodes beside the documents."""
+    own = g.nodes.groupBy(F.col("file_path").alias("path"), "language").agg(F.count("*").alias("node_count"))
+    return replace(g, files=g.files.select("path", "language", F.col("node_count").cast("long").alias("node_count")).unionByName(own.select("path", "language", "node_count")))
+
+
 @query(
     f"""SELECT p.path, p.files, p.nodes, l.languages, coalesce(s.symbols, '') AS symbols
     FROM (SELECT {_PACKAGE.format('path')} AS path, count(*) AS files, sum(node_count)::BIGINT AS nodes FROM both_files GROUP BY 1 ORDER BY nodes DESC, path LIMIT 20) p
@@ -536,13 +565,36 @@ def search_kind(spark, sf_dir):
 )
 def overview_top_packages(spark, sf_dir):
     """The largest packages of the documents and of the graph's own files, as one result."""
-    g = star.graph(spark, sf_dir)
-    own = g.nodes.groupBy(F.col("file_path").alias("path"), "language").agg(F.count("*").alias("node_count"))
-    both = Graph(g.nodes, g.edges, g.files.select("path", "language", F.col("node_count").cast("long").alias("node_count")).unionByName(own.select("path", "language", "node_count")))
+    both = _with_own_files(star.graph(spark, sf_dir))
     languages = F.array_join(F.transform(F.map_entries("languages"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
     return overview.top_packages(both).select("path", "files", "nodes", languages.alias("languages"), F.coalesce(F.array_join("symbols", ","), F.lit("")).alias("symbols"))
 
 
+_OVERVIEW_FILES = """both_files AS (
+  SELECT path, language, node_count::BIGINT AS node_count FROM files
+  UNION ALL SELECT file_path, CASE WHEN ends_with(file_path, '.ts') THEN 'typescript' ELSE 'go' END, count(*) FROM nodes GROUP BY file_path)"""
+
+
+@query(
+    f"""SELECT 'summary' AS section, pos, name, '' AS detail, n FROM (
+      SELECT 1 AS pos, 'files' AS name, (SELECT count(*) FROM both_files) AS n UNION ALL SELECT 2, 'nodes', (SELECT count(*) FROM nodes) UNION ALL SELECT 3, 'edges', (SELECT count(*) FROM edges) UNION ALL SELECT 4, 'resolved_edges', (SELECT count(*) FROM edges))
+    UNION ALL SELECT 'package', row_number() OVER (ORDER BY nodes DESC, path), path, languages || ';' || coalesce(symbols, ''), nodes
+    FROM (SELECT {_PACKAGE.format('path')} AS path, sum(node_count)::BIGINT AS nodes FROM both_files GROUP BY 1 ORDER BY nodes DESC, path LIMIT 20)
+    JOIN (SELECT path, string_agg(language || '=' || n, ',' ORDER BY language) AS languages FROM (SELECT {_PACKAGE.format('path')} AS path, language, count(*) AS n FROM both_files GROUP BY 1, 2) GROUP BY path) USING (path)
+    LEFT JOIN (SELECT path, string_agg(qualified_name, ',' ORDER BY pos) AS symbols FROM (
+      SELECT {_PACKAGE.format('file_path')} AS path, qualified_name, row_number() OVER (PARTITION BY {_PACKAGE.format('file_path')} ORDER BY file_path, start_line, id) AS pos
+      FROM nodes WHERE kind IN ({_ENTRY}) AND is_exported AND NOT file_path ILIKE '%_test.go') WHERE pos <= 8 GROUP BY path) USING (path)
+    UNION ALL SELECT 'symbol', row_number() OVER (ORDER BY degree DESC, is_exported DESC, file_path, start_line, id) AS pos, id, kind || ';' || file_path || ';' || start_line, degree FROM full_nodes WHERE kind IN ({_ENTRY}) AND NOT file_path ILIKE '%_test.go' QUALIFY pos <= 12
+    UNION ALL SELECT 'dependency', row_number() OVER (ORDER BY n DESC, source || target, kind, source) AS pos, source || ' -> ' || target, kind, n FROM (
+      SELECT {_PACKAGE.format('s.file_path')} AS source, {_PACKAGE.format('t.file_path')} AS target, e.kind, count(*) AS n FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target GROUP BY 1, 2, 3)
+    WHERE source <> target QUALIFY pos <= 20""",
+    _NODES, _EDGES, _FILES, _DEGREE, _FULL, _OVERVIEW_FILES,
+)
+def overview_build(spark, sf_dir):
+    """The whole overview of the graph and the documents as one result."""
+    return overview.whole(_with_own_files(star.graph(spark, sf_dir)))
+
+
 @query(
     """SELECT ref, id, row_number() OVER (PARTITION BY ref ORDER BY is_exported DESC, file_path, start_line, id) AS pos FROM nodes JOIN (SELECT p_name AS ref FROM part WHERE p_partkey = 11) ON name = ref""",
     _NODES,
@@ -634,9 +686,7 @@ def content_dupes(spark, sf_dir):
 
 @query("SELECT path, language, size, node_count FROM files WHERE regexp_full_match(path, 'src1[^/]*/[^/]*7\\.txt') OR regexp_full_match(path, 'src[02-5]/1[^/]\\.txt')", _FILES)
 def files_glob(spark, sf_dir):
-    from .cli import matching_files
-
-    return matching_files(star.files(spark, sf_dir), ["src1*/*7.txt", "src[02-5]/1?.txt"]).select("path", "language", "size", "node_count")
+    return status.matching_files(star.files(spark, sf_dir), ["src1*/*7.txt", "src[02-5]/1?.txt"]).select("path", "language", "size", "node_count")
 
 
 @query(
@@ -648,6 +698,23 @@ def staleness(spark, sf_dir):
     return status.staleness(events, F.expr("TIMESTAMP_NTZ '2024-01-10'"))
 
 
+@query(
+    """SELECT c_custkey AS project, reason IS NOT NULL AS is_stale, reason, latest_source_mtime, latest_source_file FROM (
+      SELECT c_custkey, CASE WHEN last IS NULL THEN 'never_indexed' WHEN last = 'soon' THEN 'invalid_last_indexed' WHEN c_acctbal < 0 THEN 'staleness_check_failed: balance below zero'
+        WHEN ms > last::BIGINT THEN 'source file modified after last_indexed' END AS reason, CASE WHEN last <> 'soon' AND c_acctbal >= 0 THEN ms END AS latest_source_mtime, CASE WHEN last <> 'soon' AND c_acctbal >= 0 THEN path END AS latest_source_file
+      FROM (SELECT *, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN NULL WHEN 'BUILDING' THEN 'soon' ELSE '870000000000' END AS last FROM customer)
+      LEFT JOIN (SELECT o_custkey, max(epoch_ms(o_orderdate)) AS ms, arg_min('order/' || o_orderkey, (-epoch_ms(o_orderdate), 'order/' || o_orderkey)) AS path FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey)"""
+)
+def staleness_reasons(spark, sf_dir):
+    """Customers as projects and their orders as files: each reason for which an index is out of date, and none."""
+    segment = F.col("c_mktsegment")
+    last = F.when(segment == "AUTOMOBILE", F.lit(None)).when(segment == "BUILDING", "soon").otherwise("870000000000")
+    projects = star.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project"), last.alias("last_indexed"), F.when(F.col("c_acctbal") < 0, "balance below zero").alias("failure"))
+    ms = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    files = star.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project"), F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("path"), ms.alias("modified_at"))
+    return status.staleness_each(projects, files)
+
+
 # Writes
 
 

@@ -126,8 +126,8 @@ class Store:
             some = every if buckets is None else sorted(buckets)
             if some != every:
                 df = df.where(F.col("bucket").isin(*some)) if some else df.where("false")
-            # One file a bucket; all buckets at once have as many tasks.
-            df.repartition(len(some) or 1, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.place.uri}/snapshots/{name}/{table}")
+            # A file or more a bucket, sorted by path, so that ranges of paths prune.
+            df.repartition(len(some) or 1, "bucket").sortWithinPartitions("bucket", FILE_OF[table]).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.place.uri}/snapshots/{name}/{table}")
             held = {n: [b for b in (every if bs is None else bs) if b not in some] for n, bs in self.staged["tables"].get(table, {}).items()}
             self.staged["tables"][table] = {n: bs for n, bs in held.items() if bs} | ({name: some} if some else {})
         else:

@@ -105,3 +105,27 @@ def test_globs(pattern, yes, no):
 
     p = re.compile(glob_regex(pattern))
     assert all(p.match(x) for x in yes) and not any(p.match(x) for x in no)
+
+
+@pytest.mark.parametrize("pattern, prefix", [("src/*.go", "src/"), ("*.go", ""), ("a\\\\*b?", "a*b"), ("plain.py", "plain.py"), ("d[0-9]x", "d")])
+def test_glob_prefixes(pattern, prefix):
+    from symgraph.functions.paths import glob_prefix
+
+    assert glob_prefix(pattern.replace("\\\\", "\\")) == prefix
+
+
+def test_globs_reach_the_scan(spark, tmp_path):
+    """A pattern's literal beginning is a range of paths for the scan; results are those of the regular expression."""
+    from symgraph.functions.paths import glob_regex
+    from symgraph.operators import status
+
+    paths_ = [f"{a}/{b}{c}" for a in ("src", "srcs", "doc") for b in "xyz" for c in (".go", ".py")] + ["src/x.go\U0010ffff", "src/[x].go"]
+    spark.createDataFrame([(p,) for p in paths_], "path string").write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    import re
+
+    for globs in (["src/*.go"], ["src/x*", "doc/[yz].py"], ["*/x.go"], ["src/\\[x].go"]):
+        want = sorted(p for p in paths_ if any(re.match(glob_regex(g), p, re.S) for g in globs))
+        assert sorted(r["path"] for r in status.matching_files(files, globs).collect()) == want
+    plan = status.matching_files(files, ["src/*.go"])._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(path,src/)" in plan and "LessThan(path,src/" in plan
