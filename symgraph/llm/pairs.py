@@ -60,6 +60,7 @@ class Vocabulary:
         self.added = {t["content"]: t["id"] for t in added}
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if added else None
         self.end = model.get("end_of_word_suffix") or ""
+        self.letters = {c for c in self.ids if len(c) == 1}
         listed = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
         made = {a + b: rank for rank, (a, b) in enumerate(listed)}
         if len(made) < len(listed) or any(made.get(x, -1) >= rank for rank, pair in enumerate(listed) for x in pair):
@@ -106,13 +107,17 @@ class Vocabulary:
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each word: all words in one array, all places of a pair in one list, ranks in ascending order."""
-        rank_of, ids, end = self.merges.get, self.ids, self.end
+        rank_of, ids, end, letter = self.merges.get, self.ids, self.end, self.ids.__getitem__
         symbols: list[int] = [-1]
         starts = []
         for w in words:
             starts.append(len(symbols))
-            letters = [*w[:-1], w[-1] + end] if w else []
-            symbols += [ids[c] for c in letters if c in ids]
+            last = w[-1:] + end
+            if last in ids and self.letters.issuperset(w):
+                symbols += map(letter, w[:-1])
+                symbols.append(ids[last])
+            else:  # characters that the vocabulary hasn't are passed over
+                symbols += [ids[c] for c in [*w[:-1], last] if c in ids]
             symbols.append(-1)
         after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
         where: dict[int, list[int]] = {}
@@ -171,7 +176,7 @@ class Vocabulary:
         if len(self.known_words) > WORDS:
             self.known_words = {}
         known, of_word = self.known, self.known_words
-        new = [c for c in chunks if c not in known]
+        new = list(chunks - known.keys())
         split = self.split(new)
         words = list({w for ws in split for w in ws} - of_word.keys())
         strings, number, pieces = [w for w in words if isinstance(w, str)], self.number, self.pieces
@@ -226,7 +231,7 @@ def encode_batch(texts: list[str | None], path: str | None = None) -> list[list[
     """Ids of each text."""
     v, out = load(path), [[] for _ in texts]
     for some in _stretches(texts):
-        known = v.learn({c for _, chunks in some for c in chunks})
+        known = v.learn(set().union(*[chunks for _, chunks in some]))
         for row, chunks in some:
             for c in chunks:
                 out[row] += map(int, known[c][1].split())
@@ -262,7 +267,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         v, texts = load(path), cols[text_col]
         n, of_ids, of_text, begun = [0] * len(texts), [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts], [False] * len(texts)
         for some in _stretches(texts):
-            known = v.learn({c for _, chunks in some for c in chunks})
+            known = v.learn(set().union(*[chunks for _, chunks in some]))
             for row, chunks in some:
                 if not chunks:
                     continue
