@@ -19,10 +19,9 @@ def incoming(graph: Graph) -> DataFrame:
     return edges.where(F.col("kind").isin(*IMPACT_KINDS)).select(F.col("id").alias("edge_id"), "source", "target", "kind", "line", "col")
 
 
-def _from_nodes(graph: Graph) -> DataFrame:
-    """incoming() whose source is a node; bucketed edges have no others."""
-    edges = incoming(graph)
-    return edges if graph.near is not None else edges.join(graph.nodes.select(F.col("id").alias("source")), "source", "left_semi")
+def _from_nodes(graph: Graph, found: DataFrame) -> DataFrame:
+    """Found edges whose source is a node; bucketed edges have no others.  After the join with a frontier few are left to look up."""
+    return found if graph.near is not None else found.join(graph.nodes.select(F.col("id").alias("source")), "source", "left_semi")
 
 
 def reach(graph: Graph, roots: DataFrame, depth: int) -> DataFrame:
@@ -53,14 +52,14 @@ def impact(graph: Graph, roots: DataFrame, depth: int = 2, limit: int = 100) ->
     parent's rank, then edge id.  A level's parents are cut where the running total, over parents before them,
     reaches the limit; as expansion only goes on below the limit, ranked sets are smaller than it.
     """
-    edges = _from_nodes(graph)
+    edges = incoming(graph)
     frontier = cut(roots.select("id", F.col("rank").cast("long").alias("rank"), F.lit(0).alias("level")))
     visited, total, taken = frontier, frontier.count(), []
     for level in range(1, depth + 1):
         if total >= limit or frontier.isEmpty():
             break
         parents = frontier.select(F.col("id").alias("target"), F.col("rank").alias("parent_rank"))
-        found = cut(edges.join(parents, "target"))
+        found = cut(_from_nodes(graph, edges.join(parents, "target")))
         first = found.groupBy(F.col("source").alias("id")).agg(F.min(F.struct("parent_rank", "edge_id")).alias("by")).join(visited, "id", "left_anti")
         first = first.select("id", "by.parent_rank", "by.edge_id")
         # Fewer parents than the limit are ranked here.
@@ -88,12 +87,12 @@ def impact_each(graph: Graph, roots: DataFrame, depth: int, limit: int) -> DataF
     All roots go level by level together.  Ranks are needed only of roots that are below the limit still, so no window's
     group has more rows than that; what passes the limit in one step is kept unranked.
     """
-    edges = _from_nodes(graph).select("edge_id", "source", "target")
+    edges = incoming(graph).select("edge_id", "source", "target")
     frontier = cut(roots.select(F.col("id").alias("root"), "id", F.lit(0).cast("long").alias("rank"), F.lit(1).cast("long").alias("total")).distinct())
     visited = frontier.select("root", "id", F.lit(0).alias("level"))
     for level in range(1, depth + 1):
         parents = frontier.where(F.col("total") < limit).select("root", F.col("id").alias("target"), F.col("rank").alias("parent_rank"), "total")
-        found = edges.join(parents, "target")
+        found = _from_nodes(graph, edges.join(parents, "target"))
         first = found.groupBy("root", F.col("source").alias("id")).agg(F.min(F.struct("parent_rank", "edge_id")).alias("by")).join(visited.select("root", "id"), ["root", "id"], "left_anti")
         first = cut(first.select("root", "id", "by.parent_rank", "by.edge_id"))
         fresh = parents.join(first.groupBy("root", "parent_rank").agg(F.count("*").alias("n")), ["root", "parent_rank"], "left").fillna(0, ["n"])
@@ -106,7 +105,7 @@ def impact_each(graph: Graph, roots: DataFrame, depth: int, limit: int) -> DataF
             break
         visited = visited.unionByName(new.select("root", "id", F.lit(level).alias("level")))
         rank = F.row_number().over(Window.partitionBy("root").orderBy("parent_rank", "edge_id")).cast("long")
-        frontier = cut(new.where(F.col("total") < limit).select("root", "id", rank.alias("rank"), "total"))
+        frontier = new.where(F.col("total") < limit).select("root", "id", rank.alias("rank"), "total")
     return visited
 
 

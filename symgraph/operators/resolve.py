@@ -151,16 +151,17 @@ def resolve_pending(nodes: DataFrame, left: DataFrame, go_module: str = "", alia
     syms = cut(symbols(nodes))
     left = cut(left)
     targets = import_targets(nodes, go_module, aliases)
+    # What a tier leaves over is an anti-join with its hits; only hits are written.
     done = cut(same_file(left, syms))
-    left = cut(left.join(done, "edge_id", "left_anti"))
+    left = left.join(done, "edge_id", "left_anti")
     second = cut(sibling(left, syms))
-    left = cut(left.join(second, "edge_id", "left_anti"))
+    left = left.join(second, "edge_id", "left_anti")
     meant = cut(matching_imports(left, targets, packages))
     third = cut(_first(candidate_hits(meant.select("edge_id", "import_seq", "cand_seq", "candidate", "wanted"), syms), 3))
-    left = cut(left.join(third, "edge_id", "left_anti"))
+    left = left.join(third, "edge_id", "left_anti")
     stars = left.join(targets.where("symbol = '*'"), "source_file").select("edge_id", "import_seq", "cand_seq", "candidate", F.col("name").alias("wanted"))
     fourth = cut(_first(candidate_hits(stars, syms), 4))
-    left = cut(left.join(fourth, "edge_id", "left_anti"))
+    left = left.join(fourth, "edge_id", "left_anti")
     last = meant.groupBy("edge_id").agg(F.max_by("wanted", "import_seq").alias("wanted"))
     only = unique_names(nodes)
     via = left.join(last, "edge_id").join(only.withColumnRenamed("name", "wanted"), "wanted").select("edge_id", "hit", F.lit(0).alias("k"))

@@ -183,10 +183,11 @@ def ranked(graph: Graph, hits: DataFrame, query: str, limit: int, order: str = "
 
     order: 'compat' keeps the weakest scores inside a tier at the cut, 'best_first' the strongest.
 
-    The candidates (200 at most) are written once and sent to the edges, of which none but theirs are counted.
+    The candidates, 200 at most, are fetched and sent to the edges, of which none but theirs are counted.
     """
     by = F.col("score") if order == "compat" else F.desc("score")
-    some = cut(hits.withColumn("tier", name_tier(query)).orderBy("tier", by, "name", "id").limit(expanded_limit(limit)))
+    some = hits.withColumn("tier", name_tier(query)).orderBy("tier", by, "name", "id").limit(expanded_limit(limit))
+    some = some.sparkSession.createDataFrame(some.collect(), some.schema)
     full = with_degrees(some, graph.edges, few=True)
     rank = F.coalesce("score", F.lit(0.0)) + match_score(query) + importance()
     return full.withColumn("rank", rank).orderBy(F.desc("rank"), "name", "tier", by, "id").limit(limit)
