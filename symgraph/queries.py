@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import paths, strings, text
 from .functions.scores import importance, match_score
-from .operators import context, find, impact, overview, resolve, search, sink, status
+from .operators import context, find, impact, kept, overview, resolve, search, sink, status
 from .plans.graph import Graph, shared_folder, with_degrees
 from .schemas import ENTRY_KINDS, LANGUAGES
 from .sources import star
@@ -698,6 +698,28 @@ def staleness(spark, sf_dir):
     return status.staleness(events, F.expr("TIMESTAMP_NTZ '2024-01-10'"))
 
 
+@query(
+    f"""SELECT 'kinds' AS measure, kind AS key, count(*) AS a, 0::BIGINT AS b FROM nodes GROUP BY kind
+    UNION ALL SELECT 'languages', language, count(*), 0 FROM files GROUP BY language
+    UNION ALL SELECT 'packages', {_PACKAGE.format('path')}, count(*), sum(node_count)::BIGINT FROM files GROUP BY 2
+    UNION ALL SELECT 'degrees', id, out_degree, in_degree FROM degree
+    UNION ALL SELECT 'dependencies', {_PACKAGE.format('s.file_path')} || '>' || {_PACKAGE.format('t.file_path')} || '>' || e.kind, count(*), 0 FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target GROUP BY 2""",
+    _NODES, _EDGES, _FILES, _DEGREE,
+)
+def kept_aggregates(spark, sf_dir):
+    """All kept aggregates, taken from an earlier state (no symbols that aren't exported, no imports, documents of one
+    language under other names) and brought up to the whole graph by what went and came."""
+    g = star.graph(spark, sf_dir)
+    early = Graph(g.nodes.where("is_exported"), g.edges.where("kind <> 'imports'"), g.files.withColumn("path", F.when(F.col("language") == "en", F.col("path")).otherwise(F.concat(F.lit("old/"), "path"))))
+    out = None
+    for name, measure in kept.MEASURES.items():
+        now = kept.follow(name, measure(early), early, g)
+        a, b = (*kept.SUMS[name], None)[:2]
+        row = now.select(F.lit(name).alias("measure"), F.concat_ws(">", *kept.KEYS[name]).alias("key"), F.col(a).alias("a"), (F.col(b) if b else F.lit(0)).cast("long").alias("b"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(
     """SELECT c_custkey AS project, reason IS NOT NULL AS is_stale, reason, latest_source_mtime, latest_source_file FROM (
       SELECT c_custkey, CASE WHEN last IS NULL THEN 'never_indexed' WHEN last = 'soon' THEN 'invalid_last_indexed' WHEN c_acctbal < 0 THEN 'staleness_check_failed: balance below zero'

@@ -78,6 +78,22 @@ def test_scores_equal_the_scan(spark, indexed, query):
         assert ids(replace(g, text=index)) == ids(g) != []
 
 
+def test_many_queries_at_once(spark, indexed):
+    """search_each() gives each query what search() gives it alone, by scan and from the index; one has substring hits only."""
+    index, docs = indexed
+    nodes = frame(spark, docs)
+    edges = [(k, f"d{k % 7}", f"d{k % 11}", "calls", True) for k in range(40)]
+    g = Graph(nodes, spark.createDataFrame(edges, "id long, source string, target string, kind string, resolved boolean"), nodes)
+    asked = ["open", "he", "tab of-the", "héâ", "zzz", "d2", "the", "%"]
+    alone = {k: [r["id"] for r in search.search(g, q, limit=6)] for k, q in enumerate(asked)}
+    assert alone[3] and not alone[4]
+    for graph in (g, replace(g, text=index)):
+        got = {k: [] for k in alone}
+        for r in search.search_each(graph, asked, limit=6).orderBy("query", "pos").collect():
+            got[r["query"]].append(r["id"])
+        assert got == alone
+
+
 def test_reads_only_its_terms(spark, indexed):
     """Folders of other letters may be gone, and the term's range reaches the scan."""
     index, _ = indexed

@@ -129,3 +129,33 @@ def test_globs_reach_the_scan(spark, tmp_path):
         assert sorted(r["path"] for r in status.matching_files(files, globs).collect()) == want
     plan = status.matching_files(files, ["src/*.go"])._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(path,src/)" in plan and "LessThan(path,src/" in plan
+
+
+def test_kept_aggregates_follow_random_edits(spark):
+    """Nodes come, go and move between files, edges repeat and dangle, files change: deltas equal a recount."""
+    from symgraph.operators import kept
+    from symgraph.plans.graph import Graph
+
+    rng = random.Random(12)
+
+    def state(nodes, edges, files):
+        n = spark.createDataFrame([(f"n{i}", k, p) for i, (k, p) in nodes.items()], "id string, kind string, file_path string")
+        e = spark.createDataFrame(edges, "id long, source string, target string, kind string, resolved boolean")
+        return Graph(n, e, spark.createDataFrame([(p, *x) for p, x in files.items()], "path string, language string, node_count int"))
+
+    node = lambda: (rng.choice("ab"), f"{rng.choice('pqr')}/{rng.choice('xy')}.go")
+    edge = lambda: (rng.randrange(30), f"n{rng.randrange(14)}", f"n{rng.randrange(14)}", rng.choice(("calls", "imports")), rng.random() < 0.8)
+    nodes, edges = {i: node() for i in range(10)}, [edge() for _ in range(40)]
+    files = {f"{d}/{f}": (rng.choice("gp"), rng.randrange(5)) for d in "pqr" for f in "xy"}
+    before = state(nodes, edges, files)
+    for i in rng.sample(range(14), 6):
+        nodes[i] = node() if rng.random() < 0.7 else nodes.pop(i, node())
+    for i in rng.sample(sorted(nodes), 2):
+        del nodes[i]
+    edges = [x for x in edges if rng.random() < 0.8] + [edge() for _ in range(8)] + edges[:2]
+    files |= {"s/new": ("g", 3), "p/x": ("z", 9)}
+    del files["q/y"]
+    after = state(nodes, edges, files)
+    rows_of = lambda name, df: sorted(map(tuple, df.select(*kept.KEYS[name], *kept.SUMS[name]).collect()))
+    for name, measure in kept.MEASURES.items():
+        assert rows_of(name, kept.follow(name, measure(before), before, after)) == rows_of(name, measure(after)), name
