@@ -35,7 +35,7 @@ from .common import WORD, map_rows
 
 TOKENIZER = "word_bpe_49k.json"
 #: Characters of text whose new words are indexed at once, characters of chunks that are kept, and words that are kept.
-STRETCH, KEEP, WORDS = 1 << 21, 1 << 23, 1 << 20
+STRETCH, KEEP, WORDS = 1 << 21, 1 << 23, 1 << 19
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 #: Number of ids of a chunk or word, the ids in decimal and their pieces, each joined by one space.
 Chunk = tuple[int, str, str]
