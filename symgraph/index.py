@@ -20,6 +20,7 @@ from .sources.textindex import TextIndex
 
 #: Edges of a file have numbers below this; files have at most 1 MiB.
 _PER_FILE = 1 << 20
+_EDGE_COLUMNS = [c.split(" ")[0] for c in EDGES.split(", ")]
 #: Edges of a bucket of the lookup tables, as their number follows from the number of edges.
 _PER_BUCKET = 1 << 20
 
@@ -31,9 +32,9 @@ def nodes_of(extracts: DataFrame, stamp: int) -> DataFrame:
 
 
 def edges_of(extracts: DataFrame) -> DataFrame:
-    """Edges of all files, numbered by file and place; calls are still placeholders."""
-    e = extracts.select("rank", F.posexplode("edges").alias("seq", "e")).select((F.col("rank") * _PER_FILE + F.col("seq") + 1).alias("id"), "e.*")
-    return sink.mark_resolved(e).select("id", "source", "target", "kind", "resolved", "line", "col", "callee_text")
+    """Edges of all files with their path, numbered by file and place; calls are still placeholders."""
+    e = extracts.select("path", "rank", F.posexplode("edges").alias("seq", "e")).select("path", (F.col("rank") * _PER_FILE + F.col("seq") + 1).alias("id"), "e.*")
+    return sink.mark_resolved(e).select("path", *_EDGE_COLUMNS)
 
 
 def files_of(extracts: DataFrame, stamp: int) -> DataFrame:
@@ -52,29 +53,39 @@ def rules_of(root: str) -> tuple[str, list[tuple[str, str]]]:
     return config.go_module(root), config.path_aliases(root)
 
 
-def resolved_edges(extracts: DataFrame, nodes: DataFrame, rules: tuple[str, list], old: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Edges of all files, with what can be resolved resolved.
+def resolved_edges(extracts: DataFrame, nodes: DataFrame, rules: tuple[str, list]) -> DataFrame:
+    """Edges of all files, with what can be resolved resolved."""
+    edges = edges_of(extracts).select(*_EDGE_COLUMNS)
+    return resolve.apply(edges, resolve.resolve(nodes, edges, *rules, go_packages(extracts)))
 
-    old: (extracts, nodes, edges) of the state before, made under the same rules.  Then edges of unchanged files keep what
-    they were resolved to, unless a name that they want has got, lost or changed a symbol, or a package its name.
+
+def changed_edges(extracts: DataFrame, nodes: DataFrame, rules: tuple[str, list], before: tuple[DataFrame, DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(edges, those before) of the buckets in which an edge may have changed since the state before.
+
+    before: (extracts, nodes, edges) made under the same rules.  Edges of unchanged files keep what they were resolved
+    to, unless a name that they want has got, lost or changed a symbol, or a package its name; the buckets of these, of
+    changed files and of files with another rank are put together anew.  The rest is looked through, but not shuffled.
     """
-    edges, packages = edges_of(extracts), go_packages(extracts)
-    if old is None:
-        return resolve.apply(edges, resolve.resolve(nodes, edges, *rules, packages))
-    extracts_before, nodes_before, edges_before = old
-    same = extracts.select("path", "rank", "content_hash").join(extracts_before.select("path", F.col("rank").alias("old_rank"), F.col("content_hash").alias("old_hash")), "path")
-    same = same.where("content_hash = old_hash").select("path", "rank", "old_rank")
-    # An edge's number holds its file's rank and its place in the file.
-    place = edges_before.where("callee_text is not null").select(((F.col("id") - 1).bitwiseAND(F.lit(_PER_FILE - 1))).alias("seq"), F.shiftright(F.col("id") - 1, 20).alias("old_rank"), "target", "resolved")
-    carried = place.join(same, "old_rank").select((F.col("rank") * _PER_FILE + F.col("seq") + 1).alias("edge_id"), "target", "resolved")
-    left = cut(resolve.pending(nodes, edges))
+    extracts_before, nodes_before, edges_before = before
+    packages = go_packages(extracts)
+    both = extracts.select("path", "rank", "content_hash").join(extracts_before.select("path", F.col("rank").alias("old_rank"), F.col("content_hash").alias("old_hash")), "path", "full_outer")
+    both = cut(both.withColumn("same", F.coalesce(F.col("content_hash") == F.col("old_hash"), F.lit(False))))
+    same = both.where("same").select("path", "rank", "old_rank")
+    left = resolve.placeholders(edges_of(extracts).withColumn("source_file", F.col("path")), "source_file")
     targets = resolve.import_targets(nodes, *rules)
-    again = resolve.touched(left, targets, resolve.changed_names(nodes_before, nodes), resolve.changed_packages(go_packages(extracts_before), packages))
-    kept = cut(carried.join(again, "edge_id", "left_anti"))
-    anew = cut(left.join(kept, "edge_id", "left_anti"))
+    again = resolve.touched(left, targets, cut(resolve.changed_names(nodes_before, nodes)), resolve.changed_packages(go_packages(extracts_before), packages))
+    anew = left.join(both.where("not same").select(F.col("path").alias("source_file")), "source_file", "left_semi").select(*left.columns).unionByName(again).distinct()
+    anew = cut(anew.join(nodes.select(F.col("id").alias("source")), "source", "left_semi").drop("source"))
     hits = resolve.resolve_pending(resolve.of_interest(nodes, anew, targets), anew, *rules, packages)
-    stay = kept.where("resolved").select("edge_id", F.col("target").alias("hit"), F.lit(0).alias("tier"))
-    return resolve.apply(edges, stay.unionByName(hits))
+    moved = both.where("not same or rank <> old_rank").select(F.col("path").alias("file"))
+    some = _buckets(moved.unionByName(anew.select(F.col("source_file").alias("file"))))
+    inside = lambda df, col: df.where(bucket_of(F.col(col)).isin(*some)) if some else df.where("false")
+    edges, old = inside(edges_of(extracts), "path").select(*_EDGE_COLUMNS), inside(edges_before, "source")
+    # An edge's number holds its file's rank and its place in the file.
+    place = old.where("callee_text is not null and resolved").select((F.col("id") - 1).bitwiseAND(F.lit(_PER_FILE - 1)).alias("seq"), F.shiftright(F.col("id") - 1, 20).alias("old_rank"), "target")
+    kept = place.join(same, "old_rank").select((F.col("rank") * _PER_FILE + F.col("seq") + 1).alias("edge_id"), F.col("target").alias("hit"), F.lit(0).alias("tier"))
+    kept = kept.join(anew.select("edge_id"), "edge_id", "left_anti")
+    return resolve.apply(edges, kept.unionByName(hits)), old
 
 
 def _buckets(changed: DataFrame) -> list[int]:
@@ -82,10 +93,9 @@ def _buckets(changed: DataFrame) -> list[int]:
     return [r[0] for r in changed.select(bucket_of(F.col("file")).alias("b")).distinct().collect()]
 
 
-def _write_edges(spark: SparkSession, store: Store, name: str, edges: DataFrame, whole: bool) -> None:
-    """Stages the buckets whose edges differ from those of the store."""
-    before = store.read(spark, "edges", EDGES)
-    differ = None if whole else _buckets(edges.exceptAll(before).unionByName(before.exceptAll(edges)).select(F.col("source").alias("file")))
+def _write_edges(store: Store, name: str, edges: DataFrame, old: DataFrame | None) -> None:
+    """Stages the buckets whose edges differ from the old ones; all of them without these."""
+    differ = None if old is None else _buckets(edges.exceptAll(old).unionByName(old.exceptAll(edges)).select(F.col("source").alias("file")))
     store.write(name, "edges", edges, differ)
 
 
@@ -150,9 +160,11 @@ def index_all(spark: SparkSession, root: str, store_dir: str, force: bool = Fals
         differ = None if whole else _buckets(changed.select(F.col("path").alias("file")))
         store.write(name, "nodes", nodes, differ)
         nodes = store.read(spark, "nodes", NODES, staged=True)
-        state = None if whole or not ruled else (old, before.nodes, before.edges)
-        edges = cut(resolved_edges(extracts, nodes, rules, state))
-        _write_edges(spark, store, name, edges, whole)
+        if whole or not ruled:
+            edges, edges_before = resolved_edges(extracts, nodes, rules), None if whole else before.edges
+        else:
+            edges, edges_before = changed_edges(extracts, nodes, rules, (old, before.nodes, before.edges))
+        _write_edges(store, name, cut(edges), edges_before)
         files = files_of(made, stamp).unionByName(before.files.join(kept.select("path"), "path", "left_semi").select(*before.files.columns))
         store.write(name, "files", files, differ)
         if lookups:
@@ -161,7 +173,7 @@ def index_all(spark: SparkSession, root: str, store_dir: str, force: bool = Fals
         sizes = made.agg(F.sum(F.size("nodes")), F.sum(F.size("edges"))).first()
         stats |= {"nodes": sizes[0] or 0, "edges": sizes[1] or 0}
         resolved_before = before.edges.where("resolved and callee_text is not null").count()
-        done, open_ = edges.agg(F.count_if(F.expr("resolved and callee_text is not null")), F.count_if(~F.col("resolved"))).first()
+        done, open_ = store.read(spark, "edges", EDGES, staged=True).agg(F.count_if(F.expr("resolved and callee_text is not null")), F.count_if(~F.col("resolved"))).first()
         store.commit(name)
         store.put(last_resolved_at=str(now_ms()), resolved_with=json.dumps(rules))
         stats |= {"edges_resolved": done if force else max(0, done - resolved_before), "edges_still_unresolved": open_}
@@ -183,7 +195,7 @@ def resolve_all(spark: SparkSession, store_dir: str) -> dict:
     extracts = store.read(spark, "extracts", tree.EXTRACTS)
     edges = cut(resolved_edges(extracts, graph.nodes, rules))
     after = edges.where("resolved").count()
-    _write_edges(spark, store, name, edges, whole=False)
+    _write_edges(store, name, edges, graph.edges)
     if graph.near is not None:
         _write_lookups(spark, store, name, graph.nodes, graph.nodes.limit(0), None)
     store.commit(name)

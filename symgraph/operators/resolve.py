@@ -22,11 +22,16 @@ def symbols(nodes: DataFrame) -> DataFrame:
     return first.select("file_path", "name", F.col("x.id").alias("hit"), F.col("x.node_ordinal").alias("hit_ordinal"))
 
 
-def pending(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Unresolved edges as (edge_id, source_file, name, qualifier)."""
+def placeholders(edges: DataFrame, *more: str) -> DataFrame:
+    """Unresolved edges as (edge_id, source, name, qualifier) and more columns of theirs."""
     e = edges.where(~F.col("resolved") & F.col("target").startswith(PLACEHOLDER))
-    e = e.select(F.col("id").alias("edge_id"), "source", F.substring("target", F.lit(len(PLACEHOLDER) + 1), F.char_length("target")).alias("name"), F.coalesce(qualifier(F.col("callee_text")), F.lit("")).alias("qualifier"))
-    return e.join(nodes.select(F.col("id").alias("source"), F.col("file_path").alias("source_file")), "source").drop("source")
+    name = F.substring("target", F.lit(len(PLACEHOLDER) + 1), F.char_length("target")).alias("name")
+    return e.select(F.col("id").alias("edge_id"), "source", name, F.coalesce(qualifier(F.col("callee_text")), F.lit("")).alias("qualifier"), *more)
+
+
+def pending(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Unresolved edges whose source is a node, as (edge_id, source_file, name, qualifier)."""
+    return placeholders(edges).join(nodes.select(F.col("id").alias("source"), F.col("file_path").alias("source_file")), "source").drop("source")
 
 
 def wanted(left: DataFrame, targets: DataFrame) -> DataFrame:
@@ -53,13 +58,16 @@ def changed_packages(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def touched(left: DataFrame, targets: DataFrame, names: DataFrame, packages: DataFrame) -> DataFrame:
-    """(edge_id) of pending edges that the changed names and packages may resolve otherwise than before.
+    """The pending edges that the changed names and packages may resolve otherwise than before.
 
-    An edge's own file and its imports are as they were: edges of changed files are resolved anew in any case.
+    An edge's own file and its imports are as they were: edges of changed files are resolved anew in any case.  Names and
+    packages are few after a small change, and meet the edges and imports where these lie.
     """
-    by_name = wanted(left, targets).join(names, "name", "left_semi").select("edge_id")
-    by_package = left.join(packages.select(F.col("package").alias("qualifier")), "qualifier", "left_semi").select("edge_id")
-    return by_name.unionByName(by_package).distinct()
+    named = left.join(names, "name", "left_semi")
+    via = targets.where("symbol is not null and symbol not in ('default', '*')").join(names.select(F.col("name").alias("symbol")), "symbol", "left_semi")
+    renamed = left.where("qualifier = ''").join(via.select("source_file", F.col("local").alias("name")).distinct(), ["source_file", "name"], "left_semi").select(*left.columns)
+    packaged = left.join(packages.select(F.col("package").alias("qualifier")), "qualifier", "left_semi").select(*left.columns)
+    return named.select(*left.columns).unionByName(renamed).unionByName(packaged).distinct()
 
 
 def of_interest(nodes: DataFrame, left: DataFrame, targets: DataFrame) -> DataFrame:

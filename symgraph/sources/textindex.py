@@ -73,9 +73,10 @@ class TextIndex:
     def table(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
         return read(spark, f"{self.path}/{name}", schema).where(F.col("run") <= self.upto)
 
-    def current(self, spark: SparkSession) -> DataFrame:
-        """(id, digest, length, run) of the documents that are in the index."""
-        last = sink.replace_by_key(self.table(spark, "docs", DOCS), "id", "run")
+    def current(self, spark: SparkSession, of: DataFrame | None = None) -> DataFrame:
+        """(id, digest, length, run) of the documents that are in the index, or of those among some (column id)."""
+        rows = self.table(spark, "docs", DOCS)
+        last = sink.replace_by_key(rows if of is None else rows.join(of, "id", "left_semi"), "id", "run")
         return last.where("alive").select("id", "digest", "length", "run")
 
     def dead(self, spark: SparkSession) -> DataFrame:
@@ -98,7 +99,8 @@ class TextIndex:
 
         Returns the rows of docs that it wrote.
         """
-        before = TextIndex(self.path, run - 1).current(spark).select("id", F.col("digest").alias("old_digest"), F.col("length").alias("old_length"), F.col("run").alias("old_run"))
+        ids = docs.select("id") if gone is None else docs.select("id").unionByName(gone.select("id"))
+        before = TextIndex(self.path, run - 1).current(spark, ids.distinct()).select("id", F.col("digest").alias("old_digest"), F.col("length").alias("old_length"), F.col("run").alias("old_run"))
         docs = docs.where("id is not null").select("id", *[c for c in fields if c != "id"])
         stamped = docs.withColumn("digest", F.sha1(F.to_json(F.struct(*fields)).cast("binary")))
         fresh = stamped.join(before, "id", "left").where("old_digest is null or digest <> old_digest")
