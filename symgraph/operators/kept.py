@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import package_path
-from ..plans.graph import Graph, degrees
+from ..plans.graph import Graph, cut, degrees
 from .overview import package_edges
 
-#: Keys and sums of each measure, and what it reads.
+#: Keys and sums of each measure.
 KEYS = {"kinds": ("kind",), "languages": ("language",), "packages": ("path",), "degrees": ("id",), "dependencies": ("source", "target", "kind")}
 SUMS = {"kinds": ("n",), "languages": ("n",), "packages": ("files", "nodes"), "degrees": ("out_degree", "in_degree"), "dependencies": ("n",)}
 MEASURES: dict[str, Callable[[Graph], DataFrame]] = {
@@ -62,7 +62,8 @@ def update(name: str, kept: DataFrame, gone: Graph, come: Graph) -> DataFrame:
     return out.where(" or ".join(f"{c} <> 0" for c in sums))
 
 
-def follow(name: str, kept: DataFrame, before: Graph, after: Graph) -> DataFrame:
-    """A measure of the graph before, brought up to the graph after."""
-    gone, come, gone_at, come_at = parts(before, after)
-    return update(name, kept, *((gone_at, come_at) if name == "dependencies" else (gone, come)))
+def follow(kept: dict[str, DataFrame], before: Graph, after: Graph) -> dict[str, DataFrame]:
+    """Measures of the graph before, by name, brought up to the graph after; what went and came is worked out once."""
+    gone, come, gone_at, come_at = (Graph(g.nodes, cut(g.edges), g.files) for g in parts(before, after))
+    gone, come = (Graph(cut(g.nodes), g.edges, cut(g.files)) for g in (gone, come))
+    return {name: update(name, df, *((gone_at, come_at) if name == "dependencies" else (gone, come))) for name, df in kept.items()}

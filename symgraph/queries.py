@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import paths, strings, text
 from .functions.scores import importance, match_score
 from .operators import context, find, impact, kept, overview, resolve, search, sink, status
-from .plans.graph import Graph, shared_folder, with_degrees
+from .plans.graph import Graph, cut, shared_folder, with_degrees
 from .schemas import ENTRY_KINDS, LANGUAGES
 from .sources import star
 from .sources.adjacency import Adjacency
@@ -432,9 +432,23 @@ def search_bm25(spark, sf_dir):
     return search.bm25(docs, "ther of-th").select("item_id", F.round("score", 6).alias("score"))
 
 
-@query(None)
+_FIELDS = {"id": ("doc_id::VARCHAR", 0), "name": ("source", 20), "qualified_name": ("concat_ws('.', source, lang)", 5), "docstring": ("coalesce(text, '')", 1), "signature": ("lang", 2)}
+_HIT = {"src1": "len(list_filter(w_{0}, lambda x: starts_with(x, 'src1')))", "en": "len(list_filter(w_{0}, lambda x: starts_with(x, 'en')))", "ther": "len(list_filter(w_{0}, lambda x: starts_with(x, 'ther')))",
+        "of_th": "len(list_filter(range(1, len(w_{0})), lambda i: w_{0}[i] = 'of' AND starts_with(w_{0}[i + 1], 'th')))"}
+_FIELD_HITS = f"""
+words AS (SELECT doc_id, {", ".join(f"regexp_extract_all(translate(lower({x}), '{text.FOLD_FROM}', '{text.FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+') AS w_{c}" for c, (x, _) in _FIELDS.items())} FROM documents),
+hits AS (SELECT doc_id, {" + ".join(f"len(w_{c})" for c in _FIELDS)} AS length, {", ".join(f"{' + '.join(h.format(c) for c in _FIELDS)} AS any_{p}, {' + '.join(f'{w} * {h.format(c)}' for c, (_, w) in _FIELDS.items())} AS f_{p}" for p, h in _HIT.items())} FROM words),
+stats AS (SELECT count(*) AS n, avg(length) AS av, {", ".join(f"count(*) FILTER (any_{p} > 0) AS d_{p}" for p in _HIT)} FROM hits),
+idf AS (SELECT *, {", ".join(f"CASE WHEN ln((n - d_{p} + 0.5) / (d_{p} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d_{p} + 0.5) / (d_{p} + 0.5)) END AS i_{p}" for p in _HIT)} FROM stats)"""
+
+
+@query(
+    f"""SELECT doc_id, round({" + ".join(f"i_{p} * f_{p} * 2.2 / (f_{p} + 1.2 * (0.25 + 0.75 * length / av))" for p in _HIT)}, 6) AS score
+    FROM hits, idf WHERE {" OR ".join(f"any_{p} > 0" for p in _HIT)}""",
+    _FIELD_HITS,
+)
 def search_bm25_documents(spark, sf_dir):
-    """All documents, with a text in each of the columns that count; tests hold it against brute force."""
+    """All documents, with a text in each of the columns that count; tests hold it against brute force as well."""
     d = star.read(spark, sf_dir, "documents")
     docs = d.select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("source").alias("name"), F.concat_ws(".", "source", "lang").alias("qualified_name"), F.col("text").alias("docstring"), F.col("lang").alias("signature"))
     return search.bm25(docs, DOCUMENT_TERMS).select("doc_id", F.round("score", 6).alias("score"))
@@ -710,10 +724,10 @@ def kept_aggregates(spark, sf_dir):
     """All kept aggregates, taken from an earlier state (no symbols that aren't exported, no imports, documents of one
     language under other names) and brought up to the whole graph by what went and came."""
     g = star.graph(spark, sf_dir)
+    g = Graph(cut(g.nodes.select("id", "kind", "file_path", "is_exported")), cut(g.edges), cut(g.files))  # the view is read many times
     early = Graph(g.nodes.where("is_exported"), g.edges.where("kind <> 'imports'"), g.files.withColumn("path", F.when(F.col("language") == "en", F.col("path")).otherwise(F.concat(F.lit("old/"), "path"))))
     out = None
-    for name, measure in kept.MEASURES.items():
-        now = kept.follow(name, measure(early), early, g)
+    for name, now in kept.follow({name: measure(early) for name, measure in kept.MEASURES.items()}, early, g).items():
         a, b = (*kept.SUMS[name], None)[:2]
         row = now.select(F.lit(name).alias("measure"), F.concat_ws(">", *kept.KEYS[name]).alias("key"), F.col(a).alias("a"), (F.col(b) if b else F.lit(0)).cast("long").alias("b"))
         out = row if out is None else out.unionByName(row)
