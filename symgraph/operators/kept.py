@@ -40,14 +40,15 @@ def parts(before: Graph, after: Graph) -> tuple[Graph, Graph, Graph, Graph]:
 
     An edge that is in both counts as gone and come where a node at its end went, came or moved to another file.
     """
-    nodes, files = both_ways(before.nodes, after.nodes), both_ways(before.files, after.files)
-    edges = both_ways(before.edges, after.edges)
-    place = both_ways(before.nodes.select("id", "file_path"), after.nodes.select("id", "file_path"))
-    moved = place[0].select("id").unionByName(place[1].select("id")).distinct()
-    stayed = before.edges.exceptAll(edges[0])
-    at = [stayed.join(moved.select(F.col("id").alias(end)), end, "left_semi").select(*stayed.columns) for end in ("source", "target")]
+    files = both_ways(before.files, after.files)
+    nodes, edges = (tuple(map(cut, both_ways(a, b))) for a, b in ((before.nodes, after.nodes), (before.edges, after.edges)))
+    place = both_ways(*(n.select("id", "file_path") for n in nodes))
+    moved = cut(place[0].select("id").unionByName(place[1].select("id")).distinct())
+    of, names = (lambda end: moved.select(F.col("id").alias(end))), before.edges.columns
     # An edge with two moved ends is one edge still: the second half leaves out those that the first has.
-    incident = at[0].unionByName(at[1].join(moved.select(F.col("id").alias("source")), "source", "left_anti").select(*stayed.columns))
+    near = before.edges.join(of("source"), "source", "left_semi").select(*names)
+    near = near.unionByName(before.edges.join(of("target"), "target", "left_semi").join(of("source"), "source", "left_anti").select(*names))
+    incident = cut(near.exceptAll(edges[0]))
     gone, come = (Graph(nodes[k], edges[k], files[k]) for k in (0, 1))
     return gone, come, Graph(before.nodes, edges[0].unionByName(incident), files[0]), Graph(after.nodes, edges[1].unionByName(incident), files[1])
 
@@ -64,6 +65,5 @@ def update(name: str, kept: DataFrame, gone: Graph, come: Graph) -> DataFrame:
 
 def follow(kept: dict[str, DataFrame], before: Graph, after: Graph) -> dict[str, DataFrame]:
     """Measures of the graph before, by name, brought up to the graph after; what went and came is worked out once."""
-    gone, come, gone_at, come_at = (Graph(g.nodes, cut(g.edges), g.files) for g in parts(before, after))
-    gone, come = (Graph(cut(g.nodes), g.edges, cut(g.files)) for g in (gone, come))
+    gone, come, gone_at, come_at = parts(before, after)
     return {name: update(name, df, *((gone_at, come_at) if name == "dependencies" else (gone, come))) for name, df in kept.items()}
