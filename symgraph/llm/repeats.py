@@ -16,8 +16,8 @@ The dictionary.  Equal strings of different phrases have equal keys.  Parts firs
 one run has is settled.  Runs with shared keys meet in a bucket of the key, each distinct one sent once by a part.
 There they are a corpus of their own, highly repetitive: the suffix arrays of its dictionary and of its parse combine
 into corpus order (see `pfp`), equal WIDTH-byte strings are neighbours in it, compared byte by byte, and each run of
-equal ones gets its smallest id.  The strings of a key that has more than HOT runs don't meet in one place: they are
-sent one by one, to buckets of their own hash.
+equal ones gets its smallest id.  The strings of a key that has more than HOT runs, however many parts they come from, don't meet
+in one place: they are sent one by one, to buckets of their own hash.
 
 Nothing is removed on the equality of short hashes: those only decide what is compared.
 
@@ -46,8 +46,10 @@ EVERY = 16
 CHUNK = 1 << 17
 #: Strings of a run at most: as many as can share one gram.  Only periodic texts would have longer runs.
 LONGEST = WIDTH - GRAM + 1
-#: Runs of one key from which its strings are dealt one by one.
+#: Runs of one key from which its strings are dealt one by one (from half as many, as counts are rounded up).
 HOT = 1 << 16
+#: Runs of one key that a part counts exactly.
+EXACT = 220
 _PRIME = 0x9E3779B97F4A7C15
 _32 = np.uint64(32)
 #: Buckets of runs for each bucket of keys, as a power of two: runs are larger than keys.
@@ -146,6 +148,17 @@ def groups(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.empty(0, np.int64)
 
 
+def in_a_byte(count: np.ndarray) -> np.ndarray:
+    """Counts up to EXACT as they are, larger ones as the power of two times EXACT that isn't smaller."""
+    more = np.ceil(np.log2(np.maximum(count, EXACT) / EXACT)).astype(np.int64)
+    return np.where(count > EXACT, EXACT + more, count).astype(np.uint8)
+
+
+def from_a_byte(code: np.ndarray) -> np.ndarray:
+    code = code.astype(np.int64)
+    return np.where(code > EXACT, EXACT << np.maximum(code - EXACT, 0), code)
+
+
 class Parse:
     """The runs of a part's texts, in phrases: row, place, strings and number of each phrase; the distinct ones by digest,
     with the part's smallest id and one place where each stands."""
@@ -216,15 +229,14 @@ def _owners(bucket: int, got: list, out: Outbox) -> None:
 
 
 def _announce_keys(n: int):
-    """Keys of the runs of the phrases that are kept, with the number of these runs (255 for more)."""
+    """Keys of the runs of the phrases that are kept, with the number of these runs in a byte (see `in_a_byte`)."""
 
     def fn(part: int, table: pa.Table, got: list, out: Outbox) -> None:
         parse = Parse(texts(table), ids(table))
         parse.told(got, n)
         key = np.sort(address(parse.run_key[parse.kept_runs()[0]], n))
         at = groups(key)
-        count = np.minimum(np.diff(np.append(at, len(key))), 255)
-        out.scatter(n, (key[at] >> _32) + np.uint64(n), low(key[at]), count.astype(np.uint8))
+        out.scatter(n, (key[at] >> _32) + np.uint64(n), low(key[at]), in_a_byte(np.diff(np.append(at, len(key)))))
 
     return fn
 
@@ -233,7 +245,7 @@ def _shared(n: int, hot: int):
     """Tell each part which of its keys several runs have, and which of these very many."""
 
     def fn(bucket: int, got: list, out: Outbox) -> None:
-        keys, count = gathered(got, 0, np.uint32), gathered(got, 1, np.uint8).astype(np.int64)
+        keys, count = gathered(got, 0, np.uint32), from_a_byte(gathered(got, 1, np.uint8))
         src = np.repeat([m[0] for m in got], [len(m[1]) // 4 for m in got])
         order = np.argsort(keys, kind="stable")
         at = groups(keys[order])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from symgraph.llm import line_dedup, repeats
@@ -88,6 +89,51 @@ def test_adversarial_texts(spark):
         assert sorted(map(tuple, repeats.dedup(df, part_bytes=part_bytes, hot=hot).collect()), key=str) == brute_repeats(rows)
 
 
+def test_counts_of_runs_in_a_byte():
+    count = np.array([0, 1, 2, 219, 220, 221, 439, 440, 441, 19_999, 65_536, 10**9])
+    code = repeats.in_a_byte(count)
+    found = repeats.from_a_byte(code)
+    assert code.dtype == np.uint8 and (found >= count).all() and (found < 2 * np.maximum(count, 1)).all()
+    assert (found == count)[:5].all() and found[7] == 440
+
+
+def test_a_key_of_very_many_runs_of_one_part_is_hot(spark, monkeypatch):
+    """One gram with the smallest hash of all in 20,000 different surroundings: one key, announced by one part."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnop"
+    raw = "".join(rng.choice(letters) for _ in range(200_000)).encode()
+    grams = repeats.Slab([0], [0], [raw]).grams()
+    gram = raw[int(grams.argmin()) :][: repeats.GRAM].decode()
+    around = lambda: "".join(rng.choice(letters) for _ in range(34))
+    rows = [(i, around() + gram + around()) for i in range(20_000)]
+    rows += [(30_000 + i, rows[i][1][5:70]) for i in range(0, 200)]
+    parse = repeats.Parse([t.encode() for _, t in rows], np.array([i for i, _ in rows]))
+    parse.kept = np.arange(len(parse.key))
+    key, count = np.unique(repeats.address(parse.run_key[parse.kept_runs()[0]], 1), return_counts=True)
+    assert repeats.from_a_byte(repeats.in_a_byte(count)).max() >= 19_000
+
+    told, plain = [], repeats._shared
+
+    def watched(n, hot):
+        fn = plain(n, hot)
+        assert n == 1
+
+        class Box:
+            def put(self, to, keys, flags):
+                told.append((len(keys), int(flags.sum())))
+
+        box = Box()
+        payload = [(0, repeats.low(key).tobytes(), repeats.in_a_byte(count).tobytes(), b"")]
+        fn(0, payload, box)
+        return plain(n, hot)
+
+    monkeypatch.setattr(repeats, "_shared", watched)
+    df = spark.createDataFrame([(i, t, "x", "s") for i, t in rows], SCHEMA)
+    got = sorted(map(tuple, repeats.dedup(df, part_bytes=1 << 30, hot=10_000).collect()), key=str)
+    assert got == brute_repeats(rows)
+    assert told and told[0][1] == 1  # the one key is hot, the others aren't
+
+
 def test_repeats_of_a_text_longer_than_a_piece(spark, monkeypatch):
     rng = random.Random(5)
     long = "".join(rng.choice("abcdefghij ") for _ in range(3 * repeats.CHUNK // 2))
