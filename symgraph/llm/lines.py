@@ -5,11 +5,17 @@ capitals and digits, separators, repetition, stock phrases).  A two-state chain
 is scored by feature and transition weights; Viterbi decoding gives the labels, and a document is kept if
 lines labelled content hold at least MIN_SHARE of its word characters.
 
-The weights, a few dozen numbers, are learned from labelled documents by gradient ascent on the conditional
-likelihood (forward-backward in numpy).  There are no labels of lines, so the document's label stands for each of
-its lines.  Training takes at most MAX_LABELLED labelled documents of the training fold (crc32 of the id modulo
-FOLDS is not 0), those with the smallest xxhash64 of their id, and of each at most MAX_LINES lines in a row; these
-two bounds limit what comes to the driver to a few megabytes.  Whole texts are judged.
+There are no labels of lines.  A document's label says only on which side of MIN_SHARE its share of content lies, so
+the labels of its lines are hidden and learned under that constraint (posterior regularisation): in turns, each
+line's chance of being boilerplate is that of its features, tilted as little as brings the document's expected share
+of content to MIN_SHARE + MARGIN or more (label 1) or MIN_SHARE - MARGIN or less (label 0), and feature weights are
+fitted to these chances by Newton steps.  A document may so hold lines of both kinds.  Transition weights are learned
+after that, by forward-backward on the documents whose lines have got both labels: a chain of one label throughout
+says nothing of where labels change.  Without any such document they stay 0.
+
+Training takes at most MAX_LABELLED labelled documents of the training fold (crc32 of the id modulo FOLDS is not 0),
+those with the smallest xxhash64 of their id, as many as SAMPLE_BYTES of text hold, none over LONGEST_BYTES; of each
+the whole text.  Whole texts are judged.
 
 Null and empty texts have no words: all counts are 0, base_failed is true, kept is false.  A line counts as
 repeated if an earlier line of the same text is equal to it.  Repeated rows are judged each for itself.  Label rows
@@ -33,9 +39,12 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_SHARE = 0.5
 MAX_LABELLED = 2000
-MAX_LINES = 512
+#: Bounds of the training sample: rows are left out, never parts of texts.
+SAMPLE_BYTES, LONGEST_BYTES = 1 << 24, 1 << 20
 FOLDS = 5
-STEPS, RATE, DECAY = 300, 4.0, 0.002
+#: How far beyond MIN_SHARE the share of content of a labelled document is taken to lie.
+MARGIN = 0.25
+TURNS, STEPS, RATE, DECAY = 30, 60, 4.0, 0.002
 _SYMBOLS = b"#*$%&|<>"
 _STOCK = re.compile(
     r"(?i)\b(?:all rights reserved|copyright|licensed under|license|cookies?|privacy policy|terms of (?:use|service)"
@@ -143,46 +152,110 @@ class Chains:
         return gw, gm, float(seen - (total * self.weight / np.repeat(self.sizes, self.sizes)).sum())
 
 
-def train(docs: list[tuple[list[list[int]], int]]) -> tuple[tuple, tuple]:
-    """(feature weights by state, transition weights) from (line features, label of the document) rows.
-
-    Every line of a document of label 1 counts as content, every line of one of label 0 as boilerplate; both labels
-    have the same total weight.  Without both labels all weights are 0, by which every line is content.
+def hidden_labels(odds: np.ndarray, share: np.ndarray, start: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Chance of each line to be boilerplate: that of its log odds, tilted by its share of the document's size as little
+    as the document's label asks for (bisection on one number a document, all documents at once)."""
+    size = np.diff(np.append(start, len(odds)))
+    side = np.where(good, -1.0, 1.0)
+    aim = np.where(good, MIN_SHARE, 1 - MIN_SHARE) + MARGIN  # for the share of the label's own kind of lines
+
+    def chances(tilt: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(odds + np.repeat(side * tilt * size, size) * share, -500, 500)))
+
+    def short(tilt: np.ndarray) -> np.ndarray:
+        bad = np.add.reduceat(chances(tilt) * share, start)
+        return np.where(good, 1 - bad, bad) < aim
+
+    low, high = np.zeros(len(start)), np.ones(len(start))
+    high[~short(low)] = 0
+    while (more := short(high) & (high < 2.0**40)).any():
+        high[more] *= 2
+    for _ in range(40):
+        middle = (low + high) / 2
+        under = short(middle)
+        low, high = np.where(under, middle, low), np.where(under, high, middle)
+    return chances(high)
+
+
+def fit_chances(x: np.ndarray, chance: np.ndarray, weight: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Weights of features for the log odds of boilerplate (logistic regression by Newton steps, from `found` on)."""
+    for _ in range(12):
+        p = 1 / (1 + np.exp(-x @ found))
+        step = np.linalg.solve(
+            (x * (weight * p * (1 - p))[:, None]).T @ x + DECAY * np.eye(len(found)),
+            x.T @ (weight * (chance - p)) - DECAY * found,
+        )
+        found = found + step
+        if np.abs(step).max() < 1e-6:
+            break
+    return found
+
+
+def train(docs: list[tuple[list[list[int]], list[int], int]]) -> tuple[tuple, tuple]:
+    """(feature weights by state, transition weights) from (line features, word characters, label of the document) rows.
+
+    Both labels have the same total weight.  Without both labels all weights are 0, by which every line is content.
     """
-    docs = [(rows, label) for rows, label in docs if rows]
-    n = [sum(label == k for _, label in docs) for k in (0, 1)]
+    docs = [d for d in docs if d[0]]
+    good = np.array([label == 1 for *_, label in docs], bool)
     weights, moves = np.zeros((2, N_FEATURES)), np.zeros((2, 2))
-    if all(n):
-        chains = Chains([(rows, [1 - label] * len(rows)) for rows, label in docs], [0.5 / n[label] / len(rows) for rows, label in docs])
-        for _ in range(STEPS):
-            gw, gm, _ = chains.gradient(weights, moves)
-            weights += RATE * (gw - DECAY * weights)
-            moves += RATE * (gm - DECAY * moves)
+    if good.any() and not good.all():
+        size = np.array([len(rows) for rows, *_ in docs])
+        start = np.cumsum(size) - size
+        chars = np.concatenate([sizes for _, sizes, _ in docs]).astype(float)
+        share = chars / np.repeat(np.add.reduceat(chars, start), size)
+        x = np.zeros((len(chars), N_FEATURES))
+        for t, r in enumerate(r for rows, *_ in docs for r in rows):
+            x[t, r] = 1
+        weight = np.repeat(0.5 / np.where(good, good.sum(), (~good).sum()) / size, size)
+        chance, odds = np.repeat(~good, size).astype(float), np.zeros(N_FEATURES)
+        for _ in range(TURNS):
+            odds = fit_chances(x, chance, weight, odds)
+            before, chance = chance, hidden_labels(x @ odds, share, start, good)
+            if np.abs(chance - before).max() < 1e-3:
+                break
+        weights = np.stack([-odds / 2, odds / 2])
+        label = (chance > 0.5).astype(int)
+        mixed = np.flatnonzero((np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start))).tolist()
+        if mixed:
+            chains = Chains([(docs[i][0], label[start[i] : start[i] + size[i]].tolist()) for i in mixed], [1 / len(mixed) / size[i] for i in mixed])
+            for _ in range(STEPS):
+                moves += RATE * (chains.gradient(weights, moves)[1] - DECAY * moves)
     return tuple(map(tuple, weights.tolist())), tuple(map(tuple, moves.tolist()))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> list[tuple[list[list[int]], int]]:
-    """(line features, label) of at most MAX_LABELLED labelled documents, MAX_LINES lines in a row of each."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> list[tuple[list[list[int]], list[int], int]]:
+    """(line features, word characters of lines, label) of the labelled documents within the bounds of the sample."""
+    spark = docs.sparkSession
     ids = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (crc_mod(id_col, FOLDS) != 0))
-        .groupBy(id_col)
+        .groupBy(F.col(id_col).cast("string").alias("_id"), F.xxhash64(id_col).alias("_order"))
         .agg(F.min(label_col).cast("int").alias("_label"))
-        .orderBy(F.xxhash64(id_col), id_col)
+        .orderBy("_order", "_id")
         .limit(MAX_LABELLED)
     )
-    mine = docs.select(id_col, text_col).join(F.broadcast(ids), id_col)  # at most MAX_LABELLED ids
-    mine = mine.groupBy(id_col, "_label").agg(F.min(text_col).alias("_text"))  # one text an id, however often it is there
+    texts = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"))
+    sized = texts.select("_id", F.octet_length("_text").alias("n")).join(F.broadcast(ids), "_id")  # at most MAX_LABELLED ids
+    drawn, total = [], 0
+    for r in sized.groupBy("_id", "_order", "_label").agg(F.max("n").alias("n")).orderBy("_order", "_id").collect():
+        n = r["n"] or 0
+        if n <= LONGEST_BYTES:
+            total += n
+            if total > SAMPLE_BYTES:
+                break
+            drawn.append((r["_id"], r["_label"]))
+    few = spark.createDataFrame(drawn, "_id string, _label int")
+    mine = texts.join(F.broadcast(few), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))  # one text an id, however often it is there
 
     def fn(cols: dict) -> dict:
-        masks = []
-        for i, text in zip(cols["_id"], cols["_text"]):
-            rows = line_rows(text)[0]
-            at = zlib.crc32(i.encode()) % max(1, len(rows) - MAX_LINES + 1)
-            masks.append([sum(1 << f for f in r) for r in rows[at : at + MAX_LINES]])
-        return {"_id": cols["_id"], "_label": cols["_label"], "_masks": masks}
-
-    rows = map_rows(mine.select(F.col(id_col).cast("string").alias("_id"), "_label", "_text"), fn, "_id string, _label int, _masks array<int>", 64)
-    return [([[f for f in range(N_FEATURES) if m >> f & 1] for m in r["_masks"]], r["_label"]) for r in sorted(rows.collect(), key=lambda r: r["_id"])]
+        found = [line_rows(text)[:2] for text in cols["_text"]]
+        masks = [np.array([sum(1 << f for f in r) for r in rows], "<u4").tobytes() for rows, _ in found]
+        return {"_id": cols["_id"], "_label": cols["_label"], "_masks": masks, "_sizes": [np.array(sizes, "<u4").tobytes() for _, sizes in found]}
+
+    rows = map_rows(mine.select("_id", "_label", "_text"), fn, "_id string, _label int, _masks binary, _sizes binary", 64)
+    listed = sorted(rows.collect(), key=lambda r: r["_id"])
+    masks = lambda r: np.frombuffer(r["_masks"], "<u4").tolist()
+    return [([[f for f in range(N_FEATURES) if m >> f & 1] for m in masks(r)], np.frombuffer(r["_sizes"], "<u4").tolist(), r["_label"]) for r in listed]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> tuple[tuple, tuple]:

@@ -225,11 +225,94 @@ def test_labels_follow_quality(spark):
     assert len(held) > 40 and np.mean([k == bool(q) for k, q in held]) > 0.95
 
 
+def test_hidden_labels_meet_the_documents_label():
+    """With the least tilt: none where the lines alone suffice, else just as much as the share needs."""
+    rng = np.random.default_rng(2)
+    size = np.array([1, 2, 7, 40, 3000, 3, 5])
+    start = np.cumsum(size) - size
+    odds = rng.normal(0, 6, size.sum())
+    odds[start[5] : start[6]] = 60.0  # far on the wrong side of a good label
+    odds[start[6] :] = 9.0  # on the right side of a bad one
+    chars = rng.integers(1, 200, size.sum()).astype(float)
+    share = chars / np.repeat(np.add.reduceat(chars, start), size)
+    good = np.array([True, False, True, False, True, True, False])
+    plain = 1 / (1 + np.exp(-odds))
+    found = lines.hidden_labels(odds, share, start, good)
+    own = lambda p: np.where(good, 1 - np.add.reduceat(p * share, start), np.add.reduceat(p * share, start))
+    needs = own(plain) < lines.MIN_SHARE + lines.MARGIN
+    assert needs[5] and not needs[6]
+    assert own(found)[needs] == pytest.approx(lines.MIN_SHARE + lines.MARGIN, abs=1e-6)
+    assert own(found)[~needs] == pytest.approx(own(plain)[~needs], abs=1e-9)
+    change = np.where(np.repeat(good, size), plain - found, found - plain)
+    assert (change >= -1e-9).all()
+
+
+def test_fit_to_chances_is_the_best():
+    rng = np.random.default_rng(3)
+    x = (rng.random((400, lines.N_FEATURES)) < 0.3).astype(float)
+    chance, weight = rng.random(400), rng.random(400) / 400
+    found = lines.fit_chances(x, chance, weight, np.zeros(lines.N_FEATURES))
+
+    def loss(w):
+        p = 1 / (1 + np.exp(-x @ w))
+        return -(weight * (chance * np.log(p) + (1 - chance) * np.log(1 - p))).sum() + lines.DECAY / 2 * (w * w).sum()
+
+    assert all(loss(found) < loss(found + 1e-3 * k) for k in np.concatenate([np.eye(lines.N_FEATURES), -np.eye(lines.N_FEATURES)]))
+
+
+def sentence(rng, n=14):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(n)).capitalize() + "."
+
+
+def menu(rng):
+    return " | ".join("".join(rng.choice("klmnopqr") for _ in range(5)) for _ in range(8))
+
+
+def test_mixed_texts_get_mixed_labels():
+    """Only documents are labelled, all of them mixed; lines of either kind are told apart wherever they stand."""
+    rng = random.Random(12)
+    docs = []
+    for k in range(200):
+        label = k % 2
+        kinds = [(rng.random() < 0.85) == bool(label) for _ in range(rng.randrange(4, 14))]  # content or not
+        text = "\n".join(sentence(rng) if kind else menu(rng) for kind in kinds)
+        rows, sizes, *_ = lines.line_rows(text)
+        docs.append((rows, sizes, label))
+    model = lines.train(docs)
+    for kinds in ([0] + [1] * 10, [0] * 4 + [1] * 3 + [0] * 4, [1] * 5 + [0] * 5, [0, 0, 1, 1, 0, 0, 1, 1]):
+        text = "\n".join(sentence(rng) if kind else menu(rng) for kind in kinds)
+        assert [1 - y for y in lines.viterbi(lines.line_rows(text)[0], *model)] == kinds
+
+
+def test_mixed_texts_with_the_tables_model(spark):
+    """Labels of lines by the model that is learned from the driver's tables."""
+    sf, rng = "/root/testdata/sf0.01", random.Random(4)
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = lines.fit(docs, labels)
+    for kinds in ([0] + [1] * 10, [0] * 4 + [1] * 3 + [0] * 4):
+        text = "\n".join(sentence(rng) if kind else menu(rng) for kind in kinds)
+        assert [1 - y for y in lines.viterbi(lines.line_rows(text)[0], *model)] == kinds
+    texts = [r[0] for r in docs.select("text").collect()]
+    found = [set(lines.viterbi(rows, *model)) for rows in (lines.line_rows(t)[0] for t in texts) if len(rows) > 1]
+    assert sum(len(x) == 2 for x in found) > 20
+
+
+def test_sample_is_bounded_by_whole_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a line of words\n" * (40 if i % 7 else 4000)) for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(lines, "LONGEST_BYTES", 10_000)
+    every = lines.labelled_sample(docs, labels, "quality", "doc_id", "text")
+    trained = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 and i % 7]
+    assert len(every) == len(trained) and {len(rows) for rows, *_ in every} == {40}
+    monkeypatch.setattr(lines, "SAMPLE_BYTES", 640 * 10)
+    assert len(lines.labelled_sample(docs, labels, "quality", "doc_id", "text")) == 10
+
+
 def test_line_labels_of_odd_tables(spark):
     docs = spark.createDataFrame(ODD + [(907, "a b\n" * 2000), (907, None)], TWO)
     odd = spark.createDataFrame([(None, 1, 0), (900, None, 0), (907, 1, 0), (907, 0, 1), (902, 1, 0), (903, 0, 0), (908, 3, 0)], "doc_id long, quality int, toxic int")
     sample = lines.labelled_sample(docs, odd, "quality", "doc_id", "text")
-    assert [(len(rows), label) for rows, label in sample if len(rows) > 1] in ([(lines.MAX_LINES, 0)], [])
+    assert [(len(rows), set(sizes), label) for rows, sizes, label in sample if len(rows) > 1] == ([(2000, {2}, 0)] if zlib.crc32(b"907") % 5 else [])
     assert lines.rules(docs, lines.fit(docs, odd)).count() == len(ODD) + 2
     none = lines.fit(docs, odd.limit(0))
     assert all(r["content_share"] in (0.0, 1.0) for r in lines.rules(docs, none).collect())
