@@ -46,15 +46,41 @@ def variants():
     return rows + [rows[3], (10, "another text of this id that has words"), (5, "another text of this id that has Words")]
 
 
-@pytest.mark.parametrize("tile", [2048, 7])
-def test_against_all_pairs(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, most", [(2048, 4), (7, 1000), (7, 1), (30, 1)])
+def test_against_all_pairs(spark, monkeypatch, tile, most):
+    """In whole blocks, in tiles, and as crowds: by hubs and bands, with and without tiles."""
     monkeypatch.setattr(similar, "TILE", tile)
+    monkeypatch.setattr(similar, "MOST_TILES", most)
     rows = variants()
     df = spark.createDataFrame([*rows, (None, rows[0][1]), (None, None)], "doc_id long, text string")
     got = [r[0] for r in similar.representatives(df).collect()]
     assert got.count(None) == 2 and sorted(i for i in got if i is not None) == brute_kept(rows)
 
 
+def test_dissimilar_texts_of_a_template_share_few_bands():
+    """Of 2,000 texts at a similarity of 0.31 one has fewer than 20 partners (11 in the mean over all templates, with a
+    heavy tail: a band whose smallest hashes are all the template's and all very small is shared by many; so the median
+    over templates counts here).  Of pairs at 0.8, all share a band."""
+    rng = np.random.default_rng(6)
+    fresh = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    partners = []
+    for _ in range(9):
+        template = fresh(95)
+        found = [set(similar.bands(np.concatenate([template, fresh(105)])).tolist()) for _ in range(500)]
+        holders = {}
+        for i, row in enumerate(found):
+            for b in row:
+                holders.setdefault(b, set()).add(i)
+        partners.append(np.mean([len(set().union(*(holders[b] for b in row))) - 1 for row in found]) * 2000 / 500)
+    assert 0 < np.median(partners) < 20
+    missed = 0
+    for n in (9, 45, 90, 900) * 100:
+        a = fresh(n)
+        b = np.concatenate([a[n // 9 :], fresh(n // 9)])  # 8/10
+        missed += not (similar.bands(np.unique(a)) == similar.bands(np.unique(b))).any()
+    assert missed == 0
+
+
 def test_similar_texts_are_within_the_radius():
     """Of pairs at a similarity of 0.8 and more, at all sizes, none is beyond the radius, most others are."""
     rng, near, far = np.random.default_rng(5), [], []
