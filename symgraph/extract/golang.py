@@ -10,10 +10,11 @@ import re
 
 from . import EXTRACTORS, Extract, real, text_of
 
+#: White space before a token is part of its match; names, of which there are most, are tried first.
 _TOKEN = re.compile(
-    r"(?P<space>[ \t\r]+)|(?P<newline>\n)|(?P<line>//[^\n]*)|(?P<block>/\*.*?\*/)|(?P<string>\"(?:\\.|[^\"\\\n])*\"|`[^`]*`)"
-    r"|(?P<rune>'(?:\\.[^']*|[^'\\\n]+)')|(?P<name>[A-Za-z_\x80-\xff][A-Za-z0-9_\x80-\xff]*)|(?P<number>\.?[0-9](?:[eEpP][+-]|[A-Za-z0-9_.])*)"
-    r"|(?P<op><<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^<>=!()\[\]{},;.:~])",
+    r"[ \t\r]*(?:(?P<name>[A-Za-z_\x80-\xff][A-Za-z0-9_\x80-\xff]*)|(?P<newline>\n)|(?P<line>//[^\n]*)|(?P<block>/\*.*?\*/)|(?P<string>\"(?:\\.|[^\"\\\n])*\"|`[^`]*`)"
+    r"|(?P<rune>'(?:\\.[^']*|[^'\\\n]+)')|(?P<number>\.?[0-9](?:[eEpP][+-]|[A-Za-z0-9_.])*)"
+    r"|(?P<op><<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^<>=!()\[\]{},;.:~])|(?P<space>[ \t\r]))",
     re.S,
 )
 _KEYWORDS = frozenset(
@@ -21,6 +22,7 @@ _KEYWORDS = frozenset(
 )
 _ENDS = frozenset(("break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"))
 _OPEN, _CLOSE = frozenset("([{"), frozenset(")]}")
+_BRACKETS = _OPEN | _CLOSE
 
 
 class _Broken(Exception):
@@ -37,31 +39,43 @@ class _Token:
 def _tokens(text: str) -> tuple[list[_Token], str | None]:
     """Tokens with semicolons put in and brackets paired; the error that ended them, if any."""
     out: list[_Token] = []
+    brackets: list[int] = []
     at, line, error = 0, 1, None
 
     def ends() -> bool:
         return bool(out) and (out[-1].kind in ("string", "rune", "number") or (out[-1].kind == "name" and out[-1].text not in _KEYWORDS) or out[-1].text in _ENDS)
 
-    while at < len(text):
-        m = _TOKEN.match(text, at)
-        if not m:
-            error = f"unexpected character at line {line}"
+    for m in _TOKEN.finditer(text):
+        if m.start() != at:
             break
-        kind = m.lastgroup
-        breaks = m[0].count("\n")
-        if (kind == "newline" or (kind == "block" and breaks)) and ends():
-            out.append(_Token("op", ";", at, at, line))
-        if kind not in ("space", "newline", "line", "block"):
-            out.append(_Token(kind, m[0], at, m.end(), line))
-        line += breaks
-        at = m.end()
+        at, kind = m.end(), m.lastgroup
+        if kind == "name" or kind == "op" or kind == "number":
+            start, word = m.start(kind), m[kind]
+            if kind == "op" and word in _BRACKETS:
+                brackets.append(len(out))
+            out.append(_Token(kind, word, start, at, line))
+        elif kind == "newline":
+            if ends():
+                out.append(_Token("op", ";", at - 1, at - 1, line))
+            line += 1
+        elif kind not in ("space", "line"):
+            start, word = m.start(kind), m[kind]
+            breaks = word.count("\n")
+            if kind != "block":
+                out.append(_Token(kind, word, start, at, line))
+            elif breaks and ends():
+                out.append(_Token("op", ";", start, start, line))
+            line += breaks
+    if at < len(text):
+        error = f"unexpected character at line {line}"
     if ends():
         out.append(_Token("op", ";", at, at, line))
     stack: list[int] = []
-    for i, t in enumerate(out):
-        if t.kind == "op" and t.text in _OPEN:
+    for i in brackets:
+        t = out[i]
+        if t.text in _OPEN:
             stack.append(i)
-        elif t.kind == "op" and t.text in _CLOSE:
+        else:
             if not stack or out[stack[-1]].text + t.text not in ("()", "[]", "{}"):
                 error = error or f"unpaired {t.text} at line {t.line}"
                 continue

@@ -152,3 +152,11 @@ def test_empty_and_unknown():
         r = extract_file(path, b"")
         assert not (r.nodes or r.edges or r.errors)
     assert not extract_file("a.txt", b"def x(): pass").nodes
+
+
+def test_sources_of_a_small_table_are_dealt_to_all_cores(spark):
+    from symgraph import queries
+
+    sf, cores = "/root/testdata/sf0.001", spark.sparkContext.defaultParallelism
+    assert queries._all_sources(spark, sf).rdd.getNumPartitions() > cores
+    assert queries._sources(spark, sf, ".go", lambda w: w).rdd.getNumPartitions() > cores
