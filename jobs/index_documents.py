@@ -47,7 +47,10 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str, files_pe
         if last > number + 1:
             raise ValueError(f"{out} has later runs than {checkpoint} knows of")
         read = batch.count()
-        latest = sink.replace_by_key(batch.where("id is not null"), "id", "seen").select("id", "text")
+        rows = batch.where("id is not null")
+        # Texts are shuffled only where a batch brings a document twice.
+        once = rows.groupBy("id").count().where("count > 1").isEmpty()
+        latest = (rows if once else sink.replace_by_key(rows, "id", "seen")).select("id", "text")
         wrote = TextIndex(out).put(session, number + 1, latest, FIELDS).count()
         terms = TextIndex(out, number + 1).table(session, "postings", "term string, run long").where(F.col("run") == number + 1).count()
         log.info("batch %d: read %d rows of %s, put in %d documents, wrote %d terms to %s", number, read, documents, wrote, terms, out)
@@ -67,8 +70,10 @@ def read_back(spark: SparkSession, out: str) -> DataFrame:
     """The whole index: one row for each document and term with count and first place; a document without terms has one
     row without a term."""
     index = TextIndex(out)
-    terms = index.live_postings(spark).select("id", "term", "n", F.col("positions")[0].alias("first"))
-    return index.current(spark).select("id", "length").join(terms, "id", "left").select(F.col("id").alias("path"), "length", "term", F.col("n").cast("long").alias("n"), F.col("first").cast("long").alias("first"))
+    row = lambda df, term, n, first: df.select(F.col("id").alias("path"), "length", term.cast("string").alias("term"), n.cast("long").alias("n"), first.cast("long").alias("first"))
+    none = F.lit(None)
+    terms = row(index.live_postings(spark), F.col("term"), F.col("n"), F.col("positions")[0])
+    return terms.unionByName(row(index.current(spark).where("length = 0"), none, none, none))
 
 
 def main(argv: list[str] | None = None) -> None:

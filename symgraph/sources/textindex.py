@@ -10,7 +10,7 @@ a search reads the postings of its terms (a folder by first character, and withi
 term), the few dead rows and one row of statistics a run; the texts are not read.
 
 Postings are range-partitioned by (term, id): a term that all documents hold is spread over as many tasks as its postings
-need.  Positions are gathered where the document's tokens are, after one shuffle of the changed texts by id.
+need, in as many tasks as the number of tokens asks for.  Positions are gathered where the document's tokens are.
 
 Ids are unique within what is put in; null ids are left out.  Null texts have no tokens.
 """
@@ -54,13 +54,59 @@ def _tokens(docs: DataFrame, fields: list[str]) -> DataFrame:
     return made.withColumn("length", sum((F.size(f"t_{c}") for c in fields), F.lit(0)).cast("long"))
 
 
+#: Tokens that are grouped at once, unless one text has more, and tokens of a task that sorts postings.
+_AT_ONCE, _A_TASK = 1 << 20, 2_000_000
+
+
 def postings(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """One row for each (id, field, term) with the term's positions, counted from 0."""
-    by_id = _tokens(docs.select("id", *[c for c in fields if c != "id"]).repartition("id"), fields)
+    """One row for each (id, field, term) with the term's positions, counted from 0, and the document's length.
+
+    Tokens are grouped where they are made, a batch of texts at a time: nothing is shuffled, and nothing sorted outside of
+    memory.
+    """
+    made = _tokens(docs.select("id", *[c for c in fields if c != "id"]), fields)
     one = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"t_{c}").alias("t")) for c in fields])).alias("x")
-    each = by_id.select("id", "length", one).select("id", "length", "x.field", F.posexplode("x.t").alias("position", "term"))
-    rows = each.groupBy("id", "length", "field", "term").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    return rows.select("term", "id", "field", "positions", F.size("positions").alias("n"), "length", head(F.col("term")).alias("head"))
+    at_once = _AT_ONCE
+
+    def grouped(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def group(rows):
+            lists = rows.column("t")
+            terms = lists.flatten().dictionary_encode()
+            counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(counts)), counts)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            key = row * np.int64(len(terms.dictionary)) + terms.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(key, kind="stable")  # places stay ascending
+            key = key[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            of = pa.array(row[order[first]])
+            ends = pa.array(np.append(first, len(key)).astype(np.int32))
+            cols = [terms.dictionary.take(terms.indices.take(pa.array(order[first]))), rows.column("id").take(of), rows.column("field").take(of), pa.ListArray.from_arrays(ends, pa.array(place[order].astype(np.int32))), rows.column("length").take(of)]
+            return pa.RecordBatch.from_arrays(cols, names=["term", "id", "field", "positions", "length"])
+
+        for batch in batches:
+            ends = np.cumsum(batch.column("t").value_lengths().to_numpy(zero_copy_only=False))
+            start = 0
+            while start < batch.num_rows:
+                done = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, done + at_once, side="right")))
+                if ends[stop - 1] > done:
+                    yield group(batch.slice(start, stop - start))
+                start = stop
+
+    return made.select("id", "length", one).select("id", "length", "x.field", "x.t").mapInArrow(grouped, "term string, id string, field string, positions array<int>, length long")
+
+
+def _write_postings(rows: DataFrame, length: int, path: str) -> None:
+    """Writes postings of so many tokens sorted by term; the number of tasks grows with the tokens, so none sorts more than
+    its memory holds."""
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), length // _A_TASK)
+    dealt = rows.select("term", "id", "field", "positions", "length").repartitionByRange(tasks, head(F.col("term")), "term", "id")
+    full = dealt.select("term", "id", "field", "positions", F.size("positions").alias("n"), "length", head(F.col("term")).alias("head"))
+    full.sortWithinPartitions("head", "term", "id").write.mode("overwrite").partitionBy("head").parquet(path)
 
 
 @dataclass(frozen=True)
@@ -84,8 +130,9 @@ class TextIndex:
         return self.table(spark, "docs", DOCS).where("old_run is not null").select("id", F.col("old_run").alias("run"))
 
     def live_postings(self, spark: SparkSession, where: Column | None = None) -> DataFrame:
-        found = self.table(spark, "postings", POSTINGS)
-        return (found if where is None else found.where(where)).join(self.dead(spark), ["id", "run"], "left_anti")
+        found, dead = self.table(spark, "postings", POSTINGS), self.dead(spark)
+        found = found if where is None else found.where(where)
+        return found if dead.isEmpty() else found.join(dead, ["id", "run"], "left_anti")
 
     def stats(self, spark: SparkSession) -> DataFrame:
         """One row: documents, and their mean length."""
@@ -102,19 +149,21 @@ class TextIndex:
         ids = docs.select("id") if gone is None else docs.select("id").unionByName(gone.select("id"))
         before = TextIndex(self.path, run - 1).current(spark, ids.distinct()).select("id", F.col("digest").alias("old_digest"), F.col("length").alias("old_length"), F.col("run").alias("old_run"))
         docs = docs.where("id is not null").select("id", *[c for c in fields if c != "id"])
-        stamped = docs.withColumn("digest", F.sha1(F.to_json(F.struct(*fields)).cast("binary")))
-        fresh = stamped.join(before, "id", "left").where("old_digest is null or digest <> old_digest")
         lengths = sum((F.size(tokens(F.col(c))) for c in fields), F.lit(0)).cast("long")
-        rows = fresh.select("id", "digest", lengths.alias("length"), F.lit(True).alias("alive"), "old_run", "old_length")
+        # Digests and lengths meet what was there before; texts stay where they are.
+        stamped = docs.select("id", F.sha1(F.to_json(F.struct(*fields)).cast("binary")).alias("digest"), lengths.alias("length"))
+        fresh = stamped.join(before, "id", "left").where("old_digest is null or digest <> old_digest")
+        rows = fresh.select("id", "digest", "length", F.lit(True).alias("alive"), "old_run", "old_length")
         if gone is not None:
             out = before.join(gone.select("id").distinct(), "id", "left_semi")
             none = F.lit(None).cast("string")
             rows = rows.unionByName(out.select("id", none.alias("digest"), F.lit(0).cast("long").alias("length"), F.lit(False).alias("alive"), "old_run", "old_length"))
         rows.write.mode("overwrite").parquet(f"{self.path}/docs/run={run}")
         wrote = read(spark, f"{self.path}/docs", DOCS).where(F.col("run") == run)
-        changed = docs.join(wrote.where("alive").select("id"), "id", "left_semi")
-        made = postings(changed, fields)
-        made.repartitionByRange("head", "term", "id").sortWithinPartitions("head", "term", "id").write.mode("overwrite").partitionBy("head").parquet(f"{self.path}/postings/run={run}")
+        none_before = TextIndex(self.path, run - 1).table(spark, "docs", DOCS).isEmpty()
+        changed = docs if none_before else docs.join(wrote.where("alive").select("id"), "id", "left_semi")
+        length = wrote.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        _write_postings(postings(changed, fields), length, f"{self.path}/postings/run={run}")
         signed = wrote.agg((F.count_if("alive") - F.count("old_run")).alias("documents"), (F.coalesce(F.sum("length"), F.lit(0)) - F.coalesce(F.sum("old_length"), F.lit(0))).alias("length"))
         signed.write.mode("overwrite").parquet(f"{self.path}/stats/run={run}")
         return wrote
@@ -129,7 +178,7 @@ class TextIndex:
         new = TextIndex(path)
         none = F.lit(None).cast("long")
         self.current(spark).select("id", "digest", "length", F.lit(True).alias("alive"), none.alias("old_run"), none.alias("old_length")).write.mode("overwrite").parquet(f"{path}/docs/run=0")
-        rows = self.live_postings(spark).drop("run")
-        rows.repartitionByRange("head", "term", "id").sortWithinPartitions("head", "term", "id").write.mode("overwrite").partitionBy("head").parquet(f"{path}/postings/run=0")
+        length = self.table(spark, "stats", STATS).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        _write_postings(self.live_postings(spark), length, f"{path}/postings/run=0")
         self.table(spark, "stats", STATS).agg(F.sum("documents").alias("documents"), F.sum("length").alias("length")).write.mode("overwrite").parquet(f"{path}/stats/run=0")
         return new

@@ -63,3 +63,28 @@ def test_ranked(spark):
     got = [tuple(r) for r in queries.QUERIES["search_text"](spark, SF).select("id", "score", "rank").collect()]
     assert len(got) > 20 and [r[0] for r in got] == [x[4] for x in full]
     assert [r[1:] for r in got] == [pytest.approx((x[2], x[0]), abs=1e-6) for x in full]
+
+
+def test_postings_are_grouped_where_the_tokens_are(spark):
+    """Repeats, empty and null texts and two fields, in slices of a few tokens: as counted by hand, without a shuffle."""
+    import re
+    from collections import defaultdict
+
+    from symgraph.sources import textindex
+
+    rows = [("a", "x y x", "z"), ("b", None, "x"), ("c", "", ""), ("d", "y " * 50, None), ("e", "Éa q.y", "y y")]
+    docs = spark.createDataFrame(rows, "id string, text string, more string").coalesce(1)
+    want = defaultdict(list)
+    for i, *texts in rows:
+        for field, t in zip(("text", "more"), texts):
+            for k, term in enumerate(re.findall(r"\w+", (t or "").lower().replace("é", "e"))):
+                want[term, i, field].append(k)
+    size = textindex._AT_ONCE
+    try:
+        for textindex._AT_ONCE in (3, size):
+            made = textindex.postings(docs, ["text", "more"])
+            assert {(r["term"], r["id"], r["field"]): r["positions"] for r in made.collect()} == want
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Aggregate" not in plan
+    finally:
+        textindex._AT_ONCE = size
