@@ -46,6 +46,8 @@ class Adjacency:
             dealt = e.repartition(self.buckets, end)
             dealt.write.mode("overwrite").bucketBy(self.buckets, end).sortBy(end, "id").option("path", f"{self.path}/by_{end}").format("parquet").saveAsTable(name)
             nodes.sparkSession.sql(f"DROP TABLE {name}")
+            # The second table is the first dealt anew, so edges are made and looked up among nodes once.
+            e = nodes.sparkSession.read.schema(COLUMNS).parquet(f"{self.path}/by_{end}")
 
     def _table(self, spark: SparkSession, end: str) -> DataFrame:
         name, place = f"edges_{uuid.uuid4().hex}", f"{self.path}/by_{end}".replace("'", "\\'")

@@ -175,3 +175,21 @@ def test_levels_shuffle_frontiers_only(spark, bucketed):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_both_bucketed_tables_come_from_one_pass_over_the_edges(spark, tmp_path):
+    """Edges whose columns are other ones each time they are made are the same in both tables."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from symgraph.sources.adjacency import Adjacency
+
+    drawn = F.udf(lambda _: random.SystemRandom().randrange(1 << 30), "int").asNondeterministic()
+    nodes = spark.range(5).select(F.concat(F.lit("n"), "id").alias("id"))
+    end = lambda k: F.concat(F.lit("n"), (F.col("id") % k).cast("string"))
+    edges = spark.range(20).select("id", end(5).alias("source"), end(7).alias("target"), F.lit("calls").alias("kind"), drawn("id").alias("line"), F.lit(0).alias("col"), F.lit(True).alias("resolved"))
+    near = Adjacency(f"file://{tmp_path}/near", buckets=2)
+    near.write(nodes, edges)
+    rows = lambda df: sorted(map(tuple, df.select("id", "source", "target", "kind", "line", "col").collect()))
+    assert rows(near.into(spark)) == rows(near.out_of(spark)) != []
