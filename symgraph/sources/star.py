@@ -10,6 +10,8 @@ from ..plans.graph import Graph
 
 #: Keys beyond an int's range wrap around as line numbers.
 LINES = 2**31 - 1
+#: Line items of a task that makes edges.
+A_TASK = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,23 +62,38 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Ids are built from the keys, in a mixed radix by the largest part and supplier key, so that no global numbering is
     needed; they are unique while eight times the largest order key times the largest part key is below 10^18.
+
+    Edges are dealt by their source, to as many tasks as the line items ask for: what repeats is found there, a join on the
+    source or a count by it shuffles no edge again, and no task's share grows with the tables.
     """
     t = lambda name: read(spark, sf_dir, name)
-    item = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     above = lambda name, key: (t(name).agg(F.max(key).cast("long").alias("m")).scalar() + 1)
     parts, suppliers = above("part", "p_partkey"), above("supplier", "s_suppkey")
     number = lambda code, key: F.lit(code * 10**18) + key
-    o, p, s, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
-    row = lambda df, i, a, b, kind, line: df.select(i.alias("id"), a.alias("source"), b.alias("target"), F.lit(kind).alias("kind"), F.lit(True).alias("resolved"), line.cast("int").alias("line"), F.lit(0).alias("col"))
-    none = F.lit(None)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), t("lineitem").count() // A_TASK)
+    deal = lambda df, source, *more: df.select(source.alias("source"), *more).repartition(tasks, "source")
+    row = lambda df, i, b, kind, line: df.select(i.alias("id"), "source", b.alias("target"), F.lit(kind).alias("kind"), F.lit(True).alias("resolved"), line.cast("int").alias("line"), F.lit(0).alias("col"))
+    key = lambda c: F.element_at(F.split(c, ":"), -1).cast("long")
+    c, n, none = F.col, F.col("n"), F.lit(None)
+    # An order's lines hold both kinds of its calls; what repeats is found where the order is.
+    lines = deal(t("lineitem"), _id("order", c("l_orderkey")), c("l_partkey").alias("p"), c("l_suppkey").alias("s"), c("l_linenumber").alias("n"))
+    call = F.explode(F.array(F.struct(F.lit(5).alias("code"), c("p").alias("k")), F.struct(F.lit(6).alias("code"), c("s").alias("k")))).alias("x")
+    calls = lines.select("source", "n", call).select("source", "n", "x.code", "x.k").distinct()
+    part = c("code") == 5
+    of_order = key("source")
+    calls = row(calls, F.when(part, number(5, (of_order * parts + c("k")) * 8 + n)).otherwise(number(6, (of_order * suppliers + c("k")) * 8 + n)), F.when(part, _id("part", c("k"))).otherwise(_id("supplier", c("k"))), "calls", n)
+    nation = deal(t("nation"), _id("region", c("n_regionkey")), "n_nationkey")
+    customer = deal(t("customer"), _id("customer", c("c_custkey")), "c_custkey", "c_nationkey")
+    supplier = deal(t("supplier"), _id("supplier", c("s_suppkey")), "s_suppkey", "s_nationkey")
+    orders = deal(t("orders"), _id("order", c("o_orderkey")), "o_orderkey", "o_custkey")
+    made_by = deal(t("lineitem"), _id("part", c("l_partkey")), c("l_suppkey").alias("s")).distinct()
     return (
-        row(t("nation"), number(1, F.col("n_nationkey")), _id("region", F.col("n_regionkey")), _id("nation", F.col("n_nationkey")), "contains", none)
-        .unionByName(row(t("customer"), number(2, F.col("c_custkey")), _id("customer", F.col("c_custkey")), _id("nation", F.col("c_nationkey")), "references", none))
-        .unionByName(row(t("supplier"), number(3, F.col("s_suppkey")), _id("supplier", F.col("s_suppkey")), _id("nation", F.col("s_nationkey")), "references", none))
-        .unionByName(row(t("orders"), number(4, F.col("o_orderkey")), _id("order", F.col("o_orderkey")), _id("customer", F.col("o_custkey")), "calls", none))
-        .unionByName(row(item.select("l_orderkey", "l_partkey", "l_linenumber").distinct(), number(5, (o * parts + p) * 8 + n), _id("order", o), _id("part", p), "calls", n))
-        .unionByName(row(item.select("l_orderkey", "l_suppkey", "l_linenumber").distinct(), number(6, (o * suppliers + s) * 8 + n), _id("order", o), _id("supplier", s), "calls", n))
-        .unionByName(row(item.select("l_partkey", "l_suppkey").distinct(), number(7, p * suppliers + s), _id("part", p), _id("supplier", s), "imports", none))
+        row(nation, number(1, c("n_nationkey")), _id("nation", c("n_nationkey")), "contains", none)
+        .unionByName(row(customer, number(2, c("c_custkey")), _id("nation", c("c_nationkey")), "references", none))
+        .unionByName(row(supplier, number(3, c("s_suppkey")), _id("nation", c("s_nationkey")), "references", none))
+        .unionByName(row(orders, number(4, c("o_orderkey")), _id("customer", c("o_custkey")), "calls", none))
+        .unionByName(calls)
+        .unionByName(row(made_by, number(7, key("source") * suppliers + c("s")), _id("supplier", c("s")), "imports", none))
     )
 
 
