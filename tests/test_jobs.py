@@ -2,15 +2,18 @@
 
 import json
 import os
+import re
 import shutil
 
 import duckdb
 import pytest
+from pyspark.sql import Observation
 from test_queries import SF, TABLES, rows
 
 from jobs import index_documents, package_report
 from jobs import queries as job_queries
 from symgraph.operators import search
+from symgraph.plans.graph import Graph
 from symgraph.sources import star
 from symgraph.sources.textindex import TextIndex
 
@@ -128,3 +131,24 @@ def test_command_lines(spark, tmp_path, monkeypatch, capsys):
     for bad in (["--config", str(config)], ["--nope", "1"]):
         with pytest.raises(SystemExit):
             index_documents.main(bad)
+
+
+def test_report_shuffles_edges_once_from_sources_to_targets(spark):
+    """Degrees and pairs of files read the same six shuffles below the edges, one for each part of their union."""
+    g = star.graph(spark, SF)
+    seen = Observation()
+    df = package_report.report(g, None, 7, seen)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    by_source = [x for x in final.splitlines() if re.search(r"^[^A-Za-z]*Exchange hashpartitioning\(source#\d+, \d+\), REPARTITION_BY_NUM", x)]
+    assert len(by_source) == 6 and seen.get["edges"] == g.edges.count()
+
+
+def test_ends_that_are_no_nodes_count_for_degrees_only(spark):
+    nodes = spark.createDataFrame([("a", "p/a_test.go", "x.a"), ("b", "q/b.go", "y.b")], "id string, file_path string, qualified_name string")
+    nodes = nodes.selectExpr("*", "1 as start_line", "true as is_exported")
+    edges = [(1, "a", "b", "calls", True), (2, "a", "lost", "calls", True), (3, "lost", "b", "calls", True), (4, "a", "b", "contains", True), (5, "a", "b", "calls", False), (6, None, "b", "calls", True)]
+    g = Graph(nodes, spark.createDataFrame(edges, "id long, source string, target string, kind string, resolved boolean"), None)
+    got = {r["package"]: r.asDict() for r in package_report.report(g).collect()}
+    assert got["p"]["top_degree"] == 3 and got["q"]["top_degree"] == 4
+    assert (got["p"]["out_edges"], got["q"]["in_edges"], got["q"]["dependents"], got["q"]["tests"], got["p"]["tests"]) == (2, 2, 1, 1, 0)
