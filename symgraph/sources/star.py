@@ -10,7 +10,7 @@ from ..plans.graph import Graph
 
 #: Keys beyond an int's range wrap around as line numbers.
 LINES = 2**31 - 1
-#: Line items of a task that makes edges.
+#: Line items of a task that makes edges, and nodes of one that resolution starts from.
 A_TASK = 500_000
 
 
@@ -152,7 +152,9 @@ def placeholders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         .unionByName(place.withColumn("k", F.col("i") % rows("part")).join(goods, "k").select("s_suppkey", "i", "j", F.lit(2).alias("t"), "name"))
         .unionByName(place.where("j = 0").select("s_suppkey", "i", "j", F.lit(3).alias("t"), F.lit("alias").alias("name")))
     )
-    return all_, calls.select(
+    # These tables are few files; sorts by name must not run in as few tasks.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(t(name).count() for name in ("customer", "supplier", "part")) // A_TASK)
+    return all_.repartition(tasks, "id"), calls.select(
         (F.col("i") * 4 + F.col("t")).alias("id"), _id("supplier", F.col("s_suppkey")).alias("source"), F.concat(F.lit("name:"), "name").alias("target"), F.lit("calls").alias("kind"), F.lit(False).alias("resolved"),
         F.col("j").cast("int").alias("line"), F.lit(0).alias("col"), F.when((F.col("t") == 1) & (F.col("j") % 5 > 2), F.concat(F.lit("next."), "name")).otherwise(F.col("name")).alias("callee_text"),
     )

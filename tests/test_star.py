@@ -37,3 +37,11 @@ def test_repeated_line_items_collapse(spark, tmp_path):
     rows = lambda df: sorted(map(str, df.where("target is not null").collect()))
     assert rows(star.edges(spark, str(tmp_path))) == rows(star.edges(spark, SF))
     assert star.edges(spark, str(tmp_path)).where("target is null").select("source", "kind", "line").distinct().count() == star.edges(spark, str(tmp_path)).where("target is null").count()
+
+
+def test_nodes_of_resolution_are_dealt_to_tasks_that_follow_the_tables(spark, monkeypatch):
+    monkeypatch.setattr(star, "A_TASK", 10)
+    nodes, _ = star.placeholders(spark, SF)
+    rows = sum(spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("customer", "supplier", "part"))
+    assert nodes.rdd.getNumPartitions() == rows // 10
+    assert nodes.where("kind <> 'import'").count() == rows
