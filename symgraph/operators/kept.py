@@ -1,9 +1,8 @@
 """Aggregates that are kept: counts, degrees and dependencies follow a graph's changes by signed deltas.
 
 A measure is a set of sums by key, so what went is subtracted and what came is added; rows whose sums are all zero are
-dropped.  The work grows with the change and with the kept rows of the keys, not with the graph: from the two states of
-a few files the new aggregate follows without a look at the rest.  Every measure of a graph equals that of another graph,
-updated by parts() of the two.
+dropped.  From the two states of a few files the new counts and degrees follow without a look at the rest.  Every measure
+of a graph equals that of another graph, updated by what went and came between the two.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import package_path
-from ..plans.graph import Graph, cut, degrees
+from ..plans.graph import Graph, degrees
 from .overview import package_edges
 
 #: Keys and sums of each measure.
@@ -29,41 +28,64 @@ MEASURES: dict[str, Callable[[Graph], DataFrame]] = {
 }
 
 
+def net(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows that are there more or less often after than before, and how much more (column d, negative for less).
+
+    One pass over both: where they are dealt by a column alike, as the star view's edges are, nothing is shuffled.
+    """
+    names = before.columns
+    signed = before.select(*names, F.lit(-1).alias("d")).unionByName(after.select(*names, F.lit(1).alias("d")))
+    return signed.groupBy(*names).agg(F.sum("d").alias("d")).where("d <> 0")
+
+
 def both_ways(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows that went, rows that came), repeated rows counted."""
-    return before.exceptAll(after), after.exceptAll(before)
+    changed, names = net(before, after), before.columns
+    often = F.explode(F.array_repeat(F.lit(0), F.abs("d").cast("int"))).alias("k")
+    return tuple(changed.where(c).select(*names, often).select(*names) for c in ("d < 0", "d > 0"))
+
 
+def parts(before: Graph, after: Graph) -> tuple[Graph, Graph]:
+    """What went and what came from one graph to another."""
+    sides = [both_ways(a, b) for a, b in ((before.nodes, after.nodes), (before.edges, after.edges), (before.files, after.files))]
+    return tuple(Graph(*(side[k] for side in sides)) for k in (0, 1))
 
-def parts(before: Graph, after: Graph) -> tuple[Graph, Graph, Graph, Graph]:
-    """What went and what came from one graph to another: (gone, come), and the same with all nodes of either state, which
-    measures of edges look their ends up in.
 
-    An edge that is in both counts as gone and come where a node at its end went, came or moved to another file.
+def moved_dependencies(before: Graph, after: Graph) -> DataFrame:
+    """(source, target, kind, n): how many more or less edges between packages there are after than before.
+
+    An edge that is in both counts where a node at its end went, came or moved to another package.  Edges of both states go
+    once from their sources to their targets, counted; ids of nodes are unique in a state.
     """
-    files = both_ways(before.files, after.files)
-    nodes, edges = (tuple(map(cut, both_ways(a, b))) for a, b in ((before.nodes, after.nodes), (before.edges, after.edges)))
-    place = both_ways(*(n.select("id", "file_path") for n in nodes))
-    moved = cut(place[0].select("id").unionByName(place[1].select("id")).distinct())
-    of, names = (lambda end: moved.select(F.col("id").alias(end))), before.edges.columns
-    # An edge with two moved ends is one edge still: the second half leaves out those that the first has.
-    near = before.edges.join(of("source"), "source", "left_semi").select(*names)
-    near = near.unionByName(before.edges.join(of("target"), "target", "left_semi").join(of("source"), "source", "left_anti").select(*names))
-    incident = cut(near.exceptAll(edges[0]))
-    gone, come = (Graph(nodes[k], edges[k], files[k]) for k in (0, 1))
-    return gone, come, Graph(before.nodes, edges[0].unionByName(incident), files[0]), Graph(after.nodes, edges[1].unionByName(incident), files[1])
-
-
-def update(name: str, kept: DataFrame, gone: Graph, come: Graph) -> DataFrame:
-    """A measure after rows went and came."""
+    at = lambda g, state: g.nodes.select("id", package_path(F.col("file_path")).alias("package"), F.lit(state).alias("state"))
+    places = at(before, 0).unionByName(at(after, 1)).groupBy("id").agg(*[F.max(F.when(F.col("state") == k, F.col("package"))).alias(c) for k, c in enumerate(("was", "now"))])
+    of = lambda end: places.select(F.col("id").alias(end), F.col("was").alias(f"{end}_was"), F.col("now").alias(f"{end}_now"))
+    rows = lambda g, b, a: g.resolved.select("source", "target", "kind", F.lit(b).alias("b"), F.lit(a).alias("a"))
+    edges = rows(before, 1, 0).unionByName(rows(after, 0, 1)).groupBy("source", "target", "kind").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+    found = edges.join(of("source"), "source").join(of("target"), "target")
+    sums = found.groupBy("kind", "source_was", "source_now", "target_was", "target_now").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+    side = lambda state, n: F.struct(F.col(f"source_{state}").alias("source"), F.col(f"target_{state}").alias("target"), n.alias("n"))
+    return sums.select("kind", F.explode(F.array(side("was", -F.col("b")), side("now", F.col("a")))).alias("x")).select("kind", "x.*").where("source is not null and target is not null")
+
+
+def update(name: str, kept: DataFrame, *changes: DataFrame) -> DataFrame:
+    """A measure after signed changes of its sums."""
     keys, sums = KEYS[name], SUMS[name]
-    made, measure = kept.select(*keys, *sums), MEASURES[name]
-    for graph, sign in ((gone, -1), (come, 1)):
-        made = made.unionByName(measure(graph).select(*keys, *[(F.col(c) * sign).cast("long").alias(c) for c in sums]))
+    made = kept.select(*keys, *sums)
+    for change in changes:
+        made = made.unionByName(change.select(*keys, *[F.col(c).cast("long").alias(c) for c in sums]))
     out = made.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
     return out.where(" or ".join(f"{c} <> 0" for c in sums))
 
 
 def follow(kept: dict[str, DataFrame], before: Graph, after: Graph) -> dict[str, DataFrame]:
-    """Measures of the graph before, by name, brought up to the graph after; what went and came is worked out once."""
-    gone, come, gone_at, come_at = parts(before, after)
-    return {name: update(name, df, *((gone_at, come_at) if name == "dependencies" else (gone, come))) for name, df in kept.items()}
+    """Measures of the graph before, by name, brought up to the graph after."""
+    gone, come = parts(before, after)
+
+    def changes(name: str) -> list[DataFrame]:
+        if name == "dependencies":
+            return [moved_dependencies(before, after)]
+        less = MEASURES[name](gone)
+        return [less.withColumns({c: -F.col(c) for c in SUMS[name]}), MEASURES[name](come)]
+
+    return {name: update(name, df, *changes(name)) for name, df in kept.items()}

@@ -45,3 +45,14 @@ def test_nodes_of_resolution_are_dealt_to_tasks_that_follow_the_tables(spark, mo
     rows = sum(spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("customer", "supplier", "part"))
     assert nodes.rdd.getNumPartitions() == rows // 10
     assert nodes.where("kind <> 'import'").count() == rows
+
+
+def test_what_changed_among_edges_is_found_where_they_are_dealt(spark):
+    from symgraph.operators import kept
+
+    edges = star.edges(spark, SF)
+    early = edges.where("kind <> 'imports'").unionByName(edges.where("kind = 'contains'"))
+    assert all(a.startswith("source") for a, _ in exchanges(kept.net(edges.where("kind <> 'imports'"), edges)))
+    gone, come = kept.both_ways(early, edges)
+    assert {r["kind"] for r in gone.collect()} == {"contains"} and gone.count() == edges.where("kind = 'contains'").count()
+    assert sorted(map(str, come.collect())) == sorted(map(str, edges.where("kind = 'imports'").collect()))
