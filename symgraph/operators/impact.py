@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.graph import Graph, cut
+from ..plans.graph import Graph, cut, shared_folder
 from ..schemas import IMPACT_KINDS
+from ..sources.adjacency import Adjacency
 
 #: What marks a test file when no pattern is given.
 TEST_PARTS = (".test.", ".spec.", "/tests/", "/test/", "__tests__/")
@@ -119,6 +123,20 @@ def is_test(path: Column, pattern: str = "") -> Column:
     return marks
 
 
+#: Nodes to a bucket of edges.
+A_BUCKET = 100_000
+
+
+def walkable(graph: Graph) -> Graph:
+    """The graph with its edges that carry impact written once by target, in a new folder of the shared one, so that each
+    level of a walk shuffles its frontier and no edges."""
+    spark = graph.nodes.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), graph.nodes.count() // A_BUCKET)
+    near = Adjacency(f"{shared_folder(spark)}/walk-{uuid.uuid4().hex}", buckets)
+    near.write_into(graph.nodes, graph.edges.where(F.col("kind").isin(*IMPACT_KINDS)))
+    return replace(graph, near=near)
+
+
 #: Fixed value: nodes up to which each root symbol of a changed file is followed.
 AFFECTED_LIMIT = 1000
 
@@ -127,6 +145,6 @@ def affected(graph: Graph, changed: DataFrame, depth: int = 5, pattern: str = ""
     """(root symbols, impacted files with is_test) of changed files (column path; a leading ./ is dropped)."""
     paths = changed.select(F.regexp_replace("path", r"^\./", "").alias("file_path")).distinct()
     roots = graph.nodes.where("kind <> 'import'").join(paths, "file_path", "left_semi")
-    reached = impact_each(graph, roots, depth, limit)
+    reached = impact_each(graph if graph.near is not None or depth < 2 else walkable(graph), roots, depth, limit)
     files = graph.nodes.select("id", "file_path").join(reached, "id", "left_semi").select(F.col("file_path").alias("path")).distinct()
     return roots, files.withColumn("is_test", is_test(F.col("path"), pattern))

@@ -41,14 +41,24 @@ class Adjacency:
         for end in ("source", "target"):
             e = e.join(known.select(F.col("id").alias(end)), end, "left_semi").select(*names)
         for end in ("target", "source"):
-            name = f"edges_{uuid.uuid4().hex}"
-            # One task a bucket: each bucket is one sorted file.
-            dealt = e.repartition(self.buckets, end)
-            dealt.write.mode("overwrite").bucketBy(self.buckets, end).sortBy(end, "id").option("path", f"{self.path}/by_{end}").format("parquet").saveAsTable(name)
-            nodes.sparkSession.sql(f"DROP TABLE {name}")
+            self._deal(e, end)
             # The second table is the first dealt anew, so edges are made and looked up among nodes once.
             e = nodes.sparkSession.read.schema(COLUMNS).parquet(f"{self.path}/by_{end}")
 
+    def write_into(self, nodes: DataFrame, edges: DataFrame) -> None:
+        """The edges by target alone, which is what walks read; no walk comes to a target that is no node, so only sources
+        are looked up."""
+        names = [c.split(" ")[0] for c in COLUMNS.split(", ")]
+        e = edges.where("resolved").join(nodes.select(F.col("id").alias("source")), "source", "left_semi")
+        self._deal(e.select(*names), "target")
+
+    def _deal(self, edges: DataFrame, end: str) -> None:
+        name = f"edges_{uuid.uuid4().hex}"
+        # One task a bucket: each bucket is one sorted file.
+        dealt = edges.repartition(self.buckets, end)
+        dealt.write.mode("overwrite").bucketBy(self.buckets, end).sortBy(end, "id").option("path", f"{self.path}/by_{end}").format("parquet").saveAsTable(name)
+        edges.sparkSession.sql(f"DROP TABLE {name}")
+
     def _table(self, spark: SparkSession, end: str) -> DataFrame:
         name, place = f"edges_{uuid.uuid4().hex}", f"{self.path}/by_{end}".replace("'", "\\'")
         spark.sql(f"CREATE TABLE {name} ({COLUMNS}) USING parquet CLUSTERED BY ({end}) SORTED BY ({end}, id) INTO {self.buckets} BUCKETS LOCATION '{place}'")

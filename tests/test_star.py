@@ -56,3 +56,18 @@ def test_what_changed_among_edges_is_found_where_they_are_dealt(spark):
     gone, come = kept.both_ways(early, edges)
     assert {r["kind"] for r in gone.collect()} == {"contains"} and gone.count() == edges.where("kind = 'contains'").count()
     assert sorted(map(str, come.collect())) == sorted(map(str, edges.where("kind = 'imports'").collect()))
+
+
+def test_a_walk_makes_its_edges_once(spark):
+    from symgraph.operators import impact
+    from symgraph.plans.graph import Graph
+
+    chain = [(k, f"n{k + 1}", f"n{k}", "calls", True) for k in range(5)] + [(9, "lost", "n1", "calls", True), (10, "n0", "n3", "contains", True)]
+    made = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: (made.add(1), x)[1], "string").asNondeterministic()
+    edges = spark.createDataFrame(chain, "id long, source string, target string, kind string, resolved boolean").selectExpr("*", "1 as line", "0 as col")
+    nodes = spark.createDataFrame([(f"n{k}", "function", f"d/f{k}_test.go") for k in range(6)], "id string, kind string, file_path string")
+    g = Graph(nodes, edges.withColumn("source", seen("source")), nodes)
+    changed = spark.createDataFrame([("./d/f0_test.go",)], "path string")
+    files = {r["path"] for r in impact.affected(g, changed, 3)[1].collect()}
+    assert files == {f"d/f{k}_test.go" for k in range(4)} and made.value <= len(chain)
