@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +34,12 @@ def entrypoints(graph: Graph, task: str, max_nodes: int) -> DataFrame:
 def neighbours(graph: Graph, ids: DataFrame) -> DataFrame:
     """Calls out of and into nodes (pos, id), in that order for each: one join a direction for all nodes at once.
 
-    A call between two of the nodes appears twice, once from either end.
+    A call between two of the nodes appears twice, once from either end.  The nodes, whose number the caller bounds, are sent
+    to the edges, so only their calls are looked up among nodes.
     """
-    calls = find.resolved_edges(graph, kind="calls")
-    out = calls.join(ids.select("pos", F.col("id").alias("source")), "source").withColumns({"side": F.lit(0), "other": F.col("target")})
-    into = calls.join(ids.select("pos", F.col("id").alias("target")), "target").withColumns({"side": F.lit(1), "other": F.col("source")})
+    at = lambda end: find.resolved_edges(replace(graph, edges=graph.edges.join(F.broadcast(ids.select(F.col("id").alias(end)).distinct()), end, "left_semi")), kind="calls")
+    out = at("source").join(ids.select("pos", F.col("id").alias("source")), "source").withColumns({"side": F.lit(0), "other": F.col("target")})
+    into = at("target").join(ids.select("pos", F.col("id").alias("target")), "target").withColumns({"side": F.lit(1), "other": F.col("source")})
     return out.select("pos", "side", "other", *_EDGE).unionByName(into.select("pos", "side", "other", *_EDGE))
 
 

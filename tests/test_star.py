@@ -71,3 +71,14 @@ def test_a_walk_makes_its_edges_once(spark):
     changed = spark.createDataFrame([("./d/f0_test.go",)], "path string")
     files = {r["path"] for r in impact.affected(g, changed, 3)[1].collect()}
     assert files == {f"d/f{k}_test.go" for k in range(4)} and made.value <= len(chain)
+
+
+def test_only_calls_at_the_nodes_are_looked_up(spark):
+    from symgraph.operators import context
+
+    ids = spark.createDataFrame([(0, "customer:7"), (1, "order:5")], "pos long, id string")
+    df = context.neighbours(star.graph(spark, SF), ids)
+    assert "LeftSemi" in df._jdf.queryExecution().executedPlan().toString()
+    ends = {"customer:7", "order:5"}
+    want = [r for r in star.edges(spark, SF).where("kind = 'calls'").select("source", "target").collect()]
+    assert df.count() == sum(r["source"] in ends for r in want) + sum(r["target"] in ends for r in want)
