@@ -29,7 +29,10 @@ def fold(text: str) -> str:
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits without diacritics, in order; a null has none."""
-    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), FOLD_FROM, FOLD_TO), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    low = F.lower(F.coalesce(text, F.lit("")))
+    # Texts without a character beyond ASCII have nothing to fold.
+    folded = F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.translate(low, FOLD_FROM, FOLD_TO))
+    return F.regexp_extract_all(folded, F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
 def phrases(query: str) -> list[list[str]]:

@@ -37,7 +37,7 @@ def neighbours(graph: Graph, ids: DataFrame) -> DataFrame:
     A call between two of the nodes appears twice, once from either end.  The nodes, whose number the caller bounds, are sent
     to the edges, so only their calls are looked up among nodes.
     """
-    at = lambda end: find.resolved_edges(replace(graph, edges=graph.edges.join(F.broadcast(ids.select(F.col("id").alias(end)).distinct()), end, "left_semi")), kind="calls")
+    at = lambda end: find.resolved_edges(replace(graph, at=None, edges=graph.edges.join(F.broadcast(ids.select(F.col("id").alias(end)).distinct()), end, "left_semi")), kind="calls")
     out = at("source").join(ids.select("pos", F.col("id").alias("source")), "source").withColumns({"side": F.lit(0), "other": F.col("target")})
     into = at("target").join(ids.select("pos", F.col("id").alias("target")), "target").withColumns({"side": F.lit(1), "other": F.col("source")})
     return out.select("pos", "side", "other", *_EDGE).unionByName(into.select("pos", "side", "other", *_EDGE))

@@ -163,7 +163,7 @@ def ranked_each(graph: Graph, hits: DataFrame, queries: list[str], limit: int, o
     tiered = hits.withColumn("tier", name_tier(F.col("asked")))
     best = F.row_number().over(Window.partitionBy("query").orderBy("tier", by, "name", "id"))
     some = cut(tiered.withColumn("k", best).where(F.col("k") <= expanded_limit(limit)).drop("k"))
-    full = with_degrees(some, graph.edges, few=True)
+    full = with_degrees(some, graph.edges_at(r["id"] for r in some.select("id").distinct().collect()), few=True)
     full = full.withColumn("rank", F.coalesce("score", F.lit(0.0)) + match_score(F.col("asked")) + importance())
     pos = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rank"), "name", "tier", by, "id"))
     return full.withColumn("pos", pos).where(F.col("pos") <= limit).drop("asked")
@@ -183,12 +183,14 @@ def ranked(graph: Graph, hits: DataFrame, query: str, limit: int, order: str = "
 
     order: 'compat' keeps the weakest scores inside a tier at the cut, 'best_first' the strongest.
 
-    The candidates, 200 at most, are fetched and sent to the edges, of which none but theirs are counted.
+    The candidates, 200 at most, are fetched and sent to the edges, of which none but theirs are counted, or made where the
+    graph can spare that.
     """
     by = F.col("score") if order == "compat" else F.desc("score")
     some = hits.withColumn("tier", name_tier(query)).orderBy("tier", by, "name", "id").limit(expanded_limit(limit))
-    some = some.sparkSession.createDataFrame(some.collect(), some.schema)
-    full = with_degrees(some, graph.edges, few=True)
+    rows = some.collect()
+    some = some.sparkSession.createDataFrame(rows, some.schema)
+    full = with_degrees(some, graph.edges_at(r["id"] for r in rows), few=True)
     rank = F.coalesce("score", F.lit(0.0)) + match_score(query) + importance()
     return full.withColumn("rank", rank).orderBy(F.desc("rank"), "name", "tier", by, "id").limit(limit)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import TYPE_CHECKING
 
@@ -18,7 +19,8 @@ class Graph:
     """nodes, edges and files; see `schemas` for their columns.
 
     text and near are what a store keeps for lookups: a text index of the nodes (`sources.textindex`) and the resolved
-    edges bucketed by either end (`sources.adjacency`); operators work without them, on whole tables.
+    edges bucketed by either end (`sources.adjacency`); operators work without them, on whole tables.  at makes those of
+    `edges` that go from or to a few ids, where making them all can be spared.
     """
 
     nodes: DataFrame
@@ -26,11 +28,16 @@ class Graph:
     files: DataFrame
     text: TextIndex | None = None
     near: Adjacency | None = None
+    at: Callable[[Iterable[str]], DataFrame] | None = None
 
     @property
     def resolved(self) -> DataFrame:
         return self.edges.where("resolved")
 
+    def edges_at(self, ids: Iterable[str]) -> DataFrame:
+        """Edges of which those from or to the ids are all there; others may be, too."""
+        return self.edges if self.at is None else self.at(ids)
+
 
 def degrees(edges: DataFrame, few: DataFrame | None = None) -> DataFrame:
     """(id, out_degree, in_degree) of every endpoint of a resolved edge: one shuffle of pre-aggregated counts.

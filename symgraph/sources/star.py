@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import partial, reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +60,7 @@ def _row(df: DataFrame, prefix: str, kind: str, key: Column, name: Column, quali
     )
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, at: Iterable[str] | None = None) -> DataFrame:
     """contains: region to nation; references: parties to nations; calls: order to customer, parts, suppliers;
     imports: part to supplier.  Repeated line items collapse.
 
@@ -65,8 +69,17 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Edges are dealt by their source, to as many tasks as the line items ask for: what repeats is found there, a join on the
     source or a count by it shuffles no edge again, and no task's share grows with the tables.
+
+    at: ids of nodes, of a number that the caller bounds; only edges from or to these are made, and rows that give none are
+    left where they are read.
     """
     t = lambda name: read(spark, sf_dir, name)
+    ends = None if at is None else sorted(set(at))
+    keys: dict[str, list[int]] = {}
+    for kind, _, k in (x.partition(":") for x in ends or ()):
+        if k.removeprefix("-").isdecimal():
+            keys.setdefault(kind, []).append(int(k))
+    any_of = lambda df, **kinds: df if ends is None else df.where(reduce(or_, [F.col(c).isin(keys.get(kind, [])) for kind, c in kinds.items()]))
     above = lambda name, key: (t(name).agg(F.max(key).cast("long").alias("m")).scalar() + 1)
     parts, suppliers = above("part", "p_partkey"), above("supplier", "s_suppkey")
     number = lambda code, key: F.lit(code * 10**18) + key
@@ -76,18 +89,18 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = lambda c: F.element_at(F.split(c, ":"), -1).cast("long")
     c, n, none = F.col, F.col("n"), F.lit(None)
     # An order's lines hold both kinds of its calls; what repeats is found where the order is.
-    lines = deal(t("lineitem"), _id("order", c("l_orderkey")), c("l_partkey").alias("p"), c("l_suppkey").alias("s"), c("l_linenumber").alias("n"))
+    lines = deal(any_of(t("lineitem"), order="l_orderkey", part="l_partkey", supplier="l_suppkey"), _id("order", c("l_orderkey")), c("l_partkey").alias("p"), c("l_suppkey").alias("s"), c("l_linenumber").alias("n"))
     call = F.explode(F.array(F.struct(F.lit(5).alias("code"), c("p").alias("k")), F.struct(F.lit(6).alias("code"), c("s").alias("k")))).alias("x")
     calls = lines.select("source", "n", call).select("source", "n", "x.code", "x.k").distinct()
     part = c("code") == 5
     of_order = key("source")
     calls = row(calls, F.when(part, number(5, (of_order * parts + c("k")) * 8 + n)).otherwise(number(6, (of_order * suppliers + c("k")) * 8 + n)), F.when(part, _id("part", c("k"))).otherwise(_id("supplier", c("k"))), "calls", n)
-    nation = deal(t("nation"), _id("region", c("n_regionkey")), "n_nationkey")
-    customer = deal(t("customer"), _id("customer", c("c_custkey")), "c_custkey", "c_nationkey")
-    supplier = deal(t("supplier"), _id("supplier", c("s_suppkey")), "s_suppkey", "s_nationkey")
-    orders = deal(t("orders"), _id("order", c("o_orderkey")), "o_orderkey", "o_custkey")
-    made_by = deal(t("lineitem"), _id("part", c("l_partkey")), c("l_suppkey").alias("s")).distinct()
-    return (
+    nation = deal(any_of(t("nation"), region="n_regionkey", nation="n_nationkey"), _id("region", c("n_regionkey")), "n_nationkey")
+    customer = deal(any_of(t("customer"), customer="c_custkey", nation="c_nationkey"), _id("customer", c("c_custkey")), "c_custkey", "c_nationkey")
+    supplier = deal(any_of(t("supplier"), supplier="s_suppkey", nation="s_nationkey"), _id("supplier", c("s_suppkey")), "s_suppkey", "s_nationkey")
+    orders = deal(any_of(t("orders"), order="o_orderkey", customer="o_custkey"), _id("order", c("o_orderkey")), "o_orderkey", "o_custkey")
+    made_by = deal(any_of(t("lineitem"), part="l_partkey", supplier="l_suppkey"), _id("part", c("l_partkey")), c("l_suppkey").alias("s")).distinct()
+    made = (
         row(nation, number(1, c("n_nationkey")), _id("nation", c("n_nationkey")), "contains", none)
         .unionByName(row(customer, number(2, c("c_custkey")), _id("nation", c("c_nationkey")), "references", none))
         .unionByName(row(supplier, number(3, c("s_suppkey")), _id("nation", c("s_nationkey")), "references", none))
@@ -95,6 +108,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(calls)
         .unionByName(row(made_by, number(7, key("source") * suppliers + c("s")), _id("supplier", c("s")), "imports", none))
     )
+    return made if ends is None else made.where(F.col("source").isin(ends) | F.col("target").isin(ends))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +121,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(nodes(spark, sf_dir), edges(spark, sf_dir), files(spark, sf_dir))
+    return Graph(nodes(spark, sf_dir), edges(spark, sf_dir), files(spark, sf_dir), at=partial(edges, spark, sf_dir))
 
 
 #: Calls of each supplier to customers, and as many to parts: there are that many parts to a supplier.

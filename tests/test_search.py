@@ -88,3 +88,38 @@ def test_postings_are_grouped_where_the_tokens_are(spark):
             assert "Exchange" not in plan and "Aggregate" not in plan
     finally:
         textindex._AT_ONCE = size
+
+
+def test_a_run_makes_its_postings_once_and_spreads_them_evenly(spark, tmp_path, monkeypatch):
+    """No pass over the texts but one for the postings; tasks follow the tokens, also for a term that all texts hold."""
+    import glob
+
+    from pyspark.sql import functions as F
+
+    from symgraph.sources import textindex
+
+    made, plain = spark.sparkContext.accumulator(0), textindex.postings
+    seen = F.udf(lambda x: (made.add(1), x)[1], "string").asNondeterministic()
+    monkeypatch.setattr(textindex, "postings", lambda docs, fields: plain(docs, fields).withColumn("term", seen("term")))
+    monkeypatch.setattr(textindex, "_A_TASK", 500)
+    monkeypatch.setattr(textindex, "_SAMPLE", 1000)
+    docs = spark.range(2000).selectExpr("string(id) as id", "concat('the the ', if(id % 50 = 0, 'é1 ', ''), if(id % 4 = 0, concat('z', id), '')) as text")
+    index = textindex.TextIndex(f"file://{tmp_path}/even")
+    index.put(spark, 1, docs, ["text"])
+    rows = index.table(spark, "postings", textindex.POSTINGS)
+    assert made.value == rows.count() == 2000 + 40 + 500
+    sizes = [r["count"] for r in rows.where("term = 'the'").groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) >= 5 and max(sizes) < 600  # 4540 tokens are nine tasks
+    for f in glob.glob(f"{tmp_path}/even/postings/run=1/head=*/*.parquet"):
+        of = [(r["term"], r["id"]) for r in spark.read.parquet(f).collect()]
+        assert of == sorted(of)
+
+
+def test_candidates_edges_alone_are_made(spark):
+    """Edges at some ids are those of the whole graph at them, and other rows don't leave the scan."""
+    ids = ["order:5", "customer:7", "part:3", "supplier:2", "nation:4", "region:1", "part:x", "strange", "order:-1"]
+    at = star.edges(spark, SF, ids)
+    want = star.edges(spark, SF).where(" or ".join(f"{end} in ({', '.join(map(repr, ids))})" for end in ("source", "target")))
+    assert sorted(map(str, at.collect())) == sorted(map(str, want.collect())) != []
+    assert star.edges(spark, SF, []).count() == 0
+    assert "l_orderkey#" in (plan := at._jdf.queryExecution().executedPlan().toString()) and plan.count("PushedFilters: [Or(") >= 4
