@@ -109,3 +109,38 @@ def test_the_overview_makes_its_edges_once(spark):
     assert got["dependency"] == [(f"{r['source']} -> {r['target']}", r["kind"], r["n"]) for r in overview.dependencies(g).collect()]
     none = {r["section"]: r["n"] for r in overview.whole(Graph(nodes, edges.limit(0), files)).where("section <> 'package'").orderBy("pos").collect()}
     assert none == {"summary": 0, "symbol": 0}
+
+
+def test_kept_aggregates_shuffle_edges_once_and_sort_none(spark):
+    """Degrees and dependencies of both states come from one making of the edges, and rows are never compared."""
+    from symgraph import queries
+
+    df = queries.kept_aggregates(spark, SF)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" not in final
+    dealt = [x for x in final.splitlines() if re.search(r"^[^A-Za-z]*Exchange hashpartitioning\(source#\d+, \d+\), REPARTITION_BY_NUM", x)]
+    # Of customers, suppliers, parts and nations only the keys are dealt again, to be counted by source; of line items nothing is.
+    assert sum("(l_" in x for x in final.splitlines() if "FileScan" in x) <= 2 and len(dealt) <= 10
+
+
+def test_kept_aggregates_with_ends_that_are_no_nodes(spark):
+    """Null, unknown and unresolved ends in either state: what is brought up equals a recount, for follow as for one pass."""
+    from symgraph.operators import kept
+    from symgraph.plans.graph import Graph
+
+    def state(nodes, edges, files):
+        return Graph(*(spark.createDataFrame(rows, schema) for rows, schema in (
+            (nodes, "id string, kind string, file_path string"), (edges, "source string, target string, kind string, resolved boolean"), (files, "path string, language string, node_count int"),
+        )))
+
+    edges = [("a", "b", "calls", True), ("a", "lost", "calls", True), ("lost", "b", "imports", True), (None, "b", "calls", True), ("a", None, "calls", True), ("a", "b", None, True), ("a", "b", "calls", False), ("a", "b", "calls", None)]
+    before = state([("a", "f", "p/a.go"), ("b", "f", "b.go"), ("gone", "g", "p/a.go")], edges + [("a", "b", "calls", True), ("gone", "a", "calls", True)], [("p/a.go", "go", 2), ("b.go", "go", None)])
+    after = state([("a", "f", "q/a.go"), ("b", "f", "b.go"), ("new", "h", None)], edges[:-1] + [("new", "b", "calls", True), ("a", "new", "calls", True), ("lost", "lost", "calls", True)], [("q/a.go", "go", 3), ("b.go", "go", None)])
+    rows = lambda df: sorted(map(repr, (tuple(r) for r in df.collect())))
+    now = kept.follow({name: measure(before) for name, measure in kept.MEASURES.items()}, before, after)
+    made = kept.brought_up(kept.states(before, after))
+    for name, measure in kept.MEASURES.items():
+        want = rows(measure(after).select(*kept.KEYS[name], *kept.SUMS[name]))
+        assert rows(now[name].select(*kept.KEYS[name], *kept.SUMS[name])) == want, name
+        assert rows(made.where(F.col("measure") == name).select(*[f"key_{k}" for k in range(len(kept.KEYS[name]))], *"xy"[: len(kept.SUMS[name])])) == want, name
