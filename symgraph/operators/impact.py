@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.graph import Graph, cut, shared_folder
 from ..schemas import IMPACT_KINDS
-from ..sources.adjacency import Adjacency
+from ..sources import adjacency
 
 #: What marks a test file when no pattern is given.
 TEST_PARTS = (".test.", ".spec.", "/tests/", "/test/", "__tests__/")
@@ -123,16 +123,11 @@ def is_test(path: Column, pattern: str = "") -> Column:
     return marks
 
 
-#: Nodes to a bucket of edges.
-A_BUCKET = 100_000
-
-
 def walkable(graph: Graph) -> Graph:
     """The graph with its edges that carry impact written once by target, in a new folder of the shared one, so that each
     level of a walk shuffles its frontier and no edges."""
     spark = graph.nodes.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), graph.nodes.count() // A_BUCKET)
-    near = Adjacency(f"{shared_folder(spark)}/walk-{uuid.uuid4().hex}", buckets)
+    near = adjacency.near(f"{shared_folder(spark)}/walk-{uuid.uuid4().hex}", graph.nodes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     near.write_into(graph.nodes, graph.edges.where(F.col("kind").isin(*IMPACT_KINDS)))
     return replace(graph, near=near)
 

@@ -193,3 +193,24 @@ def test_both_bucketed_tables_come_from_one_pass_over_the_edges(spark, tmp_path)
     near.write(nodes, edges)
     rows = lambda df: sorted(map(tuple, df.select("id", "source", "target", "kind", "line", "col").collect()))
     assert rows(near.into(spark)) == rows(near.out_of(spark)) != []
+
+
+def test_buckets_follow_the_nodes_and_edges_are_sent_to_them_once(spark, monkeypatch):
+    from symgraph import queries
+    from symgraph.sources import adjacency, star
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(adjacency, "A_BUCKET", 40, raising=False)
+    g = queries._bucketed(spark, sf)
+    assert g.near.buckets == g.nodes.count() // 40 > 16
+    names = ("id", "source", "target", "kind", "line", "col")
+    assert rows(g.near.into(spark).select(*names)) == rows(star.edges(spark, sf).where("target is not null").select(*names))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for both in (False, True):
+            plan = g.near._dealt(g.nodes, g.edges, both)._jdf.queryExecution().executedPlan().toString()
+            # Of the nodes one shuffle for each end; of the edges one, after they were dealt by source; no sort.
+            assert plan.count("Exchange hashpartitioning(target") == 1 + both and plan.count("ShuffledHashJoin") == 1 + both and "Sort" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
