@@ -158,8 +158,10 @@ def placeholders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     all_ = own.select("id", "kind", "name", "qualified_name", "file_path", "language", "start_line", "is_exported", F.lit(None).cast("string").alias("import_module"), F.lit(None).cast("string").alias("import_symbol"), "node_ordinal").unionByName(imports)
     place = supplier.select("s_suppkey", "s_name", F.explode(F.sequence(F.lit(0), F.lit(CALLS - 1))).alias("j")).withColumn("i", F.col("s_suppkey") * CALLS + F.col("j"))
     rows = lambda name: t(name).agg(F.count("*").alias("n")).scalar()
-    people = t("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
-    goods = t("part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))
+    # Suppliers are a small file, but their places are CALLS times as many rows: by its guess of their size Spark would send all
+    # of them through the driver to every task.
+    people = t("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")).hint("shuffle_hash")
+    goods = t("part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name")).hint("shuffle_hash")
     calls = (
         place.where("j = 0").select("s_suppkey", "i", "j", F.lit(0).alias("t"), F.col("s_name").alias("name"))
         .unionByName(place.withColumn("k", F.col("i") % rows("customer")).join(people, "k").select("s_suppkey", "i", "j", F.lit(1).alias("t"), "name"))

@@ -144,3 +144,10 @@ def test_kept_aggregates_with_ends_that_are_no_nodes(spark):
         want = rows(measure(after).select(*kept.KEYS[name], *kept.SUMS[name]))
         assert rows(now[name].select(*kept.KEYS[name], *kept.SUMS[name])) == want, name
         assert rows(made.where(F.col("measure") == name).select(*[f"key_{k}" for k in range(len(kept.KEYS[name]))], *"xy"[: len(kept.SUMS[name])])) == want, name
+
+
+def test_calls_to_resolve_do_not_pass_through_the_driver(spark):
+    """Suppliers are a small file, but their calls are many rows; a guess from the file's size must not broadcast them."""
+    _, edges = star.placeholders(spark, SF)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "Broadcast" not in plan
