@@ -8,7 +8,7 @@ path, and node order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import module_candidates, path_dir, qualifier
@@ -99,6 +99,22 @@ def import_targets(nodes: DataFrame, go_module: str = "", aliases: list[tuple[st
     return im.select("*", F.posexplode(module_candidates(F.col("module"), F.col("source_file"), go_module, list(aliases))).alias("cand_seq", "candidate"))
 
 
+def _above(path: Column) -> Column:
+    """The directories that a path lies in."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+
+
+def there(targets: DataFrame, syms: DataFrame) -> DataFrame:
+    """Import targets with a column `there`: whether any file with symbols is the candidate.  Others hit nothing, and most
+    candidates of a module name no file, so pending edges need not be multiplied by them."""
+    files = syms.select("file_path").distinct()
+    go = files.where(F.col("file_path").endswith(".go") & F.col("file_path").contains("/"))
+    dirs = go.select(F.explode(_above(F.col("file_path"))).alias("dir")).select(F.concat("dir", F.lit("/*.go")).alias("candidate"))
+    real = files.select(F.col("file_path").alias("candidate")).unionByName(dirs).distinct().withColumn("there", F.lit(True))
+    return targets.join(real, "candidate", "left").withColumn("there", F.coalesce("there", F.lit(False))).select(*targets.columns, "there")
+
+
 def candidate_hits(wanted: DataFrame, syms: DataFrame) -> DataFrame:
     """Hits of (candidate, wanted): a file's symbol, or for dir/*.go that of any Go file below dir.
 
@@ -107,9 +123,7 @@ def candidate_hits(wanted: DataFrame, syms: DataFrame) -> DataFrame:
     """
     plain = wanted.join(syms, (F.col("candidate") == F.col("file_path")) & (F.col("wanted") == syms["name"]))
     go = syms.where(F.col("file_path").endswith(".go") & F.col("file_path").contains("/"))
-    parts = F.split("file_path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    under = go.select("name", "hit", "file_path", F.explode(above).alias("dir")).groupBy("dir", "name").agg(F.min_by("hit", "file_path").alias("hit"))
+    under = go.select("name", "hit", "file_path", F.explode(_above(F.col("file_path"))).alias("dir")).groupBy("dir", "name").agg(F.min_by("hit", "file_path").alias("hit"))
     under = under.select(F.concat("dir", F.lit("/*.go")).alias("candidate"), F.col("name").alias("wanted"), "hit")
     deep = wanted.where(F.col("candidate").endswith("/*.go")).join(under, ["candidate", "wanted"])
     cols = ["edge_id", "import_seq", "cand_seq", "hit"]
@@ -158,16 +172,16 @@ def resolve_pending(nodes: DataFrame, left: DataFrame, go_module: str = "", alia
     """The same for edges in the form of pending(); nodes may be cut to those of interest."""
     syms = cut(symbols(nodes))
     left = cut(left)
-    targets = import_targets(nodes, go_module, aliases)
+    targets = cut(there(import_targets(nodes, go_module, aliases), syms))
     # What a tier leaves over is an anti-join with its hits; only hits are written.
     done = cut(same_file(left, syms))
     left = left.join(done, "edge_id", "left_anti")
     second = cut(sibling(left, syms))
     left = left.join(second, "edge_id", "left_anti")
     meant = cut(matching_imports(left, targets, packages))
-    third = cut(_first(candidate_hits(meant.select("edge_id", "import_seq", "cand_seq", "candidate", "wanted"), syms), 3))
+    third = cut(_first(candidate_hits(meant.where("there").select("edge_id", "import_seq", "cand_seq", "candidate", "wanted"), syms), 3))
     left = left.join(third, "edge_id", "left_anti")
-    stars = left.join(targets.where("symbol = '*'"), "source_file").select("edge_id", "import_seq", "cand_seq", "candidate", F.col("name").alias("wanted"))
+    stars = left.join(targets.where("symbol = '*' and there"), "source_file").select("edge_id", "import_seq", "cand_seq", "candidate", F.col("name").alias("wanted"))
     fourth = cut(_first(candidate_hits(stars, syms), 4))
     left = left.join(fourth, "edge_id", "left_anti")
     last = meant.groupBy("edge_id").agg(F.max_by("wanted", "import_seq").alias("wanted"))

@@ -151,3 +151,15 @@ def test_calls_to_resolve_do_not_pass_through_the_driver(spark):
     _, edges = star.placeholders(spark, SF)
     plan = edges._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ShuffledHashJoin") == 2 and "Broadcast" not in plan
+
+
+def test_candidates_that_name_no_file_multiply_no_calls(spark):
+    from symgraph.operators import resolve
+
+    syms = spark.createDataFrame([("a/b/x.go", "f", "1", 0), ("top.go", "g", "2", 0), ("a/y.py", "h", "3", 0)], "file_path string, name string, hit string, hit_ordinal long")
+    targets = spark.createDataFrame([(c,) for c in ("a/*.go", "a/b/*.go", "top.go", "a/b/x.go", "a/y.py", "a/b/x.py", "c/*.go", "top.go/*.go")] + [(None,)], "candidate string")
+    got = {r["candidate"]: r["there"] for r in resolve.there(targets, syms).collect()}
+    assert len(got) == 9 and {c for c, there in got.items() if there} == {"a/*.go", "a/b/*.go", "top.go", "a/b/x.go", "a/y.py"}
+    nodes, _ = star.placeholders(spark, SF)
+    every = resolve.there(resolve.import_targets(nodes, "world"), resolve.symbols(nodes))
+    assert every.where("there and symbol = '*'").groupBy("source_file").count().where("count > 1").isEmpty() and every.where("not there").count() > every.where("there").count() > 0
